@@ -146,6 +146,11 @@ JOIN nation sn ON s.s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionke
 
 
 def with_shipments(sql_body: str) -> str:
-    """Prefix an oracle query with the ``shipments`` and ``national`` CTEs."""
-    return ("WITH shipments AS (" + SHIPMENTS_SQL + "),\n"
-            "national AS (SELECT * FROM shipments WHERE source = 'national')\n" + sql_body)
+    """Prefix an oracle query with the ``shipments`` and ``national`` CTEs
+    (a body with its own WITH list is merged into it)."""
+    head = ("WITH shipments AS (" + SHIPMENTS_SQL + "),\n"
+            "national AS (SELECT * FROM shipments WHERE source = 'national')")
+    body = sql_body.lstrip()
+    if body[:5].upper() == "WITH ":
+        return head + ",\n" + body[5:]
+    return head + "\n" + body
