@@ -11,8 +11,8 @@ from ..sources.fixtures import by_source, national
 
 
 def r6(df: DataFrame) -> DataFrame:
-    """Round every double column to 6 decimals (stable comparison across engines)."""
-    return df.select([F.round(F.col(f"`{c}`"), 6).alias(c) if t == "double" else F.col(f"`{c}`")
+    """Round every double column to 6 decimals, ties to even (stable comparison across engines)."""
+    return df.select([F.bround(F.col(f"`{c}`"), 6).alias(c) if t == "double" else F.col(f"`{c}`")
                       for c, t in df.dtypes])
 
 
