@@ -10,6 +10,7 @@ loaded) with ``import_audit`` counters gathered on the same pass through
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import uuid
 
@@ -37,10 +38,12 @@ def scan_shipments(spark: SparkSession, path: str, fmt: str = "csv", header_row:
                    options: dict | None = None) -> DataFrame:
     """Read a raw extract with every column as a string (no inference).
 
-    For CSV with ``header_row`` > 0 the header is taken from that line of
-    the first file (a bounded read of ``header_row + 1`` lines); title lines
-    above it and repeated header lines of other files are dropped by the
-    scan, keyless lines later by ``clean_shipments``.
+    For CSV with ``header_row`` > 0 the first ``header_row + 1`` lines of the
+    first file are read (a bounded read); the header is the first of them
+    holding the key column's name (blank lines are skipped by the reader, so
+    the position alone is not trusted). Lines identical to those title lines
+    or to the header — the same template heads every file of an export — are
+    dropped from all files.
     """
     opts = dict(options or {})
     if fmt == "csv":
@@ -48,11 +51,25 @@ def scan_shipments(spark: SparkSession, path: str, fmt: str = "csv", header_row:
             first = spark.read.options(**opts).option("header", True).csv(path).columns
             schema = T.StructType([T.StructField(c, T.StringType()) for c in first])
             return spark.read.options(**opts).schema(schema).option("header", True).csv(path)
-        raw = spark.read.options(**opts).option("header", False).option("inferSchema", False).csv(path)
-        head = raw.limit(header_row + 1).collect()[-1]
-        names = [str(v) if v is not None else f"_c{i}" for i, v in enumerate(head)]
-        df = raw.toDF(*names)
-        return df.filter(F.col(f"`{names[0]}`").isNull() | (F.col(f"`{names[0]}`") != F.lit(names[0])))
+        sep = opts.get("sep", opts.get("delimiter", ","))
+        lines = [r[0] for r in spark.read.options(**opts).text(path).limit(header_row + 1).collect()]
+        head = [next(csv.reader([ln], delimiter=sep)) if ln.strip() else [] for ln in lines]
+        keys = {fold_header(h) for h, c, _ in COLUMN_MAP if c in KEY_COLUMNS}
+        idx = next((i for i, r in enumerate(head) if any(fold_header(v) in keys for v in r)), len(head) - 1)
+        names = [v if v else f"_c{i}" for i, v in enumerate(head[idx])]
+        width = len(names)
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+        raw = spark.read.options(**opts).schema(schema).option("header", False).csv(path)
+        drop = F.lit(False)
+        for r in head[:idx + 1]:
+            if not r:
+                continue
+            vals = (r + [None] * width)[:width]
+            same = F.lit(True)
+            for i, v in enumerate(vals):
+                same = same & F.col(f"_c{i}").eqNullSafe(F.lit(v if v != "" else None))
+            drop = drop | same
+        return raw.filter(~drop).toDF(*names)
     if fmt == "json":
         df = spark.read.options(**opts).json(path)
     elif fmt == "parquet":
