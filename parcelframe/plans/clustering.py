@@ -116,16 +116,21 @@ def standardise(df: DataFrame, feats, center: bool = True, out: str = "features"
 
 # ── clustering ───────────────────────────────────────────────────────────────
 
-def kmeans_best(df: DataFrame, k: int, restarts: int = N_RESTARTS, seed: int = SEED):
-    """Best of ``restarts`` k-means fits (different seeds) by training cost."""
+def kmeans_best(df: DataFrame, k: int, restarts: int = N_RESTARTS, seed: int = SEED, parallelism: int = 4):
+    """Best of ``restarts`` k-means fits (seeds ``seed … seed+restarts-1``) by
+    training cost, ties to the lower seed. Fits run concurrently from a small
+    thread pool (as ``CrossValidator(parallelism=…)`` does)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
-    best = None
-    for i in range(restarts):
+
+    def fit(i):
         model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw").fit(df)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    return best[1]
+        return model.summary.trainingCost, i, model
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
+        fits = list(pool.map(fit, range(restarts)))
+    return min(fits, key=lambda f: (f[0], f[1]))[2]
 
 
 def bisecting(df: DataFrame, k: int, seed: int = SEED):

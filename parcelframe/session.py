@@ -22,6 +22,9 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Wide cleaning projections generate methods the JVM will not JIT
+    # (> 8000 bytecodes); above that size, use the interpreted path instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -45,8 +45,33 @@ def _dec(c: Column) -> Column:
     return c.cast("decimal(18,3)")
 
 
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All shipment rows (national, export, import) with a ``source`` column."""
+    """All shipment rows (national, export, import) with a ``source`` column.
+
+    The derivation is written once per session and input folder as a Parquet
+    table partitioned by ``source`` under the session's (shared) checkpoint
+    directory, and read back from there: later queries prune to the
+    partitions and columns they need instead of repeating the joins. Set
+    ``parcelframe.fixture.materialize=false`` to always derive lazily.
+    """
+    if spark.conf.get("parcelframe.fixture.materialize", "true").lower() != "true":
+        return derive_shipments(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        from ..session import ensure_checkpoint_dir
+        import uuid
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shipments-{uuid.uuid4().hex[:10]}"
+        derive_shipments(spark, sf_dir).write.mode("overwrite").partitionBy("source").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
+
+
+def derive_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lazy derivation (joins) behind ``shipments``."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_returnflag", "l_linestatus", "l_shipdate")

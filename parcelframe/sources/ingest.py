@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import (clean_str, clean_str_verbatim, is_crbt, is_delivered, to_datetime,
-                                  to_decimal, to_float, to_int, valid_month, valid_year)
+from ..functions.cleaning import (BLANK_TOKENS, VERBATIM_BLANK_TOKENS, is_crbt, is_delivered, parse_datetime,
+                                  parse_float, strip_ws, valid_month, valid_year)
 from ..schema import COLUMN_MAP, EDI_VERBATIM_COLUMNS, KEY_COLUMNS, fold_header
 
 SOURCES = ("national", "export", "import")
@@ -101,25 +101,32 @@ def map_headers(df: DataFrame) -> DataFrame:
 
 
 def _convert(name: str, kind: str):
-    c = F.col(name)
+    """Conversion of one already-stripped text column."""
+    s = F.col(name)
     if name in EDI_VERBATIM_COLUMNS:
-        return clean_str_verbatim(c)
+        return F.when(~F.lower(s).isin(*VERBATIM_BLANK_TOKENS), s)
     if name in ("crbt_amount", "revenue_ca"):
-        return to_decimal(c, 18, 3)
+        return parse_float(s).try_cast("decimal(18,3)")
     if kind == "float":
-        return to_float(c)
+        return parse_float(s)
     if kind == "int":
-        return to_int(c)
+        return F.bround(parse_float(s), 0).try_cast("int")
     if kind == "datetime":
-        return to_datetime(c)
-    return clean_str(c)
+        return parse_datetime(s)
+    return F.when(~F.lower(s).isin(*BLANK_TOKENS), s)
 
 
 def clean_shipments(df: DataFrame) -> DataFrame:
     """Typed projection of the mapped columns + ``is_delivered`` / ``is_crbt``;
-    month/year outside 1–12 / 1900–9999 become NULL; rows without a key are dropped."""
-    typed = df.select([_convert(n, k).alias(n) for _, n, k in COLUMN_MAP]
-                      + [c for c in df.columns if c not in {n for _, n, _ in COLUMN_MAP}])
+    month/year outside 1–12 / 1900–9999 become NULL; rows without a key are dropped.
+
+    Each text column is stripped once; the parsers then work on that value.
+    """
+    mapped = {n for _, n, _ in COLUMN_MAP}
+    stripped = df.select([strip_ws(n).alias(n) for _, n, _ in COLUMN_MAP]
+                         + [c for c in df.columns if c not in mapped])
+    typed = stripped.select([_convert(n, k).alias(n) for _, n, k in COLUMN_MAP]
+                            + [c for c in df.columns if c not in mapped])
     typed = (typed.withColumn("deposit_month", valid_month("deposit_month"))
              .withColumn("deposit_year", valid_year("deposit_year"))
              .withColumn("is_delivered", is_delivered("last_event"))
