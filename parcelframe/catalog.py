@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None, raw_sql: str | None = None):
 
 def _load_all() -> None:
     from .plans import queries_core  # noqa: F401
-    for mod in ("queries_report", "queries_eda", "queries_series", "queries_ml", "queries_ingest"):
+    for mod in ("queries_report", "queries_eda", "queries_series", "queries_ml", "queries_ingest", "queries_functions"):
         try:
             __import__(f"{__package__}.plans.{mod}")
         except ModuleNotFoundError as e:  # module not written yet

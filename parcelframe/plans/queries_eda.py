@@ -21,7 +21,7 @@ def _delays(df: DataFrame) -> DataFrame:
     return df.select(d).filter(F.col("delay_days").between(0, 30))
 
 
-DELAY_SQL = ("(SELECT delay_days FROM (SELECT datediff('day', deposit_date, last_event_date) AS delay_days "
+DELAY_SQL = ("(SELECT delay_days FROM (SELECT CAST(datediff('day', deposit_date, last_event_date) AS INTEGER) AS delay_days "
              "FROM national) WHERE delay_days BETWEEN 0 AND 30)")
 
 MISSING_COLS = ["crbt_amount", "next_region", "interval_days", "last_event", "weight_kg", "revenue_ca"]
@@ -152,7 +152,7 @@ def q_ecdf_delay(spark, sf):
 
 @register("period_span",
           "SELECT min(deposit_date) AS first_day, max(deposit_date) AS last_day, "
-          "datediff('day', min(deposit_date), max(deposit_date)) + 1 AS span_days, "
+          "CAST(datediff('day', min(deposit_date), max(deposit_date)) AS INTEGER) + 1 AS span_days, "
           "CAST(count(DISTINCT deposit_date) AS BIGINT) AS distinct_days FROM national")
 def q_period_span(spark, sf):
     return eda.period_span(national(spark, sf), "deposit_date")

@@ -198,7 +198,7 @@ _FEAT_SQL = (
     "month(ds) AS month, quarter(ds) AS quarter, year(ds) AS year, "
     "(round(sin(2 * pi() * (isodow(ds) - 1) / 5), 6) + 0.0) AS dow_sin, (round(cos(2 * pi() * (isodow(ds) - 1) / 5), 6) + 0.0) AS dow_cos, "
     "(round(sin(2 * pi() * month(ds) / 12), 6) + 0.0) AS month_sin, (round(cos(2 * pi() * month(ds) / 12), 6) + 0.0) AS month_cos, "
-    "datediff('day', (SELECT m FROM mind), ds) AS trend, "
+    "CAST(datediff('day', (SELECT m FROM mind), ds) AS INTEGER) AS trend, "
     + ", ".join(f"lag(y, {k}) OVER (PARTITION BY long.unique_id ORDER BY ds) AS lag_{k}" for k in LAGS) + ", "
     + _roll_sql(WINDOWS, False, True, part="PARTITION BY long.unique_id").replace("round(", "(").replace(", 6)", ")")
     + ", lag(y, 5) OVER (PARTITION BY long.unique_id ORDER BY ds) AS wow_lag, "
@@ -237,7 +237,7 @@ def q_label_encode(spark, sf):
 
 @register("trend_days",
           f"WITH {PANEL}, t AS (SELECT ds, sum(nb_envois) AS n FROM panel GROUP BY ds) "
-          "SELECT ds, datediff('day', (SELECT min(ds) FROM t), ds) AS trend FROM t")
+          "SELECT ds, CAST(datediff('day', (SELECT min(ds) FROM t), ds) AS INTEGER) AS trend FROM t")
 def q_trend_days(spark, sf):
     t = series.daily_total(panel(spark, sf)).select("ds")
     return series.trend_days(t)
