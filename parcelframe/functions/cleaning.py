@@ -34,23 +34,35 @@ def strip_ws(c) -> Column:
     return F.trim(_col(c).cast("string"), F.lit(WHITESPACE))
 
 
+_MAX_TOKEN_BYTES = max(len(t.encode("utf-8")) for t in BLANK_TOKENS)
+
+
+def is_blank_token(s: Column, tokens=BLANK_TOKENS) -> Column:
+    """Case-insensitive membership in ``tokens``; only short strings are
+    lower-cased (an O(1) byte-length test guards the allocation)."""
+    return (F.octet_length(s) <= _MAX_TOKEN_BYTES) & F.lower(s).isin(*tokens)
+
+
+def clean_text(s: Column, tokens=BLANK_TOKENS) -> Column:
+    """``clean_str`` on text that is already stripped."""
+    return F.when(is_blank_token(s, tokens), F.lit(None).cast("string")).otherwise(s)
+
+
 def clean_str(c) -> Column:
     """Trimmed text; blank tokens (any case) become NULL."""
-    s = strip_ws(c)
-    return F.when(F.lower(s).isin(*BLANK_TOKENS), F.lit(None).cast("string")).otherwise(s)
+    return clean_text(strip_ws(c))
 
 
 def clean_str_verbatim(c) -> Column:
     """Like ``clean_str`` but only true blanks become NULL (keeps 'X', '_')."""
-    s = strip_ws(c)
-    return F.when(F.lower(s).isin(*VERBATIM_BLANK_TOKENS), F.lit(None).cast("string")).otherwise(s)
+    return clean_text(strip_ws(c), VERBATIM_BLANK_TOKENS)
 
 
 def parse_float(s: Column) -> Column:
     """``to_float`` on text that is already stripped."""
-    t = F.translate(F.translate(s, WHITESPACE, ""), ",", ".")
-    ok = t.rlike(_NUMBER) & ~F.lower(s).isin(*BLANK_TOKENS)
-    return F.when(ok, t.try_cast("double"))
+    t = F.translate(F.translate(s, " ", ""), ",", ".")
+    # The number pattern already rejects every blank token (none has a digit).
+    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
 
 def to_float(c) -> Column:
@@ -76,7 +88,8 @@ def parse_datetime(s: Column) -> Column:
 
     The layout list is tried in its fixed order, but only the layouts that can
     match the text's shape (ISO, month name, slashes) are attempted, so most
-    values parse on the first try.
+    values parse on the first try. Bare numbers and blank tokens match no
+    shape and stay NULL.
     """
     iso = [f for f in DATETIME_FORMATS if f.startswith("yyyy")]
     named = [f for f in DATETIME_FORMATS if f.startswith("MMM")]
@@ -84,8 +97,7 @@ def parse_datetime(s: Column) -> Column:
     parsed = (F.when(s.rlike(r"^[0-9]{4}-"), _first_parse(s, iso))
               .when(s.rlike(r"^[A-Za-z]"), _first_parse(s, named))
               .when(s.contains("/"), _first_parse(s, slashed)))
-    junk = s.rlike(r"^[0-9.]+$") | F.lower(s).isin(*BLANK_TOKENS)
-    return F.when(~junk, parsed.cast("timestamp_ntz"))
+    return parsed.cast("timestamp_ntz")
 
 
 def to_datetime(c) -> Column:

@@ -120,7 +120,7 @@ def q_ols_trend(spark, sf):
 
 
 @register("box_by_weekday",
-          "WITH d AS (SELECT deposit_date, isodow(deposit_date) - 1 AS weekday, sum(weight_kg) AS v "
+          "WITH d AS (SELECT deposit_date, CAST(isodow(deposit_date) - 1 AS INTEGER) AS weekday, sum(weight_kg) AS v "
           "FROM national WHERE deposit_date IS NOT NULL GROUP BY deposit_date), "
           "q AS (SELECT weekday, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, "
           "quantile_cont(v, 0.75) AS q3, count(v) AS n FROM d GROUP BY weekday) "
@@ -231,7 +231,7 @@ def q_count_duplicates(spark, sf):
 
 
 @register("pivot_year_month",
-          "SELECT year(deposit_date) AS year, "
+          "SELECT CAST(year(deposit_date) AS INTEGER) AS year, "
           + ", ".join(f"sum(weight_kg) FILTER (WHERE month(deposit_date) = {m}) AS \"{m}\"" for m in range(1, 13))
           + " FROM national GROUP BY 1")
 def q_pivot_year_month(spark, sf):
@@ -276,7 +276,7 @@ def q_monthly_by_top_group(spark, sf):
 
 @register("month_average",
           "SELECT month, round(avg(total), 6) AS avg_monthly_weight FROM (SELECT year(deposit_date) AS year, "
-          "month(deposit_date) AS month, sum(weight_kg) AS total FROM national WHERE deposit_date IS NOT NULL "
+          "CAST(month(deposit_date) AS INTEGER) AS month, sum(weight_kg) AS total FROM national WHERE deposit_date IS NOT NULL "
           "GROUP BY 1, 2) GROUP BY month")
 def q_month_average(spark, sf):
     nat = national(spark, sf).filter(F.col("deposit_date").isNotNull())

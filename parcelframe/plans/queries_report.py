@@ -255,8 +255,8 @@ def q_drill_lookup(spark, sf):
 
 
 @register("drill_json",
-          "SELECT region, office, subkey, to_json({'ca': coalesce(trim(CAST(revenue_ca AS VARCHAR)), ''), "
-          f"'type': {_type_sql()}}}) AS json FROM "
+          "SELECT region, office, subkey, CAST(to_json({'ca': coalesce(trim(CAST(revenue_ca AS VARCHAR)), ''), "
+          f"'type': {_type_sql()}}}) AS VARCHAR) AS json FROM "
           + _scoped_sql("national", "depot_region", "depot_office")
           + f" CROSS JOIN LATERAL (SELECT unnest(list_filter(['__all__', CASE WHEN {CRBT_SQL} THEN 'CRBT' END], "
           "lambda x: x IS NOT NULL)) AS subkey) WHERE coalesce(trim(mailitm_fid), '') <> ''")

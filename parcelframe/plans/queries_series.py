@@ -193,9 +193,10 @@ def q_week_over_week(spark, sf):
 
 _FEAT_SQL = (
     f"WITH {PANEL}, {LONG()}, mind AS (SELECT min(ds) AS m FROM long), "
-    "codes AS (SELECT unique_id, dense_rank() OVER (ORDER BY unique_id) - 1 AS uid_enc FROM (SELECT DISTINCT unique_id "
-    "FROM long)), f AS (SELECT long.unique_id, ds, y, isodow(ds) - 1 AS dayofweek, day(ds) AS dayofmonth, "
-    "month(ds) AS month, quarter(ds) AS quarter, year(ds) AS year, "
+    "codes AS (SELECT unique_id, CAST(dense_rank() OVER (ORDER BY unique_id) - 1 AS INTEGER) AS uid_enc FROM (SELECT DISTINCT unique_id "
+    "FROM long)), f AS (SELECT long.unique_id, ds, y, CAST(isodow(ds) - 1 AS INTEGER) AS dayofweek, "
+    "CAST(day(ds) AS INTEGER) AS dayofmonth, CAST(month(ds) AS INTEGER) AS month, CAST(quarter(ds) AS INTEGER) AS quarter, "
+    "CAST(year(ds) AS INTEGER) AS year, "
     "(round(sin(2 * pi() * (isodow(ds) - 1) / 5), 6) + 0.0) AS dow_sin, (round(cos(2 * pi() * (isodow(ds) - 1) / 5), 6) + 0.0) AS dow_cos, "
     "(round(sin(2 * pi() * month(ds) / 12), 6) + 0.0) AS month_sin, (round(cos(2 * pi() * month(ds) / 12), 6) + 0.0) AS month_cos, "
     "CAST(datediff('day', (SELECT m FROM mind), ds) AS INTEGER) AS trend, "
@@ -244,8 +245,9 @@ def q_trend_days(spark, sf):
 
 
 @register("calendar_parts",
-          "SELECT ds, isodow(ds) - 1 AS dayofweek, day(ds) AS day, month(ds) AS month, quarter(ds) AS quarter, "
-          "year(ds) AS year, weekofyear(ds) AS weekofyear, CAST(day(ds) = 1 AS INTEGER) AS is_month_start, "
+          "SELECT ds, CAST(isodow(ds) - 1 AS INTEGER) AS dayofweek, CAST(day(ds) AS INTEGER) AS day, "
+          "CAST(month(ds) AS INTEGER) AS month, CAST(quarter(ds) AS INTEGER) AS quarter, "
+          "CAST(year(ds) AS INTEGER) AS year, CAST(weekofyear(ds) AS INTEGER) AS weekofyear, CAST(day(ds) = 1 AS INTEGER) AS is_month_start, "
           "CAST(last_day(ds) = ds AS INTEGER) AS is_month_end, "
           "(round(sin(2 * pi() * (isodow(ds) - 1) / 5), 6) + 0.0) AS dow_sin, (round(cos(2 * pi() * month(ds) / 12), 6) + 0.0) "
           "AS month_cos, ['Lundi', 'Mardi', 'Mercredi', 'Jeudi', 'Vendredi', 'Samedi', 'Dimanche'][isodow(ds)] "

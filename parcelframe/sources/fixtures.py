@@ -59,7 +59,11 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     if spark.conf.get("parcelframe.fixture.materialize", "true").lower() != "true":
         return derive_shipments(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    try:
+        app_id = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 — no context handle (e.g. Spark Connect): derive lazily
+        return derive_shipments(spark, sf_dir)
+    key = (app_id, sf_dir.rstrip("/"))
     path = _MATERIALIZED.get(key)
     if path is None:
         from ..session import ensure_checkpoint_dir

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import (BLANK_TOKENS, VERBATIM_BLANK_TOKENS, is_crbt, is_delivered, parse_datetime,
+from ..functions.cleaning import (VERBATIM_BLANK_TOKENS, clean_text, is_crbt, is_delivered, parse_datetime,
                                   parse_float, strip_ws, valid_month, valid_year)
 from ..schema import COLUMN_MAP, EDI_VERBATIM_COLUMNS, KEY_COLUMNS, fold_header
 
@@ -104,7 +104,7 @@ def _convert(name: str, kind: str):
     """Conversion of one already-stripped text column."""
     s = F.col(name)
     if name in EDI_VERBATIM_COLUMNS:
-        return F.when(~F.lower(s).isin(*VERBATIM_BLANK_TOKENS), s)
+        return clean_text(s, VERBATIM_BLANK_TOKENS)
     if name in ("crbt_amount", "revenue_ca"):
         return parse_float(s).try_cast("decimal(18,3)")
     if kind == "float":
@@ -113,7 +113,7 @@ def _convert(name: str, kind: str):
         return F.bround(parse_float(s), 0).try_cast("int")
     if kind == "datetime":
         return parse_datetime(s)
-    return F.when(~F.lower(s).isin(*BLANK_TOKENS), s)
+    return clean_text(s)
 
 
 def clean_shipments(df: DataFrame) -> DataFrame:
