@@ -116,7 +116,7 @@ def standardise(df: DataFrame, feats, center: bool = True, out: str = "features"
 
 # ── clustering ───────────────────────────────────────────────────────────────
 
-def kmeans_best(df: DataFrame, k: int, restarts: int = N_RESTARTS, seed: int = SEED, parallelism: int = 4):
+def kmeans_best(df: DataFrame, k: int, restarts: int = N_RESTARTS, seed: int = SEED, parallelism: int = 8):
     """Best of ``restarts`` k-means fits (seeds ``seed … seed+restarts-1``) by
     training cost, ties to the lower seed. Fits run concurrently from a small
     thread pool (as ``CrossValidator(parallelism=…)`` does)."""

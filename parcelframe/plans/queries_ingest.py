@@ -22,7 +22,7 @@ def raw_extract(spark: SparkSession, sf_dir: str, source: str | None = None,
         s = s.filter(F.col("source") == source)
 
     def comma(c):
-        return F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
+        return F.translate(F.col(c).cast("string"), ".", ",")
 
     none = F.lit(None).cast("string")
     cols = {
