@@ -79,6 +79,14 @@ def scan_shipments(spark: SparkSession, path: str, fmt: str = "csv", header_row:
     return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def scan_source(spark: SparkSession, path: str, source: str, fmt: str = "csv",
+                header_row: int | None = None, options: dict | None = None) -> DataFrame:
+    """``scan_shipments`` with the source's default header row (national and
+    export extracts carry two title lines, import none)."""
+    hr = DEFAULT_HEADER_ROW.get(source, 0) if header_row is None else header_row
+    return scan_shipments(spark, path, fmt, hr, options)
+
+
 def header_lookup(columns) -> dict[str, str]:
     """Expected header → actual column, matched on the folded form."""
     by_fold = {fold_header(c): c for c in columns}

@@ -20,7 +20,7 @@ def test_preamble_csv_and_audit(spark):
         f.write('A1,"4,3",7,Ordinaire,Envoi Livré,Feb 11 2026 11:05,SFAX\n')
         f.write("A2,12,5,CRBT,Recevoir envoi,2026-02-12,SFAX\n")
         f.write(",1,1,CRBT,Tenir,2026-02-12,SFAX\n")
-    raw = I.scan_shipments(spark, path, "csv", header_row=2)
+    raw = I.scan_source(spark, path, "national")  # national extracts: header on line 2
     clean = I.clean_shipments(I.map_headers(raw)).orderBy("mailitm_fid").collect()
     assert [r["mailitm_fid"] for r in clean] == ["A1", "A2"]
     assert clean[0]["weight_kg"] == 4.3 and clean[0]["is_delivered"] and clean[1]["is_crbt"]
