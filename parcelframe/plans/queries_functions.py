@@ -24,7 +24,7 @@ from . import clustering as cl
 from . import forecast as fc
 from .queries_eda import r6
 from .queries_ingest import raw_extract
-from .queries_series import H, panel, split
+from .queries_series import LONG, PANEL, SPLIT, H, panel, split
 
 
 def _raw(spark, sf) -> DataFrame:
@@ -350,8 +350,10 @@ def q_region_report(spark, sf):
     return reduce(DataFrame.unionByName, counts)
 
 
-@register("naive_test_window")
+@register("naive_test_window",
+          "WITH " + ", ".join([PANEL, LONG(), SPLIT])
+          + " SELECT unique_id, CAST(count(*) AS BIGINT) AS test_rows, min(ds) AS first_test_day FROM test GROUP BY 1")
 def q_naive_test_window(spark, sf):
-    """Test-window rows per series used by the forecast comparison (rows-only)."""
+    """Test-window rows per series used by the forecast comparison."""
     train, test = split(spark, sf)
     return test.groupBy("unique_id").agg(F.count(F.lit(1)).alias("test_rows"), F.min("ds").alias("first_test_day"))

@@ -145,9 +145,11 @@ def q_write_region_reports(spark, sf):
     return back.select("region", "office", F.col("nb_ids").cast("bigint").alias("nb_ids"))
 
 
-@register("write_csv")
+@register("write_csv",
+          "SELECT CAST(deposit_date AS VARCHAR) AS ds, CAST(sum(weight_kg) AS VARCHAR) AS poids, "
+          "CAST(count(*) AS VARCHAR) AS nb_envois FROM national GROUP BY deposit_date")
 def q_write_csv(spark, sf):
-    """Daily national totals written as CSV with header and read back (rows-only)."""
+    """Daily national totals written as CSV with header and read back (as text)."""
     from ..sources.fixtures import national
     daily = (national(spark, sf).groupBy(F.col("deposit_date").alias("ds"))
              .agg(F.sum("weight_kg").alias("poids"), F.count(F.lit(1)).alias("nb_envois")))

@@ -13,7 +13,7 @@ from ..sources.fixtures import national
 from . import clustering as cl
 from . import forecast as fc
 from .queries_eda import r6
-from .queries_series import panel, split
+from .queries_series import LONG, PANEL, SPLIT, panel, split
 
 PCT = "avg(CAST({c} AS DOUBLE)) * 100"
 
@@ -195,9 +195,12 @@ def q_feature_importance(spark, sf):
     return fc.feature_importance(model, feats, spark)
 
 
-@register("train_test_sizes")
+@register("train_test_sizes",
+          "WITH " + ", ".join([PANEL, LONG(), SPLIT]) + ", a AS (SELECT unique_id, CAST(count(*) AS BIGINT) AS train_rows "
+          "FROM train GROUP BY 1), b AS (SELECT unique_id, CAST(count(*) AS BIGINT) AS test_rows FROM test GROUP BY 1) "
+          "SELECT a.unique_id, train_rows, test_rows FROM a LEFT JOIN b USING (unique_id)")
 def q_train_test_sizes(spark, sf):
-    """Train / test row counts per series of the model split (rows-only)."""
+    """Train / test row counts per series of the model split."""
     train, test = split(spark, sf)
     return train.groupBy("unique_id").count().withColumnRenamed("count", "train_rows") \
         .join(test.groupBy("unique_id").count().withColumnRenamed("count", "test_rows"), "unique_id", "left")

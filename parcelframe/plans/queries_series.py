@@ -222,9 +222,18 @@ def q_add_features(spark, sf):
     return r6(series.add_features(long_series(spark, sf), LAGS, WINDOWS))
 
 
-@register("add_features_single")
+@register("add_features_single",
+          f"WITH {_SINGLE}, f AS (SELECT ds, poids AS y, CAST(isodow(ds) - 1 AS INTEGER) AS dayofweek, CAST(day(ds) AS INTEGER) AS day, "
+          "CAST(month(ds) AS INTEGER) AS month, CAST(quarter(ds) AS INTEGER) AS quarter, CAST(weekofyear(ds) AS INTEGER) AS weekofyear, "
+          "CAST(day(ds) = 1 AS INTEGER) AS is_month_start, CAST(last_day(ds) = ds AS INTEGER) AS is_month_end, "
+          "lag(poids, 1) OVER (ORDER BY ds) AS lag_1, lag(poids, 2) OVER (ORDER BY ds) AS lag_2, lag(poids, 3) OVER (ORDER BY ds) AS lag_3, lag(poids, 5) OVER (ORDER BY ds) AS lag_5, lag(poids, 10) OVER (ORDER BY ds) AS lag_10, lag(poids, 20) OVER (ORDER BY ds) AS lag_20, "
+          "CASE WHEN count(poids) OVER w5 = 5 THEN avg(poids) OVER w5 END AS roll_mean_5, CASE WHEN count(poids) OVER w5 = 5 THEN stddev_samp(poids) OVER w5 END AS roll_std_5, CASE WHEN count(poids) OVER w10 = 10 THEN avg(poids) OVER w10 END AS roll_mean_10, CASE WHEN count(poids) OVER w10 = 10 THEN stddev_samp(poids) OVER w10 END AS roll_std_10, CASE WHEN count(poids) OVER w20 = 20 THEN avg(poids) OVER w20 END AS roll_mean_20, CASE WHEN count(poids) OVER w20 = 20 THEN stddev_samp(poids) OVER w20 END AS roll_std_20 "
+          "FROM single WINDOW w5 AS (ORDER BY ds ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w10 AS (ORDER BY ds ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), w20 AS (ORDER BY ds ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) "
+          "SELECT ds, round(y, 6) AS y, dayofweek, day, month, quarter, weekofyear, is_month_start, is_month_end, "
+          "round(lag_1, 6) AS lag_1, round(lag_2, 6) AS lag_2, round(lag_3, 6) AS lag_3, round(lag_5, 6) AS lag_5, round(lag_10, 6) AS lag_10, round(lag_20, 6) AS lag_20, round(roll_mean_5, 6) AS roll_mean_5, round(roll_std_5, 6) AS roll_std_5, round(roll_mean_10, 6) AS roll_mean_10, round(roll_std_10, 6) AS roll_std_10, round(roll_mean_20, 6) AS roll_mean_20, round(roll_std_20, 6) AS roll_std_20 FROM f WHERE "
+          "lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL AND lag_5 IS NOT NULL AND lag_10 IS NOT NULL AND lag_20 IS NOT NULL AND roll_mean_5 IS NOT NULL AND roll_std_5 IS NOT NULL AND roll_mean_10 IS NOT NULL AND roll_std_10 IS NOT NULL AND roll_mean_20 IS NOT NULL AND roll_std_20 IS NOT NULL")
 def q_add_features_single(spark, sf):
-    """Single-series features (full windows, rows with a missing feature dropped); rows-only."""
+    """Single-series features (full windows, rows with a missing feature dropped)."""
     return r6(series.add_features_single(single_series(spark, sf), "poids"))
 
 
