@@ -154,7 +154,7 @@ def parse_amount_or_zero(c, scale: int = 2) -> Column:
 
 
 def to_numeric_coerce(c) -> Column:
-    """Numeric columns pass through as double; text goes through ``to_float``."""
+    """Any column to double through its text form (``to_float``); bad values become NULL."""
     return to_float(c)
 
 

@@ -197,9 +197,11 @@ def _txt(c) -> Column:
 
 
 def _drill(base: DataFrame, subkeys: Column, fields: dict[str, Column]) -> DataFrame:
+    """Entries are built once per row, then repeated under each of the row's sub-keys."""
     base = base.withColumn("id", strip_ws("mailitm_fid")).filter(F.coalesce(F.col("id"), F.lit("")) != "")
-    cols = [F.col("region"), F.col("office"), F.explode(F.array_compact(subkeys)).alias("subkey"), F.col("id")]
-    return base.select(*cols, *[c.alias(n) for n, c in fields.items()])
+    entries = base.select("region", "office", F.array_compact(subkeys).alias("_keys"), "id",
+                          *[c.alias(n) for n, c in fields.items()])
+    return entries.select("region", "office", F.explode("_keys").alias("subkey"), "id", *fields)
 
 
 def depot_drill(df: DataFrame, region=None, categories=None) -> DataFrame:
