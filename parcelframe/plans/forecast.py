@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.series import future_business_days
+from ..session import materialize
 
 # Two-sided normal quantiles for the 80 % and 95 % bands.
 Z_SCORES = {80: 1.2815515655446004, 95: 1.959963984540054}
@@ -58,8 +59,9 @@ def seasonal_naive_forecast(train: DataFrame, h: int, season: int = 5) -> DataFr
 def theta_fit(train: DataFrame, season_by_weekday: bool = True) -> DataFrame:
     """Per-series Theta state: n, trend (a, b), SES level and alpha, weekday factors."""
     w = W.partitionBy("unique_id").orderBy("ds")
-    base = train.select("unique_id", "ds", F.col("y").cast("double").alias("y"),
-                        F.row_number().over(w).alias("t"), F.weekday("ds").alias("dow"))
+    # Daily series are small and read by four branches below: checkpoint once.
+    base = materialize(train.select("unique_id", "ds", F.col("y").cast("double").alias("y"),
+                                    F.row_number().over(w).alias("t"), F.weekday("ds").alias("dow")))
     if season_by_weekday:
         mean_all = base.groupBy("unique_id").agg(F.avg("y").alias("_m"))
         fac = (base.groupBy("unique_id", "dow").agg(F.avg("y").alias("_md")).join(mean_all, "unique_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import eda, series, topk
+from ..session import materialize
 from ..sources.fixtures import national
 from . import forecast as fc
 from .queries_eda import r6
@@ -20,11 +21,13 @@ H = 30
 # ── Spark side helpers ───────────────────────────────────────────────────────
 
 def panel(spark, sf) -> DataFrame:
-    return series.daily_panel(national(spark, sf), "depot_region")
+    """Daily panel by depot region, checkpointed: it is small (days × regions)
+    and feeds several branches of every series query."""
+    return materialize(series.daily_panel(national(spark, sf), "depot_region"))
 
 
 def long_series(spark, sf, target: str = "poids") -> DataFrame:
-    return series.to_long_series(panel(spark, sf), target, 20)
+    return materialize(series.to_long_series(panel(spark, sf), target, 20))
 
 
 def split(spark, sf, target: str = "poids"):
@@ -33,7 +36,8 @@ def split(spark, sf, target: str = "poids"):
 
 
 def single_series(spark, sf) -> DataFrame:
-    return series.daily_series(national(spark, sf), dedup_cols=national(spark, sf).columns)
+    nat = national(spark, sf)
+    return materialize(series.daily_series(nat, dedup_cols=nat.columns))
 
 
 # ── SQL side helpers ─────────────────────────────────────────────────────────

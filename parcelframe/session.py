@@ -59,3 +59,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="parcelframe-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Cut the lineage of a small derived frame (daily series, feature tables)
+    with a reliable checkpoint in the session's checkpoint directory, so its
+    several consumers read the written copy instead of re-deriving it from
+    the fact table. Never a local checkpoint: the copy survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
