@@ -72,15 +72,15 @@ def histogram(df: DataFrame, column: str, bins: int = 60, log10: bool = False) -
 
 
 def weight_class_share(df: DataFrame, column: str = "weight_kg") -> DataFrame:
-    """Rows and share per weight class (fixed class list, empty classes kept)."""
-    spark = df.sparkSession
-    classes = spark.createDataFrame([(i, lbl) for i, (_, _, lbl) in enumerate(WEIGHT_CLASSES)],
-                                    "class_order int, weight_class string")
-    counts = (df.select(weight_class(column).alias("weight_class")).filter(F.col("weight_class").isNotNull())
-              .groupBy("weight_class").agg(F.count(F.lit(1)).alias("n")))
-    out = classes.join(counts, "weight_class", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
-    return out.select("class_order", "weight_class", "n",
-                      F.round(F.col("n") * F.lit(100.0) / F.sum("n").over(W.partitionBy()), 4).alias("share_pct"))
+    """Rows and share per weight class (fixed class list, empty classes kept),
+    counted in one aggregation and unpivoted with ``stack``."""
+    cls = weight_class(column)
+    counts = df.agg(*[F.count(F.when(cls == F.lit(lbl), 1)).alias(f"c{i}")
+                      for i, (_, _, lbl) in enumerate(WEIGHT_CLASSES)])
+    stack = ", ".join(f"{i}, '{lbl}', c{i}" for i, (_, _, lbl) in enumerate(WEIGHT_CLASSES))
+    long = counts.selectExpr(f"stack({len(WEIGHT_CLASSES)}, {stack}) AS (class_order, weight_class, n)")
+    total = F.sum("n").over(W.partitionBy())  # over the fixed class rows only
+    return long.select("class_order", "weight_class", "n", F.round(F.col("n") * F.lit(100.0) / total, 4).alias("share_pct"))
 
 
 def corr_pair(df: DataFrame, a: str, b: str) -> DataFrame:

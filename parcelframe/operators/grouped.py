@@ -65,16 +65,15 @@ def monthly_evolution(df: DataFrame) -> DataFrame:
 def weight_buckets(df: DataFrame) -> DataFrame:
     """Rows per weight band in one pass; empty bands listed with 0.
 
-    The band list is a fixed 5-row table, so joining it back costs nothing.
+    Every band is a conditional count of the same aggregation (map-side
+    partial counts, one tiny shuffle); ``stack`` turns the single result row
+    into one row per band, so no band list has to be joined back.
     """
-    counts = (df.select(weight_band("weight_kg").alias("band")).filter(F.col("band").isNotNull())
-              .groupBy("band").agg(F.count(F.lit(1)).alias("shipments")))
-    spark = df.sparkSession
-    bands = spark.createDataFrame([(i, lbl) for i, (_, _, lbl) in enumerate(WEIGHT_BANDS)],
-                                  "band_order int, band string")
-    return (bands.join(counts, "band", "left")
-            .select("band_order", "band", F.coalesce("shipments", F.lit(0)).alias("shipments"))
-            .orderBy("band_order"))
+    band = weight_band("weight_kg")
+    counts = df.agg(*[count_if(band == F.lit(lbl)).alias(f"b{i}") for i, (_, _, lbl) in enumerate(WEIGHT_BANDS)])
+    stack = ", ".join(f"{i}, '{lbl}', b{i}" for i, (_, _, lbl) in enumerate(WEIGHT_BANDS))
+    return counts.selectExpr(f"stack({len(WEIGHT_BANDS)}, {stack}) AS (band_order, band, shipments)") \
+        .orderBy("band_order")
 
 
 def distinct_regions(df: DataFrame) -> DataFrame:

@@ -209,8 +209,9 @@ def _run(feat: DataFrame, feats, k: int, driver: str, ascending: bool, analysis:
                                     "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int")
         return empty, msg.withColumn("message", F.lit(f"too few rows for {analysis} ({n})"))
     imputed = impute_median(feat, feats)
-    # Cached once so the restarts share it (each fit would otherwise persist its own copy).
-    scaled = standardise(imputed, feats, center=center).cache()
+    # Not cached on purpose: k-means persists its own vector RDD per fit, which is
+    # cheaper per iteration than re-reading a cached columnar table.
+    scaled = standardise(imputed, feats, center=center)
     model = bisecting(scaled, k) if algo == "bisecting" else kmeans_best(scaled, k, restarts)
     assigned = relabel_by_mean(model.transform(scaled), driver, ascending)
     names = NAMES[analysis]
