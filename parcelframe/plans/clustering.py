@@ -222,6 +222,9 @@ def _run(feat: DataFrame, feats, k: int, driver: str, ascending: bool, analysis:
     rows = assigned.select("name", F.col("cluster").cast("int").alias("cluster"),
                            F.coalesce(label, F.concat(F.lit("C"), F.col("cluster").cast("string"))).alias("cluster_label"),
                            *[F.bround(F.col(c), 2).alias(c) for c in feats])
+    # The metrics row is already computed; the returned rows stay lazy and are
+    # recomputed from the input if read, so the cache is released here.
+    feat.unpersist()
     return rows, metrics
 
 

@@ -155,6 +155,7 @@ def q_cluster_all(spark, sf):
         out.append(m.withColumn("analysis", F.lit(name)))
     _, m = cl.cluster_parcel(base, restarts=2)
     out.append(m.withColumn("analysis", F.lit("parcel")))
+    base.unpersist()  # the metrics rows are local; nothing reads the projection any more
     return r6(reduce(lambda a, b: a.unionByName(b), out))
 
 
