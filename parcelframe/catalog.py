@@ -32,13 +32,9 @@ def register(name: str, sql: str | None = None, raw_sql: str | None = None):
 
 
 def _load_all() -> None:
-    from .plans import queries_core  # noqa: F401
-    for mod in ("queries_report", "queries_eda", "queries_series", "queries_ml", "queries_ingest", "queries_functions"):
-        try:
-            __import__(f"{__package__}.plans.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    """Import the query modules (each registers its queries on import)."""
+    from .plans import (queries_core, queries_eda, queries_functions, queries_ingest,  # noqa: F401
+                        queries_ml, queries_report, queries_series)
 
 
 def queries() -> dict[str, QueryFn]:

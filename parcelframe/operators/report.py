@@ -116,7 +116,8 @@ def livraison_kpis(df: DataFrame, region: str | None = None) -> DataFrame:
 # ── Tables ────────────────────────────────────────────────────────────────────
 
 def depot_table(df: DataFrame, region: str | None = None, categories=None) -> DataFrame:
-    """Per depot office: CRBT rows, revenue, weight, rows; plus a TOTAL row per region."""
+    """Per depot office: CRBT rows, revenue, weight, rows; plus a TOTAL row per
+    region. Sorted by region, offices A→Z, TOTAL last."""
     base = _scope(df, DEPOT, region, categories)
     g = base.groupingSets([["region", "office"], ["region"]], "region", "office").agg(
         count_if(crbt_flag("shipment_type")).alias("crbt"),
@@ -124,7 +125,8 @@ def depot_table(df: DataFrame, region: str | None = None, categories=None) -> Da
         F.coalesce(F.sum("weight_kg"), F.lit(0.0)).alias("poids"),
         F.count(F.lit(1)).alias("nb_ids"),
         F.grouping("office").alias("_g_office"))
-    return _with_total(g).select("region", "office", "is_total", "crbt", "ca", "poids", "nb_ids")
+    return (_with_total(g).select("region", "office", "is_total", "crbt", "ca", "poids", "nb_ids")
+            .orderBy("region", "is_total", "office"))
 
 
 def event_values(df: DataFrame, event_col: str = "last_event") -> list[str]:
@@ -155,8 +157,9 @@ def livraison_table(df: DataFrame, region: str | None = None, categories=None,
         F.coalesce(F.sum("revenue_ca"), F.lit(0)).cast(MONEY).alias("ca"),
         F.coalesce(F.sum("weight_kg"), F.lit(0.0)).alias("poids"),
         F.grouping("office").alias("_g_office"))
-    return _with_total(g).select("region", "office", "is_total", *[F.col(f"`{v}`") for v in values],
-                                 "total_ids", "crbt", "ordinaire", "ca", "poids")
+    return (_with_total(g).select("region", "office", "is_total", *[F.col(f"`{v}`") for v in values],
+                                  "total_ids", "crbt", "ordinaire", "ca", "poids")
+            .orderBy("region", "is_total", "office"))
 
 
 def livraison_table_long(df: DataFrame, region: str | None = None, categories=None) -> DataFrame:

@@ -85,7 +85,8 @@ def rolling_features(df: DataFrame, windows, key: str | None = "unique_id", ds:
                      full: bool = False, with_max: bool = True) -> DataFrame:
     """Statistics over the ``w`` rows *before* the current one.
 
-    ``full=False`` (min_periods = 1): mean, std (NULL → 0), max.
+    ``full=False`` (min_periods = 1): mean, std, max; a missing std is 0 (also
+    on a series' first row, where mean and max are still missing).
     ``full=True``: mean and std only once ``w`` values exist, else NULL.
     """
     base = _w(key, ds)
@@ -97,8 +98,7 @@ def rolling_features(df: DataFrame, windows, key: str | None = "unique_id", ds:
             enough = F.count(y).over(frame) == w
             cols += [F.when(enough, mean).alias(f"roll_mean_{w}"), F.when(enough, std).alias(f"roll_std_{w}")]
         else:
-            cols += [mean.alias(f"roll_mean_{w}"),
-                     F.when(mean.isNotNull(), F.coalesce(std, F.lit(0.0))).alias(f"roll_std_{w}")]
+            cols += [mean.alias(f"roll_mean_{w}"), F.coalesce(std, F.lit(0.0)).alias(f"roll_std_{w}")]
             if with_max:
                 cols.append(mx.alias(f"roll_max_{w}"))
     return df.select("*", *cols)

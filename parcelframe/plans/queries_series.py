@@ -156,8 +156,7 @@ def _roll_sql(windows, full: bool, with_max: bool, part: str = "PARTITION BY uni
             cols.append(f"round(CASE WHEN count(y) {fr} = {w} THEN stddev_samp(y) {fr} END, 6) AS roll_std_{w}")
         else:
             cols.append(f"round(avg(y) {fr}, 6) AS roll_mean_{w}")
-            cols.append(f"round(CASE WHEN avg(y) {fr} IS NOT NULL THEN coalesce(stddev_samp(y) {fr}, 0) END, 6) "
-                        f"AS roll_std_{w}")
+            cols.append(f"round(coalesce(stddev_samp(y) {fr}, 0), 6) AS roll_std_{w}")
             if with_max:
                 cols.append(f"round(max(y) {fr}, 6) AS roll_max_{w}")
     return ", ".join(cols)

@@ -97,7 +97,7 @@ def test_splits(spark):
 def test_rolling_min_periods(spark):
     df, rows = _series(spark)
     r = S.rolling_features(df.filter(F.col("unique_id") == "A"), [5]).orderBy("ds").collect()
-    assert r[0]["roll_mean_5"] is None and r[1]["roll_std_5"] == 0.0
+    assert r[0]["roll_mean_5"] is None and r[0]["roll_std_5"] == 0.0 and r[1]["roll_std_5"] == 0.0
     assert abs(r[1]["roll_mean_5"] - r[0]["y"]) < 1e-12
 
 
