@@ -357,3 +357,25 @@ def q_vw_delivery_status(spark, sf):
           "CAST(count(*) AS BIGINT) AS shipments FROM national WHERE NOT is_delivered GROUP BY 1, 2")
 def q_vw_failure_causes(spark, sf):
     return grp.vw_failure_causes(national(spark, sf))
+
+
+@register("stream_kpi_by_region", _kpi_sql(by="depot_region"))
+def q_stream_kpi_by_region(spark, sf):
+    """The flagship KPIs computed incrementally: the shipment table's files are
+    read as a file stream and ``kpi_summary`` runs in complete output mode;
+    the result is the stream's final state."""
+    import uuid
+
+    from ..sources.fixtures import shipments_path
+    from ..streaming.incremental import read_shipment_stream, start_grouped
+    path = shipments_path(spark, sf)
+    if path is None:  # no materialised folder to stream from: batch result
+        return agg.kpi_summary(national(spark, sf), by=["depot_region"])
+    name = f"kpi_stream_{uuid.uuid4().hex[:8]}"
+    stream = read_shipment_stream(spark, path).filter(F.col("source") == "national")
+    q = start_grouped(lambda df: agg.kpi_summary(df, by=["depot_region"]), stream, name)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.table(name)

@@ -74,6 +74,15 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shipments_path(spark: SparkSession, sf_dir: str) -> str | None:
+    """Folder of the materialised fact for this session and input (None when lazy)."""
+    shipments(spark, sf_dir)
+    try:
+        return _MATERIALIZED.get((spark.sparkContext.applicationId, sf_dir.rstrip("/")))
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def derive_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lazy derivation (joins) behind ``shipments``."""
     li = read_table(spark, sf_dir, "lineitem").select(

@@ -51,3 +51,22 @@ def test_every_query_resolves_on_smoke_data(spark):
         if name in skip:
             continue
         assert len(fn(spark, SF001).schema.fields) > 0
+
+
+def test_scan_json_and_parquet(spark):
+    """Typed values in JSON / Parquet extracts are read back as text and cleaned the same way."""
+    d = tempfile.mkdtemp(prefix="pf-fmt-")
+    rows = [("A1", 4.3, "7,5", "CRBT", "Envoi Livré", "Feb 11 2026 11:05"),
+            ("A2", None, " ", "Ordinaire", "Tenir", "2026-02-12")]
+    src = spark.createDataFrame(rows, "MAILITM_FID string, poids double, CA string, `CRBT/ORD` string, "
+                                      "`Dernier E` string, `Date depot` string")
+    for fmt in ("json", "parquet"):
+        path = os.path.join(d, fmt)
+        src.write.format(fmt).save(path)
+        raw = I.scan_shipments(spark, path, fmt)
+        assert all(t == "string" for _, t in raw.dtypes)
+        out = {r["mailitm_fid"]: r for r in I.clean_shipments(I.map_headers(raw)).collect()}
+        assert out["A1"]["weight_kg"] == 4.3 and float(out["A1"]["revenue_ca"]) == 7.5
+        assert out["A1"]["is_crbt"] and out["A1"]["is_delivered"]
+        assert out["A2"]["weight_kg"] is None and out["A2"]["revenue_ca"] is None
+        assert str(out["A2"]["deposit_date"]) == "2026-02-12 00:00:00"
