@@ -146,21 +146,22 @@ def relabel_by_mean(assigned: DataFrame, driver: str, ascending: bool) -> DataFr
     return assigned.join(F.broadcast(ranks), "raw").drop("raw")
 
 
-def quality_indices(assigned: DataFrame, k_found: int) -> DataFrame:
+def quality_indices(assigned: DataFrame, dim: int) -> DataFrame:
     """Silhouette (Spark's evaluator: squared Euclidean), Davies–Bouldin and
-    Calinski–Harabasz (standard Euclidean formulas); NULL below two clusters."""
+    Calinski–Harabasz (standard Euclidean formulas); NULL below two clusters.
+    ``dim`` is the feature-vector width; the cluster count comes from the
+    centroid table (k rows)."""
     spark = assigned.sparkSession
     schema = "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int"
-    if k_found < 2:
-        return spark.createDataFrame([(None, None, None, k_found)], schema)
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import vector_to_array
-    sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
     arr = assigned.select("cluster", vector_to_array("features").alias("v"))
-    dim = len(assigned.select("features").first()["features"])
     cent = arr.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"),
                                       *[F.avg(F.col("v")[i]).alias(f"c{i}") for i in range(dim)])
     cents = {r["cluster"]: (r["n"], [r[f"c{i}"] for i in range(dim)]) for r in cent.collect()}
+    if len(cents) < 2:
+        return spark.createDataFrame([(None, None, None, len(cents))], schema)
+    sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
     cdf = spark.createDataFrame([(c, v[1]) for c, v in cents.items()], "cluster int, c array<double>")
     dist = arr.join(F.broadcast(cdf), "cluster").select(
         "cluster", F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
@@ -217,8 +218,7 @@ def _run(feat: DataFrame, feats, k: int, driver: str, ascending: bool, analysis:
     names = NAMES[analysis]
     label = F.element_at(F.create_map(*[x for i, nm in names.items() for x in (F.lit(i), F.lit(nm))]),
                          F.col("cluster"))
-    k_found = assigned.select("cluster").distinct().count()
-    metrics = quality_indices(assigned, k_found).withColumn("message", F.lit(None).cast("string"))
+    metrics = quality_indices(assigned, len(feats)).withColumn("message", F.lit(None).cast("string"))
     rows = assigned.select("name", F.col("cluster").cast("int").alias("cluster"),
                            F.coalesce(label, F.concat(F.lit("C"), F.col("cluster").cast("string"))).alias("cluster_label"),
                            *[F.bround(F.col(c), 2).alias(c) for c in feats])

@@ -292,9 +292,9 @@ def q_relabel_by_mean(spark, sf):
 
 
 def _indices(spark, sf):
-    scaled, _ = _bureau_scaled(spark, sf)
+    scaled, feats = _bureau_scaled(spark, sf)
     a = cl.relabel_by_mean(cl.kmeans_best(scaled, 3).transform(scaled), "taux_livraison", False)
-    return cl.quality_indices(a, a.select("cluster").distinct().count())
+    return cl.quality_indices(a, len(feats))
 
 
 @register("silhouette")
