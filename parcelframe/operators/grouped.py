@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import month_start, strip_ws
-from ..functions.formatting import WEIGHT_BANDS, delivery_status_label, unknown_label, weight_band
+from ..functions.formatting import WEIGHT_BANDS, delivery_status_label, display_key, unknown_label, weight_band
 from ..functions.temporal import year_month_label
 from .aggregates import MONEY, avg_sane_interval, count_if
 
-DASH = "—"
 
 
 def _show(c: str):
-    return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(DASH))
+    return display_key(c)
 
 
 def count_by_depot_region(df: DataFrame) -> DataFrame:
