@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import bureau_category, crbt_flag, parse_amount_or_zero, strip_ws
 from ..functions.temporal import date_label
 from .aggregates import MONEY, MONEY2, count_if
+from ..session import materialize
 from .filters import filter_date_range
 
 TOTAL = "TOTAL"
@@ -143,19 +144,23 @@ def livraison_table(df: DataFrame, region: str | None = None, categories=None,
     """Per last-event office: one count column per event, total, CRBT,
     ordinary, revenue, weight; plus a TOTAL row per region.
 
-    The pivot is written as conditional counts over an explicit value list, so
-    the TOTAL row comes from the same GROUPING SETS pass.
+    The rows are read once: every measure is aggregated at
+    (region, office, event) grain into a small checkpointed table. The event
+    list (pivot values) and the pivot itself, with the TOTAL row from GROUPING
+    SETS, are then computed on that small table rather than on the rows.
     """
-    base = _scope(df, LIVRAISON, region, categories)
-    values = events if events is not None else event_values(base)
-    ev = strip_ws("last_event")
-    crbt = count_if(crbt_flag("shipment_type"))
-    total = F.count(F.lit(1))
-    g = base.groupingSets([["region", "office"], ["region"]], "region", "office").agg(
-        *[count_if(ev == F.lit(v)).alias(v) for v in values],
+    base = _scope(df, LIVRAISON, region, categories).withColumn("event", strip_ws("last_event"))
+    fine = materialize(base.groupBy("region", "office", "event").agg(
+        F.count(F.lit(1)).alias("n"), count_if(crbt_flag("shipment_type")).alias("n_crbt"),
+        F.sum("revenue_ca").alias("ca_sum"), F.sum("weight_kg").alias("poids_sum")))
+    values = events if events is not None else event_values(fine, "event")
+    total = F.sum("n")
+    crbt = F.sum("n_crbt")
+    g = fine.groupingSets([["region", "office"], ["region"]], "region", "office").agg(
+        *[F.sum(F.when(F.col("event") == F.lit(v), F.col("n")).otherwise(F.lit(0))).alias(v) for v in values],
         total.alias("total_ids"), crbt.alias("crbt"), (total - crbt).alias("ordinaire"),
-        F.coalesce(F.sum("revenue_ca"), F.lit(0)).cast(MONEY).alias("ca"),
-        F.coalesce(F.sum("weight_kg"), F.lit(0.0)).alias("poids"),
+        F.coalesce(F.sum("ca_sum"), F.lit(0)).cast(MONEY).alias("ca"),
+        F.coalesce(F.sum("poids_sum"), F.lit(0.0)).alias("poids"),
         F.grouping("office").alias("_g_office"))
     return (_with_total(g).select("region", "office", "is_total", *[F.col(f"`{v}`") for v in values],
                                   "total_ids", "crbt", "ordinaire", "ca", "poids")
