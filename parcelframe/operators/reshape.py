@@ -31,10 +31,13 @@ def pivot_year_month(df: DataFrame, date_col: str, value: str) -> DataFrame:
             .groupBy("year").pivot("month", list(range(1, 13))).agg(F.sum("v")))
 
 
-def pivot_group_month(df: DataFrame, date_col: str, group: str, value: str, groups: list[str],
+def pivot_group_month(df: DataFrame, date_col: str, group: str, value: str, n: int = 10,
                       fill: float = 0.0) -> DataFrame:
-    """Rows = month (``yyyy-MM``), one column per listed group, missing = ``fill``."""
-    m = F.date_format(F.col(date_col), "yyyy-MM").alias("month")
-    p = (df.filter(F.col(group).isin(*groups)).select(m, F.col(group), F.col(value).alias("v"))
-         .groupBy("month").pivot(group, groups).agg(F.sum("v")))
-    return p.na.fill(fill, subset=groups)
+    """Rows = month (``yyyy-MM``), one column per group of the ``n`` most frequent
+    groups, missing = ``fill``. The rows are read once (see
+    ``topk.aggregate_top_groups``); ranking and pivot run on the small
+    (month, group) table."""
+    from .topk import aggregate_top_groups
+    fine, groups = aggregate_top_groups(df, F.date_format(F.col(date_col), "yyyy-MM"), group, value, n, "count")
+    return (fine.groupBy(F.col("_key").alias("month")).pivot(group, groups).agg(F.sum("_v"))
+            .na.fill(fill, subset=groups))

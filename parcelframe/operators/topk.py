@@ -6,9 +6,11 @@ against it are hinted as broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def top_n_groups_by_count(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` most frequent non-null keys (ties broken by key)."""
@@ -44,3 +46,22 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols=None) -> DataFra
     """
     keys = [F.col(c) for c in (key_cols or df.columns)]
     return df.withColumn("_h", F.xxhash64(*keys, F.lit(seed))).orderBy("_h").limit(n).drop("_h")
+
+
+def aggregate_top_groups(df: DataFrame, key: Column, group: str, value: str, n: int,
+                         rank_by: str = "count") -> tuple[DataFrame, list]:
+    """Read the rows once for a "top-n groups, then per key" report.
+
+    Rows are aggregated to (key, group) → sum of ``value`` and row count and
+    checkpointed (keys × groups rows, small next to the input). The top ``n``
+    groups — by row count or by summed value, ties by name — are ranked on that
+    small table. Returns the small table restricted to those groups (columns
+    ``_key``, ``group``, ``_v``, ``_n``) and the ordered group list.
+    """
+    fine = materialize(df.groupBy(key.alias("_key"), F.col(group))
+                       .agg(F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_n")))
+    score = F.sum("_n") if rank_by == "count" else F.sum("_v")
+    ranked = (fine.filter(F.col(group).isNotNull()).groupBy(group).agg(score.alias("_s"))
+              .orderBy(F.desc("_s"), F.asc(group)).limit(n).collect())
+    top = [r[group] for r in ranked]
+    return fine.filter(F.col(group).isin(*top)), top

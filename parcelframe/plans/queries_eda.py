@@ -248,9 +248,7 @@ def q_pivot_year_month(spark, sf):
           "SELECT * FROM (PIVOT filled ON depot_office USING sum(weight_kg) GROUP BY month)")
 def q_pivot_group_month(spark, sf):
     """Monthly weight of the 10 busiest depot offices, one column each, 0 when absent."""
-    nat = national(spark, sf)
-    groups = [r["depot_office"] for r in topk.top_n_groups_by_count(nat, "depot_office", 10).collect()]
-    return reshape.pivot_group_month(nat, "deposit_date", "depot_office", "weight_kg", groups)
+    return reshape.pivot_group_month(national(spark, sf), "deposit_date", "depot_office", "weight_kg", 10)
 
 
 @register("monthly_volume",
@@ -267,11 +265,9 @@ def q_monthly_volume(spark, sf):
           "WHERE depot_office IN (SELECT depot_office FROM national WHERE depot_office IS NOT NULL "
           "GROUP BY depot_office ORDER BY count(*) DESC, depot_office LIMIT 6) GROUP BY 1, 2")
 def q_monthly_by_top_group(spark, sf):
-    nat = national(spark, sf)
-    top = topk.top_n_groups_by_count(nat, "depot_office", 6)
-    rows = topk.semi_top_n(nat, top, "depot_office")
-    return rows.groupBy(F.date_format("deposit_date", "yyyy-MM").alias("month"), "depot_office") \
-        .agg(F.sum("weight_kg").alias("poids"))
+    fine, _ = topk.aggregate_top_groups(national(spark, sf), F.date_format("deposit_date", "yyyy-MM"),
+                                        "depot_office", "weight_kg", 6, "count")
+    return fine.select(F.col("_key").alias("month"), "depot_office", F.col("_v").alias("poids"))
 
 
 @register("month_average",

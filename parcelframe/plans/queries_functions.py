@@ -169,10 +169,10 @@ def q_self_join_corr(spark, sf):
     """Correlation of the regions' daily weights: the per-date matrix is built by
     pivoting (bounded top list) instead of a self-join, then all pairs in one aggregation."""
     from ..operators import eda
-    nat = national(spark, sf)
-    top = sorted(r["depot_region"] for r in topk.top_n_groups_by_sum(nat, "depot_region", "weight_kg", 5).collect())
-    wide = (nat.filter(F.col("depot_region").isin(*top)).groupBy(F.col("deposit_date").alias("ds"))
-            .pivot("depot_region", top).agg(F.sum("weight_kg")))
+    fine, top = topk.aggregate_top_groups(national(spark, sf), F.col("deposit_date"), "depot_region",
+                                          "weight_kg", 5, "sum")
+    top = sorted(top)
+    wide = fine.groupBy(F.col("_key").alias("ds")).pivot("depot_region", top).agg(F.sum("_v"))
     return r6(eda.corr_matrix(wide, top))
 
 

@@ -489,8 +489,8 @@ def q_join_forecast_left(spark, sf):
 def q_corr_between_series(spark, sf):
     """Daily weight of the 5 heaviest offices pivoted wide (5 columns), then all pairwise
     correlations in one aggregation (no pair rows are generated)."""
-    nat = national(spark, sf)
-    top = sorted(r["depot_office"] for r in topk.top_n_groups_by_sum(nat, "depot_office", "weight_kg", 5).collect())
-    wide = (nat.filter(F.col("depot_office").isin(*top)).groupBy(F.col("deposit_date").alias("ds"))
-            .pivot("depot_office", top).agg(F.sum("weight_kg")))
+    fine, top = topk.aggregate_top_groups(national(spark, sf), F.col("deposit_date"), "depot_office",
+                                          "weight_kg", 5, "sum")
+    top = sorted(top)
+    wide = fine.groupBy(F.col("_key").alias("ds")).pivot("depot_office", top).agg(F.sum("_v"))
     return r6(eda.corr_matrix(wide, top))
