@@ -31,3 +31,17 @@ def test_ecdf_and_duplicates(seed):
     assert RS.count_duplicates(seed.select("depot_office")).first()["duplicates"] == 1
     top = TK.top_n_groups_by_count(seed, "depot_region", 1).first()
     assert (top["depot_region"], top["n"]) == ("SFAX", 2)
+
+
+def test_aggregate_top_groups_and_month_pivot(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    rows = [("A", dt.date(2026, 1, 5), 1.0), ("A", dt.date(2026, 1, 6), 1.0), ("B", dt.date(2026, 2, 2), 10.0),
+            ("C", dt.date(2026, 1, 7), 1.0), ("C", dt.date(2026, 2, 3), 1.0), ("D", dt.date(2026, 2, 4), 0.5)]
+    df = spark.createDataFrame(rows, "g string, d date, w double")
+    _, by_count = TK.aggregate_top_groups(df, F.date_format("d", "yyyy-MM"), "g", "w", 2, "count")
+    _, by_sum = TK.aggregate_top_groups(df, F.date_format("d", "yyyy-MM"), "g", "w", 2, "sum")
+    assert by_count == ["A", "C"]  # 2 rows each, tie broken by name; B has 1
+    assert by_sum == ["B", "A"]  # 10.0, then A and C tie at 2.0 → A
+    p = {r["month"]: (r["A"], r["C"]) for r in RS.pivot_group_month(df, "d", "g", "w", 2).collect()}
+    assert p == {"2026-01": (2.0, 1.0), "2026-02": (0.0, 1.0)}  # months without A filled with 0
