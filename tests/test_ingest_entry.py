@@ -70,3 +70,14 @@ def test_scan_json_and_parquet(spark):
         assert out["A1"]["is_crbt"] and out["A1"]["is_delivered"]
         assert out["A2"]["weight_kg"] is None and out["A2"]["revenue_ca"] is None
         assert str(out["A2"]["deposit_date"]) == "2026-02-12 00:00:00"
+
+
+def test_scan_source_import_has_no_preamble(spark):
+    d = tempfile.mkdtemp(prefix="pf-imp-")
+    path = os.path.join(d, "import.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("MAILITM_FID,poids,Dernier E,Region dernier E\n")
+        f.write("I1,2,Envoi Livré,TUNIS\nI2,3,Tenir,SFAX\n")
+    out = I.clean_shipments(I.map_headers(I.scan_source(spark, path, "import"))).orderBy("mailitm_fid").collect()
+    assert [(r["mailitm_fid"], r["weight_kg"], r["is_delivered"]) for r in out] == [("I1", 2.0, True), ("I2", 3.0, False)]
+    assert out[0]["revenue_ca"] is None and out[0]["shipment_type"] is None  # import extracts carry neither
