@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, token_counts, toxicity
+from . import near_dedup, packing, pivot_search, quality, reshard, token_counts, toxicity, url_filter
 from .common import scratch_path, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,33 @@ def op5_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 tokens that hold the corpus's mixture of sources."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query
+def op7_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, from the files they lie in, rewritten into 16 shards of equal bytes."""
+    return reshard.reshard_files(spark, f"{sf_dir}/documents.parquet", 16)
+
+
+@query
+def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector."""
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+ORACLES["op3_url_filter"] = url_filter.ORACLE
+ORACLES["op6_near_dedup"] = near_dedup.ORACLE
+ORACLES["op9_pivot_topk"] = pivot_search.ORACLE
