@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, pivot_search, quality, reshard, token_counts, toxicity, url_filter
+from . import decontamination, near_dedup, packing, pivot_search, quality, reshard, token_counts, toxicity, url_filter
 from .common import scratch_path, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_url_filter"] = url_filter.ORACLE
 ORACLES["op6_near_dedup"] = near_dedup.ORACLE
 ORACLES["op9_pivot_topk"] = pivot_search.ORACLE
+
+
+@query
+def op4_positional_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("n_near_items", "text_key")
+
+
+ORACLES["op4_positional_decontam"] = decontamination.ORACLE
