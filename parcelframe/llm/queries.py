@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, packing, pivot_search, quality, reshard, token_counts, toxicity, url_filter
+from . import decontamination, html_extract, near_dedup, packing, pivot_search, quality, reshard, token_counts, toxicity, url_filter
 from .common import scratch_path, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op4_positional_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_positional_decontam"] = decontamination.ORACLE
+
+
+@query
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
