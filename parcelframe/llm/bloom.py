@@ -29,25 +29,25 @@ def _block(key: Column, blocks: int) -> Column:
 
 
 def build(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(_block, _w0 ... _w7): a row for each block that has bits set."""
+    """(__b_block, __b_w0 ... __b_w7): a row for each block that has bits set."""
     k = F.col(key)
-    marked = keys.select(_block(k, blocks).alias("_block"), *[m.alias(f"_w{i}") for i, m in enumerate(_masks(k))])
-    return marked.groupBy("_block").agg(*[F.bit_or(f"_w{i}").alias(f"_w{i}") for i in range(WORDS)])
+    marked = keys.select(_block(k, blocks).alias("__b_block"), *[m.alias(f"__b_w{i}") for i, m in enumerate(_masks(k))])
+    return marked.groupBy("__b_block").agg(*[F.bit_or(f"__b_w{i}").alias(f"__b_w{i}") for i in range(WORDS)])
 
 
-def flag(rows: DataFrame, key: Column, bloom: DataFrame, blocks: int, name: str = "_maybe") -> DataFrame:
+def flag(rows: DataFrame, key: Column, bloom: DataFrame, blocks: int, name: str = "__b_maybe") -> DataFrame:
     """``rows`` with a boolean column: whether ``key`` may be in the filter."""
-    probed = rows.withColumn("_key", key).withColumn("_at", _block(F.col("_key"), blocks))
-    probed = probed.join(F.broadcast(bloom), F.col("_at") == F.col("_block"), "left")
-    every = F.col("_block").isNotNull()
-    for i, m in enumerate(_masks(F.col("_key"))):
-        every = every & (F.col(f"_w{i}").bitwiseAND(m) == m)
-    return probed.withColumn(name, F.coalesce(every, F.lit(False))).drop("_key", "_at", "_block", *[f"_w{i}" for i in range(WORDS)])
+    probed = rows.withColumn("__b_key", key).withColumn("__b_at", _block(F.col("__b_key"), blocks))
+    probed = probed.join(F.broadcast(bloom), F.col("__b_at") == F.col("__b_block"), "left")
+    every = F.col("__b_block").isNotNull()
+    for i, m in enumerate(_masks(F.col("__b_key"))):
+        every = every & (F.col(f"__b_w{i}").bitwiseAND(m) == m)
+    return probed.withColumn(name, F.coalesce(every, F.lit(False))).drop("__b_key", "__b_at", "__b_block", *[f"__b_w{i}" for i in range(WORDS)])
 
 
 def may_hold(rows: DataFrame, key: Column, bloom: DataFrame, blocks: int) -> DataFrame:
     """The rows whose ``key`` may be in the filter."""
-    return flag(rows, key, bloom, blocks).where("_maybe").drop("_maybe")
+    return flag(rows, key, bloom, blocks).where("__b_maybe").drop("__b_maybe")
 
 
 def id_key(doc_id: Column) -> Column:
@@ -69,11 +69,12 @@ def without(docs: DataFrame, listed: DataFrame) -> DataFrame:
     n = listed.count()
     if not n:
         return docs
+    own = [F.col(f"`{c}`") for c in docs.columns]
     blocks = blocks_for(n)
     bloom = build(listed.select(id_key(F.col("doc_id")).alias("k")), "k", blocks)
-    flagged = flag(docs.withColumn("_text_key", text_key(F.col("text"))), id_key(F.col("doc_id")), bloom, blocks)
-    right = listed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_tk"), F.col("once").alias("_once"))
-    hit = flagged.where("_maybe").join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_tk")), "left")
-    plain = hit.where("_once IS NULL").select(*docs.columns)
-    once = hit.where("_once").dropDuplicates(["_id", "_tk"]).select(*docs.columns)
-    return flagged.where("NOT _maybe").select(*docs.columns).unionByName(plain).unionByName(once)
+    flagged = flag(docs.withColumn("__b_text_key", text_key(F.col("text"))), id_key(F.col("doc_id")), bloom, blocks)
+    right = listed.select(F.col("doc_id").alias("__b_id"), F.col("text_key").alias("__b_tk"), F.col("once").alias("__b_once"))
+    hit = flagged.where("__b_maybe").join(right, F.col("doc_id").eqNullSafe(F.col("__b_id")) & (F.col("__b_text_key") == F.col("__b_tk")), "left")
+    plain = hit.where("__b_once IS NULL").select(*own)
+    once = hit.where("__b_once").dropDuplicates(["__b_id", "__b_tk"]).select(*own)
+    return flagged.where("NOT __b_maybe").select(*own).unionByName(plain).unionByName(once)

@@ -22,8 +22,8 @@ Skew: shards are bounded by bytes, so no term's list is ever gathered; a passage
 that many documents share is found in each shard by itself.
 
 Defined results: null and empty texts have no words and no hits; an item
-without words has no window; repeated rows each get a row; repeated item ids
-count once; other columns are ignored.
+without words has no window, one without an id is left out; repeated rows each
+get a row; repeated item ids count once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,7 +91,8 @@ def windows_of(items: DataFrame) -> DataFrame:
                 found += sorted(own)
             yield pa.record_batch([pa.array(who, pa.int64()), pa.array(found, pa.binary())], ["item_id", "window"])
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, window binary").distinct()
+    own = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return own.mapInArrow(run, "item_id long, window binary").distinct()
 
 
 def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
