@@ -13,18 +13,20 @@ more are linked; a group is a connected component.
   ``LEAF`` documents are leaves; larger ones branch again. Pairs at 0.75 are
   missed with 0.25 ** (BRANCH * TREES), about 6e-8, in leaves under the root, and
   at most ((1 - .9375 ** d)) ** TREES at depth d (3e-5 at depth 3).
-* Leaves: documents are compared exhaustively by their sketches; only pairs
-  whose estimate reaches ``ESTIMATE`` (four standard deviations under 0.75)
-  need the full sets. As groups are wanted, a first round takes a spanning
-  forest of each leaf, best estimates first; after those links are checked, a
-  second round takes all pairs between different groups. No link between two
-  groups is lost, and a cluster of m copies gives about m pairs, not m squared.
-* Nodes that stay large (clusters of many similar texts) are dealt into
-  sub-blocks that share pivots in round one. In round two those that still
-  hold different groups are compared block by block: all of the smaller
-  groups' members with all members.
-* Check: the candidates' texts are read again (a bounded Bloom filter keeps the
-  rest out of the shuffle), and links are decided on the full sets.
+* Sets: the texts of classes that share a node with another are read again (a
+  bounded Bloom filter keeps the rest out of the shuffle). Their smallest
+  ``LOW`` shingle hashes estimate similarities inside nodes, exactly for sets
+  of that size and with a standard error under 0.023 beyond.
+* Leaves: documents are compared exhaustively by those estimates; pairs within
+  4.5 standard errors of 0.75 are decided on the full sets. As groups are
+  wanted, a first round takes a spanning forest of each leaf, best estimates
+  first; after those links are checked, a second round takes all pairs between
+  different groups. No link between two groups is lost, and a cluster of m
+  copies gives about m pairs, not m squared.
+* Large nodes are first dealt into sub-blocks that share pivots. Those that
+  then still hold several groups are compared block by block, all of the
+  smaller groups' members with all members, where that is cheap, and branch
+  again where it isn't. Nodes of one group are closed.
 
 Defined results: null and empty texts, and texts of white space, have no
 shingles and are their own group; a text of fewer than five words is one
@@ -45,9 +47,10 @@ from pyspark.sql import functions as F
 from . import bloom, textarrays as T
 from .common import stored
 
-WORDS, TOKENS = 5, 64
+WORDS, TOKENS, LOW = 5, 32, 384
 TREES, BRANCH, LEAF, DEPTH, PIVOTS = 6, 2, 192, 5, 4
-ESTIMATE = 0.53
+#: A large node of several groups is compared by blocks if that takes at most so many comparisons.
+CHEAP = 4_000_000
 
 _rng = np.random.default_rng(97)
 _WEIGHTS = _rng.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,41 +115,59 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def _counted(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two members or more, with the node's size; one of several nodes of the same members."""
-    size = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("set"), 20)).alias("who"), F.bit_xor(F.xxhash64("set")).alias("who2"))
+    who = [F.sum(F.shiftright(F.xxhash64("set"), 20)).alias("who"), F.bit_xor(F.xxhash64("set")).alias("who2")]
+    size = rows.groupBy("node").agg(F.count("*").alias("n"), *who)
     one = size.where("n > 1").groupBy("n", "who", "who2").agg(F.min("node").alias("node")).select("node", "n")
     return rows.join(one, "node")
 
 
-def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(leaves, large nodes at the last depth), both (node, n, set, tokens)."""
+def roots(classes: DataFrame) -> DataFrame:
+    """(node, n, set, tokens) of the nodes under all trees' roots that hold two classes or more."""
     spot = F.transform(F.sequence(F.lit(0), F.lit(TREES * BRANCH - 1)), lambda c: F.xxhash64(c, F.element_at("tokens", c + 1)))
     rows = _counted(classes.select("set", F.explode(spot).alias("node")))
-    rows = stored(rows.join(classes.select("set", "tokens"), "set"), "nodes")
-    leaves, depth = None, 0
-    while True:
-        leaf = rows.where(F.col("n") <= LEAF)
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        large = rows.where(F.col("n") > LEAF)
-        depth += 1
-        if depth == DEPTH or large.isEmpty():
-            return leaves, large
-        chosen = F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda c: F.xxhash64(
-            "node", c, F.element_at("tokens", F.pmod(F.xxhash64("node", c), F.lit(TOKENS)).cast("int") + 1)))
-        child = large.select("set", "tokens", F.explode(chosen).alias("node"))
-        rows = stored(_counted(child), "nodes")
-
-
-def _pairs(tokens: np.ndarray, label: list, every: bool) -> list[tuple[int, int]]:
+    return stored(rows.join(classes.select("set", "tokens"), "set"), "nodes")
+
+
+def branches(large: DataFrame) -> DataFrame:
+    """The nodes one level below ``large`` ones, with the same columns."""
+    chosen = F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda c: F.xxhash64(
+        "node", c, F.element_at("tokens", F.pmod(F.xxhash64("node", c), F.lit(TOKENS)).cast("int") + 1)))
+    return _counted(large.drop("n").withColumn("node", F.explode(chosen))).select(*large.columns)
+
+
+def estimates(low: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, least similarity that needs a check) of all pairs, from the sets' smallest hashes.
+
+    All common hashes of two lists lie under the smaller of their maxima; up to
+    there both sets are known, so common over united is an unbiased estimate."""
+    m = len(low)
+    length = np.array([len(x) for x in low])
+    flat, member = np.concatenate(low), np.repeat(np.arange(m), length)
+    _, token, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = seen[token] > 1
+    _, column = np.unique(token[shared], return_inverse=True)
+    has = np.zeros((m, int(column.max(initial=-1)) + 1), np.float32)
+    has[member[shared], column] = 1
+    common = np.rint(has @ has.T)
+    whole = length >= size  # the whole set is in the list
+    top = np.where(whole, np.int64(1) << 40, [int(x[-1]) for x in low])
+    under = np.stack([np.searchsorted(x, np.minimum(top, t), "right") for x, t in zip(low, top)])  # [i, j]: of i's up to both tops
+    united = under + under.T - common
+    s = common / np.maximum(united, 1)
+    total = np.maximum(size[:, None] + size[None, :], 1) / 1.75  # of the union, for similar sets
+    error = np.sqrt(0.1875 / np.maximum(united, 1) * np.clip(1 - united / total, 0, 1))
+    error[whole[:, None] & whole[None, :]] = 0
+    return s, 0.75 - 4.5 * error - 2 / np.maximum(united, 1)
+
+
+def _pairs(low: list[np.ndarray], size: np.ndarray, label: list, every: bool) -> list[tuple[int, int]]:
     """Candidate pairs of one leaf: all between different labels, or a spanning forest of them, best estimates first."""
-    m = len(tokens)
-    same = np.zeros((m, m), np.int16)
-    for t in range(0, TOKENS, 8):
-        same += (tokens[:, None, t:t + 8] == tokens[None, :, t:t + 8]).sum(2, dtype=np.int16)
-    a, b = np.nonzero(np.triu(same >= ESTIMATE * TOKENS, 1))
+    s, least = estimates(low, size)
+    a, b = np.nonzero(np.triu(s >= least, 1))
     if every:
         return [(i, j) for i, j in zip(a.tolist(), b.tolist()) if label[i] != label[j]]
-    order = np.argsort(-same[a, b], kind="stable")
-    top, out = list(range(m)), []
+    order = np.argsort(-s[a, b], kind="stable")
+    top, out = list(range(len(low))), []
 
     def root(x: int) -> int:
         while top[x] != x:
@@ -158,38 +179,42 @@ def _pairs(tokens: np.ndarray, label: list, every: bool) -> list[tuple[int, int]
         if x != y:
             top[x] = y
             out.append((i, j))
-            if len(out) == m - 1:
+            if len(out) == len(low) - 1:
                 break
     return out
 
 
-def candidates(rows: DataFrame, every: bool) -> DataFrame:
-    """Distinct (a, b) of sets, a < b, from rows (node, set, tokens, label); nodes are bounded."""
+def candidates(rows: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+    """Distinct (a, b) of sets, a < b, from rows (node, set, label); nodes are bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held = None, []  # members of the node that is being read: (set, tokens, label)
+        node, held = None, []  # members of the node that is being read: (set, low, size, label)
 
         def closed() -> list[tuple[bytes, bytes]]:
             if len(held) < 2:
                 return []
-            found = _pairs(np.array([x[1] for x in held]), [x[2] for x in held], every)
+            found = _pairs([x[1] for x in held], np.array([x[2] for x in held]), [x[3] for x in held], every)
             return [(min(held[i][0], held[j][0]), max(held[i][0], held[j][0])) for i, j in found]
 
         for b in batches:
             pairs = []
-            of, sets, labels = b.column("node").to_numpy(), b.column("set").to_pylist(), b.column("label").to_pylist()
-            tokens = b.column("tokens").flatten().to_numpy().reshape(b.num_rows, TOKENS)
+            of, names, labels, size = (b.column(c).to_pylist() for c in ("node", "set", "label", "n_set"))
+            lists = b.column("low")
+            edge, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             for i in range(b.num_rows):
                 if of[i] != node:
                     pairs += closed()
                     node, held = of[i], []
-                held.append((sets[i], tokens[i], labels[i]))
+                held.append((names[i], values[edge[i]:edge[i + 1]], size[i], labels[i]))
             yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
         pairs = closed()
         yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
-    sorted_ = rows.select("node", "set", "tokens", "label").repartition("node").sortWithinPartitions("node", "set")
-    return sorted_.mapInArrow(run, "a binary, b binary").where("a != b").distinct()
+    # the upper 32 bits of a set's smallest hashes, moved to signed order (the set is kept in unsigned order)
+    low = sets.select("set", F.size("shingles").alias("n_set"),
+                      F.transform(F.slice("shingles", 1, LOW), lambda x: (F.shiftrightunsigned(x, 32) - F.lit(1 << 31)).cast("int")).alias("low"))
+    full = rows.select("node", "set", "label").join(low, "set")
+    return full.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a binary, b binary").where("a != b").distinct()
 
 
 def sub_blocks(large: DataFrame) -> DataFrame:
@@ -199,24 +224,27 @@ def sub_blocks(large: DataFrame) -> DataFrame:
     pivot = large.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).drop("k")
     spread = pivot.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     own = large.withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), blocks).cast("int"))
-    both = own.unionByName(spread).select(F.xxhash64("node", "block").alias("node"), "set", "tokens")
-    return both.dropDuplicates(["node", "set"])
+    both = own.unionByName(spread).select(F.xxhash64("node", "block").alias("node"), "set")
+    return both.distinct()
 
 
-def cross_blocks(large: DataFrame) -> DataFrame:
-    """Large nodes with several labels, as blocks in which all pairs of a member outside the node's most
-    common label and any member meet. large: (node, set, tokens, label)."""
-    sizes = large.groupBy("node", "label").agg(F.count("*").alias("k"))
-    main = (sizes.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n"),
+def mixed(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold several labels, with the most common one and how many members have others."""
+    sizes = rows.groupBy("node", "label").agg(F.count("*").alias("k"))
+    main = (sizes.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"),
                                       (F.sum("k") - F.max("k")).alias("others")).where("others > 0"))
-    rows = large.join(main, "node")
+    return rows.join(main, "node")
+
+
+def cross_blocks(rows: DataFrame) -> DataFrame:
+    """Mixed nodes as blocks in which each member outside the node's most common label meets every member."""
     left = F.ceil(F.col("others") / LEAF).cast("int")
     right = F.ceil(F.col("n") / LEAF).cast("int")
     mine = lambda parts: F.pmod(F.xxhash64("set", F.lit(2)), parts).cast("int")
     others = (rows.where("label != main").withColumn("i", mine(left)).withColumn("j", F.explode(F.sequence(F.lit(0), right - 1))))
     members = rows.withColumn("j", mine(right)).withColumn("i", F.explode(F.sequence(F.lit(0), left - 1)))
-    both = others.unionByName(members).select(F.xxhash64("node", "i", "j").alias("node"), "set", "tokens", "label")
-    return both.dropDuplicates(["node", "set"])
+    both = others.unionByName(members).select(F.xxhash64("node", "i", "j").alias("node"), "set", "label")
+    return both.distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -239,11 +267,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("set").agg(F.first("shingles").alias("shingles"))
 
 
-def check(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the similarity: 100 * intersection >= 75 * union."""
-    ends = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    wanted = stored(ends.join(classes.select("set", F.col("least").alias("doc_id")), "set"), "candidates")
-    sets = stored(full_sets(docs, wanted), "sets")
     both = (pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b"))
     common = F.size(F.array_intersect("x", "y"))
@@ -278,20 +303,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key of every row."""
     rows = stored(sketch(docs), "sketches")
     classes = stored(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("tokens").alias("tokens")), "classes")
-    leaves, large = nodes(classes)
-    plain = F.lit(None).cast("binary").alias("label")
-    dealt = leaves.select("node", "set", "tokens", plain).unionByName(sub_blocks(large).select("node", "set", "tokens", plain))
-    first = stored(candidates(dealt, every=False), "pairs")
-    links = check(first, docs, classes)
+    top = roots(classes)
+    members = stored(top.select("set").distinct().join(classes.select("set", F.col("least").alias("doc_id")), "set"), "members")
+    sets = stored(full_sets(docs, members), "sets")
+    leaves, large = top.where(F.col("n") <= LEAF), top.where(F.col("n") > LEAF)
+    dealt = leaves.select("node", "set").unionByName(sub_blocks(large)).withColumn("label", F.lit(None).cast("binary"))
+    first = stored(candidates(dealt, sets, every=False), "pairs")
+    links = check(first, sets)
     group = stored(components(links), "groups")
     # round two: pairs between different groups that the first round didn't look at
-    named = lambda x: (x.join(group, "set", "left").select("node", "set", "tokens", F.coalesce("root", "set").alias("label")))
-    mixed = named(leaves)
-    several = mixed.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("node")
-    rest = mixed.join(several, "node", "left_semi").unionByName(cross_blocks(named(large)).select("node", "set", "tokens", "label"))
-    second = stored(candidates(rest, every=True).join(first, ["a", "b"], "left_anti"), "pairs")
+    named = lambda x: x.join(group, "set", "left").withColumn("label", F.coalesce("root", "set")).drop("root")
+    rest = mixed(named(leaves)).select("node", "set", "label")
+    depth, open_ = 1, stored(mixed(named(large)), "large")
+    while not open_.isEmpty():
+        last = depth == DEPTH
+        dear = F.lit(False) if last else F.col("others") * F.col("n") > CHEAP
+        rest = rest.unionByName(cross_blocks(open_.where(~dear)))
+        if last:
+            break
+        child = stored(mixed(branches(open_.where(dear).select("node", "n", "set", "tokens", "label"))), "large")
+        rest = rest.unionByName(child.where(F.col("n") <= LEAF).select("node", "set", "label"))
+        depth, open_ = depth + 1, child.where(F.col("n") > LEAF)
+    second = stored(candidates(rest, sets, every=True).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        more = check(second, docs, classes)
+        more = check(second, sets)
         if not more.isEmpty():
             group = stored(components(links.unionByName(more)), "groups")
     named_classes = classes.select("set", "least").join(group, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))

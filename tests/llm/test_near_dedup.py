@@ -76,7 +76,8 @@ def test_repeated_rows_and_null_ids(spark, words):
     assert got == _brute(texts[:4] + [None, None, base], [5, 5, 3, 5, None, 9, None])
 
 
-def test_large_nodes_branch_and_stay_exact(spark, words, monkeypatch):
+@pytest.mark.parametrize("cheap", [500, 10 ** 9])
+def test_large_nodes_branch_and_stay_exact(spark, words, monkeypatch, cheap):
     """A cluster far beyond the leaf size, and clusters near the threshold inside one large node."""
     rng = random.Random(8)
     base = " ".join(rng.choices(words, k=120))
@@ -86,7 +87,7 @@ def test_large_nodes_branch_and_stay_exact(spark, words, monkeypatch):
         texts += [version] + [_edited(rng, words, version, 0.01) for _ in range(6)]
     ids = list(range(len(texts)))
     monkeypatch.setattr(N, "LEAF", 16)
-    monkeypatch.setattr(N, "DEPTH", 2)
+    monkeypatch.setattr(N, "CHEAP", cheap)
     got = N.near_duplicates(docs_of(spark, texts, ids=ids)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == _brute(texts, ids)
 
@@ -106,12 +107,19 @@ def test_keep_one_keeps_columns_and_one_row(spark, words):
     assert kept.count() == 4  # the rows without shingles stay
 
 
-def test_estimates_hold_the_similarity(words):
+def test_estimates_hold_the_similarity(words, monkeypatch):
     import pyarrow as pa
     rng = random.Random(4)
-    base = rng.choices(words, k=300)
-    other = base[:260] + rng.choices(words, k=40)
-    s, n = N.shingles(pa.array([" ".join(base), " ".join(other)]))
-    a, b = set(s[:n[0]].tolist()), set(s[n[0]:].tolist())
-    tokens = [[min((x * int(N._MULTIPLY[t]) + int(N._ADD[t])) % 2 ** 64 for x in y) for t in range(N.TOKENS)] for y in (a, b)]
-    assert abs(np.mean([x == y for x, y in zip(*tokens)]) - len(a & b) / len(a | b)) < 0.2
+    base = rng.choices(words, k=900)
+    texts = [base, base[:860] + rng.choices(words, k=40), base[:500] + rng.choices(words, k=400), rng.choices(words, k=900), base[:40], base[:42]]
+    s, n = N.shingles(pa.array([" ".join(t) for t in texts]))
+    edge = np.concatenate([[0], np.cumsum(n)])
+    sets = [set(s[a:b].tolist()) for a, b in zip(edge, edge[1:])]
+    low = [(s[a:b][:N.LOW] >> np.uint64(32)).astype(np.int64) for a, b in zip(edge, edge[1:])]
+    got, least = N.estimates(low, n)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            true = len(a & b) / len(a | b)
+            assert i == j or abs(got[i, j] - true) < 0.11 and (true < 0.75 or got[i, j] >= least[i, j])
+    assert got[4, 5] == len(sets[4] & sets[5]) / len(sets[4] | sets[5])  # small sets: exact
+    assert got[0, 3] < least[0, 3]
