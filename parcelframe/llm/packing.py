@@ -212,9 +212,10 @@ def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LENGTH,
         shift[s], base[number[s]] = int(base[number[s]]), base[number[s]] + n
     known = spark.createDataFrame([(s, number[s], shift[s]) for s, _ in totals], "source string, queue int, shift long")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = (parts.select("part", "source", before.alias("before"))
-              .join(known.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-              .select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", (F.col("before") + F.col("shift")).alias("first")))
+    # written, so that its size is known: Spark broadcasts it where it is small and shuffles by (part, source) where it isn't
+    starts = stored(parts.select("part", "source", before.alias("before"))
+                    .join(known.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+                    .select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", (F.col("before") + F.col("shift")).alias("first")), "starts")
     placed = (tokens.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
               .select("doc_id", "source", "queue", (F.col("first") + F.col("at")).alias("begin"), "n", "wide", "ids"))
 
