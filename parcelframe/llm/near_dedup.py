@@ -13,8 +13,10 @@ more are linked; a group is a connected component.
   ``LEAF`` documents are leaves; larger ones branch again. Pairs at 0.75 are
   missed with 0.25 ** (BRANCH * TREES), about 6e-8, in leaves under the root, and
   at most ((1 - .9375 ** d)) ** TREES at depth d (3e-5 at depth 3).
-* Sets: the texts of classes that share a node with another are read again (a
-  bounded Bloom filter keeps the rest out of the shuffle). Their smallest
+* Partners: in a leaf, only documents with a partner that shares enough tokens
+  go on (a common passage brings many documents into a node, few of them close).
+* Sets: the texts of those classes are read again (a bounded Bloom filter keeps
+  the rest out of the shuffle). Their smallest
   ``LOW`` shingle hashes estimate similarities inside nodes, exactly for sets
   of that size and with a standard error under 0.023 beyond.
 * Leaves: documents are compared exhaustively by those estimates; pairs within
@@ -23,10 +25,11 @@ more are linked; a group is a connected component.
   first; after those links are checked, a second round takes all pairs between
   different groups. No link between two groups is lost, and a cluster of m
   copies gives about m pairs, not m squared.
-* Large nodes are first dealt into sub-blocks that share pivots. Those that
-  then still hold several groups are compared block by block, all of the
-  smaller groups' members with all members, where that is cheap, and branch
-  again where it isn't. Nodes of one group are closed.
+* Nodes that are still large after ``LEVELS`` levels are first dealt into
+  sub-blocks that share pivots. Those that then still hold several groups are
+  compared block by block, all of the smaller groups' members with all members,
+  where that is cheap, and branch again where it isn't. Nodes of one group are
+  closed.
 
 Defined results: null and empty texts, and texts of white space, have no
 shingles and are their own group; a text of fewer than five words is one
@@ -37,7 +40,7 @@ group's smallest id; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +51,11 @@ from . import bloom, textarrays as T
 from .common import stored
 
 WORDS, TOKENS, LOW = 5, 32, 384
-TREES, BRANCH, LEAF, DEPTH, PIVOTS = 6, 2, 192, 5, 4
+TREES, BRANCH, LEAF, LEVELS, DEPTH, PIVOTS = 6, 2, 192, 3, 6, 4
+#: Common tokens of TOKENS that a pair at 0.75 has but once in a hundred thousand times.
+ENOUGH = 13
 #: A large node of several groups is compared by blocks if that takes at most so many comparisons.
-CHEAP = 4_000_000
+CHEAP = 8 * LEAF * LEAF
 
 _rng = np.random.default_rng(97)
 _WEIGHTS = _rng.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,6 +140,62 @@ def branches(large: DataFrame) -> DataFrame:
     return _counted(large.drop("n").withColumn("node", F.explode(chosen))).select(*large.columns)
 
 
+def trees(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaves, nodes that are still large after LEVELS levels), both (node, n, set, tokens)."""
+    rows, leaves = roots(classes), None
+    for level in range(1, LEVELS + 1):
+        leaf, large = rows.where(F.col("n") <= LEAF), rows.where(F.col("n") > LEAF)
+        leaves = leaf if leaves is None else leaves.unionByName(leaf)
+        if level == LEVELS or large.isEmpty():
+            return leaves, large
+        rows = stored(branches(large), "nodes")
+    raise AssertionError
+
+
+def by_node(rows: DataFrame, solve: Callable[[list[tuple]], list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """Apply ``solve`` to the rows of each node (first column); a task holds one node at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = None, []
+
+        def record(found: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[k] for r in found], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        for b in batches:
+            out: list[tuple] = []
+            columns = []
+            for c in b.columns:
+                if pa.types.is_list(c.type):
+                    edge, values = c.offsets.to_numpy(), c.values.to_numpy()
+                    columns.append([values[i:j] for i, j in zip(edge[:-1], edge[1:])])
+                else:
+                    columns.append(c.to_pylist())
+            for row in zip(*columns):
+                if row[0] != node:
+                    out += solve(held) if len(held) > 1 else []
+                    node, held = row[0], []
+                held.append(row)
+            yield record(out)
+        yield record(solve(held) if len(held) > 1 else [])
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, ddl)
+
+
+def partnered(leaves: DataFrame) -> DataFrame:
+    """(node, set) of leaf members with a partner of ENOUGH common tokens in that leaf."""
+
+    def solve(held: list[tuple]) -> list[tuple]:
+        tokens = np.array([r[2] for r in held])
+        same = np.zeros((len(held), len(held)), np.int16)
+        for t in range(0, TOKENS, 8):
+            same += (tokens[:, None, t:t + 8] == tokens[None, :, t:t + 8]).sum(2, dtype=np.int16)
+        np.fill_diagonal(same, 0)
+        return [held[i][:2] for i in np.flatnonzero(same.max(1) >= ENOUGH)]
+
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+    return by_node(leaves.select("node", "set", "tokens"), solve, schema, "node long, set binary")
+
+
 def estimates(low: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(similarity, least similarity that needs a check) of all pairs, from the sets' smallest hashes.
 
@@ -187,34 +248,16 @@ def _pairs(low: list[np.ndarray], size: np.ndarray, label: list, every: bool) ->
 def candidates(rows: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
     """Distinct (a, b) of sets, a < b, from rows (node, set, label); nodes are bounded."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held = None, []  # members of the node that is being read: (set, low, size, label)
-
-        def closed() -> list[tuple[bytes, bytes]]:
-            if len(held) < 2:
-                return []
-            found = _pairs([x[1] for x in held], np.array([x[2] for x in held]), [x[3] for x in held], every)
-            return [(min(held[i][0], held[j][0]), max(held[i][0], held[j][0])) for i, j in found]
-
-        for b in batches:
-            pairs = []
-            of, names, labels, size = (b.column(c).to_pylist() for c in ("node", "set", "label", "n_set"))
-            lists = b.column("low")
-            edge, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for i in range(b.num_rows):
-                if of[i] != node:
-                    pairs += closed()
-                    node, held = of[i], []
-                held.append((names[i], values[edge[i]:edge[i + 1]], size[i], labels[i]))
-            yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
-        pairs = closed()
-        yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+    def solve(held: list[tuple]) -> list[tuple]:
+        found = _pairs([r[4] for r in held], np.array([r[3] for r in held]), [r[2] for r in held], every)
+        return [(min(held[i][1], held[j][1]), max(held[i][1], held[j][1])) for i, j in found]
 
     # the upper 32 bits of a set's smallest hashes, moved to signed order (the set is kept in unsigned order)
     low = sets.select("set", F.size("shingles").alias("n_set"),
                       F.transform(F.slice("shingles", 1, LOW), lambda x: (F.shiftrightunsigned(x, 32) - F.lit(1 << 31)).cast("int")).alias("low"))
-    full = rows.select("node", "set", "label").join(low, "set")
-    return full.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a binary, b binary").where("a != b").distinct()
+    full = rows.select("node", "set", "label").join(low, "set").select("node", "set", "label", "n_set", "low")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    return by_node(full, solve, schema, "a binary, b binary").where("a != b").distinct()
 
 
 def sub_blocks(large: DataFrame) -> DataFrame:
@@ -278,43 +321,38 @@ def check(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(set, root) of every linked set; root is the smallest set of its component.
 
-    Alternating large-star and small-star rounds: every round is a minimum by key
-    and a join, and the number of rounds grows with the logarithm of the longest path."""
-    edges, before = links, None
+    Each round every set takes the smallest label among its neighbours' and its
+    own, then that label's own label (pointer jumping), so labels cross a long
+    chain in a few rounds. A round is one minimum by key and two joins, written
+    before the next; it ends when no label changed."""
+    both = stored(links.select("a", "b").union(links.select("b", "a")), "edges")
+    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("set"), "root"), "labels")
     while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
-        low = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = low.groupBy("u").agg(F.min("v").alias("m"))
-        joined = low.join(least, "u")
-        small = (joined.select(F.col("m").alias("a"), F.col("v").alias("b")).union(joined.select("m", "u"))
-                 .where("a != b").distinct())
-        edges = stored(small, "star")
-        now = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.groupBy("b").agg(F.min("a").alias("root"))
-    return roots.select(F.col("b").alias("set"), "root").union(roots.select("root", "root").distinct())
+        seen = both.join(labels.select(F.col("set").alias("b"), "root"), "b").groupBy(F.col("a").alias("set")).agg(F.min("root").alias("near"))
+        own = labels.join(seen, "set").select("set", "root", F.least("root", "near").alias("next"))
+        jump = labels.select(F.col("set").alias("next"), F.col("root").alias("far"))
+        labels = stored(own.join(jump, "next").select("set", F.least("next", "far").alias("root"), (F.least("next", "far") < F.col("root")).alias("moved")), "labels")
+        if labels.where("moved").isEmpty():
+            return labels.select("set", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key of every row."""
     rows = stored(sketch(docs), "sketches")
     classes = stored(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("tokens").alias("tokens")), "classes")
-    top = roots(classes)
-    members = stored(top.select("set").distinct().join(classes.select("set", F.col("least").alias("doc_id")), "set"), "members")
+    leaves, large = trees(classes)
+    leaves = stored(partnered(leaves), "leaves")
+    ids = leaves.select("set").union(large.select("set")).distinct()
+    members = stored(ids.join(classes.select("set", F.col("least").alias("doc_id")), "set"), "members")
     sets = stored(full_sets(docs, members), "sets")
-    leaves, large = top.where(F.col("n") <= LEAF), top.where(F.col("n") > LEAF)
-    dealt = leaves.select("node", "set").unionByName(sub_blocks(large)).withColumn("label", F.lit(None).cast("binary"))
+    dealt = leaves.unionByName(sub_blocks(large)).withColumn("label", F.lit(None).cast("binary"))
     first = stored(candidates(dealt, sets, every=False), "pairs")
     links = check(first, sets)
     group = stored(components(links), "groups")
     # round two: pairs between different groups that the first round didn't look at
     named = lambda x: x.join(group, "set", "left").withColumn("label", F.coalesce("root", "set")).drop("root")
     rest = mixed(named(leaves)).select("node", "set", "label")
-    depth, open_ = 1, stored(mixed(named(large)), "large")
+    depth, open_ = LEVELS, stored(mixed(named(large)), "large")
     while not open_.isEmpty():
         last = depth == DEPTH
         dear = F.lit(False) if last else F.col("others") * F.col("n") > CHEAP

@@ -88,6 +88,7 @@ def test_large_nodes_branch_and_stay_exact(spark, words, monkeypatch, cheap):
     ids = list(range(len(texts)))
     monkeypatch.setattr(N, "LEAF", 16)
     monkeypatch.setattr(N, "CHEAP", cheap)
+    monkeypatch.setattr(N, "LEVELS", 2)
     got = N.near_duplicates(docs_of(spark, texts, ids=ids)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == _brute(texts, ids)
 
