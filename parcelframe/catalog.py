@@ -35,6 +35,8 @@ def _load_all() -> None:
     """Import the query modules (each registers its queries on import)."""
     from .plans import (queries_core, queries_eda, queries_functions, queries_ingest,  # noqa: F401
                         queries_ml, queries_report, queries_series)
+    if "region_report" not in REGISTRY:
+        queries_functions.register_region_report()
 
 
 def queries() -> dict[str, QueryFn]:

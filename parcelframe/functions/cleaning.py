@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import BLANK_TOKENS, VERBATIM_BLANK_TOKENS
+from ..schema import BLANK_TOKENS, CATEGORY_WORDS, REST_CATEGORY, VERBATIM_BLANK_TOKENS
 
 # Every character Python's ``str.strip()`` removes (``str.isspace``), built
 # from that rule; a character-set trim is far cheaper than a Unicode regex.
@@ -17,12 +17,18 @@ WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # A plain decimal number after spaces are removed and ',' became '.'.
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-# Text timestamp layouts tried in order (ISO first, then
-# "Feb 11 2026 11:05", then month-first, then day-first).
-DATETIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-    "MMM d yyyy HH:mm", "MMM d yyyy", "M/d/yyyy HH:mm", "M/d/yyyy", "d/M/yyyy HH:mm", "d/M/yyyy",
-)
+# A time of day behind a date, all but hours and minutes optional (fractions up to nanoseconds).
+_TIME = "[ H:mm[:ss[.SSSSSSSSS]]]"
+_HALF_DAY = " h:mm[:ss]a"
+# Date layouts by the shape of the text, tried in order (month
+# first before day first). Separators are unified before parsing.
+DATE_LAYOUTS = {
+    "iso": ["yyyy-M-d" + _TIME],
+    "numeric": ["M/d/yyyy" + _TIME, "d/M/yyyy" + _TIME],
+    "numeric_half_day": ["M/d/yyyy" + _HALF_DAY, "d/M/yyyy" + _HALF_DAY],
+    "month_first": ["MMM d yyyy" + _TIME, "MMM d yyyy" + _HALF_DAY],
+    "day_first": ["d MMM yyyy" + _TIME, "d MMM yyyy" + _HALF_DAY],
+}
 
 
 def _col(c) -> Column:
@@ -86,17 +92,22 @@ def _first_parse(s: Column, formats) -> Column:
 def parse_datetime(s: Column) -> Column:
     """``to_datetime`` on text that is already stripped.
 
-    The layout list is tried in its fixed order, but only the layouts that can
-    match the text's shape (ISO, month name, slashes) are attempted, so most
-    values parse on the first try. Bare numbers and blank tokens match no
-    shape and stay NULL.
+    A value's shape picks the few layouts that can match it, so most parse on
+    the first try. A zone (``Z`` or an offset) moves the value to UTC. Bare
+    numbers and blank tokens have no shape and stay NULL.
     """
-    iso = [f for f in DATETIME_FORMATS if f.startswith("yyyy")]
-    named = [f for f in DATETIME_FORMATS if f.startswith("MMM")]
-    slashed = [f for f in DATETIME_FORMATS if "/" in f]
-    parsed = (F.when(s.rlike(r"^[0-9]{4}-"), _first_parse(s, iso))
-              .when(s.rlike(r"^[A-Za-z]"), _first_parse(s, named))
-              .when(s.contains("/"), _first_parse(s, slashed)))
+    zone = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
+    iso = F.regexp_replace(F.translate(s, "/.T", "-. "), r"^([0-9]{4})[.]([0-9]{1,2})[.]", "$1-$2-")
+    zoned = F.to_utc_timestamp(F.try_to_timestamp(iso, F.lit("yyyy-M-d H:mm[:ss[.SSSSSSSSS]][XXX][XX]")), F.current_timezone())
+    # 11-02-2026 and 11.02.2026 as 11/02/2026; "11:05 am" as "11:05AM"
+    day = F.upper(F.regexp_replace(F.regexp_replace(s, r"^([0-9]{1,2})[-.]([0-9]{1,2})[-.]", "$1/$2/"), r"(?i) *([ap])[.]?m[.]?$", "$1M"))
+    # "February 11, 2026" as "Feb 11 2026"
+    word = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?i) *([ap])[.]?m[.]?$", "$1M"), r"([A-Za-z]{3})[a-z]*[.]?([ ,-]|$)", "$1$2"), r"[ ,-]+", " ")
+    parsed = (F.when(s.rlike(r"^[0-9]{4}[-/.][0-9]"), F.when(s.rlike(r":[0-9.]+ *" + zone), zoned).otherwise(_first_parse(iso, DATE_LAYOUTS["iso"])))
+              .when(s.rlike(r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}"),
+                    F.when(day.endswith("M"), _first_parse(day, DATE_LAYOUTS["numeric_half_day"])).otherwise(_first_parse(day, DATE_LAYOUTS["numeric"])))
+              .when(s.rlike(r"^[A-Za-z]{3}[a-z]*[. ]"), _first_parse(word, DATE_LAYOUTS["month_first"]))
+              .when(s.rlike(r"^[0-9]{1,2}[ -][A-Za-z]{3}"), _first_parse(word, DATE_LAYOUTS["day_first"])))
     return parsed.cast("timestamp_ntz")
 
 
@@ -135,11 +146,10 @@ def month_start(year, month) -> Column:
 
 
 def bureau_category(office) -> Column:
-    """agence → agences; centre/cdc → centres; else bureaux (first match)."""
-    n = F.lower(_col(office))
-    return (F.when(n.contains("agence"), F.lit("agences"))
-            .when(n.contains("centre") | n.contains("cdc"), F.lit("centres"))
-            .otherwise(F.lit("bureaux")))
+    """The first category with a word in the office's name, else the rest."""
+    name = F.lower(_col(office))
+    words = [(w, key) for key, listed in CATEGORY_WORDS.items() for w in listed]
+    return F.coalesce(*[F.when(name.contains(w), F.lit(key)) for w, key in words], F.lit(REST_CATEGORY))
 
 
 def capitalize_type(c) -> Column:

@@ -81,7 +81,8 @@ def weight_stats(df: DataFrame, by=None) -> DataFrame:
 def kpi_summary(df: DataFrame, by=None, late_threshold: int = LATE_THRESHOLD_DAYS) -> DataFrame:
     """The ten headline KPIs in one aggregation.
 
-    ``delivery_rate`` = round(100·delivered/total, 1), 0 when there are no rows.
+    ``delivery_rate`` = 100·delivered/total to one decimal, ties to even, 0 when
+    there are no rows.
     Apply ``filters.filter_combined`` first for region / next-region /
     category scoping.
     """
@@ -105,7 +106,7 @@ def kpi_summary(df: DataFrame, by=None, late_threshold: int = LATE_THRESHOLD_DAY
         F.round(F.col("_crbt"), 2).cast(MONEY2).alias("total_crbt_amount"),
         "delivered",
         (F.col("total_shipments") - F.col("delivered")).alias("failed"),
-        F.coalesce(F.round(F.try_divide(F.col("delivered") * F.lit(100.0), F.col("total_shipments")), 1),
+        F.coalesce(F.bround(F.try_divide(F.col("delivered") * F.lit(100.0), F.col("total_shipments")), 1),
                    F.lit(0.0)).alias("delivery_rate"),
         F.bround(F.col("_avg"), 2).alias("avg_interval_days"),
         "late_deliveries",

@@ -1,9 +1,7 @@
 """Exploratory statistics as aggregations.
 
-Exact quantiles use Spark's ``percentile`` (linear interpolation, as pandas):
-its buffer is a value → count map merged map-side, so memory grows with the
-number of *distinct* values in a group, not rows. For continuous columns with
-an unbounded domain pass ``exact=False`` (``percentile_approx``).
+Exact quantiles (linear interpolation, as pandas) come from counts of distinct
+values, ordered by ranges (``order``), so no group's values meet in one task.
 Scalar statistics needed as parameters (min/max for bin edges) are single
 numbers fetched with one small aggregate.
 """
@@ -15,10 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.formatting import WEIGHT_CLASSES, weight_class
-
-
-def _q(c: Column, p, exact: bool = True) -> Column:
-    return F.percentile(c, p) if exact else F.percentile_approx(c, p, 100000)
+from .order import exact_quantiles, running_counts
 
 
 def missing_profile(df: DataFrame, columns=None) -> DataFrame:
@@ -36,13 +31,27 @@ def missing_profile(df: DataFrame, columns=None) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str, by=None, exact: bool = True) -> DataFrame:
-    """count, mean, std (sample), min, 25/50/75 % (interpolated), max."""
+    """count, mean, std (sample), min, 25/50/75 % (interpolated), max.
+
+    Exact quantiles come from counts of distinct values (``order.exact_quantiles``);
+    ``exact=False`` takes Spark's sketch instead."""
     x = F.col(column).cast("double")
-    cols = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), _q(x, 0.25, exact).alias("q25"), _q(x, 0.5, exact).alias("q50"),
-            _q(x, 0.75, exact).alias("q75"), F.max(x).alias("max")]
-    g = df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
-    return g
+    by = list(by or [])
+    cols = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    ps = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    if not exact:
+        cols += [F.percentile_approx(x, p, 100000).alias(n) for n, p in ps.items()]
+    stats = df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
+    if exact:
+        q = exact_quantiles(df, x, ps, by)
+        if by:
+            q = q.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *ps)
+            same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+            stats = stats.join(q, same, "left")
+        else:
+            row = q.first()
+            stats = stats.select("*", *[F.lit(row[n]).cast("double").alias(n) for n in ps])
+    return stats.select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def _minmax(df: DataFrame, x: Column) -> tuple[float | None, float | None]:
@@ -104,30 +113,28 @@ def ols_trend(df: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def box_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles and 1.5·IQR whiskers (most extreme values inside the fences) per group."""
-    v = F.col(value).cast("double")
-    q = df.groupBy(group).agg(F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"),
-                              F.percentile(v, 0.75).alias("q3"), F.count(v).alias("n"))
-    lo_f = F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    hi_f = F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    joined = df.select(group, v.alias("_v")).join(q, group)
-    inside = (F.col("_v") >= lo_f) & (F.col("_v") <= hi_f)
-    w = joined.groupBy(group, "q1", "median", "q3", "n").agg(
-        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.count(F.when(~inside, 1)).alias("outliers"))
-    return w
+    """Quartiles and 1.5·IQR whiskers (most extreme values inside the fences) per group,
+    all from the counts of distinct values."""
+    runs = running_counts(df, F.col(value), [group])
+    q = exact_quantiles(df, F.col(value), {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group])
+    q = q.select(F.col(group).alias("_g"), "q1", "median", "q3")
+    iqr = F.lit(1.5) * (F.col("q3") - F.col("q1"))
+    inside = F.col("v").between(F.col("q1") - iqr, F.col("q3") + iqr)
+    joined = runs.join(q, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.groupBy(group, "q1", "median", "q3").agg(
+        F.sum("n").alias("n"), F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"))
 
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """Empirical CDF at each distinct value: share of rows ≤ value.
 
     Rows are first reduced to (value, count) — a distributed group-by — and
-    only the distinct values are ordered for the running sum.
-    """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    w = W.orderBy(column).rowsBetween(W.unboundedPreceding, 0)
-    return counts.select(column, "n", (F.sum("n").over(w) / F.sum("n").over(W.partitionBy())).alias("ecdf"))
+    the running sums go by ranges of values."""
+    runs = running_counts(df, F.col(column))
+    kind = df.schema[column].dataType
+    return runs.select(F.col("v").cast(kind).alias(column), "n", ((F.col("lo") + F.col("n")) / F.col("total")).alias("ecdf"))
 
 
 def period_span(df: DataFrame, column: str) -> DataFrame:

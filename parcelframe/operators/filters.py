@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import strip_ws
-from ..schema import VIDE
+from ..schema import CATEGORY_WORDS, REST_CATEGORY, VIDE
 
 LATE_THRESHOLD_DAYS = 3
 
@@ -19,38 +19,33 @@ def region_condition(region: str | None, column: str = "depot_region") -> Column
     return None if not region else (F.col(column) == F.lit(region))
 
 
+def any_of(conditions) -> Column | None:
+    """One condition that holds where any does; None for none."""
+    found = list(conditions)
+    return reduce(Column.__or__, found) if found else None
+
+
 def next_region_condition(next_regions, column: str = "next_region") -> Column | None:
-    """IN list; ``(VIDE)`` selects NULL or empty; parts OR-ed; empty list = no filter."""
-    if not next_regions:
+    """Membership in a list where ``(VIDE)`` stands for a missing value, NULL or empty; no list, no filter."""
+    wanted = {"" if r == VIDE else r for r in next_regions or ()}
+    if not wanted:
         return None
-    reals = [r for r in next_regions if r != VIDE]
-    parts = []
-    if reals:
-        parts.append(F.col(column).isin(*reals))
-    if VIDE in next_regions:
-        parts.append(F.col(column).isNull() | (F.col(column) == ""))
-    return reduce(lambda a, b: a | b, parts) if parts else None
+    member = F.col(column).isin(*sorted(wanted))
+    return member | F.col(column).isNull() if VIDE in next_regions else member
 
 
-def category_condition(categories, column: str = "depot_office") -> Column | None:
-    """agences / centres / bureaux by case-insensitive substring, OR-ed.
+def category_predicates(column: str = "depot_office") -> dict[str, Column]:
+    """What makes an office one of each category (case-insensitive substrings).
 
-    A NULL office matches no category (three-valued logic of SQL).
-    """
-    if not categories:
-        return None
-    cats = set(categories)
-    o = F.col(column)
-    agence = o.ilike("%agence%")
-    centre = o.ilike("%centre%") | o.ilike("%cdc%")
-    parts = []
-    if "agences" in cats:
-        parts.append(agence)
-    if "centres" in cats:
-        parts.append(centre)
-    if "bureaux" in cats:
-        parts.append(~o.ilike("%agence%") & ~o.ilike("%centre%") & ~o.ilike("%cdc%"))
-    return reduce(lambda a, b: a | b, parts) if parts else None
+    The rest are offices with none of the words; a NULL office is in no category."""
+    name = F.lower(F.col(column))
+    named = {key: any_of(name.contains(w) for w in words) for key, words in CATEGORY_WORDS.items()}
+    return named | {REST_CATEGORY: ~any_of(named.values())}
+
+
+def category_condition(categories, column: str = "depot_office") -> Column | None:
+    """Offices of any of the given categories; unknown ones count for nothing."""
+    return any_of(p for key, p in category_predicates(column).items() if key in set(categories or ()))
 
 
 def combine(*conds: Column | None) -> Column | None:

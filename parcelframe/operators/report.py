@@ -1,13 +1,17 @@
 """Regional report: scoped KPIs, depot and delivery tables, drills, sliders.
 
 The source system rebuilt every table once per region, looping over
-offices. Here each table is one aggregation keyed by (region, office) with
-GROUPING SETS for the TOTAL row, so every region's report comes out of a
-single pass over the data. ``region=None`` means every region; a region
-name scopes the input first (the filter is pushed down).
+offices. Here each table is one aggregation at its finest grain, whose small
+result gives the TOTAL rows by GROUPING SETS, so every region's report comes
+out of a single pass over the data and no row is processed twice.
+``region=None`` means every region; a region name scopes the input first.
+
+All operators take cleaned text (as ingest leaves it), so region filters reach
+the scan; pass raw rows through ``stripped`` before.
 
 Depot tables key on the depot office/region; delivery ("livraison") tables
-key on the last-event office/region.
+key on the last-event office/region. Tables come unordered; sort where they
+are shown.
 """
 
 from __future__ import annotations
@@ -15,29 +19,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import bureau_category, crbt_flag, parse_amount_or_zero, strip_ws
+from ..functions.cleaning import bureau_category, parse_amount_or_zero, strip_ws
 from ..functions.temporal import date_label
 from .aggregates import MONEY, MONEY2, count_if
 from ..session import materialize
-from .filters import filter_date_range
+from .filters import filter_date_range, filter_next_region
+from .order import with_position
 
 TOTAL = "TOTAL"
 DEPOT = {"region": "depot_region", "office": "depot_office", "date": "deposit_date"}
 LIVRAISON = {"region": "last_event_region", "office": "last_event_office", "date": "last_event_date"}
 
 
+TEXT_COLUMNS = ("mailitm_fid", "depot_region", "depot_office", "last_event", "last_event_region", "last_event_office", "shipment_type")
+
+
+def stripped(df: DataFrame) -> DataFrame:
+    """Raw rows with the text columns of the report stripped once."""
+    return df.withColumns({c: strip_ws(c) for c in TEXT_COLUMNS if c in df.columns})
+
+
+def _in_region(df: DataFrame, column: str, region: str | None) -> DataFrame:
+    out = df if not region else df.filter(F.col(column) == F.lit(region))
+    return out.withColumn("region", F.col(column))
+
+
 def _scope(df: DataFrame, keys: dict, region: str | None, categories=None) -> DataFrame:
-    """Trimmed region/office keys, blank offices dropped, optional region and
+    """Region/office keys, blank offices dropped, optional region and
     category (first-match office category) filters."""
-    out = df.withColumn("region", strip_ws(keys["region"])).withColumn("office", strip_ws(keys["office"]))
-    out = out.filter(F.coalesce(F.col("office"), F.lit("")) != "")
-    if region:
-        out = out.filter(F.col("region") == F.lit(region))
+    out = _in_region(df.filter(F.col(keys["office"]) != ""), keys["region"], region).withColumn("office", F.col(keys["office"]))
     if categories:
         out = out.filter(bureau_category(F.col("office")).isin(*categories))
     return out
 
 
+def _delivered():
+    return F.coalesce(F.lower("last_event").startswith("envoi liv"), F.lit(False))
+
+
 def _with_total(grouped: DataFrame) -> DataFrame:
     """Turn the grand-total row of a (region, office) grouping set into TOTAL."""
     is_total = F.col("_g_office") == 1
@@ -51,42 +70,45 @@ def _with_total(grouped: DataFrame) -> DataFrame:
 def report_kpis(df: DataFrame, region: str | None = None, by_region: bool = False) -> DataFrame:
     """Top KPI block: delivered (event prefix), total, rate (1 dp), mean of every
     non-null interval (1 dp), revenue (2 dp), CRBT rows."""
-    base = df.withColumn("region", strip_ws("depot_region"))
-    if region:
-        base = base.filter(F.col("region") == F.lit(region))
-    delivered = count_if(F.coalesce(F.lower(strip_ws("last_event")).startswith("envoi liv"), F.lit(False)))
+    base = _in_region(df, "depot_region", region)
+    delivered = count_if(_delivered())
     total = F.count(F.lit(1))
     cols = [
         delivered.alias("livres"), total.alias("total"),
         F.bround(F.try_divide(delivered * F.lit(100.0), total), 1).alias("taux"),
         F.bround(F.avg(F.col("interval_days").cast("double")), 1).alias("avg_intervalle"),
         F.round(F.coalesce(F.sum("revenue_ca"), F.lit(0)), 2).cast(MONEY2).alias("total_ca"),
-        count_if(crbt_flag("shipment_type")).alias("crbt"),
+        count_if(_is_crbt()).alias("crbt"),
     ]
     return base.groupBy("region").agg(*cols) if by_region else base.agg(*cols)
 
 
+def _is_crbt():
+    return F.coalesce(F.upper("shipment_type") == "CRBT", F.lit(False))
+
+
+def _scopes(fine: DataFrame, sums) -> DataFrame:
+    """Per region and source, and over sources, from rows that hold sums per (region, source)."""
+    g = fine.groupingSets([["region", "source"], ["region"]], "region", "source").agg(
+        *[F.sum(c).alias(c) for c in sums], F.grouping("source").alias("_g"))
+    return g.withColumn("scope", F.when(F.col("_g") == 1, "global").otherwise(F.col("source")))
+
+
 def depot_kpis(df: DataFrame, region: str | None = None) -> DataFrame:
     """National / export / global depot KPIs per depot region.
 
     ``df`` holds the national and export rows with a ``source`` column; the
-    global row is the grouping set without ``source``.
+    global row sums the two.
     """
-    base = df.filter(F.col("source").isin("national", "export")).withColumn("region", strip_ws("depot_region"))
-    if region:
-        base = base.filter(F.col("region") == F.lit(region))
-    crbt = crbt_flag("shipment_type")
+    base = _in_region(df.filter(F.col("source").isin("national", "export")), "depot_region", region)
     ca = F.coalesce(F.col("revenue_ca"), F.lit(0))
-    g = base.groupingSets([["region", "source"], ["region"]], "region", "source").agg(
-        F.count(F.lit(1)).alias("total"),
-        count_if(crbt).alias("crbt"),
-        F.round(F.sum(ca), 2).cast(MONEY2).alias("ca"),
-        F.round(F.sum(F.when(crbt, ca).otherwise(F.lit(0))), 2).cast(MONEY2).alias("ca_crbt"),
-        F.round(F.sum(F.when(~crbt, ca).otherwise(F.lit(0))), 2).cast(MONEY2).alias("ca_ordinaire"),
-        F.grouping("source").alias("_g"))
-    return g.select(
-        "region", F.when(F.col("_g") == 1, F.lit("global")).otherwise(F.col("source")).alias("scope"),
-        "total", "crbt", (F.col("total") - F.col("crbt")).alias("ordinaire"), "ca", "ca_crbt", "ca_ordinaire")
+    fine = base.groupBy("region", "source").agg(
+        F.count(F.lit(1)).alias("total"), count_if(_is_crbt()).alias("crbt"), F.sum(ca).alias("ca"),
+        F.sum(F.when(_is_crbt(), ca).otherwise(F.lit(0))).alias("ca_crbt"))
+    g = _scopes(fine, ["total", "crbt", "ca", "ca_crbt"])
+    money = lambda c: F.round(c, 2).cast(MONEY2)
+    return g.select("region", "scope", "total", "crbt", (F.col("total") - F.col("crbt")).alias("ordinaire"), money(F.col("ca")).alias("ca"),
+                    money(F.col("ca_crbt")).alias("ca_crbt"), money(F.col("ca") - F.col("ca_crbt")).alias("ca_ordinaire"))
 
 
 def livraison_kpis(df: DataFrame, region: str | None = None) -> DataFrame:
@@ -95,47 +117,52 @@ def livraison_kpis(df: DataFrame, region: str | None = None) -> DataFrame:
     Rate = round(100·delivered/total, 1) from exact counts (also for the global
     row); the global mean interval is NULL as in the source report.
     """
-    base = df.filter(F.col("source").isin("national", "import")).withColumn("region", strip_ws("last_event_region"))
-    if region:
-        base = base.filter(F.col("region") == F.lit(region))
-    crbt = crbt_flag("shipment_type")
-    delivered = count_if(F.coalesce(F.lower(strip_ws("last_event")).startswith("envoi liv"), F.lit(False)))
-    total = F.count(F.lit(1))
-    g = base.groupingSets([["region", "source"], ["region"]], "region", "source").agg(
-        total.alias("total"), count_if(crbt).alias("crbt"),
-        F.round(F.coalesce(F.sum("revenue_ca"), F.lit(0)), 2).cast(MONEY2).alias("ca"),
-        F.bround(F.try_divide(delivered * F.lit(100.0), total), 1).alias("taux"),
-        F.bround(F.avg(F.col("interval_days").cast("double")), 1).alias("_avg"),
-        F.grouping("source").alias("_g"))
-    is_global = F.col("_g") == 1
+    base = _in_region(df.filter(F.col("source").isin("national", "import")), "last_event_region", region)
+    interval = F.col("interval_days").cast("double")
+    fine = base.groupBy("region", "source").agg(
+        F.count(F.lit(1)).alias("total"), count_if(_is_crbt()).alias("crbt"), F.coalesce(F.sum("revenue_ca"), F.lit(0)).alias("ca"),
+        count_if(_delivered()).alias("delivered"), F.sum(interval).alias("days"), F.count(interval).alias("timed"))
+    g = _scopes(fine, ["total", "crbt", "ca", "delivered", "days", "timed"])
     return g.select(
-        "region", F.when(is_global, F.lit("global")).otherwise(F.col("source")).alias("scope"),
-        "total", "crbt", (F.col("total") - F.col("crbt")).alias("ordinaire"), "ca", "taux",
-        F.when(is_global, F.lit(None).cast("double")).otherwise(F.col("_avg")).alias("avg_intervalle"))
+        "region", "scope", "total", "crbt", (F.col("total") - F.col("crbt")).alias("ordinaire"),
+        F.round("ca", 2).cast(MONEY2).alias("ca"),
+        F.bround(F.try_divide(F.col("delivered") * F.lit(100.0), F.col("total")), 1).alias("taux"),
+        F.when(F.col("_g") == 0, F.bround(F.try_divide(F.col("days"), F.col("timed")), 1)).alias("avg_intervalle"))
 
 
 # ── Tables ────────────────────────────────────────────────────────────────────
 
+def _totalled(fine: DataFrame, aggs) -> DataFrame:
+    """Per (region, office) and a TOTAL row per region, from rows at a finer grain."""
+    return _with_total(fine.groupingSets([["region", "office"], ["region"]], "region", "office").agg(
+        *aggs, F.grouping("office").alias("_g_office")))
+
+
 def depot_table(df: DataFrame, region: str | None = None, categories=None) -> DataFrame:
-    """Per depot office: CRBT rows, revenue, weight, rows; plus a TOTAL row per
-    region. Sorted by region, offices A→Z, TOTAL last."""
-    base = _scope(df, DEPOT, region, categories)
-    g = base.groupingSets([["region", "office"], ["region"]], "region", "office").agg(
-        count_if(crbt_flag("shipment_type")).alias("crbt"),
-        F.coalesce(F.sum("revenue_ca"), F.lit(0)).cast(MONEY).alias("ca"),
-        F.coalesce(F.sum("weight_kg"), F.lit(0.0)).alias("poids"),
-        F.count(F.lit(1)).alias("nb_ids"),
-        F.grouping("office").alias("_g_office"))
-    return (_with_total(g).select("region", "office", "is_total", "crbt", "ca", "poids", "nb_ids")
-            .orderBy("region", "is_total", "office"))
+    """Per depot office: CRBT rows, revenue, weight, rows; plus a TOTAL row per region."""
+    fine = _scope(df, DEPOT, region, categories).groupBy("region", "office").agg(
+        count_if(_is_crbt()).alias("crbt"), F.sum("revenue_ca").alias("ca"), F.sum("weight_kg").alias("poids"),
+        F.count(F.lit(1)).alias("nb_ids"))
+    g = _totalled(fine, [F.sum("crbt").alias("crbt"), F.coalesce(F.sum("ca"), F.lit(0)).cast(MONEY).alias("ca"),
+                         F.coalesce(F.sum("poids"), F.lit(0.0)).alias("poids"), F.sum("nb_ids").alias("nb_ids")])
+    return g.select("region", "office", "is_total", "crbt", "ca", "poids", "nb_ids")
+
+
+MOST_EVENTS = 200
+
+
+def event_order(df: DataFrame, event_col: str = "last_event") -> DataFrame:
+    """(position, event): distinct events, 'envoi liv…' first, then alphabetical."""
+    events = df.select(F.col(event_col).alias("event")).where(F.col("event") != "").distinct()
+    return with_position(events, [~F.lower("event").startswith("envoi liv"), "event"])
 
 
 def event_values(df: DataFrame, event_col: str = "last_event") -> list[str]:
-    """Pivot value list: trimmed non-empty events, 'envoi liv…' first, then
-    alphabetical. Bounded by the event vocabulary (a handful of values)."""
-    ev = strip_ws(event_col)
-    rows = (df.select(ev.alias("e")).filter(F.coalesce(F.col("e"), F.lit("")) != "").distinct()
-            .orderBy(~F.lower("e").startswith("envoi liv"), "e").collect())
+    """The pivot's value list; more than ``MOST_EVENTS`` are an error (take the long form then)."""
+    ev = df.select(F.col(event_col).alias("e")).where(F.col("e") != "").distinct()
+    rows = ev.orderBy(~F.lower("e").startswith("envoi liv"), "e").limit(MOST_EVENTS + 1).collect()
+    if len(rows) > MOST_EVENTS:
+        raise ValueError(f"more than {MOST_EVENTS} events: use livraison_table_long, or name the events")
     return [r["e"] for r in rows]
 
 
@@ -146,33 +173,30 @@ def livraison_table(df: DataFrame, region: str | None = None, categories=None,
 
     The rows are read once: every measure is aggregated at
     (region, office, event) grain into a small checkpointed table. The event
-    list (pivot values) and the pivot itself, with the TOTAL row from GROUPING
-    SETS, are then computed on that small table rather than on the rows.
+    list (pivot values, unless given) and the pivot itself, with the TOTAL row
+    from GROUPING SETS, are then computed on that small table.
     """
-    base = _scope(df, LIVRAISON, region, categories).withColumn("event", strip_ws("last_event"))
-    fine = materialize(base.groupBy("region", "office", "event").agg(
-        F.count(F.lit(1)).alias("n"), count_if(crbt_flag("shipment_type")).alias("n_crbt"),
+    fine = materialize(_scope(df, LIVRAISON, region, categories).withColumn("event", F.col("last_event"))
+                       .groupBy("region", "office", "event").agg(
+        F.count(F.lit(1)).alias("n"), count_if(_is_crbt()).alias("n_crbt"),
         F.sum("revenue_ca").alias("ca_sum"), F.sum("weight_kg").alias("poids_sum")))
     values = events if events is not None else event_values(fine, "event")
-    total = F.sum("n")
-    crbt = F.sum("n_crbt")
-    g = fine.groupingSets([["region", "office"], ["region"]], "region", "office").agg(
+    total, crbt = F.sum("n"), F.sum("n_crbt")
+    g = _totalled(fine, [
         *[F.sum(F.when(F.col("event") == F.lit(v), F.col("n")).otherwise(F.lit(0))).alias(v) for v in values],
         total.alias("total_ids"), crbt.alias("crbt"), (total - crbt).alias("ordinaire"),
         F.coalesce(F.sum("ca_sum"), F.lit(0)).cast(MONEY).alias("ca"),
-        F.coalesce(F.sum("poids_sum"), F.lit(0.0)).alias("poids"),
-        F.grouping("office").alias("_g_office"))
-    return (_with_total(g).select("region", "office", "is_total", *[F.col(f"`{v}`") for v in values],
-                                  "total_ids", "crbt", "ordinaire", "ca", "poids")
-            .orderBy("region", "is_total", "office"))
+        F.coalesce(F.sum("poids_sum"), F.lit(0.0)).alias("poids")])
+    return g.select("region", "office", "is_total", *[F.col(f"`{v}`") for v in values],
+                    "total_ids", "crbt", "ordinaire", "ca", "poids")
 
 
 def livraison_table_long(df: DataFrame, region: str | None = None, categories=None) -> DataFrame:
     """Long form of the event pivot: (region, office, event, n) incl. TOTAL office."""
-    base = _scope(df, LIVRAISON, region, categories).withColumn("event", strip_ws("last_event"))
-    base = base.filter(F.coalesce(F.col("event"), F.lit("")) != "")
-    g = base.groupingSets([["region", "office", "event"], ["region", "event"]], "region", "office", "event") \
-        .agg(F.count(F.lit(1)).alias("n"), F.grouping("office").alias("_g_office"))
+    base = _scope(df, LIVRAISON, region, categories).withColumn("event", F.col("last_event")).filter(F.col("event") != "")
+    fine = base.groupBy("region", "office", "event").agg(F.count(F.lit(1)).alias("n"))
+    g = fine.groupingSets([["region", "office", "event"], ["region", "event"]], "region", "office", "event") \
+        .agg(F.sum("n").alias("n"), F.grouping("office").alias("_g_office"))
     return _with_total(g).select("region", "office", "is_total", "event", "n")
 
 
@@ -196,56 +220,51 @@ def column_totals(table: DataFrame, numeric_cols) -> DataFrame:
 
 def _entry_type(c) -> Column:
     """Type label as displayed: upper-cased then capitalised ('CRBT' → 'Crbt')."""
-    s = F.upper(strip_ws(c))
+    s = F.upper(c)
     return F.coalesce(F.concat(F.substring(s, 1, 1), F.lower(F.substring(s, 2, 1 << 30))), F.lit(""))
 
 
 def _txt(c) -> Column:
-    return F.coalesce(strip_ws(F.col(c).cast("string")), F.lit(""))
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
 def _drill(base: DataFrame, subkeys: Column, fields: dict[str, Column]) -> DataFrame:
     """Entries are built once per row, then repeated under each of the row's sub-keys."""
-    base = base.withColumn("id", strip_ws("mailitm_fid")).filter(F.coalesce(F.col("id"), F.lit("")) != "")
-    entries = base.select("region", "office", F.array_compact(subkeys).alias("_keys"), "id",
-                          *[c.alias(n) for n, c in fields.items()])
+    entries = base.filter(F.col("mailitm_fid") != "").select(
+        "region", "office", F.array_compact(subkeys).alias("_keys"), F.col("mailitm_fid").alias("id"),
+        *[c.alias(n) for n, c in fields.items()])
     return entries.select("region", "office", F.explode("_keys").alias("subkey"), "id", *fields)
 
 
 def depot_drill(df: DataFrame, region=None, categories=None) -> DataFrame:
     """Per depot office: every entry under ``__all__`` and CRBT ones under ``CRBT``."""
     base = _scope(df, DEPOT, region, categories)
-    crbt = F.upper(strip_ws("shipment_type")) == "CRBT"
-    return _drill(base, F.array(F.lit("__all__"), F.when(crbt, F.lit("CRBT"))),
+    return _drill(base, F.array(F.lit("__all__"), F.when(_is_crbt(), F.lit("CRBT"))),
                   {"ca": _txt("revenue_ca"), "type": _entry_type("shipment_type")})
 
 
 def livraison_drill(df: DataFrame, region=None, categories=None) -> DataFrame:
     """Per last-event office: ``__all__``, one key per event, CRBT or Ordinaire."""
     base = _scope(df, LIVRAISON, region, categories)
-    ev = strip_ws("last_event")
-    crbt = F.coalesce(F.upper(strip_ws("shipment_type")) == "CRBT", F.lit(False))
-    keys = F.array(F.lit("__all__"), F.when(F.coalesce(ev, F.lit("")) != "", ev),
-                   F.when(crbt, F.lit("CRBT")).otherwise(F.lit("Ordinaire")))
-    return _drill(base, keys, {"event": F.coalesce(ev, F.lit("")), "type": _entry_type("shipment_type"),
+    keys = F.array(F.lit("__all__"), F.when(F.col("last_event") != "", F.col("last_event")),
+                   F.when(_is_crbt(), F.lit("CRBT")).otherwise(F.lit("Ordinaire")))
+    return _drill(base, keys, {"event": _txt("last_event"), "type": _entry_type("shipment_type"),
                                "ca": _txt("revenue_ca"), "interval": _txt("interval_days"),
                                "poids": _txt("weight_kg")})
 
 
-def export_drill(df: DataFrame, region=None) -> DataFrame:
-    """Export depot drill: ``__all__`` plus CRBT / Ordinaire (one rule: upper(strip)=CRBT)."""
-    base = _scope(df, DEPOT, region)
-    crbt = F.coalesce(F.upper(strip_ws("shipment_type")) == "CRBT", F.lit(False))
-    keys = F.array(F.lit("__all__"), F.when(crbt, F.lit("CRBT")).otherwise(F.lit("Ordinaire")))
+def export_drill(df: DataFrame, region=None, categories=None) -> DataFrame:
+    """Export depot drill: ``__all__`` plus CRBT / Ordinaire (one rule: upper(type) = CRBT)."""
+    base = _scope(df, DEPOT, region, categories)
+    keys = F.array(F.lit("__all__"), F.when(_is_crbt(), F.lit("CRBT")).otherwise(F.lit("Ordinaire")))
     return _drill(base, keys, {"poids": _txt("weight_kg"), "ca": _txt("revenue_ca")})
 
 
-def import_drill(df: DataFrame, region=None) -> DataFrame:
+def import_drill(df: DataFrame, region=None, categories=None) -> DataFrame:
     """Import delivery drill: ``__all__`` plus one key per event; repeated ids kept."""
-    base = _scope(df, LIVRAISON, region)
-    ev = strip_ws("last_event")
-    keys = F.array(F.lit("__all__"), F.when(F.coalesce(ev, F.lit("")) != "", ev))
-    return _drill(base, keys, {"event": F.coalesce(ev, F.lit("")), "interval": _txt("interval_days"),
+    base = _scope(df, LIVRAISON, region, categories)
+    keys = F.array(F.lit("__all__"), F.when(F.col("last_event") != "", F.col("last_event")))
+    return _drill(base, keys, {"event": _txt("last_event"), "interval": _txt("interval_days"),
                                "poids": _txt("weight_kg")})
 
 
@@ -257,20 +276,20 @@ def drill_lookup(drill: DataFrame, office: str, subkey: str = "__all__") -> Data
 def drill_pages(drill: DataFrame, page_size: int = 1000) -> DataFrame:
     """Nested drill payload in bounded pages.
 
-    A single office can hold a large share of all rows, so its entries are
-    never gathered into one array: the number of pages of each
-    (region, office, subkey) cell is derived from its count, entries are
-    spread over pages by a hash of the entry, and each page is collected
-    separately (~``page_size`` entries each).
+    Equal entries are first counted (each keeps its number as ``times``), so a
+    page holds different entries only. A cell's number of pages follows from
+    its number of entries, and entries are spread over pages by a hash: about
+    ``page_size`` each, whatever the office's share of all rows.
     """
     keys = ["region", "office", "subkey"]
     fields = [c for c in drill.columns if c not in keys]
-    sizes = drill.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    entries = drill.groupBy(*keys, *fields).agg(F.count(F.lit(1)).alias("times"))
+    sizes = entries.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
     pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(page_size)).cast("int"))
-    paged = (drill.join(sizes, keys)
-             .withColumn("page", F.pmod(F.xxhash64(*fields), pages.cast("long")).cast("int")))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    paged = entries.join(sizes, same).withColumn("page", F.pmod(F.xxhash64(*fields), pages.cast("long")).cast("int"))
     return paged.groupBy(*keys, "page").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("entries"))
+        F.sort_array(F.collect_list(F.struct(*fields, "times"))).alias("entries"))
 
 
 def drill_json(drill: DataFrame) -> DataFrame:
@@ -286,7 +305,7 @@ def depot_slider(df: DataFrame, region=None, categories=None) -> DataFrame:
     """{b, d, t, c, p}: office, date label, type, revenue (2 dp), weight (2 dp)."""
     base = _scope(df, DEPOT, region, categories)
     return base.select("region", F.col("office").alias("b"), date_label("deposit_date").alias("d"),
-                       F.coalesce(F.upper(strip_ws("shipment_type")), F.lit("")).alias("t"),
+                       F.coalesce(F.upper("shipment_type"), F.lit("")).alias("t"),
                        parse_amount_or_zero("revenue_ca").alias("c"),
                        parse_amount_or_zero("weight_kg").alias("p"))
 
@@ -295,7 +314,36 @@ def livraison_slider(df: DataFrame, region=None, categories=None) -> DataFrame:
     """{b, d, e, t, c, p}: office, date label, event, type, revenue, weight (carried)."""
     base = _scope(df, LIVRAISON, region, categories)
     return base.select("region", F.col("office").alias("b"), date_label("last_event_date").alias("d"),
-                       F.coalesce(strip_ws("last_event"), F.lit("")).alias("e"),
-                       F.coalesce(F.upper(strip_ws("shipment_type")), F.lit("")).alias("t"),
+                       _txt("last_event").alias("e"),
+                       F.coalesce(F.upper("shipment_type"), F.lit("")).alias("t"),
                        parse_amount_or_zero("revenue_ca").alias("c"),
                        parse_amount_or_zero("weight_kg").alias("p"))
+
+
+# ── The whole report ─────────────────────────────────────────────────────────
+
+def region_report(shipments: DataFrame, region: str | None = None, next_regions=None, cat_depot=None, cat_livraison=None,
+                  include_depot: bool = True, include_livraison: bool = True) -> dict[str, DataFrame]:
+    """Every part of the report by name, for one region or for all.
+
+    ``shipments`` holds all sources. ``next_regions`` scopes all rows first;
+    ``cat_depot`` and ``cat_livraison`` are office categories of the depot and
+    the delivery half, each of which can be left out. The top KPI block is
+    always there.
+    """
+    rows = filter_next_region(shipments, next_regions)
+    by = {s: rows.filter(F.col("source") == s) for s in ("national", "export", "import")}
+    parts = {"report_kpis": report_kpis(by["national"], region, by_region=True)}
+    if include_depot:
+        parts |= {
+            "depot_kpis": depot_kpis(rows, region), "depot_table": depot_table(by["national"], region, cat_depot),
+            "export_table": depot_table(by["export"], region, cat_depot), "depot_drill": depot_drill(by["national"], region, cat_depot),
+            "export_drill": export_drill(by["export"], region, cat_depot), "depot_slider": depot_slider(by["national"], region, cat_depot)}
+    if include_livraison:
+        parts |= {
+            "livraison_kpis": livraison_kpis(rows, region), "livraison_table": livraison_table_long(by["national"], region, cat_livraison),
+            "import_table": livraison_table_long(by["import"], region, cat_livraison),
+            "livraison_drill": livraison_drill(by["national"], region, cat_livraison),
+            "import_drill": import_drill(by["import"], region, cat_livraison),
+            "livraison_slider": livraison_slider(by["national"], region, cat_livraison)}
+    return parts

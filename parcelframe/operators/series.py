@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.temporal import calendar_parts, cyclic_parts
+from .order import with_position
 
 UNKNOWN_GROUP = "INCONNU"
 
@@ -40,14 +41,17 @@ def daily_total(panel: DataFrame, targets=("poids", "CA", "nb_envois")) -> DataF
     return panel.groupBy("ds").agg(*[F.sum(t).alias(t) for t in targets if t in panel.columns])
 
 
-def calendar_fill(daily: DataFrame, value_cols, ds: str = "ds", business_days_only: bool = True) -> DataFrame:
-    """Reindex onto every (business) day between the first and last date; missing → 0."""
-    span = daily.agg(F.min(ds).alias("lo"), F.max(ds).alias("hi"))
-    cal = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias(ds))
+def calendar_fill(daily: DataFrame, value_cols, ds: str = "ds", business_days_only: bool = True,
+                  key: str | None = None) -> DataFrame:
+    """Reindex onto every (business) day between the first and last date, of each series where ``key``
+    names one; missing → 0."""
+    keys = [key] if key else []
+    span = daily.groupBy(*keys).agg(F.min(ds).alias("lo"), F.max(ds).alias("hi"))
+    cal = span.where("lo IS NOT NULL").select(*keys, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias(ds))
     if business_days_only:
         cal = cal.filter(F.weekday(ds) < 5)
-    out = cal.join(daily, ds, "left")
-    return out.select(ds, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in value_cols])
+    out = cal.join(daily, [*keys, ds], "left")
+    return out.select(*keys, ds, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in value_cols])
 
 
 def daily_series(df: DataFrame, date_col: str = "deposit_date", weight: str = "weight_kg",
@@ -129,10 +133,9 @@ def trend_days(df: DataFrame, ds: str = "ds", origin=None) -> DataFrame:
 
 
 def label_encode(df: DataFrame, col: str, out: str = "uid_enc") -> DataFrame:
-    """0-based code in sorted order of the distinct values (ordered over the
-    distinct list only, then joined back)."""
-    codes = df.select(col).distinct().withColumn(out, F.dense_rank().over(W.orderBy(col)) - 1)
-    return df.join(codes, col, "left")
+    """0-based code in sorted order of the distinct values, by range partitions of the distinct list."""
+    codes = with_position(df.select(col).where(F.col(col).isNotNull()).distinct(), [col], out)
+    return df.join(codes.withColumn(out, F.col(out).cast("int")), col, "left")
 
 
 def add_features(long: DataFrame, lags=(1, 2, 3, 5, 10, 22), windows=(5, 10, 22)) -> DataFrame:
@@ -163,19 +166,25 @@ def add_features_single(series: DataFrame, target: str, lags=(1, 2, 3, 5, 10, 20
     return df.dropna()
 
 
-def train_test_cutoff(long: DataFrame, horizon: int = 30) -> DataFrame:
-    """Split at the h-th last distinct date, ``h = min(horizon, max(5, n − 20))``.
+def train_test_cutoff(long: DataFrame, horizon: int = 30, by=()) -> DataFrame:
+    """Split at the h-th last distinct date, ``h = min(horizon, max(5, n − 20))``;
+    with ``by``, of each group of series.
 
     The ranking runs over the distinct dates only (bounded by the calendar).
     """
-    dates = long.select("ds").distinct()
-    ranked = dates.select("ds", F.row_number().over(W.orderBy(F.desc("ds"))).alias("_r"),
-                          F.count(F.lit(1)).over(W.partitionBy()).alias("_n"))
+    by = list(by)
+    dates = long.select(*by, "ds").distinct()
+    ranked = dates.select(*by, "ds", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("ds"))).alias("_r"),
+                          F.count(F.lit(1)).over(W.partitionBy(*by)).alias("_n"))
     h = F.least(F.lit(horizon), F.greatest(F.lit(5), F.col("_n") - 20))
-    row = ranked.filter(F.col("_r") == h).select("ds").first()
-    if row is None:  # fewer distinct dates than h: everything is training data
+    cut = ranked.filter(F.col("_r") == h).select(*by, F.col("ds").alias("_cut"))
+    if by:
+        long = long.join(cut, by, "left")  # fewer distinct dates than h: everything is training data
+        return long.withColumn("split", F.when(F.col("ds") >= F.col("_cut"), "test").otherwise("train")).drop("_cut")
+    row = cut.first()
+    if row is None:
         return long.withColumn("split", F.lit("train"))
-    return long.withColumn("split", F.when(F.col("ds") < F.lit(row["ds"]), F.lit("train"))
+    return long.withColumn("split", F.when(F.col("ds") < F.lit(row["_cut"]), F.lit("train"))
                            .otherwise(F.lit("test")))
 
 

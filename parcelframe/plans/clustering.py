@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import strip_ws
+from ..operators.order import exact_quantiles
+from ..session import materialize
 
 # Cluster names per analysis (cluster id after relabelling → name).
 NAMES = {
@@ -43,7 +44,7 @@ def _pct(c) -> F.Column:
 
 def features_bureau(df: DataFrame, min_rows: int = 5) -> DataFrame:
     """Per depot office: rows, delivery %, mean interval, revenue, CRBT %; offices with ≥ 5 rows."""
-    g = df.withColumn("name", strip_ws("depot_office")).filter(F.col("name").isNotNull()).groupBy("name").agg(
+    g = df.withColumn("name", F.col("depot_office")).filter(F.col("name").isNotNull()).groupBy("name").agg(
         F.count(F.lit(1)).cast("double").alias("total_colis"), _pct("is_delivered").alias("taux_livraison"),
         F.avg(F.col("interval_days").cast("double")).alias("avg_intervalle"),
         F.sum(F.col("revenue_ca").cast("double")).alias("total_ca"), _pct("is_crbt").alias("taux_crbt"))
@@ -51,7 +52,7 @@ def features_bureau(df: DataFrame, min_rows: int = 5) -> DataFrame:
 
 
 def features_region(df: DataFrame) -> DataFrame:
-    return (df.withColumn("name", strip_ws("depot_region"))
+    return (df.withColumn("name", F.col("depot_region"))
             .filter(F.coalesce(F.col("name"), F.lit("")) != "").groupBy("name").agg(
                 F.count(F.lit(1)).cast("double").alias("total_colis"), _pct("is_delivered").alias("taux_livraison"),
                 F.avg(F.col("revenue_ca").cast("double")).alias("avg_ca"), _pct("is_crbt").alias("taux_crbt"),
@@ -70,7 +71,7 @@ def features_day(df: DataFrame) -> DataFrame:
 
 
 def features_vehicle(df: DataFrame) -> DataFrame:
-    g = (df.withColumn("name", strip_ws("depot_region")).filter(F.coalesce(F.col("name"), F.lit("")) != "")
+    g = (df.withColumn("name", F.col("depot_region")).filter(F.coalesce(F.col("name"), F.lit("")) != "")
          .groupBy("name").agg(F.count(F.lit(1)).cast("double").alias("total_colis"),
                               F.sum(F.col("weight_kg").cast("double")).alias("total_poids"),
                               F.avg(F.col("weight_kg").cast("double")).alias("avg_poids"),
@@ -93,8 +94,9 @@ def features_parcel(df: DataFrame) -> DataFrame:
 # ── preprocessing ────────────────────────────────────────────────────────────
 
 def impute_median(df: DataFrame, feats) -> DataFrame:
-    """Missing feature → that column's (exact, interpolated) median."""
-    med = df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in feats]).first()
+    """Missing feature → that column's (exact, interpolated) median. Columns without a missing value need none."""
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in feats]).first()
+    med = {c: exact_quantiles(df, F.col(c), {"m": 0.5}).first()["m"] if gaps[c] else None for c in feats}
     return df.select(*[c for c in df.columns if c not in feats],
                      *[F.coalesce(F.col(c), F.lit(med[c])).alias(c) if med[c] is not None else F.col(c)
                        for c in feats])
@@ -118,8 +120,10 @@ def standardise(df: DataFrame, feats, center: bool = True, out: str = "features"
 
 def kmeans_best(df: DataFrame, k: int, restarts: int = N_RESTARTS, seed: int = SEED, parallelism: int = 8):
     """Best of ``restarts`` k-means fits (seeds ``seed … seed+restarts-1``) by
-    training cost, ties to the lower seed. Fits run concurrently from a small
-    thread pool (as ``CrossValidator(parallelism=…)`` does)."""
+    training cost, ties to the lower seed. Small tables are fitted concurrently
+    from a thread pool (as ``CrossValidator(parallelism=…)`` does); pass
+    ``parallelism=1`` and a persisted frame where the rows are many, so that
+    they are held once."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.clustering import KMeans
@@ -149,25 +153,25 @@ def relabel_by_mean(assigned: DataFrame, driver: str, ascending: bool) -> DataFr
 def quality_indices(assigned: DataFrame, dim: int) -> DataFrame:
     """Silhouette (Spark's evaluator: squared Euclidean), Davies–Bouldin and
     Calinski–Harabasz (standard Euclidean formulas); NULL below two clusters.
-    ``dim`` is the feature-vector width; the cluster count comes from the
-    centroid table (k rows)."""
+
+    One aggregate gives each cluster's size, sums and sums of squares; a second
+    the mean distance to its centre. Only those k rows reach the driver."""
     spark = assigned.sparkSession
     schema = "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int"
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import vector_to_array
     arr = assigned.select("cluster", vector_to_array("features").alias("v"))
-    cent = arr.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"),
-                                      *[F.avg(F.col("v")[i]).alias(f"c{i}") for i in range(dim)])
-    cents = {r["cluster"]: (r["n"], [r[f"c{i}"] for i in range(dim)]) for r in cent.collect()}
+    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
+    cents = {r["cluster"]: (r["n"], [r[f"c{i}"] for i in range(dim)], r["q"]) for r in arr.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(square).alias("q"), *[F.avg(F.col("v")[i]).alias(f"c{i}") for i in range(dim)]).collect()}
     if len(cents) < 2:
         return spark.createDataFrame([(None, None, None, len(cents))], schema)
     sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
     cdf = spark.createDataFrame([(c, v[1]) for c, v in cents.items()], "cluster int, c array<double>")
-    dist = arr.join(F.broadcast(cdf), "cluster").select(
+    dist = arr.join(F.broadcast(cdf), "cluster").select(  # k rows
         "cluster", F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                                       lambda acc, x: acc + x)).alias("d"))
-    per = {r["cluster"]: (r["s"], r["w"]) for r in dist.groupBy("cluster").agg(
-        F.avg("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("w")).collect()}
+    spread = {r["cluster"]: r["s"] for r in dist.groupBy("cluster").agg(F.avg("d").alias("s")).collect()}
     ids = sorted(cents)
     n_total = sum(cents[c][0] for c in ids)
     overall = [sum(cents[c][0] * cents[c][1][i] for c in ids) / n_total for i in range(dim)]
@@ -175,10 +179,10 @@ def quality_indices(assigned: DataFrame, dim: int) -> DataFrame:
     def d2(a, b):
         return sum((x - y) ** 2 for x, y in zip(a, b))
 
-    db = sum(max((per[i][0] + per[j][0]) / math.sqrt(d2(cents[i][1], cents[j][1]))
+    db = sum(max((spread[i] + spread[j]) / math.sqrt(d2(cents[i][1], cents[j][1]))
                  for j in ids if j != i) for i in ids) / len(ids)
     between = sum(cents[c][0] * d2(cents[c][1], overall) for c in ids)
-    within = sum(per[c][1] for c in ids)
+    within = sum(cents[c][2] - cents[c][0] * sum(x * x for x in cents[c][1]) for c in ids)
     ch = (between / (len(ids) - 1)) / (within / (n_total - len(ids))) if within > 0 and n_total > len(ids) else None
     return spark.createDataFrame([(float(sil), float(db), float(ch) if ch is not None else None, len(ids))], schema)
 
@@ -197,23 +201,23 @@ def grade_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def _run(feat: DataFrame, feats, k: int, driver: str, ascending: bool, analysis: str,
-         algo: str = "kmeans", center: bool = True, restarts: int = N_RESTARTS):
-    """Shared pipeline; returns (rows with cluster/label, metrics row)."""
+         algo: str = "kmeans", center: bool = True, restarts: int = N_RESTARTS, many: bool = False):
+    """Shared pipeline; returns (rows with cluster/label, metrics row).
+
+    The feature table is written once; ``many`` says that it has a row for
+    each parcel: those are complete (no median), persisted once as vectors and
+    fitted one restart after the other."""
     spark = feat.sparkSession
-    feat = feat.cache()
+    feat = materialize(feat)
     n = feat.count()
     if n < k:
-        feat.unpersist()
         empty = spark.createDataFrame([], f"name string, cluster int, cluster_label string, "
                                           + ", ".join(f"{c} double" for c in feats))
         msg = spark.createDataFrame([(None, None, None, 0)],
                                     "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int")
         return empty, msg.withColumn("message", F.lit(f"too few rows for {analysis} ({n})"))
-    imputed = impute_median(feat, feats)
-    # Not cached on purpose: k-means persists its own vector RDD per fit, which is
-    # cheaper per iteration than re-reading a cached columnar table.
-    scaled = standardise(imputed, feats, center=center)
-    model = bisecting(scaled, k) if algo == "bisecting" else kmeans_best(scaled, k, restarts)
+    scaled = standardise(feat if many else impute_median(feat, feats), feats, center=center).persist()
+    model = bisecting(scaled, k) if algo == "bisecting" else kmeans_best(scaled, k, restarts, parallelism=1 if many else 8)
     assigned = relabel_by_mean(model.transform(scaled), driver, ascending)
     names = NAMES[analysis]
     label = F.element_at(F.create_map(*[x for i, nm in names.items() for x in (F.lit(i), F.lit(nm))]),
@@ -222,9 +226,8 @@ def _run(feat: DataFrame, feats, k: int, driver: str, ascending: bool, analysis:
     rows = assigned.select("name", F.col("cluster").cast("int").alias("cluster"),
                            F.coalesce(label, F.concat(F.lit("C"), F.col("cluster").cast("string"))).alias("cluster_label"),
                            *[F.bround(F.col(c), 2).alias(c) for c in feats])
-    # The metrics row is already computed; the returned rows stay lazy and are
-    # recomputed from the input if read, so the cache is released here.
-    feat.unpersist()
+    # What is read later comes from the written feature table; the vectors aren't needed any more.
+    scaled.unpersist()
     return rows, metrics
 
 
@@ -236,7 +239,7 @@ def cluster_bureau(df: DataFrame, k: int = 3, restarts: int = N_RESTARTS):
 def cluster_parcel(df: DataFrame, k: int = 4, restarts: int = N_RESTARTS):
     """Parcel profiles over **all** complete rows; profile per cluster returned as rows."""
     feats = ["_itv", "_ca", "_poids", "_crbt", "_del"]
-    return _run(features_parcel(df), feats, k, "_itv", True, "parcel", restarts=restarts)
+    return _run(features_parcel(df), feats, k, "_itv", True, "parcel", restarts=restarts, many=True)
 
 
 def cluster_region(df: DataFrame, k: int = 3):

@@ -22,7 +22,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.series import future_business_days
-from ..session import materialize
 
 # Two-sided normal quantiles for the 80 % and 95 % bands.
 Z_SCORES = {80: 1.2815515655446004, 95: 1.959963984540054}
@@ -57,51 +56,52 @@ def seasonal_naive_forecast(train: DataFrame, h: int, season: int = 5) -> DataFr
 
 
 def theta_fit(train: DataFrame, season_by_weekday: bool = True) -> DataFrame:
-    """Per-series Theta state: n, trend (a, b), SES level and alpha, weekday factors."""
-    w = W.partitionBy("unique_id").orderBy("ds")
-    # Daily series are small and read by four branches below: checkpoint once.
-    base = materialize(train.select("unique_id", "ds", F.col("y").cast("double").alias("y"),
-                                    F.row_number().over(w).alias("t"), F.weekday("ds").alias("dow")))
-    if season_by_weekday:
-        mean_all = base.groupBy("unique_id").agg(F.avg("y").alias("_m"))
-        fac = (base.groupBy("unique_id", "dow").agg(F.avg("y").alias("_md")).join(mean_all, "unique_id")
-               .select("unique_id", "dow", F.when((F.col("_m") > 0) & (F.col("_md") > 0), F.col("_md") / F.col("_m"))
-                       .otherwise(F.lit(1.0)).alias("factor")))
-    else:
-        fac = base.select("unique_id", "dow").distinct().withColumn("factor", F.lit(1.0))
-    adj = base.join(fac, ["unique_id", "dow"]).withColumn("ya", F.col("y") / F.col("factor"))
-    line = adj.groupBy("unique_id").agg(F.regr_intercept("ya", "t").alias("a"), F.regr_slope("ya", "t").alias("b"),
-                                        F.count(F.lit(1)).alias("n"))
-    z = adj.join(line, "unique_id").select(
-        "unique_id", F.struct("t", (F.lit(2.0) * F.col("ya") - (F.col("a") + F.col("b") * F.col("t"))).alias("z"))
-        .alias("p"))
-    arr = z.groupBy("unique_id").agg(F.sort_array(F.collect_list("p")).alias("pts"))
-    alphas = F.array(*[F.lit(a) for a in SES_ALPHAS])
-    fold = F.transform(alphas, lambda al: F.aggregate(
-        "pts",
-        F.struct(F.lit(0.0).alias("sse"), al.alias("alpha"), F.col("pts")[0]["z"].alias("level")),
+    """One row per series: last date, n, trend (a, b), SES level, alpha and one-step error, weekday factors (a map).
+
+    A series' days are one array (bounded by the calendar); weekday means,
+    trend and smoothing run on it in one pass over one group-by.
+    """
+    points = train.groupBy("unique_id").agg(
+        F.sort_array(F.collect_list(F.struct("ds", F.col("y").cast("double").alias("y")))).alias("days"))
+    days = points.select("unique_id", F.posexplode("days").alias("t", "p")).select(
+        "unique_id", (F.col("t") + 1).alias("t"), "p.ds", "p.y", F.weekday("p.ds").alias("dow"))
+    day_mean = F.avg("y").over(W.partitionBy("unique_id", "dow"))
+    mean = F.avg("y").over(W.partitionBy("unique_id"))
+    factor = F.when((mean > 0) & (day_mean > 0), day_mean / mean).otherwise(1.0) if season_by_weekday else F.lit(1.0)
+    flat = days.select("unique_id", "t", "ds", "dow", factor.alias("factor"), (F.col("y") / factor).alias("ya"))
+    state = flat.groupBy("unique_id").agg(
+        F.max("ds").alias("last_ds"), F.count(F.lit(1)).alias("n"), F.regr_intercept("ya", "t").alias("a"),
+        F.regr_slope("ya", "t").alias("b"), F.sort_array(F.collect_list(F.struct("t", "ya"))).alias("pts"),
+        F.map_from_entries(F.collect_set(F.struct("dow", "factor"))).alias("factors"))
+    z = F.transform("pts", lambda p: F.lit(2.0) * p["ya"] - (F.col("a") + F.col("b") * p["t"]))
+    state = state.withColumn("z", z)
+    fold = F.transform(F.array(*[F.lit(x) for x in SES_ALPHAS]), lambda al: F.aggregate(
+        "z",
+        F.struct(F.lit(0.0).alias("sse"), al.alias("alpha"), F.col("z")[0].alias("level")),
         lambda acc, x: F.struct(
-            (acc["sse"] + (x["z"] - acc["level"]) * (x["z"] - acc["level"])).alias("sse"),
+            (acc["sse"] + (x - acc["level"]) * (x - acc["level"])).alias("sse"),
             acc["alpha"].alias("alpha"),
-            (acc["alpha"] * x["z"] + (F.lit(1.0) - acc["alpha"]) * acc["level"]).alias("level"))))
-    best = arr.select("unique_id", F.array_min(fold).alias("best"), F.size("pts").alias("_k"))
-    ses = best.select("unique_id", F.col("best.alpha").alias("alpha"), F.col("best.level").alias("level"),
-                      F.sqrt(F.col("best.sse") / F.greatest(F.col("_k") - 1, F.lit(1))).alias("sigma_z"))
-    state = line.join(ses, "unique_id")
-    return state, fac
+            (acc["alpha"] * x + (F.lit(1.0) - acc["alpha"]) * acc["level"]).alias("level"))))
+    best = state.select("unique_id", "last_ds", "n", "a", "b", "factors", F.array_min(fold).alias("best"))
+    return best.select("unique_id", "last_ds", "n", "a", "b", "factors", F.col("best.alpha").alias("alpha"), F.col("best.level").alias("level"),
+                       F.sqrt(F.col("best.sse") / F.greatest(F.col("n") - 1, F.lit(1))).alias("sigma_z"))
 
 
 def theta_forecast(train: DataFrame, h: int, season_by_weekday: bool = True) -> DataFrame:
     """``h`` business-day Theta forecasts per series, clipped at 0, with the
-    residual scale ``sigma`` (SES one-step error of the θ-line at weight ½)."""
-    state, fac = theta_fit(train, season_by_weekday)
-    fut = future_business_days(train, h).withColumn("dow", F.weekday("ds"))
-    out = fut.join(state, "unique_id").join(fac, ["unique_id", "dow"], "left")
-    factor = F.coalesce(F.col("factor"), F.lit(1.0))
-    trend = F.col("a") + F.col("b") * (F.col("n") + F.col("step"))
+    residual scale ``sigma``: the error of the smoothed line at weight ½, which
+    grows with the step as its level drifts (variance times 1 + (step − 1)·α²)."""
+    state = theta_fit(train, season_by_weekday)
+    span = h // 5 * 7 + 7
+    days = F.filter(F.sequence(F.date_add("last_ds", 1), F.date_add("last_ds", span)), lambda d: F.weekday(d) < 5)
+    fut = state.select("*", F.posexplode(F.slice(days, 1, h)).alias("k", "ds"))
+    step = F.col("k") + 1
+    factor = F.coalesce(F.col("factors")[F.weekday("ds")], F.lit(1.0))
+    trend = F.col("a") + F.col("b") * (F.col("n") + step)
     f = (F.lit(0.5) * trend + F.lit(0.5) * F.col("level")) * factor
-    return out.select("unique_id", "ds", "step", F.greatest(f, F.lit(0.0)).alias("y_hat"),
-                      (F.lit(0.5) * F.col("sigma_z") * factor).alias("sigma"))
+    grown = F.sqrt(F.lit(1.0) + (step - 1) * F.col("alpha") * F.col("alpha"))
+    return fut.select("unique_id", "ds", step.alias("step"), F.greatest(f, F.lit(0.0)).alias("y_hat"),
+                      (F.lit(0.5) * F.col("sigma_z") * grown * factor).alias("sigma"))
 
 
 def forecast_intervals(fc: DataFrame, levels=(80, 95), sigma: str = "sigma") -> DataFrame:
@@ -160,16 +160,23 @@ def minmax_norm(cmp: DataFrame, cols=("MAE", "RMSE", "SMAPE", "R2")) -> DataFram
     return cmp.select("dataset", "target", "model", *out)
 
 
-def global_forecast(history: DataFrame, fc: DataFrame) -> DataFrame:
-    """History and forecast summed over series per date, labelled by kind."""
-    h = history.groupBy("ds").agg(F.sum("y").alias("value")).withColumn("kind", F.lit("history"))
-    f = fc.groupBy("ds").agg(F.sum("y_hat").alias("value")).withColumn("kind", F.lit("forecast"))
+def union_forecasts(parts: list[DataFrame]) -> DataFrame:
+    """Forecast rows of several datasets, targets or models, columns matched by name."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def global_forecast(history: DataFrame, fc: DataFrame, by=()) -> DataFrame:
+    """History and forecast summed over series per date (and ``by``), labelled by kind."""
+    h = history.groupBy(*by, "ds").agg(F.sum("y").alias("value")).withColumn("kind", F.lit("history"))
+    f = fc.groupBy(*by, "ds").agg(F.sum("y_hat").alias("value")).withColumn("kind", F.lit("forecast"))
     return h.unionByName(f)
 
 
 # ── gradient-boosted trees ───────────────────────────────────────────────────
 
-EXCLUDED_FEATURES = {"unique_id", "ds", "y", "split", "wow_ratio"}
+EXCLUDED_FEATURES = {"unique_id", "ds", "y", "split", "wow_ratio", "is_validation"}
+# Fixed value: boosting rounds at most.
+MAX_ROUNDS = 800
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -183,16 +190,24 @@ def _assemble(df: DataFrame, feats: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep").transform(df)
 
 
+def with_validation(df: DataFrame, val_days: int = 20) -> DataFrame:
+    """Mark the rows of the last ``val_days`` distinct dates: the chronological validation part."""
+    last = df.select("ds").distinct().orderBy(F.desc("ds")).limit(val_days).agg(F.min("ds").alias("c")).first()["c"]
+    return df.withColumn("is_validation", F.col("ds") >= F.lit(last))
+
+
 def gbt_fit(train: DataFrame, feats: list[str], max_depth: int = 6, step_size: float = 0.05,
-            max_iter: int = 100, seed: int = 42):
+            max_iter: int = MAX_ROUNDS, seed: int = 42, val_days: int = 20, tol: float = 0.01):
+    """One boosted-tree model of up to ``max_iter`` rounds; boosting stops once the
+    error on the last ``val_days`` dates no longer improves by ``tol``."""
     from pyspark.ml.regression import GBTRegressor
     gbt = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=max_depth, stepSize=step_size,
-                       maxIter=max_iter, seed=seed)
-    return gbt.fit(_assemble(train, feats))
+                       maxIter=max_iter, seed=seed, validationIndicatorCol="is_validation", validationTol=tol)
+    return gbt.fit(_assemble(with_validation(train, val_days), feats))
 
 
 def gbt_forecast(train: DataFrame, test: DataFrame, max_depth: int = 6, step_size: float = 0.05,
-                 max_iter: int = 100):
+                 max_iter: int = MAX_ROUNDS):
     """Fit one global model on the training rows; predictions on ``test`` clipped at 0."""
     feats = feature_columns(train)
     model = gbt_fit(train, feats, max_depth, step_size, max_iter)
@@ -201,21 +216,26 @@ def gbt_forecast(train: DataFrame, test: DataFrame, max_depth: int = 6, step_siz
         model, feats
 
 
-def tune_gbt(train: DataFrame, grid: list[dict], val_days: int = 20, max_iter: int = 50):
+#: The settings tried by default.
+GRID = [{"max_depth": d, "step_size": s} for d in (3, 4, 5, 6, 7) for s in (0.03, 0.05, 0.1)]
+
+
+def tune_gbt(train: DataFrame, grid: list[dict] | None = None, val_days: int = 20, max_iter: int = MAX_ROUNDS):
     """Grid search on a chronological split (the last ``val_days`` distinct
-    dates of ``train`` validate); returns (best params, per-config MAE rows)."""
-    dates = train.select("ds").distinct()
-    cut = dates.orderBy(F.desc("ds")).limit(val_days).agg(F.min("ds").alias("c")).first()["c"]
-    fit, val = train.filter(F.col("ds") < F.lit(cut)), train.filter(F.col("ds") >= F.lit(cut))
+    dates of ``train`` validate and stop the boosting); returns (best params, per-config MAE rows)."""
     feats = feature_columns(train)
+    marked = _assemble(with_validation(train, val_days), feats).cache()
+    val = marked.filter("is_validation")
     rows = []
-    for i, params in enumerate(grid):
-        model = gbt_fit(fit, feats, max_iter=max_iter, **params)
-        pred = model.transform(_assemble(val, feats))
-        mae = pred.agg(F.avg(F.abs(F.col("y") - F.greatest(F.col("prediction"), F.lit(0.0))))).first()[0]
+    for i, params in enumerate(grid or GRID):
+        from pyspark.ml.regression import GBTRegressor
+        model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=params.get("max_depth", 6), stepSize=params.get("step_size", 0.05),
+                             maxIter=max_iter, seed=42, validationIndicatorCol="is_validation").fit(marked)
+        mae = model.transform(val).agg(F.avg(F.abs(F.col("y") - F.greatest(F.col("prediction"), F.lit(0.0))))).first()[0]
         rows.append((i, params.get("max_depth", 6), float(params.get("step_size", 0.05)), float(mae)))
+    marked.unpersist()
     best = min(rows, key=lambda r: (r[3], r[0]))
-    return grid[best[0]], rows
+    return (grid or GRID)[best[0]], rows
 
 
 def feature_importance(model, feats: list[str], spark) -> DataFrame:

@@ -197,7 +197,7 @@ def _kpi_sql(where: str = "", by: str | None = None) -> str:
         "CAST(round(coalesce(sum(crbt_amount), 0), 2) AS DECIMAL(38,2)) AS total_crbt_amount, "
         f"{DELIVERED} AS delivered, "
         "CAST(count(*) - count(*) FILTER (WHERE is_delivered) AS BIGINT) AS failed, "
-        "coalesce(round(100.0 * CAST(count(*) FILTER (WHERE is_delivered) AS DOUBLE) / nullif(count(*), 0), 1), 0.0)"
+        "coalesce(round_even(100.0 * CAST(count(*) FILTER (WHERE is_delivered) AS DOUBLE) / nullif(count(*), 0), 1), 0.0)"
         " AS delivery_rate, "
         f"round_even({SANE_AVG}, 2) AS avg_interval_days, "
         "CAST(count(*) FILTER (WHERE interval_days > 3) AS BIGINT) AS late_deliveries, 3 AS late_threshold "

@@ -10,16 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..catalog import register
+from ..catalog import REGISTRY, register
 from ..functions import cleaning as C
 from ..functions import formatting as FM
 from ..functions import temporal as TM
 from ..operators import aggregates as A
 from ..operators import filters as FL
 from ..operators import grouped as G
+from ..operators import report as rp
 from ..operators import series as S
 from ..operators import topk
-from ..sources.fixtures import national
+from ..operators.order import with_position
+from ..session import materialize
+from ..sources.fixtures import national, shipments
 from . import clustering as cl
 from . import forecast as fc
 from .queries_eda import r6
@@ -190,24 +193,55 @@ def dashboard_bundle(df: DataFrame, region=None, next_regions=None, categories=N
     }
 
 
-@register("dashboard_bundle",
-          "SELECT 'by_region' AS part, coalesce(nullif(depot_region, ''), '—') AS label, CAST(count(*) AS DOUBLE) "
-          "AS value FROM national WHERE depot_office ILIKE '%agence%' GROUP BY depot_region "
-          "UNION ALL SELECT 'revenue_by_region', coalesce(nullif(depot_region, ''), '—'), "
-          "CAST(sum(revenue_ca) AS DOUBLE) FROM national WHERE depot_office ILIKE '%agence%' GROUP BY depot_region "
-          "UNION ALL SELECT 'failure_causes', coalesce(nullif(last_event, ''), '—'), CAST(count(*) AS DOUBLE) "
-          "FROM national WHERE depot_office ILIKE '%agence%' AND depot_region = 'ASIA' AND NOT is_delivered "
-          "GROUP BY last_event UNION ALL SELECT 'kpis', 'total_shipments', CAST(count(*) AS DOUBLE) FROM national "
-          "WHERE depot_office ILIKE '%agence%' AND depot_region = 'ASIA'")
+DASH_KPIS = ["total_shipments", "total_revenue", "total_crbt_count", "total_crbt_amount", "delivered", "failed", "delivery_rate",
+             "avg_interval_days", "late_deliveries", "late_threshold"]
+DASH_WEIGHTS = ["avg_weight", "min_weight", "max_weight", "total_weight"]
+
+
+def _dash_sql() -> str:
+    from .queries_core import _kpi_sql
+    show = "coalesce(nullif({c}, ''), '—')"
+    scoped, unscoped = "(SELECT * FROM open WHERE depot_region = 'ASIA')", "open"
+    long = lambda part, cols, sql: [f"SELECT '{part}' AS part, '{c}' AS label, CAST({c} AS DOUBLE) AS value FROM ({sql})" for c in cols]
+    bands = " ".join(f"WHEN weight_kg >= {lo} AND weight_kg < {hi} THEN '{lbl}'" for lo, hi, lbl in
+                     [(lo, 1e18 if hi is None else hi, lbl) for lo, hi, lbl in FM.WEIGHT_BANDS])
+    month = "CONCAT(CAST(deposit_year AS VARCHAR), '-', lpad(CAST(deposit_month AS VARCHAR), 2, '0'))"
+    parts = [
+        "SELECT 'regions' AS part, depot_region AS label, CAST(NULL AS DOUBLE) AS value FROM national WHERE depot_region <> '' GROUP BY 2",
+        *long("kpis", DASH_KPIS, _kpi_sql().replace("FROM national", f"FROM {scoped}")),
+        f"SELECT 'by_region', {show.format(c='depot_region')}, CAST(count(*) AS DOUBLE) FROM {unscoped} GROUP BY depot_region",
+        f"SELECT * FROM (SELECT 'by_office', {show.format(c='depot_office')}, CAST(count(*) AS DOUBLE) FROM {scoped} GROUP BY depot_office "
+        "ORDER BY count(*) DESC, depot_office NULLS FIRST LIMIT 15)",
+        *long("delivery_status", ["delivered", "failed", "total"], "SELECT count(*) FILTER (WHERE is_delivered) AS delivered, "
+              f"count(*) FILTER (WHERE NOT is_delivered) AS failed, count(*) AS total FROM {scoped}"),
+        f"SELECT * FROM (SELECT 'failure_causes', {show.format(c='last_event')}, CAST(count(*) AS DOUBLE) FROM {scoped} WHERE NOT is_delivered "
+        "GROUP BY last_event ORDER BY count(*) DESC, last_event NULLS FIRST LIMIT 12)",
+        f"SELECT 'monthly', {month}, CAST(count(*) AS DOUBLE) FROM {scoped} GROUP BY deposit_year, deposit_month",
+        *long("weight_stats", DASH_WEIGHTS, "SELECT round_even(avg(weight_kg), 2) AS avg_weight, min(weight_kg) AS min_weight, "
+              f"max(weight_kg) AS max_weight, round_even(coalesce(sum(weight_kg), 0.0), 1) AS total_weight FROM {scoped}"),
+        "SELECT 'weight_buckets', k.label, CAST(count(b.label) AS DOUBLE) FROM (SELECT unnest(["
+        + ", ".join(f"'{lbl}'" for _, _, lbl in FM.WEIGHT_BANDS) + f"]) AS label) k LEFT JOIN (SELECT CASE {bands} END AS label FROM {scoped}) b "
+        "USING (label) GROUP BY k.label",
+        f"SELECT 'revenue_by_region', {show.format(c='depot_region')}, CAST(coalesce(sum(revenue_ca), 0) AS DOUBLE) FROM {unscoped} GROUP BY depot_region",
+    ]
+    return ("WITH open AS (SELECT * FROM national WHERE depot_office ILIKE '%agence%') SELECT part, label, round(value, 6) AS value FROM ("
+            + " UNION ALL ".join(parts) + ")")
+
+
+@register("dashboard_bundle", _dash_sql())
 def q_dashboard_bundle(spark, sf):
-    """Bundle for region ASIA, agencies only, as (part, label, value) rows of four parts."""
+    """All ten parts of the bundle for region ASIA, agencies only, as (part, label, value) rows."""
     b = dashboard_bundle(national(spark, sf), "ASIA", None, ["agences"])
-    parts = [b["by_region"].select(F.lit("by_region").alias("part"), F.col("depot_region").alias("label"),
-                                   F.col("shipments").cast("double").alias("value")),
-             b["revenue_by_region"].select(F.lit("revenue_by_region"), "depot_region", F.col("revenue").cast("double")),
-             b["failure_causes"].select(F.lit("failure_causes"), "last_event", F.col("shipments").cast("double")),
-             b["kpis"].select(F.lit("kpis"), F.lit("total_shipments"), F.col("total_shipments").cast("double"))]
-    return reduce(DataFrame.union, parts)
+    row = lambda part, label, value: b[part].select(F.lit(part).alias("part"), F.col(label).alias("label"),
+                                                    F.col(value).cast("double").alias("value"))
+    wide = lambda part, cols: b[part].select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        [], cols, "label", "value").select(F.lit(part).alias("part"), "label", "value")
+    parts = [b["regions"].select(F.lit("regions").alias("part"), F.col("depot_region").alias("label"), F.lit(None).cast("double").alias("value")),
+             wide("kpis", DASH_KPIS), row("by_region", "depot_region", "shipments"), row("by_office", "depot_office", "shipments"),
+             wide("delivery_status", ["delivered", "failed", "total"]), row("failure_causes", "last_event", "shipments"),
+             row("monthly", "label", "shipments"), wide("weight_stats", DASH_WEIGHTS), row("weight_buckets", "band", "shipments"),
+             row("revenue_by_region", "depot_region", "revenue")]
+    return r6(reduce(DataFrame.union, parts))
 
 
 @register("feature_cutoff",
@@ -248,63 +282,97 @@ def q_mae(spark, sf):
     return r6(fc.metrics(long.select("y", prev.alias("y_hat")).filter(F.col("y_hat").isNotNull())))
 
 
-@register("sort_comparison",
-          "WITH panel AS (SELECT deposit_date AS ds, coalesce(CAST(depot_region AS VARCHAR), 'INCONNU') AS unique_id, "
-          "sum(greatest(coalesce(CAST(weight_kg AS DOUBLE), 0), 0)) AS poids FROM national WHERE deposit_date IS NOT NULL "
-          "AND isodow(deposit_date) <= 5 GROUP BY 1, 2), long AS (SELECT unique_id, ds, poids AS y FROM panel "
-          "WHERE unique_id IN (SELECT unique_id FROM panel GROUP BY 1 HAVING count(*) >= 20)), "
-          "m AS (SELECT 'national' AS dataset, 'poids' AS target, unique_id AS model, "
-          "round(avg(CASE WHEN (abs(y) + abs(prev)) / 2 = 0 THEN 0.0 ELSE abs(y - prev) / ((abs(y) + abs(prev)) / 2) END)"
-          " * 100, 6) AS SMAPE FROM (SELECT unique_id, y, lag(y) OVER (PARTITION BY unique_id ORDER BY ds) AS prev "
-          "FROM long) WHERE prev IS NOT NULL GROUP BY unique_id) "
-          "SELECT *, CAST(row_number() OVER (ORDER BY dataset, target, SMAPE, model) AS INTEGER) AS position FROM m")
-def q_sort_comparison(spark, sf):
-    """Metric rows (one per series' naive model) in comparison order, with their position."""
-    long = S.to_long_series(panel(spark, sf), "poids", 20)
-    prev = F.lag("y").over(W.partitionBy("unique_id").orderBy("ds"))
-    m = fc.metrics(long.select("unique_id", "y", prev.alias("y_hat")).filter(F.col("y_hat").isNotNull()),
-                   by=["unique_id"]).select(F.lit("national").alias("dataset"), F.lit("poids").alias("target"),
-                                            F.col("unique_id").alias("model"), F.bround("SMAPE", 6).alias("SMAPE"))
-    return m.withColumn("position", F.row_number().over(W.orderBy("dataset", "target", "SMAPE", "model")).cast("int"))
+# ── clustering steps ─────────────────────────────────────────────────────────
 
+BUREAU_FEATS = ["taux_livraison", "avg_intervalle", "total_colis", "total_ca", "taux_crbt"]
 
-# ── clustering steps (rows-only: model output) ───────────────────────────────
 
 def _bureau_scaled(spark, sf):
-    feats = ["taux_livraison", "avg_intervalle", "total_colis", "total_ca", "taux_crbt"]
-    f = cl.impute_median(cl.features_bureau(national(spark, sf)), feats)
-    return cl.standardise(f, feats), feats
+    f = materialize(cl.impute_median(cl.features_bureau(national(spark, sf)), BUREAU_FEATS))
+    return cl.standardise(f, BUREAU_FEATS)
+
+
+def _labelled(spark, sf) -> DataFrame:
+    """Offices with labels set by a rule that both engines state (by scaled volume and CRBT share):
+    what the steps after a clustering do is checked on those, over all offices."""
+    rule = F.when(F.col("z_total_colis") > 0.3, 2).when(F.col("z_taux_crbt") > 0, 0).otherwise(1)
+    return _bureau_scaled(spark, sf).withColumn("raw", rule.cast("int"))
+
+
+_LABELLED = (
+    "f AS (SELECT trim(depot_office) AS name, avg(CAST(is_delivered AS DOUBLE)) * 100 AS taux_livraison, avg(CAST(interval_days AS DOUBLE)) "
+    "AS avg_intervalle, CAST(count(*) AS DOUBLE) AS total_colis, sum(CAST(revenue_ca AS DOUBLE)) AS total_ca, "
+    "avg(CAST(is_crbt AS DOUBLE)) * 100 AS taux_crbt FROM national WHERE trim(depot_office) IS NOT NULL GROUP BY 1 HAVING count(*) >= 5), "
+    "g AS (SELECT name, " + ", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in BUREAU_FEATS) + " FROM f), "
+    "z AS (SELECT *, " + ", ".join(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END AS z_{c}"
+                                   for c in BUREAU_FEATS) + " FROM g), "
+    "raws AS (SELECT *, CASE WHEN z_total_colis > 0.3 THEN 2 WHEN z_taux_crbt > 0 THEN 0 ELSE 1 END AS raw FROM z), "
+    "ranks AS (SELECT raw, CAST(row_number() OVER (ORDER BY avg(taux_livraison) DESC, raw) - 1 AS INTEGER) AS cluster FROM raws GROUP BY raw), "
+    "labelled AS (SELECT raws.*, cluster FROM raws JOIN ranks USING (raw))")
+_LABEL_NAME = "CASE cluster " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in cl.NAMES["bureau"].items()) + " END"
+
+
+def _relabelled(spark, sf) -> DataFrame:
+    names = F.create_map(*[F.lit(x) for kv in cl.NAMES["bureau"].items() for x in kv])
+    a = cl.relabel_by_mean(_labelled(spark, sf), "taux_livraison", False)
+    return a.withColumn("cluster_label", F.element_at(names, F.col("cluster")))
 
 
 @register("kmeans")
 def q_kmeans(spark, sf):
     """Raw k-means assignment (k=3, best of 10 seeds) of the office features."""
-    scaled, _ = _bureau_scaled(spark, sf)
+    scaled = _bureau_scaled(spark, sf)
     return cl.kmeans_best(scaled, 3).transform(scaled).select("name", F.col("raw").cast("int").alias("raw"))
 
 
-@register("relabel_by_mean")
+@register("relabel_by_mean", f"WITH {_LABELLED} SELECT name, cluster, round_even(taux_livraison, 2) AS taux_livraison FROM labelled")
 def q_relabel_by_mean(spark, sf):
-    """Office clusters renumbered by descending mean delivery rate."""
-    scaled, _ = _bureau_scaled(spark, sf)
-    a = cl.relabel_by_mean(cl.kmeans_best(scaled, 3).transform(scaled), "taux_livraison", False)
-    return a.select("name", "cluster", F.bround("taux_livraison", 2).alias("taux_livraison"))
+    """Offices renumbered by descending mean delivery rate of their label."""
+    a = _relabelled(spark, sf)
+    return a.select("name", F.col("cluster").cast("int").alias("cluster"), F.bround("taux_livraison", 2).alias("taux_livraison"))
+
+
+_ZS = [f"z_{c}" for c in BUREAU_FEATS]
+_INDICES = (
+    f"WITH {_LABELLED}, cent AS (SELECT cluster, count(*) AS n, " + ", ".join(f"avg({z}) AS {z}" for z in _ZS) + " FROM labelled GROUP BY cluster), "
+    "dist AS (SELECT l.cluster, sqrt(" + " + ".join(f"(l.{z} - c.{z}) ** 2" for z in _ZS) + ") AS d FROM labelled l JOIN cent c USING (cluster)), "
+    "spread AS (SELECT cluster, avg(d) AS s, sum(d * d) AS w FROM dist GROUP BY cluster), "
+    "pairs AS (SELECT a.cluster, max((sa.s + sb.s) / sqrt(" + " + ".join(f"(a.{z} - b.{z}) ** 2" for z in _ZS) + ")) AS r FROM cent a JOIN cent b "
+    "ON a.cluster <> b.cluster JOIN spread sa ON sa.cluster = a.cluster JOIN spread sb ON sb.cluster = b.cluster GROUP BY a.cluster), "
+    "mid AS (SELECT " + ", ".join(f"avg({z}) AS {z}" for z in _ZS) + ", count(*) AS total, count(DISTINCT cluster) AS k FROM labelled), "
+    "indices AS (SELECT (SELECT avg(r) FROM pairs) AS davies_bouldin, (SELECT sum(n * (" + " + ".join(f"(c.{z} - m.{z}) ** 2" for z in _ZS)
+    + ")) FROM cent c, mid m) / (k - 1) / ((SELECT sum(w) FROM spread) / (total - k)) AS calinski_harabasz, k FROM mid) ")
 
 
 def _indices(spark, sf):
-    scaled, feats = _bureau_scaled(spark, sf)
-    a = cl.relabel_by_mean(cl.kmeans_best(scaled, 3).transform(scaled), "taux_livraison", False)
-    return cl.quality_indices(a, len(feats))
+    return cl.quality_indices(_relabelled(spark, sf), len(BUREAU_FEATS))
 
 
 @register("silhouette")
 def q_silhouette(spark, sf):
-    return r6(_indices(spark, sf).select("silhouette"))
+    """Silhouette of the k-means office clusters."""
+    scaled = _bureau_scaled(spark, sf)
+    a = cl.relabel_by_mean(cl.kmeans_best(scaled, 3).transform(scaled), "taux_livraison", False)
+    return r6(cl.quality_indices(a, len(BUREAU_FEATS)).select("silhouette"))
 
 
-@register("davies_bouldin")
+@register("davies_bouldin", _INDICES + "SELECT round(davies_bouldin, 6) AS davies_bouldin FROM indices")
 def q_davies_bouldin(spark, sf):
-    return r6(_indices(spark, sf).select("davies_bouldin", "calinski_harabasz"))
+    return r6(_indices(spark, sf).select("davies_bouldin"))
+
+
+@register("calinski_harabasz", _INDICES + "SELECT round(calinski_harabasz, 6) AS calinski_harabasz, CAST(k AS INTEGER) AS n_clusters FROM indices")
+def q_calinski_harabasz(spark, sf):
+    return r6(_indices(spark, sf).select("calinski_harabasz", "n_clusters"))
+
+
+@register("grade_metrics", _INDICES + "SELECT round(davies_bouldin, 6) AS davies_bouldin, CASE WHEN davies_bouldin < 0.8 THEN 'good' "
+          "WHEN davies_bouldin < 1.5 THEN 'warn' ELSE 'bad' END AS davies_bouldin_grade, round(calinski_harabasz, 6) AS calinski_harabasz, "
+          "CASE WHEN calinski_harabasz > 50 THEN 'good' WHEN calinski_harabasz > 20 THEN 'warn' ELSE 'bad' END AS calinski_harabasz_grade FROM indices")
+def q_grade_metrics(spark, sf):
+    """Quality indices of the labelled offices with good / warn / bad grades."""
+    g = cl.grade_metrics(_indices(spark, sf))
+    return r6(g.select("davies_bouldin", "davies_bouldin_grade", "calinski_harabasz", "calinski_harabasz_grade"))
 
 
 @register("cluster_rows")
@@ -314,42 +382,85 @@ def q_cluster_rows(spark, sf):
     return rows
 
 
-@register("cluster_profile")
+@register("cluster_profile", f"WITH {_LABELLED} SELECT cluster, {_LABEL_NAME} AS cluster_label, CAST(count(*) AS BIGINT) AS n, "
+          + ", ".join(f"round_even(avg({c}), 2) AS {c}" for c in BUREAU_FEATS) + " FROM labelled GROUP BY cluster")
 def q_cluster_profile(spark, sf):
-    rows, _ = cl.cluster_region(national(spark, sf))
-    return cl.cluster_profile(rows, ["total_colis", "taux_livraison", "avg_ca", "taux_crbt", "avg_intervalle"])
+    """Offices and mean features of each label."""
+    return cl.cluster_profile(_relabelled(spark, sf), BUREAU_FEATS).withColumn("cluster", F.col("cluster").cast("int"))
+
 
+@register("cluster_summary_bureau", f"WITH {_LABELLED} SELECT k.cluster, CAST(count(l.name) AS BIGINT) AS offices, "
+          "coalesce(round_even(avg(taux_livraison), 1), 0.0) AS avg_taux, coalesce(round_even(avg(avg_intervalle), 1), 0.0) AS avg_itv "
+          "FROM (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS cluster) k LEFT JOIN labelled l USING (cluster) GROUP BY k.cluster")
+def q_cluster_summary_bureau(spark, sf):
+    """Four slots, one of them empty."""
+    return cl.cluster_summary_bureau(_relabelled(spark, sf), 4)
 
-@register("sort_cluster_rows")
+
+@register("cluster_summary_day",
+          "WITH d AS (SELECT deposit_date, CAST(count(*) AS DOUBLE) AS daily_volume, isodow(deposit_date) AS dow FROM national "
+          "WHERE deposit_date IS NOT NULL GROUP BY 1), l AS (SELECT *, CASE WHEN dow <= 2 THEN 0 WHEN dow <= 5 THEN 1 ELSE 2 END AS cluster FROM d) "
+          "SELECT CAST(cluster AS INTEGER) AS cluster, CASE cluster " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in cl.NAMES["day"].items())
+          + " END AS cluster_label, CAST(count(*) AS BIGINT) AS days, round_even(avg(nullif(daily_volume, 0)), 1) AS avg_volume FROM l GROUP BY cluster")
+def q_cluster_summary_day(spark, sf):
+    """Days and mean volume of each day type; types set by weekday."""
+    names = F.create_map(*[F.lit(x) for kv in cl.NAMES["day"].items() for x in kv])
+    days = cl.features_day(national(spark, sf))
+    kind = F.when(F.col("day_of_week") < 2, 0).when(F.col("day_of_week") < 5, 1).otherwise(2).cast("int")
+    rows = days.withColumn("cluster", kind).withColumn("cluster_label", F.element_at(names, F.col("cluster")))
+    return cl.cluster_summary_day(rows)
+
+
+@register("sort_cluster_rows", f"WITH {_LABELLED} SELECT name, cluster, CAST(row_number() OVER (ORDER BY cluster, name) - 1 AS BIGINT) AS position FROM labelled")
 def q_sort_cluster_rows(spark, sf):
-    """Office cluster rows with their display position (cluster, then name)."""
-    rows, _ = cl.cluster_bureau(national(spark, sf))
-    return rows.withColumn("position", F.row_number().over(W.orderBy("cluster", "name")))
+    """Labelled offices with their display position (cluster, then name)."""
+    rows = _relabelled(spark, sf).select("name", F.col("cluster").cast("int").alias("cluster"))
+    return with_position(rows, ["cluster", "name"])
 
 
-@register("region_report")
-def q_region_report(spark, sf):
-    """Every region's report parts (scoped KPIs, four tables, drills, sliders)
-    written in one job per part, partitioned by region; rows written per part."""
-    from ..operators import report as rp
-    from ..sources.fixtures import shipments
+# ── the region report ────────────────────────────────────────────────────────
+
+REPORT_PARTS = {"report_kpis": "report_kpis_by_region", "depot_kpis": "depot_kpis", "depot_table": "depot_table", "export_table": "depot_table_export",
+                "depot_drill": "depot_drill", "export_drill": "export_drill", "depot_slider": "depot_slider", "livraison_kpis": "livraison_kpis",
+                "livraison_table": "livraison_table_long", "livraison_drill": "livraison_drill", "import_drill": "import_drill",
+                "livraison_slider": "livraison_slider"}
+
+
+def _report_sql() -> str:
+    file = "coalesce(regexp_replace(region, '[^A-Za-z0-9_-]', '_', 'g'), 'national')"
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, {file} AS region_file, CAST(count(*) AS BIGINT) AS count FROM ({REGISTRY[q][1]}) GROUP BY 2"
+                              for part, q in REPORT_PARTS.items())
+
+
+def _written(spark, parts: dict[str, DataFrame]) -> DataFrame:
     from ..sources.sinks import scratch_path, write_region_reports
-    shp = shipments(spark, sf)
-    nat = shp.filter(F.col("source") == "national")
-    parts = {
-        "depot_kpis": rp.depot_kpis(shp), "livraison_kpis": rp.livraison_kpis(shp),
-        "depot_table": rp.depot_table(nat), "export_table": rp.depot_table(shp.filter(F.col("source") == "export")),
-        "livraison_table": rp.livraison_table_long(nat),
-        "import_table": rp.livraison_table_long(shp.filter(F.col("source") == "import")),
-        "depot_drill": rp.depot_drill(nat), "livraison_drill": rp.livraison_drill(nat),
-        "depot_slider": rp.depot_slider(nat), "livraison_slider": rp.livraison_slider(nat),
-    }
     out = write_region_reports(parts, scratch_path(spark, "region-report"), fmt="parquet")
-    counts = [spark.read.parquet(p).groupBy("region_file").count().withColumn("part", F.lit(name))
-              for name, p in out.items()]
+    counts = [spark.read.parquet(p).groupBy("region_file").count().withColumn("part", F.lit(name)) for name, p in out.items()]
     return reduce(DataFrame.unionByName, counts)
 
 
+def register_region_report() -> None:
+    """Registered last: its statement is made of the parts' own."""
+
+    @register("region_report", raw_sql=_report_sql())
+    def q_region_report(spark, sf):
+        """Every region's report parts written in one job per part, partitioned by
+        region; rows written per part and region."""
+        parts = rp.region_report(shipments(spark, sf))
+        return _written(spark, {k: v for k, v in parts.items() if k != "import_table"}).select("part", "region_file", "count")
+
+    @register("region_report_scoped",
+              "SELECT 'depot_table' AS part, 'ASIA' AS region_file, CAST(count(DISTINCT depot_office) + 1 AS BIGINT) AS count FROM national "
+              "WHERE depot_region = 'ASIA' AND next_region IN ('AMERICA') AND depot_office ILIKE '%agence%' UNION ALL "
+              "SELECT 'depot_slider', 'ASIA', CAST(count(*) AS BIGINT) FROM national WHERE depot_region = 'ASIA' AND next_region IN ('AMERICA') "
+              "AND depot_office ILIKE '%agence%' UNION ALL SELECT 'report_kpis', 'ASIA', 1")
+    def q_region_report_scoped(spark, sf):
+        """The depot half for one region, next region and office category."""
+        parts = rp.region_report(shipments(spark, sf), "ASIA", ["AMERICA"], cat_depot=["agences"], include_livraison=False)
+        assert not any(k.startswith("livraison") for k in parts)
+        return _written(spark, {k: parts[k] for k in ("report_kpis", "depot_table", "depot_slider")}).select("part", "region_file", "count")
+
+
 @register("naive_test_window",
           "WITH " + ", ".join([PANEL, LONG(), SPLIT])
           + " SELECT unique_id, CAST(count(*) AS BIGINT) AS test_rows, min(ds) AS first_test_day FROM test GROUP BY 1")

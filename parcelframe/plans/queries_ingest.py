@@ -6,12 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..functions.cleaning import clean_str
 from ..operators import report as rp
 from ..sources import ingest as ing
 from ..sources.fixtures import shipments
 from ..sources.sinks import scratch_path, write_csv, write_region_reports
 
 
+#: Ways in which the sheets spell a date; each row takes one.
+DATE_STYLES = ["yyyy-MM-dd HH:mm:ss", "MMM d yyyy HH:mm", "yyyy-MM-dd", "MM/dd/yyyy HH:mm:ss", "MM-dd-yyyy", "yyyy/MM/dd", "d MMM yyyy",
+               "yyyy-MM-dd HH:mm:ss.SSS", "MMM d yyyy hh:mma", "yyyy-MM-dd'T'HH:mm:ss'Z'"]
+#: Ways in which they leave a value out.
+BLANKS = ["(vide)", "nan", "", " ", "NULL", "_", "NaT", "(blank)"]
+
+
+def _pick(n: int):
+    return F.pmod(F.xxhash64("mailitm_fid"), F.lit(n)).cast("int")
+
+
+def _varied(date, styles):
+    return F.element_at(F.array(*[F.date_format(date, f) for f in styles]), _pick(len(styles)) + 1)
+
+
+def _blank(text):
+    return F.coalesce(text, F.element_at(F.array(*map(F.lit, BLANKS)), _pick(len(BLANKS)) + 1))
+
+
 def raw_extract(spark: SparkSession, sf_dir: str, source: str | None = None,
                 headers: dict[str, str] | None = None) -> DataFrame:
     """Stand-in raw extract: the shipment rows rendered as source-style text
@@ -31,14 +51,14 @@ def raw_extract(spark: SparkSession, sf_dir: str, source: str | None = None,
         "Exp_code_postale": none, "Exp_phone": none,
         "Pays origine": F.col("origin_country"), "Pays Destination": F.col("destination_country"),
         "CRBT": comma("crbt_amount"),
-        "Date depot": F.date_format("deposit_date", "yyyy-MM-dd HH:mm:ss"),
+        "Date depot": _varied(F.col("deposit_date"), DATE_STYLES),
         "Mois_depot": F.col("deposit_month").cast("string"), "Annee_depot": F.col("deposit_year").cast("string"),
         "Bureau depot": F.col("depot_office"), "Region Depot": F.col("depot_region"),
         "Dernier E": F.col("last_event"),
-        "Date dernier E": F.date_format("last_event_date", "MMM d yyyy HH:mm"),
+        "Date dernier E": _varied(F.col("last_event_date"), DATE_STYLES[::-1]),
         "Bureau dernier E": F.col("last_event_office"), "Region dernier E": F.col("last_event_region"),
-        "Bureau next": none, "Region Next": F.coalesce(F.col("next_region"), F.lit("(vide)")),
-        "Intervalle en jours": F.coalesce(F.col("interval_days").cast("string"), F.lit("nan")),
+        "Bureau next": none, "Region Next": _blank(F.col("next_region")),
+        "Intervalle en jours": _blank(F.col("interval_days").cast("string")),
         "EDI_Event": F.lit("X"), "EDI_Date": F.lit("X"), "EDI_Cause": F.lit("X"), "EDI_action": F.lit("X"),
         "date echec ou livraison": none, "sup à 2 kg jusquà 3 kg": none,
         "Pour chaque kg supp ou fractionnement de 1 kg": none,
@@ -82,11 +102,12 @@ _VARIANT_HEADERS = {"MAILITM_FID": "mailitm fid", "Region Depot": " REGION-DEPOT
 
 
 @register("map_headers",
-          "SELECT mailitm_fid, depot_region, coalesce(next_region, '(vide)') AS next_region, "
+          "SELECT mailitm_fid, depot_region, next_region, "
           "CAST(NULL AS VARCHAR) AS sender_city FROM national")
 def q_map_headers(spark, sf):
     raw = raw_extract(spark, sf, "national", headers=_VARIANT_HEADERS)
-    return ing.map_headers(raw).select("mailitm_fid", "depot_region", "next_region", "sender_city")
+    mapped = ing.map_headers(raw).select("mailitm_fid", "depot_region", "next_region", "sender_city")
+    return mapped.withColumn("next_region", clean_str("next_region"))
 
 
 @register("stamp_batch", "SELECT mailitm_fid, 'batch-0001' AS import_batch FROM national")
@@ -116,8 +137,10 @@ def q_reload_table(spark, sf):
           "CAST(0 AS BIGINT) AS rows_updated, CAST(0 AS BIGINT) AS rows_skipped, 'success' AS status "
           "FROM shipments GROUP BY source")
 def q_import_audit(spark, sf):
-    _, audit = _load_all(spark, sf)
-    return audit.select("source", "rows_read", "rows_inserted", "rows_updated", "rows_skipped", "status")
+    path = scratch_path(spark, "audit")
+    for s in ing.SOURCES:  # one load after the other, each appending its row
+        ing.import_all(spark, {s: raw_extract(spark, sf, s)}, scratch_path(spark, "shipments"), "batch-0001", path)
+    return spark.read.parquet(path).select("source", "rows_read", "rows_inserted", "rows_updated", "rows_skipped", "status")
 
 
 @register("import_all",

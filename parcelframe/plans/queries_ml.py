@@ -13,7 +13,8 @@ from ..sources.fixtures import national
 from . import clustering as cl
 from . import forecast as fc
 from .queries_eda import r6
-from .queries_series import LONG, PANEL, SPLIT, panel, split
+from ..session import materialize
+from .queries_series import COMBOS, H, LONG, PANEL, SPLIT, _cmp_spark, all_long, named, split
 
 PCT = "avg(CAST({c} AS DOUBLE)) * 100"
 
@@ -99,7 +100,7 @@ def q_cluster_bureau(spark, sf):
 @register("cluster_parcel")
 def q_cluster_parcel(spark, sf):
     """k-means (k=4) over every complete parcel row; per-cluster profile."""
-    rows, metrics = cl.cluster_parcel(national(spark, sf), restarts=3)
+    rows, metrics = cl.cluster_parcel(national(spark, sf))
     prof = cl.cluster_profile(rows, ["_itv", "_ca", "_poids", "_crbt", "_del"])
     m = metrics.first()
     return r6(prof.withColumn("silhouette", F.lit(m["silhouette"])))
@@ -123,25 +124,6 @@ def q_cluster_vehicle(spark, sf):
     return r6(_rows_and_metrics(rows, metrics, "vehicle"))
 
 
-@register("cluster_summary_bureau")
-def q_cluster_summary_bureau(spark, sf):
-    rows, _ = cl.cluster_bureau(national(spark, sf))
-    return cl.cluster_summary_bureau(rows, 3)
-
-
-@register("cluster_summary_day")
-def q_cluster_summary_day(spark, sf):
-    rows, _ = cl.cluster_day(national(spark, sf))
-    return cl.cluster_summary_day(rows)
-
-
-@register("grade_metrics")
-def q_grade_metrics(spark, sf):
-    """Quality indices of the office clustering with good / warn / bad grades."""
-    _, metrics = cl.cluster_bureau(national(spark, sf))
-    return cl.grade_metrics(metrics)
-
-
 @register("cluster_all")
 def q_cluster_all(spark, sf):
     """All five analyses from one cached projection; one metrics row each."""
@@ -153,47 +135,61 @@ def q_cluster_all(spark, sf):
                      ("vehicle", cl.cluster_vehicle)):
         _, m = fn(base)
         out.append(m.withColumn("analysis", F.lit(name)))
-    _, m = cl.cluster_parcel(base, restarts=2)
+    _, m = cl.cluster_parcel(base)
     out.append(m.withColumn("analysis", F.lit("parcel")))
     base.unpersist()  # the metrics rows are local; nothing reads the projection any more
     return r6(reduce(lambda a, b: a.unionByName(b), out))
 
 
-def _gbt_frames(spark, sf):
-    feats = series.add_features(series.to_long_series(panel(spark, sf), "poids", 20))
-    s = series.train_test_cutoff(feats, 30)
+def _gbt_frames(long):
+    """Train and test rows of one dataset and target with their features."""
+    feats = materialize(series.add_features(long))
+    s = series.train_test_cutoff(feats, H)
     return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "test").drop("split")
 
 
+def _gbt_all(spark, sf):
+    """(dataset, target, predictions, model, feature names) of every combination."""
+    long = all_long(spark, sf)
+    for dataset, target in COMBOS:
+        own = long.filter((F.col("dataset") == dataset) & (F.col("target") == target)).select("unique_id", "ds", "y")
+        yield dataset, target, *fc.gbt_forecast(*_gbt_frames(own))
+
+
 @register("gbt_forecast")
 def q_gbt_forecast(spark, sf):
-    """Global boosted trees (depth 6, step 0.05) on lag/rolling features; test predictions ≥ 0."""
-    train, test = _gbt_frames(spark, sf)
-    pred, _, _ = fc.gbt_forecast(train, test, max_iter=40)
-    return r6(pred)
+    """Global boosted trees (depth 6, step 0.05, up to 800 rounds, stopped on a chronological
+    validation part) per dataset and target; test predictions ≥ 0."""
+    return r6(named(fc.union_forecasts([pred for _, _, pred, _, _ in _gbt_all(spark, sf)])))
 
 
 @register("gbt_metrics")
 def q_gbt_metrics(spark, sf):
-    train, test = _gbt_frames(spark, sf)
-    pred, _, _ = fc.gbt_forecast(train, test, max_iter=40)
-    return r6(fc.metrics(pred).withColumn("model", F.lit("gbt")))
+    """The trees' errors on the test window, per dataset and target."""
+    preds = fc.union_forecasts([pred for _, _, pred, _, _ in _gbt_all(spark, sf)])
+    return r6(fc.metrics(named(preds), by=["dataset", "target"]).withColumn("model", F.lit("gbt")))
+
+
+@register("model_comparison_gbt")
+def q_model_comparison_gbt(spark, sf):
+    """The full comparison: statistical models and boosted trees, all datasets and targets, sorted."""
+    return fc.model_comparison([_cmp_spark(spark, sf), q_gbt_metrics(spark, sf)])
 
 
 @register("tune_gbt")
 def q_tune_gbt(spark, sf):
-    """Chronological-validation grid search; one MAE row per configuration."""
-    train, _ = _gbt_frames(spark, sf)
-    _, rows = fc.tune_gbt(train, [{"max_depth": 4, "step_size": 0.1}, {"max_depth": 6, "step_size": 0.05}],
-                          val_days=20, max_iter=20)
+    """Grid search (15 settings) on the national weights; one validation MAE row per configuration."""
+    long = all_long(spark, sf).filter("dataset = 'national' AND target = 'poids'").select("unique_id", "ds", "y")
+    _, rows = fc.tune_gbt(_gbt_frames(long)[0])
     return spark.createDataFrame(rows, "config int, max_depth int, step_size double, val_mae double")
 
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
-    train, test = _gbt_frames(spark, sf)
-    _, model, feats = fc.gbt_forecast(train, test, max_iter=40)
-    return fc.feature_importance(model, feats, spark)
+    """Feature importances of each dataset's and target's trees."""
+    parts = [fc.feature_importance(model, feats, spark).withColumn("dataset", F.lit(d)).withColumn("target", F.lit(t))
+             for d, t, _, model, feats in _gbt_all(spark, sf)]
+    return fc.union_forecasts(parts)
 
 
 @register("train_test_sizes",

@@ -159,11 +159,11 @@ def q_livraison_table_long(spark, sf):
 
 
 @register("event_order",
-          "SELECT DISTINCT trim(last_event) AS e FROM national WHERE coalesce(trim(last_event), '') <> ''")
+          "SELECT CAST(row_number() OVER (ORDER BY lower(e) NOT LIKE 'envoi liv%', e) - 1 AS BIGINT) AS position, e FROM "
+          "(SELECT DISTINCT trim(last_event) AS e FROM national WHERE coalesce(trim(last_event), '') <> '')")
 def q_event_order(spark, sf):
     """Event list of the pivot, in display order (envoi liv… first, then A→Z)."""
-    vals = rp.event_values(national(spark, sf))
-    return spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "pos int, e string").select("e")
+    return rp.event_order(national(spark, sf)).select("position", F.col("event").alias("e"))
 
 
 @register("column_totals",
@@ -255,14 +255,13 @@ def q_drill_lookup(spark, sf):
 
 
 @register("drill_json",
-          "SELECT region, office, subkey, CAST(to_json({'ca': coalesce(trim(CAST(revenue_ca AS VARCHAR)), ''), "
+          "SELECT region, office, subkey, CAST(to_json({'id': trim(mailitm_fid), 'ca': coalesce(trim(CAST(revenue_ca AS VARCHAR)), ''), "
           f"'type': {_type_sql()}}}) AS VARCHAR) AS json FROM "
           + _scoped_sql("national", "depot_region", "depot_office")
           + f" CROSS JOIN LATERAL (SELECT unnest(list_filter(['__all__', CASE WHEN {CRBT_SQL} THEN 'CRBT' END], "
           "lambda x: x IS NOT NULL)) AS subkey) WHERE coalesce(trim(mailitm_fid), '') <> ''")
 def q_drill_json(spark, sf):
-    d = rp.depot_drill(national(spark, sf)).drop("id")
-    return rp.drill_json(d)
+    return rp.drill_json(rp.depot_drill(national(spark, sf)))
 
 
 @register("drill_pages")
@@ -271,6 +270,18 @@ def q_drill_pages(spark, sf):
     return rp.drill_pages(rp.livraison_drill(national(spark, sf)), page_size=500)
 
 
+@register("drill_page_entries",
+          "SELECT region, office, subkey, CAST(count(*) AS BIGINT) AS entries FROM (SELECT trim(last_event_region) AS region, "
+          "trim(last_event_office) AS office, unnest(list_filter(['__all__', CASE WHEN coalesce(trim(last_event), '') <> '' THEN trim(last_event) END, "
+          f"CASE WHEN {CRBT_SQL} THEN 'CRBT' ELSE 'Ordinaire' END], lambda x: x IS NOT NULL)) AS subkey FROM national "
+          "WHERE coalesce(trim(last_event_office), '') <> '' AND coalesce(trim(mailitm_fid), '') <> '') GROUP BY ALL")
+def q_drill_page_entries(spark, sf):
+    """Rows behind each cell, counted over its pages."""
+    pages = rp.drill_pages(rp.livraison_drill(national(spark, sf)), page_size=500)
+    times = F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["times"])
+    return pages.groupBy("region", "office", "subkey").agg(F.sum(times).alias("entries"))
+
+
 @register("depot_slider",
           "SELECT region, office AS b, coalesce(strftime(deposit_date, '%Y-%m-%d'), '') AS d, "
           "coalesce(upper(trim(shipment_type)), '') AS t, round_even(coalesce(CAST(revenue_ca AS DOUBLE), 0), 2) AS c, "

@@ -4,12 +4,13 @@ baseline and Theta forecasts, metrics and model comparison."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import eda, series, topk
 from ..session import materialize
-from ..sources.fixtures import national
+from ..sources.fixtures import national, shipments
 from . import forecast as fc
 from .queries_eda import r6
 
@@ -115,12 +116,13 @@ def q_daily_series(spark, sf):
 
 
 @register("calendar_fill",
-          f"WITH {PANEL}, tot AS (SELECT ds, sum(nb_envois) AS n FROM panel WHERE unique_id = 'ASIA' GROUP BY ds), "
-          "cal AS (SELECT CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM tot) "
-          "SELECT c.ds, CAST(coalesce(t.n, 0) AS BIGINT) AS n FROM cal c LEFT JOIN tot t USING (ds) WHERE isodow(c.ds) <= 5")
+          f"WITH {PANEL}, cal AS (SELECT unique_id, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds "
+          "FROM panel GROUP BY unique_id) SELECT c.unique_id, c.ds, CAST(coalesce(t.nb_envois, 0) AS BIGINT) AS n FROM cal c "
+          "LEFT JOIN panel t USING (unique_id, ds) WHERE isodow(c.ds) <= 5")
 def q_calendar_fill(spark, sf):
-    p = panel(spark, sf).filter(F.col("unique_id") == "ASIA").groupBy("ds").agg(F.sum("nb_envois").alias("n"))
-    return series.calendar_fill(p, ["n"]).withColumn("n", F.col("n").cast("bigint"))
+    """Every series on all business days of its span."""
+    p = panel(spark, sf).select("unique_id", "ds", F.col("nb_envois").alias("n"))
+    return series.calendar_fill(p, ["n"], key="unique_id").withColumn("n", F.col("n").cast("bigint"))
 
 
 @register("filter_business_days",
@@ -355,81 +357,136 @@ def q_metrics_by_series(spark, sf):
     return r6(fc.metrics(fc.join_forecast_actual(test, fc.naive_forecast(train, H)), by=["unique_id"]))
 
 
-@register("forecast_intervals",
-          f"{_BASE}, sig AS (SELECT unique_id, stddev_samp(e) AS sigma FROM (SELECT unique_id, y - lag(y) OVER "
-          "(PARTITION BY unique_id ORDER BY ds) AS e FROM train) GROUP BY 1) "
-          "SELECT n.unique_id, n.ds, round(n.y_hat, 6) AS y_hat, "
-          "round(greatest(n.y_hat - 1.2815515655446004 * sigma, 0), 6) AS lo_80, "
-          "round(greatest(n.y_hat + 1.2815515655446004 * sigma, 0), 6) AS hi_80, "
-          "round(greatest(n.y_hat - 1.959963984540054 * sigma, 0), 6) AS lo_95, "
-          "round(greatest(n.y_hat + 1.959963984540054 * sigma, 0), 6) AS hi_95 FROM naive n JOIN sig USING (unique_id)")
-def q_forecast_intervals(spark, sf):
-    train, _ = split(spark, sf)
-    f = fc.naive_forecast(train, H).join(fc.naive_sigma(train), "unique_id")
-    return r6(fc.forecast_intervals(f).select("unique_id", "ds", "y_hat", "lo_80", "hi_80", "lo_95", "hi_95"))
+# ── all datasets and targets ────────────────────────────────────────────────
 
+# The series of a dataset and target are named dataset|target|region, so one
+# pass fits them all. Imports carry no revenue.
+COMBOS = [("national", "poids"), ("national", "CA"), ("export", "poids"), ("export", "CA"), ("import", "poids")]
+FUTURE_DAYS = 60
 
-@register("theta_forecast")
+
+def all_long(spark, sf) -> DataFrame:
+    """Long series of every dataset and target: dataset, target, unique_id, ds, y."""
+    s = shipments(spark, sf).withColumn("_g", F.concat_ws("|", "source", F.coalesce("depot_region", F.lit("INCONNU"))))
+    p = materialize(series.daily_panel(s, "_g"))
+    parts = []
+    for target in ("poids", "CA"):
+        part = series.to_long_series(p, target, 20)
+        dataset = F.split_part(F.col("unique_id"), F.lit("|"), F.lit(1))
+        region = F.split_part(F.col("unique_id"), F.lit("|"), F.lit(2))
+        part = part.where(dataset.isin(*[d for d, t in COMBOS if t == target]))
+        parts.append(part.select(dataset.alias("dataset"), F.lit(target).alias("target"),
+                                 F.concat_ws("|", dataset, F.lit(target), region).alias("unique_id"), "ds", "y"))
+    return materialize(fc.union_forecasts(parts))
+
+
+def named(df: DataFrame) -> DataFrame:
+    """dataset, target and region of the series' name in front of its other columns."""
+    part = lambda k: F.split_part(F.col("unique_id"), F.lit("|"), F.lit(k))
+    return df.select(part(1).alias("dataset"), part(2).alias("target"), part(3).alias("region"), *[c for c in df.columns if c != "unique_id"])
+
+
+def all_split(spark, sf):
+    s = materialize(series.train_test_cutoff(all_long(spark, sf), H, by=("dataset", "target")))
+    return s.filter("split = 'train'").drop("split"), s.filter("split = 'test'").drop("split")
+
+
+def r3(df: DataFrame) -> DataFrame:
+    """Doubles at 3 decimals, half-even (long recursions differ in the last digits between engines)."""
+    return df.select(*[F.bround(F.col(c), 3).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+ALL = ("apanel AS (SELECT source AS dataset, deposit_date AS ds, coalesce(CAST(depot_region AS VARCHAR), 'INCONNU') AS region, "
+       "sum(greatest(coalesce(CAST(weight_kg AS DOUBLE), 0), 0)) AS poids, sum(greatest(coalesce(CAST(revenue_ca AS DOUBLE), 0), 0)) AS CA "
+       "FROM shipments WHERE deposit_date IS NOT NULL AND isodow(deposit_date) <= 5 GROUP BY 1, 2, 3), "
+       "aall AS (SELECT dataset, 'poids' AS target, region, ds, poids AS y FROM apanel UNION ALL "
+       "SELECT dataset, 'CA', region, ds, CA FROM apanel WHERE dataset <> 'import'), "
+       "along AS (SELECT dataset, target, dataset || '|' || target || '|' || region AS unique_id, ds, y FROM aall "
+       "QUALIFY count(*) OVER (PARTITION BY dataset, target, region) >= 20)")
+
+ASPLIT = ("adays AS (SELECT DISTINCT dataset, target, ds FROM along), arank AS (SELECT *, row_number() OVER (PARTITION BY dataset, target "
+          "ORDER BY ds DESC) AS r, count(*) OVER (PARTITION BY dataset, target) AS n FROM adays), "
+          f"acut AS (SELECT dataset, target, ds AS cutoff FROM arank WHERE r = least({H}, greatest(5, n - 20))), "
+          "train AS (SELECT unique_id, ds, y FROM along JOIN acut USING (dataset, target) WHERE ds < cutoff), "
+          "test AS (SELECT unique_id, ds, y FROM along JOIN acut USING (dataset, target) WHERE ds >= cutoff)")
+
+
+def THETA(src: str, h: int) -> str:  # noqa: N802
+    """The Theta forecast of every series of ``src`` over the dates in ``fut``: table theta."""
+    alphas = ", ".join(str(a) for a in fc.SES_ALPHAS)
+    return (
+        f"th_base AS (SELECT unique_id, ds, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS t, isodow(ds) AS dow FROM {src}), "
+        "th_mean AS (SELECT *, avg(y) OVER (PARTITION BY unique_id) AS m, avg(y) OVER (PARTITION BY unique_id, dow) AS md FROM th_base), "
+        "th_flat AS (SELECT unique_id, t, dow, CASE WHEN m > 0 AND md > 0 THEN md / m ELSE 1.0 END AS factor, "
+        "y / CASE WHEN m > 0 AND md > 0 THEN md / m ELSE 1.0 END AS ya FROM th_mean), "
+        "th_line AS (SELECT unique_id, count(*) AS n, regr_intercept(ya, t) AS a, regr_slope(ya, t) AS b FROM th_flat GROUP BY 1), "
+        "th_z AS (SELECT unique_id, n, a, b, list(2.0 * ya - (a + b * t) ORDER BY t) AS z FROM th_flat JOIN th_line USING (unique_id) GROUP BY ALL), "
+        f"th_ses AS (SELECT unique_id, n, a, b, alpha, list_reduce(list_transform(z, lambda v: {{'sse': 0.0::DOUBLE, 'level': v, 'z': v}}), "
+        "lambda s, x: {'sse': s.sse + (x.z - s.level) * (x.z - s.level), 'level': alpha * x.z + (1.0 - alpha) * s.level, 'z': x.z}) AS f "
+        f"FROM th_z, (SELECT CAST(unnest([{alphas}]) AS DOUBLE) AS alpha)), "
+        "th_best AS (SELECT unique_id, n, a, b, alpha, f.level AS level, sqrt(f.sse / greatest(n - 1, 1)) AS sigma_z FROM th_ses "
+        "QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY f.sse, alpha) = 1), "
+        "th_factor AS (SELECT DISTINCT unique_id, dow, factor FROM th_flat), "
+        "theta AS (SELECT u.unique_id, u.ds, u.step, greatest((0.5 * (a + b * (n + step)) + 0.5 * level) * coalesce(factor, 1.0), 0) AS y_hat, "
+        "0.5 * sigma_z * sqrt(1.0 + (step - 1) * alpha * alpha) * coalesce(factor, 1.0) AS sigma FROM fut u JOIN th_best USING (unique_id) "
+        "LEFT JOIN th_factor c ON c.unique_id = u.unique_id AND c.dow = isodow(u.ds))")
+
+
+BANDS = ", ".join(f"round(greatest(y_hat {s} {z} * sigma, 0), 3) AS {n}_{lv}" for lv, z in fc.Z_SCORES.items() for n, s in (("lo", "-"), ("hi", "+")))
+_NAME = "split_part(unique_id, '|', 1) AS dataset, split_part(unique_id, '|', 2) AS target, split_part(unique_id, '|', 3) AS region"
+
+
+@register("theta_forecast", f"WITH {PANEL}, {LONG()}, {SPLIT}, {FUTURE('train', H)}, {THETA('train', H)} SELECT unique_id, ds, "
+          f"CAST(step AS INTEGER) AS step, round(y_hat, 3) AS y_hat, round(sigma, 3) AS sigma, {BANDS} FROM theta")
 def q_theta_forecast(spark, sf):
-    """Theta forecasts (30 business days) per region series with 80/95 % bands; rows-only
-    (checked against a NumPy Theta in the tests)."""
+    """Theta forecasts (30 business days) per region series with 80/95 % bands."""
     train, _ = split(spark, sf)
-    return r6(fc.forecast_intervals(fc.theta_forecast(train, H)))
+    return r3(fc.forecast_intervals(fc.theta_forecast(train, H)))
 
 
-@register("theta_metrics")
-def q_theta_metrics(spark, sf):
-    """Theta vs naive vs seasonal naive on the test window (rows-only)."""
-    train, test = split(spark, sf)
-    return r6(fc.forecast_metrics_by_model(test, {"theta": fc.theta_forecast(train, H),
-                                                  "naive": fc.naive_forecast(train, H),
-                                                  "seasonal_naive": fc.seasonal_naive_forecast(train, H)}))
+_ABASE = f"WITH {ALL}, {ASPLIT}, {FUTURE('train', H)}, {NAIVE}, {SNAIVE}, {THETA('train', H)}"
+_SCORED = ", j AS (" + " UNION ALL ".join(
+    f"SELECT split_part(unique_id, '|', 1) AS dataset, split_part(unique_id, '|', 2) AS target, '{m}' AS model, t.y, f.y_hat "
+    f"FROM test t JOIN {src} f USING (unique_id, ds)" for m, src in (("theta", "theta"), ("naive", "naive"), ("seasonal_naive", "snaive"))) + ")"
+_CMP = _ABASE + _SCORED + ", cmp AS (" + METRICS("j", "dataset, target, model").replace(", 6)", ", 3)") + ") "
+
+
+def model_forecasts(train: DataFrame) -> dict[str, DataFrame]:
+    """The statistical models' forecasts of the test window."""
+    return {"theta": fc.theta_forecast(train, H), "naive": fc.naive_forecast(train, H), "seasonal_naive": fc.seasonal_naive_forecast(train, H)}
+
+
+def _scored(test: DataFrame, forecasts: dict[str, DataFrame]) -> DataFrame:
+    parts = [fc.join_forecast_actual(test.select("unique_id", "ds", "y"), f.select("unique_id", "ds", "y_hat")).withColumn("model", F.lit(m))
+             for m, f in forecasts.items()]
+    return fc.metrics(named(fc.union_forecasts(parts)), by=["dataset", "target", "model"])
 
 
 def _cmp_spark(spark, sf) -> DataFrame:
-    parts = []
-    for target in ("poids", "nb_envois"):
-        s = series.train_test_cutoff(series.to_long_series(panel(spark, sf), target, 20), H)
-        train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
-        m = fc.forecast_metrics_by_model(test, {"naive": fc.naive_forecast(train, H),
-                                                "seasonal_naive": fc.seasonal_naive_forecast(train, H)})
-        parts.append(m.withColumn("dataset", F.lit("national")).withColumn("target", F.lit(target)))
-    return r6(fc.model_comparison(parts))
-
-
-def _cmp_sql() -> str:
-    ctes = [PANEL]
-    unions = []
-    for t in ("poids", "nb_envois"):
-        ctes.append(LONG(t).replace("long AS", f"long_{t} AS"))
-        ctes.append(SPLIT.replace("FROM long", f"FROM long_{t}").replace("long.*", f"long_{t}.*")
-                    .replace("dd AS", f"dd_{t} AS").replace("FROM dd)", f"FROM dd_{t})")
-                    .replace("rk AS", f"rk_{t} AS").replace("FROM rk", f"FROM rk_{t}")
-                    .replace("cut AS", f"cut_{t} AS").replace(", cut WHERE", f", cut_{t} WHERE")
-                    .replace("train AS", f"train_{t} AS").replace("test AS", f"test_{t} AS"))
-        ctes.append(FUTURE(f"train_{t}", H).replace("lastd", f"lastd_{t}").replace("fut AS", f"fut_{t} AS"))
-        ctes.append(f"naive_{t} AS (SELECT f.unique_id, f.ds, l.last_y AS y_hat FROM fut_{t} f JOIN lastd_{t} l "
-                    "USING (unique_id))")
-        ctes.append(SNAIVE.replace("tail5", f"tail5_{t}").replace("FROM train", f"FROM train_{t}")
-                    .replace("snaive AS", f"snaive_{t} AS").replace("FROM fut f", f"FROM fut_{t} f"))
-        unions.append(f"SELECT '{t}' AS target, 'naive' AS model, t.y, n.y_hat FROM test_{t} t JOIN naive_{t} n "
-                      "USING (unique_id, ds)")
-        unions.append(f"SELECT '{t}' AS target, 'seasonal_naive' AS model, t.y, s.y_hat FROM test_{t} t "
-                      f"JOIN snaive_{t} s USING (unique_id, ds)")
-    ctes.append("j AS (" + " UNION ALL ".join(unions) + ")")
-    ctes.append("cmp AS (" + METRICS("j", "target, model").replace("SELECT ", "SELECT 'national' AS dataset, ", 1) + ")")
-    return "WITH " + ", ".join(ctes) + " "
-
-
-_CMP = _cmp_sql()
+    train, test = all_split(spark, sf)
+    return materialize(r3(fc.model_comparison([_scored(test, model_forecasts(train))])))
+
+
+@register("theta_metrics", _CMP + "SELECT * FROM cmp WHERE model = 'theta'")
+def q_theta_metrics(spark, sf):
+    """Theta's errors on the test window, per dataset and target."""
+    train, test = all_split(spark, sf)
+    return r3(_scored(test, {"theta": fc.theta_forecast(train, H)}))
 
 
 @register("model_comparison", _CMP + "SELECT * FROM cmp")
 def q_model_comparison(spark, sf):
-    """Metric rows of every (target, model), sorted by dataset, target, SMAPE."""
+    """Metric rows of every (dataset, target, model), sorted by dataset, target, SMAPE."""
     return _cmp_spark(spark, sf)
 
 
+@register("union_metrics", _CMP + "SELECT dataset, target, model, MAE, RMSE, SMAPE, R2 FROM cmp")
+def q_union_metrics(spark, sf):
+    """One table of metric rows out of one per model."""
+    train, test = all_split(spark, sf)
+    return r3(fc.union_forecasts([_scored(test, {m: f}) for m, f in model_forecasts(train).items()]))
+
+
 @register("best_model",
           _CMP + "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY dataset, target "
           "ORDER BY SMAPE, model) AS r FROM cmp) WHERE r = 1")
@@ -458,12 +515,45 @@ def q_minmax_norm(spark, sf):
     return r6(fc.minmax_norm(_cmp_spark(spark, sf)))
 
 
+@register("sort_comparison",
+          _CMP + "SELECT dataset, target, model, SMAPE, CAST(row_number() OVER (PARTITION BY dataset, target ORDER BY SMAPE, model) AS INTEGER) "
+          "AS position FROM cmp")
+def q_sort_comparison(spark, sf):
+    """Comparison rows with their position within their dataset and target."""
+    order = W.partitionBy("dataset", "target").orderBy("SMAPE", "model")
+    return _cmp_spark(spark, sf).select("dataset", "target", "model", "SMAPE", F.row_number().over(order).alias("position"))
+
+
+_AFUTURE = f"WITH {ALL}, {FUTURE('along', FUTURE_DAYS)}, {THETA('along', FUTURE_DAYS)}"
+
+
+def future_forecasts(spark, sf) -> DataFrame:
+    """Theta fitted on the whole history of every series: the next 60 business days."""
+    return fc.theta_forecast(all_long(spark, sf), FUTURE_DAYS)
+
+
+@register("forecast_intervals", _AFUTURE + f" SELECT {_NAME}, ds, CAST(step AS INTEGER) AS step, round(y_hat, 3) AS y_hat, round(sigma, 3) AS sigma, {BANDS} FROM theta")
+def q_forecast_intervals(spark, sf):
+    """60-day forecasts of all datasets and targets with bands that widen with the step."""
+    return r3(named(fc.forecast_intervals(future_forecasts(spark, sf))))
+
+
+@register("union_forecasts", _AFUTURE + f" SELECT 'theta' AS model, {_NAME}, ds, round(y_hat, 3) AS y_hat FROM theta "
+          f"UNION ALL SELECT 'naive', {_NAME}, f.ds, round(l.last_y, 3) FROM fut f JOIN lastd l USING (unique_id)")
+def q_union_forecasts(spark, sf):
+    """60-day forecasts of two models over all datasets and targets in one table."""
+    long = all_long(spark, sf)
+    models = {"theta": fc.theta_forecast(long, FUTURE_DAYS), "naive": fc.naive_forecast(long, FUTURE_DAYS)}
+    return r3(fc.union_forecasts([named(f.select("unique_id", "ds", "y_hat")).withColumn("model", F.lit(m)) for m, f in models.items()]))
+
+
 @register("global_forecast",
-          f"{_BASE} SELECT ds, round(sum(y), 6) AS value, 'history' AS kind FROM train GROUP BY ds "
-          "UNION ALL SELECT ds, round(sum(y_hat), 6) AS value, 'forecast' AS kind FROM naive GROUP BY ds")
+          _AFUTURE + f", both_kinds AS (SELECT {_NAME}, ds, y AS v, 'history' AS kind FROM along UNION ALL SELECT {_NAME}, ds, y_hat, 'forecast' "
+          "FROM theta) SELECT dataset, target, ds, round(sum(v), 3) AS value, kind FROM both_kinds GROUP BY dataset, target, ds, kind")
 def q_global_forecast(spark, sf):
-    train, _ = split(spark, sf)
-    return r6(fc.global_forecast(train, fc.naive_forecast(train, H)))
+    """History and 60-day forecast summed over regions, per dataset and target."""
+    by = ("dataset", "target")
+    return r3(fc.global_forecast(all_long(spark, sf), named(future_forecasts(spark, sf)), by))
 
 
 @register("join_forecast_left",

@@ -13,8 +13,9 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,43 +36,35 @@ class MissingKeyColumn(ValueError):
 
 
 def scan_shipments(spark: SparkSession, path: str, fmt: str = "csv", header_row: int = 0,
-                   options: dict | None = None) -> DataFrame:
-    """Read a raw extract with every column as a string (no inference).
+                   options: dict | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Read a raw extract with every column as the text that stands in the file.
 
-    For CSV with ``header_row`` > 0 the first ``header_row + 1`` lines of the
+    CSV: a file whose header differs from the first file's makes the read fail
+    instead of landing under the wrong names. Pass ``{"multiLine": True}`` for
+    extracts with line breaks inside quotes (such files can't be split between
+    tasks, so it isn't the default).
+
+    With ``header_row`` > 0 the first ``header_row + 1`` lines of the
     first file are read (a bounded read); the header is the first of them
     holding the key column's name (blank lines are skipped by the reader, so
     the position alone is not trusted). Lines identical to those title lines
     or to the header — the same template heads every file of an export — are
-    dropped from all files.
+    dropped from all files; any other line that holds the key column's name is
+    another header, and the read fails.
+
+    JSON: numbers keep their spelling. ``columns`` names the fields and saves
+    the pass that otherwise collects them.
     """
     opts = dict(options or {})
+    if fmt == "csv" and header_row == 0:
+        names = spark.read.options(**opts).option("header", True).csv(path).columns
+        return (spark.read.options(**opts).schema(_text_schema(names)).option("header", True)
+                .option("enforceSchema", False).csv(path))
     if fmt == "csv":
-        if header_row == 0:
-            first = spark.read.options(**opts).option("header", True).csv(path).columns
-            schema = T.StructType([T.StructField(c, T.StringType()) for c in first])
-            return spark.read.options(**opts).schema(schema).option("header", True).csv(path)
-        sep = opts.get("sep", opts.get("delimiter", ","))
-        lines = [r[0] for r in spark.read.options(**opts).text(path).limit(header_row + 1).collect()]
-        head = [next(csv.reader([ln], delimiter=sep)) if ln.strip() else [] for ln in lines]
-        keys = {fold_header(h) for h, c, _ in COLUMN_MAP if c in KEY_COLUMNS}
-        idx = next((i for i, r in enumerate(head) if any(fold_header(v) in keys for v in r)), len(head) - 1)
-        names = [v if v else f"_c{i}" for i, v in enumerate(head[idx])]
-        width = len(names)
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-        raw = spark.read.options(**opts).schema(schema).option("header", False).csv(path)
-        drop = F.lit(False)
-        for r in head[:idx + 1]:
-            if not r:
-                continue
-            vals = (r + [None] * width)[:width]
-            same = F.lit(True)
-            for i, v in enumerate(vals):
-                same = same & F.col(f"_c{i}").eqNullSafe(F.lit(v if v != "" else None))
-            drop = drop | same
-        return raw.filter(~drop).toDF(*names)
+        return _scan_titled_csv(spark, path, header_row, opts)
     if fmt == "json":
-        df = spark.read.options(**opts).json(path)
+        reader = spark.read.options(**opts).option("primitivesAsString", True)
+        df = reader.schema(_text_schema(columns)).json(path) if columns else reader.json(path)
     elif fmt == "parquet":
         df = spark.read.options(**opts).parquet(path)
     else:
@@ -79,6 +72,31 @@ def scan_shipments(spark: SparkSession, path: str, fmt: str = "csv", header_row:
     return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
 
+def _text_schema(names) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in names])
+
+
+def _scan_titled_csv(spark: SparkSession, path: str, header_row: int, opts: dict) -> DataFrame:
+    sep = opts.get("sep", opts.get("delimiter", ","))
+    lines = [r[0] for r in spark.read.text(path).limit(header_row + 1).collect()]
+    head = [next(csv.reader([ln], delimiter=sep)) if ln.strip() else [] for ln in lines]
+    keys = {fold_header(h) for h, c, _ in COLUMN_MAP if c in KEY_COLUMNS}
+    idx = next((i for i, r in enumerate(head) if any(fold_header(v) in keys for v in r)), len(head) - 1)
+    names = [v if v else f"_c{i}" for i, v in enumerate(head[idx])]
+    cells = [f"_c{i}" for i in range(len(names))]
+    raw = spark.read.options(**opts).schema(_text_schema(cells)).option("header", False).csv(path)
+
+    def same(row: list[str]):
+        values = (row + [None] * len(cells))[:len(cells)]
+        return reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(v or None)) for c, v in zip(cells, values)])
+
+    title = reduce(Column.__or__, [same(r) for r in head[:idx + 1] if r], F.lit(False))
+    key_names = [v for v in head[idx] if fold_header(v) in keys]
+    other = F.array_contains(F.array(*cells), F.lit(key_names[0])) if key_names else F.lit(False)
+    wrong = F.raise_error(F.lit(f"a header differs from {names}")).cast("boolean")
+    return raw.filter(F.when(title, False).when(F.coalesce(other, F.lit(False)), wrong).otherwise(True)).toDF(*names)
+
+
 def scan_source(spark: SparkSession, path: str, source: str, fmt: str = "csv",
                 header_row: int | None = None, options: dict | None = None) -> DataFrame:
     """``scan_shipments`` with the source's default header row (national and
@@ -88,24 +106,20 @@ def scan_source(spark: SparkSession, path: str, source: str, fmt: str = "csv",
 
 
 def header_lookup(columns) -> dict[str, str]:
-    """Expected header → actual column, matched on the folded form."""
-    by_fold = {fold_header(c): c for c in columns}
-    return {h: by_fold[fold_header(h)] for h, _, _ in COLUMN_MAP if fold_header(h) in by_fold}
+    """Clean name → the actual column whose header folds to the same letters and digits."""
+    clean = {fold_header(header): name for header, name, _ in COLUMN_MAP}
+    return {clean[fold_header(c)]: c for c in columns if fold_header(c) in clean}
 
 
 def map_headers(df: DataFrame) -> DataFrame:
     """Rename to the 33 clean names; an absent optional column becomes NULL,
     an absent key column raises ``MissingKeyColumn``."""
-    lookup = header_lookup(df.columns)
-    cols = []
+    actual = header_lookup(df.columns)
     for header, name, _ in COLUMN_MAP:
-        if header in lookup:
-            cols.append(F.col(f"`{lookup[header]}`").cast("string").alias(name))
-        elif name in KEY_COLUMNS:
+        if name in KEY_COLUMNS and name not in actual:
             raise MissingKeyColumn(f"key column {header!r} not found")
-        else:
-            cols.append(F.lit(None).cast("string").alias(name))
-    return df.select(cols)
+    text = lambda name: F.col(f"`{actual[name]}`") if name in actual else F.lit(None)
+    return df.select([text(name).cast("string").alias(name) for _, name, _ in COLUMN_MAP])
 
 
 def _convert(name: str, kind: str):
@@ -129,17 +143,19 @@ def clean_shipments(df: DataFrame) -> DataFrame:
     month/year outside 1–12 / 1900–9999 become NULL; rows without a key are dropped.
 
     Each text column is stripped once; the parsers then work on that value.
+    Dates, numbers and text are converted in projections of their own: one
+    projection of all would generate methods too large to compile.
     """
     mapped = {n for _, n, _ in COLUMN_MAP}
-    stripped = df.select([strip_ws(n).alias(n) for _, n, _ in COLUMN_MAP]
-                         + [c for c in df.columns if c not in mapped])
-    typed = stripped.select([_convert(n, k).alias(n) for _, n, k in COLUMN_MAP]
-                            + [c for c in df.columns if c not in mapped])
-    typed = (typed.withColumn("deposit_month", valid_month("deposit_month"))
-             .withColumn("deposit_year", valid_year("deposit_year"))
-             .withColumn("is_delivered", is_delivered("last_event"))
-             .withColumn("is_crbt", is_crbt("shipment_type", "crbt_amount")))
-    return typed.filter(F.col("mailitm_fid").isNotNull())
+    rest = [c for c in df.columns if c not in mapped]
+    out = df.select([strip_ws(n).alias(n) for _, n, _ in COLUMN_MAP] + rest)
+    for kinds in (("datetime",), ("float", "int"), ("str",)):
+        out = out.select([(_convert(n, k) if k in kinds else F.col(n)).alias(n) for _, n, k in COLUMN_MAP] + rest)
+    out = (out.withColumn("deposit_month", valid_month("deposit_month"))
+           .withColumn("deposit_year", valid_year("deposit_year"))
+           .withColumn("is_delivered", is_delivered("last_event"))
+           .withColumn("is_crbt", is_crbt("shipment_type", "crbt_amount")))
+    return out.filter(F.col("mailitm_fid").isNotNull())
 
 
 def stamp_batch(df: DataFrame, batch_id: str | None = None, now: dt.datetime | None = None) -> DataFrame:
@@ -150,11 +166,23 @@ def stamp_batch(df: DataFrame, batch_id: str | None = None, now: dt.datetime | N
             .withColumn("updated_at", ts))
 
 
-def reload_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace the content of the sources present in ``df``; other sources'
-    partitions stay untouched (dynamic partition overwrite)."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def reload_table(df: DataFrame, path: str, fmt: str = "parquet", sources=()) -> None:
+    """Replace the content of the sources present in ``df`` and of those named in ``sources``.
+
+    Partitions of other sources stay untouched (dynamic partition overwrite).
+    A named source without a row in ``df`` ends up empty: its rows are counted
+    by the write itself, and its old partition is dropped after it.
+    """
+    rows, counts = df, Observation(f"reload_{uuid.uuid4().hex}")
+    if sources:
+        rows = df.observe(counts, *[F.count_if(F.col("source") == s).alias(s) for s in sources])
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("source").format(fmt).save(path))
+    spark = df.sparkSession
+    for s in sources:
+        if counts.get[s] == 0:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source={s}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def load_source(spark: SparkSession, raw: DataFrame, source: str, path: str,
@@ -162,19 +190,19 @@ def load_source(spark: SparkSession, raw: DataFrame, source: str, path: str,
     """Map, clean, stamp and write one source; return its audit record.
 
     ``rows_read`` and ``rows_inserted`` are observed on the write itself, so
-    the data is read once.
+    the data is read once. A load without the key column counts what it read.
     """
     bid = batch_id or uuid.uuid4().hex[:12]
     try:
         mapped = map_headers(raw)
     except MissingKeyColumn as e:
-        return _audit(source, bid, 0, 0, "failed", str(e))
+        return _audit(source, bid, raw.count(), 0, "failed", str(e))
     obs_in, obs_out = Observation(f"read_{source}_{bid}"), Observation(f"kept_{source}_{bid}")
     counted = mapped.observe(obs_in, F.count(F.lit(1)).alias("n"))
     cleaned = clean_shipments(counted).observe(obs_out, F.count(F.lit(1)).alias("n"))
     out = stamp_batch(cleaned, bid).withColumn("source", F.lit(source))
     try:
-        reload_table(out, path)
+        reload_table(out, path, sources=[source])
     except Exception as e:  # noqa: BLE001 — a failed load is recorded, not raised
         return _audit(source, bid, 0, 0, "failed", f"{type(e).__name__}: {e}"[:500])
     read, kept = obs_in.get["n"], obs_out.get["n"]
@@ -187,16 +215,25 @@ def _audit(source, bid, read, kept, status, message) -> dict:
 
 
 def import_audit(spark: SparkSession, records: list[dict]) -> DataFrame:
-    """Audit rows (one per load) as a DataFrame, ready to append to an audit table."""
+    """Audit rows (one per load) as a DataFrame."""
     return spark.createDataFrame([tuple(r[k] for k in ("source", "batch_id", "rows_read", "rows_inserted",
                                                        "rows_updated", "rows_skipped", "status", "message"))
                                   for r in records], AUDIT_SCHEMA)
 
 
+def append_audit(audit: DataFrame, path: str) -> None:
+    """Append audit rows to the audit table at ``path``."""
+    audit.coalesce(1).write.mode("append").parquet(path)
+
+
 def import_all(spark: SparkSession, raws: dict[str, DataFrame], path: str,
-               batch_id: str | None = None) -> DataFrame:
-    """Load every given source, best effort each; returns the audit rows."""
-    return import_audit(spark, [load_source(spark, raws[s], s, path, batch_id) for s in raws])
+               batch_id: str | None = None, audit_path: str | None = None) -> DataFrame:
+    """Load every given source, best effort each; returns the audit rows, and
+    appends them (failed loads too) to the audit table where its path is given."""
+    audit = import_audit(spark, [load_source(spark, raws[s], s, path, batch_id) for s in raws])
+    if audit_path:
+        append_audit(audit, audit_path)
+    return audit
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelframe.operators import report as R
@@ -51,11 +52,51 @@ def test_livraison_pivot_and_drill(seed):
     assert d.filter(F.col("subkey") == "Ordinaire").count() == 1
 
 
-def test_drill_pages_bounded(seed):
-    d = R.depot_drill(seed)
-    pages = R.drill_pages(d, page_size=1)
-    sizes = [len(r["entries"]) for r in pages.collect()]
-    assert sum(sizes) == d.count()
+def test_drill_pages_bounded(spark):
+    """Page sizes, also where 3,000 entries of one office are equal and a third of all rows."""
+    rows = [("same" if i < 3000 else f"id{i}", "HOT" if i < 6000 else f"o{i % 50}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "mailitm_fid string, depot_office string") \
+        .withColumn("depot_region", F.lit("R")).withColumn("shipment_type", F.lit("Ordinaire")) \
+        .withColumn("revenue_ca", F.lit(1).cast("decimal(18,3)"))
+    d = R.depot_drill(df)
+    pages = R.drill_pages(d, page_size=200).collect()
+    assert max(len(p["entries"]) for p in pages) < 400
+    assert sum(e["times"] for p in pages for e in p["entries"]) == d.count() == 9000
+    assert [e["times"] for p in pages for e in p["entries"] if e["id"] == "same"] == [3000]
+
+
+def test_raw_rows_are_stripped_once(spark):
+    rows = [(" A ", " R", "X\t", "CRBT ", Decimal(7), 1.0), ("B", "R", " ", "CRBT", Decimal(1), 1.0)]
+    raw = spark.createDataFrame(rows, "mailitm_fid string, depot_region string, depot_office string, shipment_type string, "
+                                      "revenue_ca decimal(18,3), weight_kg double")
+    t = {r["office"]: r for r in R.depot_table(R.stripped(raw), "R").collect()}
+    assert set(t) == {"X", "TOTAL"} and t["X"]["crbt"] == t["TOTAL"]["nb_ids"] == 1
+
+
+def test_report_parts_and_scopes(spark, seed):
+    rows = seed.unionByName(seed.withColumn("source", F.lit("export"))).unionByName(seed.withColumn("source", F.lit("import")))
+    parts = R.region_report(rows, "SFAX")
+    assert len(parts) == 13 and parts["report_kpis"].first()["total"] == 2
+    assert {r["office"] for r in parts["export_table"].collect()} == {"Agence Sfax", "TOTAL"}
+    assert set(R.region_report(rows, include_depot=False)) & {"depot_table", "export_drill"} == set()
+    assert set(R.region_report(rows, include_livraison=False)) & {"livraison_table", "import_drill"} == set()
+    only = R.region_report(rows, None, ["(VIDE)"], cat_depot=["bureaux"])
+    assert {r["office"] for r in only["depot_table"].where("not is_total").collect()} == {"Bureau Tunis"}
+    assert R.region_report(rows, None, ["nowhere"])["depot_drill"].count() == 0
+
+
+def test_empty_input(seed):
+    none = seed.limit(0)
+    for part in R.region_report(none).values():
+        assert part.where("region IS NOT NULL").count() == 0
+    assert R.drill_pages(R.depot_drill(none)).count() == 0 and R.event_order(none).count() == 0
+
+
+def test_many_events_need_the_long_form(spark, seed):
+    many = seed.crossJoin(spark.range(300)).withColumn("last_event", F.concat(F.lit("e"), "id"))
+    with pytest.raises(ValueError, match="long"):
+        R.livraison_table(many)
+    assert R.livraison_table_long(many).where("is_total").count() >= 300
 
 
 def test_scoped_kpis(spark, seed):
