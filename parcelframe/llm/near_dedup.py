@@ -51,7 +51,7 @@ from . import bloom, textarrays as T
 from .common import stored
 
 WORDS, TOKENS, LOW = 5, 32, 384
-TREES, BRANCH, LEAF, LEVELS, DEPTH, PIVOTS = 6, 2, 192, 3, 6, 4
+TREES, BRANCH, LEAF, LEVELS, DEPTH, PIVOTS = 6, 2, 512, 2, 6, 4
 #: Common tokens of TOKENS that a pair at 0.75 has but once in a hundred thousand times.
 ENOUGH = 13
 #: A large node of several groups is compared by blocks if that takes at most so many comparisons.
@@ -181,19 +181,20 @@ def by_node(rows: DataFrame, solve: Callable[[list[tuple]], list[tuple]], schema
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, ddl)
 
 
-def partnered(leaves: DataFrame) -> DataFrame:
-    """(node, set) of leaf members with a partner of ENOUGH common tokens in that leaf."""
+def partnered(rows: DataFrame) -> DataFrame:
+    """The rows (node, set, tokens, label) whose node holds a member of another label with ENOUGH tokens in common."""
 
     def solve(held: list[tuple]) -> list[tuple]:
         tokens = np.array([r[2] for r in held])
         same = np.zeros((len(held), len(held)), np.int16)
-        for t in range(0, TOKENS, 8):
-            same += (tokens[:, None, t:t + 8] == tokens[None, :, t:t + 8]).sum(2, dtype=np.int16)
-        np.fill_diagonal(same, 0)
-        return [held[i][:2] for i in np.flatnonzero(same.max(1) >= ENOUGH)]
+        for t in range(TOKENS):
+            same += tokens[:, t, None] == tokens[None, :, t]
+        _, label = np.unique([r[3] for r in held], return_inverse=True)
+        same[label[:, None] == label[None, :]] = 0
+        return [held[i] for i in np.flatnonzero(same.max(1) >= ENOUGH)]
 
-    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
-    return by_node(leaves.select("node", "set", "tokens"), solve, schema, "node long, set binary")
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary()), ("tokens", pa.list_(pa.int32())), ("label", pa.binary())])
+    return by_node(rows.select("node", "set", "tokens", "label"), solve, schema, "node long, set binary, tokens array<int>, label binary")
 
 
 def estimates(low: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +268,8 @@ def sub_blocks(large: DataFrame) -> DataFrame:
     pivot = large.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).drop("k")
     spread = pivot.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     own = large.withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), blocks).cast("int"))
-    both = own.unionByName(spread).select(F.xxhash64("node", "block").alias("node"), "set")
-    return both.distinct()
+    both = own.unionByName(spread).select(F.xxhash64("node", "block").alias("node"), "set", "tokens")
+    return both.dropDuplicates(["node", "set"])
 
 
 def mixed(rows: DataFrame) -> DataFrame:
@@ -286,8 +287,8 @@ def cross_blocks(rows: DataFrame) -> DataFrame:
     mine = lambda parts: F.pmod(F.xxhash64("set", F.lit(2)), parts).cast("int")
     others = (rows.where("label != main").withColumn("i", mine(left)).withColumn("j", F.explode(F.sequence(F.lit(0), right - 1))))
     members = rows.withColumn("j", mine(right)).withColumn("i", F.explode(F.sequence(F.lit(0), left - 1)))
-    both = others.unionByName(members).select(F.xxhash64("node", "i", "j").alias("node"), "set", "label")
-    return both.distinct()
+    both = others.unionByName(members).select(F.xxhash64("node", "i", "j").alias("node"), "set", "tokens", "label")
+    return both.dropDuplicates(["node", "set"])
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -341,17 +342,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(sketch(docs), "sketches")
     classes = stored(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("tokens").alias("tokens")), "classes")
     leaves, large = trees(classes)
-    leaves = stored(partnered(leaves), "leaves")
+    leaves = stored(partnered(leaves.withColumn("label", F.col("set"))).drop("label"), "leaves")
     ids = leaves.select("set").union(large.select("set")).distinct()
     members = stored(ids.join(classes.select("set", F.col("least").alias("doc_id")), "set"), "members")
     sets = stored(full_sets(docs, members), "sets")
-    dealt = leaves.unionByName(sub_blocks(large)).withColumn("label", F.lit(None).cast("binary"))
+    dealt = leaves.unionByName(partnered(sub_blocks(large).withColumn("label", F.col("set"))).drop("label"))
+    dealt = dealt.withColumn("label", F.lit(None).cast("binary"))
     first = stored(candidates(dealt, sets, every=False), "pairs")
     links = check(first, sets)
     group = stored(components(links), "groups")
     # round two: pairs between different groups that the first round didn't look at
     named = lambda x: x.join(group, "set", "left").withColumn("label", F.coalesce("root", "set")).drop("root")
-    rest = mixed(named(leaves)).select("node", "set", "label")
+    rest = mixed(named(leaves)).select("node", "set", "tokens", "label")
     depth, open_ = LEVELS, stored(mixed(named(large)), "large")
     while not open_.isEmpty():
         last = depth == DEPTH
@@ -360,9 +362,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if last:
             break
         child = stored(mixed(branches(open_.where(dear).select("node", "n", "set", "tokens", "label"))), "large")
-        rest = rest.unionByName(child.where(F.col("n") <= LEAF).select("node", "set", "label"))
+        rest = rest.unionByName(child.where(F.col("n") <= LEAF).select("node", "set", "tokens", "label"))
         depth, open_ = depth + 1, child.where(F.col("n") > LEAF)
-    second = stored(candidates(rest, sets, every=True).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = stored(candidates(partnered(rest), sets, every=True).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = check(second, sets)
         if not more.isEmpty():
