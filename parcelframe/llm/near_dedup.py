@@ -6,13 +6,12 @@ more are linked; a group is a connected component.
 * Sketch: one pass gives each text its set's fingerprint, its size and
   ``TOKENS`` minwise tokens. Equal sets are one class from there on, so copies
   cost a row each and nothing more.
-* Trees: at a node, a few randomly chosen token positions branch its documents
-  by their tokens there. A pair of similarity s shares a branch with
-  probability s, so it stays together somewhere in ``BRANCH`` branches with
-  1 - (1 - s) ** BRANCH, and ``TREES`` trees are independent. Nodes of at most
-  ``LEAF`` documents are leaves; larger ones branch again. Pairs at 0.75 are
-  missed with 0.25 ** (BRANCH * TREES), about 6e-8, in leaves under the root, and
-  at most ((1 - .9375 ** d)) ** TREES at depth d (3e-5 at depth 3).
+* Trees: a root branches its documents by their tokens at ``BRANCH`` randomly
+  chosen positions, a node below it by the token at one. A pair of similarity s
+  shares a branch with probability s at each, and the ``TREES`` trees are
+  independent. Nodes of at most ``LEAF`` documents are leaves; larger ones branch
+  again. Pairs at 0.75 are missed with 0.25 ** (BRANCH * TREES), about 6e-8, in
+  leaves under a root, with 5e-5 one level lower and 1.4e-3 two levels lower.
 * Partners: in a leaf, only documents with a partner that shares enough tokens
   go on (a common passage brings many documents into a node, few of them close).
 * Sets: the texts of those classes are read again (a bounded Bloom filter keeps
@@ -52,6 +51,8 @@ from .common import stored
 
 WORDS, TOKENS, LOW = 5, 32, 384
 TREES, BRANCH, LEAF, LEVELS, DEPTH, PIVOTS = 6, 2, 512, 2, 6, 4
+#: Members of a leaf up to which a hash counts as rare.
+FEW = 16
 #: Common tokens of TOKENS that a pair at 0.75 has but once in a hundred thousand times.
 ENOUGH = 13
 #: A large node of several groups is compared by blocks if that takes at most so many comparisons.
@@ -134,10 +135,9 @@ def roots(classes: DataFrame) -> DataFrame:
 
 
 def branches(large: DataFrame) -> DataFrame:
-    """The nodes one level below ``large`` ones, with the same columns."""
-    chosen = F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda c: F.xxhash64(
-        "node", c, F.element_at("tokens", F.pmod(F.xxhash64("node", c), F.lit(TOKENS)).cast("int") + 1)))
-    return _counted(large.drop("n").withColumn("node", F.explode(chosen))).select(*large.columns)
+    """The nodes one level below ``large`` ones, with the same columns: members that agree on one more position."""
+    position = F.pmod(F.xxhash64("node"), F.lit(TOKENS)).cast("int") + 1
+    return _counted(large.drop("n").withColumn("node", F.xxhash64("node", F.element_at("tokens", position)))).select(*large.columns)
 
 
 def trees(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,11 +206,22 @@ def estimates(low: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.n
     length = np.array([len(x) for x in low])
     flat, member = np.concatenate(low), np.repeat(np.arange(m), length)
     _, token, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = seen[token] > 1
-    _, column = np.unique(token[shared], return_inverse=True)
+    common = np.zeros(m * m)
+    # hashes that few members hold are counted pair by pair, the others by a matrix product
+    few = np.flatnonzero((seen[token] > 1) & (seen[token] <= FEW))
+    few = few[np.argsort(token[few], kind="stable")]
+    for step in range(1, FEW):  # members come in order within a hash, so each pair is met once
+        same = token[few[step:]] == token[few[:-step]] if len(few) > step else np.zeros(0, bool)
+        if not same.any():
+            break
+        common += np.bincount(member[few[:-step]][same] * m + member[few[step:]][same], minlength=m * m)
+    common = common.reshape(m, m)
+    common = common + common.T
+    many = seen[token] > FEW
+    _, column = np.unique(token[many], return_inverse=True)
     has = np.zeros((m, int(column.max(initial=-1)) + 1), np.float32)
-    has[member[shared], column] = 1
-    common = np.rint(has @ has.T)
+    has[member[many], column] = 1
+    common += np.rint(has @ has.T)
     whole = length >= size  # the whole set is in the list
     top = np.where(whole, np.int64(1) << 40, [int(x[-1]) for x in low])
     under = np.stack([np.searchsorted(x, np.minimum(top, t), "right") for x, t in zip(low, top)])  # [i, j]: of i's up to both tops
