@@ -93,6 +93,32 @@ def test_large_nodes_branch_and_stay_exact(spark, words, monkeypatch, cheap):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == _brute(texts, ids)
 
 
+def test_deep_nodes_keep_sparse_pairs(spark, monkeypatch):
+    """Pairs at 0.75 to 0.78 among documents of one template, in nodes that are large down to the last level."""
+    rng = np.random.default_rng(12)
+    pairs = 1500
+    template = rng.integers(-2 ** 31, 2 ** 31, N.TOKENS)
+    tokens = rng.integers(-2 ** 31, 2 ** 31, (2 * pairs, N.TOKENS))
+    tokens[pairs:] = np.where(rng.random((pairs, N.TOKENS)) < rng.uniform(0.75, 0.78, (pairs, 1)), tokens[:pairs], tokens[pairs:])
+    both = (tokens[:pairs] == tokens[pairs:]) & (rng.random((pairs, N.TOKENS)) < 0.9)  # most of what they share is the template
+    tokens[:pairs][both] = tokens[pairs:][both] = np.broadcast_to(template, both.shape)[both]
+    classes = spark.createDataFrame([(bytearray(b"%d" % (i % pairs) + b"ab"[i // pairs:][:1]), t) for i, t in enumerate(tokens.tolist())],
+                                    "set binary, tokens array<int>")
+    monkeypatch.setattr(N, "LEAF", 32)
+    rows, leaves = N.roots(classes), []
+    for level in range(1, N.DEPTH + 1):
+        leaves.append(rows.where(F.col("n") <= N.LEAF) if level < N.DEPTH else rows)
+        if level < N.DEPTH:
+            rows = N.stored(N.branches(rows.where(F.col("n") > N.LEAF)), "nodes")
+    met = None
+    for x in leaves:
+        x = x.select("node", F.decode("set", "utf-8").alias("s"))
+        x = x.groupBy("node", F.expr("left(s, length(s) - 1)").alias("pair")).count().where("count = 2").select("pair")
+        met = x if met is None else met.union(x)
+    assert rows.agg(F.max("n")).first()[0] > N.LEAF
+    assert pairs - met.distinct().count() <= 1
+
+
 def test_no_rows(spark):
     assert N.near_duplicates(docs_of(spark, ["x"]).limit(0)).count() == 0
     assert N.keep_one(docs_of(spark, ["x"]).limit(0)).count() == 0
