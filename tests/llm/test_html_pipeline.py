@@ -77,6 +77,26 @@ def test_unmarked_boilerplate_of_a_host_goes(spark, words, monkeypatch, shard):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_passages_of_two_pages_go_whatever_the_host_holds(spark, words, monkeypatch):
+    """Passages that few pages of a host share, in one suffix array and dealt into shards."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    passage = [" ".join(rng.choices(words, k=rng.randint(8, 14))) for _ in range(12)]
+    for i in range(60):
+        own = " ".join(rng.choices(words, k=40))
+        rows.append((i, "http://h.net/%d" % i, f"<p>{own}</p>" + (f"<div>{passage[i % 12]}</div>" if i < 30 else "")))
+        want[i] = own
+    alone = " ".join(rng.choices(words, k=30))
+    rows += [(100 + i, "http://h.net/copy", f"<p>{alone}</p>") for i in range(6)]  # equal pages don't erase each other
+    marked = " ".join(rng.choices(words, k=9))
+    rows += [(200, "http://h.net/a", f"<article>text</article><footer>{marked}</footer>"), (201, "http://h.net/b", f"<p>{marked}</p><p>rest</p>")]
+    want |= {100 + i: alone for i in range(6)} | {200: "text", 201: "rest"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (1 << 20, 200):
+        monkeypatch.setattr(H, "SHARD", shard)
+        assert {r.page_id: r.text for r in H.extract(pages).collect()} == want, shard
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, seen = docs.columns, docs
