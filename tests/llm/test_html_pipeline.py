@@ -37,6 +37,14 @@ def test_articles_of_all_pages(spark):
     ("<div role=main>in<div role='navigation'>out</div></div><div class='cookie-notice'>c</div>", ["in"]),
     ("<p>a</p><header>h</header><noscript>n</noscript><textarea>t</textarea><select><option>o</select>b", ["a", "b"]),
     ("a < b and <3 &unknown; &amp", ["a < b and <3 &unknown; &"]),
+    ("<html class='menu'><body class='has-sidebar comments'><p>a</p><div class='sidebar'>s</div>", ["a"]),
+    ("<body class='no-comments'><div class='with-menu'><p>a</p></div><div id='main-nav'>n</div>", ["a"]),
+    ("<article class='post share-enabled share'><p>a</p><div class='share-box'>s</div></article>", ["a"]),
+    ("<nav>n</nav><main id='content-with-menu' class='menu'>a<div class='related posts'>r</div></main>", ["a"]),
+    ("<div class='menu'>m<main>a</main></div><div id='comments'><article>c</article></div>", ["a"]),
+    ("<div class='sidebar page'><div>s</div><article>a<nav>n</nav></article></div>", ["a"]),
+    ("<div class='sidebar'><article>teaser</article></div><p>a</p>", ["a"]),
+    ("<nav><article>n</article></nav><div class='sidebar'>s</div>", []),
 ])
 def test_blocks(page, want):
     found = H.blocks_of(page)
