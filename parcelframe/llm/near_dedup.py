@@ -34,7 +34,8 @@ more are linked; a group is a connected component.
 Defined results: null and empty texts, and texts of white space, have no
 shingles and are their own group; a text of fewer than five words is one
 shingle, its whole sequence; repeated rows share a class; null ids never win a
-group's smallest id; other columns are ignored.
+group's smallest id; other columns are ignored. ``keep_one`` leaves one row of
+each group also where ids don't tell its documents apart.
 """
 
 from __future__ import annotations
@@ -353,8 +354,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("set", "root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, text_key of every row."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketches of all rows, classes with their group: set, least, root)."""
     rows = stored(sketch(docs), "sketches")
     classes = stored(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("tokens").alias("tokens")), "classes")
     leaves, large = trees(classes)
@@ -385,7 +386,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = check(second, sets)
         if not more.isEmpty():
             group = stored(components(links.unionByName(more)), "groups")
-    named_classes = classes.select("set", "least").join(group, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    return rows, classes.select("set", "least").join(group, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_key of every row."""
+    rows, named_classes = _grouped(docs)
     lowest = named_classes.groupBy("root").agg(F.min("least").alias("component"))
     final = named_classes.join(lowest, "root").select("set", "component")
     out = rows.drop("tokens").join(final, "set", "left")
@@ -394,10 +400,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all columns: the one of the smallest doc_id, once if its row repeats."""
-    found = stored(near_duplicates(docs).select("doc_id", "text_key", "kept"), "decisions")
-    rows = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    return bloom.without(docs, stored(rows.where("NOT kept OR n > 1").select("doc_id", "text_key", F.col("kept").alias("once")), "dropped"))
+    """One document of each group, with all columns: the one of the smallest (doc_id, text_key), null ids
+    last, once if its row repeats."""
+    rows, named_classes = _grouped(docs)
+    own = stored(rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.first("set").alias("set")), "rows")
+    first = own.where("set IS NOT NULL").groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    best = first.join(named_classes, "set").groupBy("root").agg(F.min("first").alias("first"))
+    best = best.select(F.col("first.doc_id").alias("b_id"), F.col("first.text_key").alias("b_key"))
+    # by row, not by group: a large group's rows stay spread
+    found = own.join(best, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_key") == F.col("b_key")), "left")
+    found = found.withColumn("kept", F.col("set").isNull() | F.col("b_key").isNotNull())
+    return bloom.without(docs, stored(found.where("NOT kept OR n > 1").select("doc_id", "text_key", F.col("kept").alias("once")), "dropped"))
 
 
 ORACLE = r"""

@@ -134,6 +134,18 @@ def test_keep_one_keeps_columns_and_one_row(spark, words):
     assert kept.count() == 4  # the rows without shingles stay
 
 
+def test_keep_one_where_ids_dont_tell_documents_apart(spark, words):
+    null, same = " ".join(words[:80]), " ".join(words[100:180])
+    texts = [null, null + " x", null + " y", null, same, same + " x", same + " x", same + " y", None, "", ""]
+    ids = [None, None, None, None, 7, 7, 7, 9, None, 3, 4]
+    kept = N.keep_one(clash(docs_of(spark, texts, ids=ids))).collect()
+    assert [r.doc_id for r in kept if (r.text or "").startswith(null)] == [None]
+    assert [r.doc_id for r in kept if (r.text or "").startswith(same)] == [7]
+    assert sorted(str(r.doc_id) for r in kept if not r.text) == ["3", "4", "None"]  # each its own group
+    mixed = N.keep_one(docs_of(spark, [null, null + " x", null + " y"], ids=[None, 12, None])).collect()
+    assert [r.doc_id for r in mixed] == [12]
+
+
 def test_estimates_hold_the_similarity(words, monkeypatch):
     import pyarrow as pa
     rng = random.Random(4)
