@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, near_dedup, packing, pivot_search, quality, reshard, token_counts, toxicity, url_filter
+from . import (conversation_repair, decontamination, html_extract, line_rules, near_dedup, packing, pivot_kmeans, pivot_search, quality,
+               reshard, token_counts, toxicity, url_filter)
 from .common import scratch_path, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,27 @@ ORACLES["op4_positional_decontam"] = decontamination.ORACLE
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and cross-document line frequency of every document."""
+    return line_rules.line_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_laesa_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds, exactly."""
+    return pivot_kmeans.kmeans(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest edits of every conversation after damage."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(rows), rows)
+
+
+ORACLES["op11_line_rules"] = line_rules.ORACLE
+ORACLES["op12_laesa_kmeans"] = pivot_kmeans.ORACLE
+ORACLES["op13_conversation_repair"] = conversation_repair.ORACLE
