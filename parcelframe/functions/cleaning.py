@@ -17,18 +17,18 @@ WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 # A plain decimal number after spaces are removed and ',' became '.'.
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-# A time of day behind a date, all but hours and minutes optional (fractions up to nanoseconds).
-_TIME = "[ H:mm[:ss[.SSSSSSSSS]]]"
-_HALF_DAY = " h:mm[:ss]a"
-# Date layouts by the shape of the text, tried in order (month
-# first before day first). Separators are unified before parsing.
-DATE_LAYOUTS = {
-    "iso": ["yyyy-M-d" + _TIME],
-    "numeric": ["M/d/yyyy" + _TIME, "d/M/yyyy" + _TIME],
-    "numeric_half_day": ["M/d/yyyy" + _HALF_DAY, "d/M/yyyy" + _HALF_DAY],
-    "month_first": ["MMM d yyyy" + _TIME, "MMM d yyyy" + _HALF_DAY],
-    "day_first": ["d MMM yyyy" + _TIME, "d MMM yyyy" + _HALF_DAY],
-}
+# A time of day behind a date: minutes at least, fractions up to nanoseconds; or by the half of the day.
+_TIME = r"([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]{1,9})?)?)"
+_HALF_DAY = r"(1[0-2]|0?[1-9])(:[0-9]{2}(?::[0-9]{2})?) *(?i:(a)|p)[.]?(?i:m)[.]?"
+_ZONE = r" *(Z|[+-][0-9]{2}:?[0-9]{2})"
+_MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
+# Date layouts. Each has the date's pattern, its rewriting as year-month-day (# for a
+# month's name) and what stands between date and time.
+ISO = (r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", "$1-$2-$3", "[ T]")
+DAY_FIRST = (r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})", "$3-$2-$1", " ")
+MONTH_FIRST = (r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})", "$3-$1-$2", " ")
+MONTH_NAME_FIRST = (r"^[A-Za-z]{3}[a-z]*[.]?[ ,-]+([0-9]{1,2})[ ,-]+([0-9]{4})", "$2-#-$1", "[ ,-]+")
+DAY_THEN_NAME = (r"^([0-9]{1,2})[ -]+[A-Za-z]{3}[a-z]*[.]?[ ,-]+([0-9]{4})", "$2-#-$1", "[ ,-]+")
 
 
 def _col(c) -> Column:
@@ -36,8 +36,12 @@ def _col(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Remove leading/trailing Unicode whitespace (tabs, NBSP, ...), not just spaces."""
-    return F.trim(_col(c).cast("string"), F.lit(WHITESPACE))
+    """Remove leading/trailing Unicode whitespace (tabs, NBSP, ...), not just spaces.
+
+    Text that begins and ends with a visible ASCII character, as most does, has none."""
+    s = _col(c).cast("string")
+    visible = lambda x: (x > " ") & (x <= "~")
+    return F.when(visible(F.substring(s, 1, 1)) & visible(F.substring(s, -1, 1)), s).otherwise(F.trim(s, F.lit(WHITESPACE)))
 
 
 _MAX_TOKEN_BYTES = max(len(t.encode("utf-8")) for t in BLANK_TOKENS)
@@ -66,7 +70,7 @@ def clean_str_verbatim(c) -> Column:
 
 def parse_float(s: Column) -> Column:
     """``to_float`` on text that is already stripped."""
-    t = F.translate(F.translate(s, " ", ""), ",", ".")
+    t = F.replace(F.replace(s, F.lit(" "), F.lit("")), F.lit(","), F.lit("."))
     # The number pattern already rejects every blank token (none has a digit).
     return F.when(t.rlike(_NUMBER), t.try_cast("double"))
 
@@ -85,30 +89,57 @@ def to_decimal(c, precision: int = 18, scale: int = 3) -> Column:
     return to_float(c).try_cast(f"decimal({precision},{scale})")
 
 
-def _first_parse(s: Column, formats) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats])
+def _month_number(name: Column) -> Column:
+    """1–12 as text for a month's first three letters; NULL for any other."""
+    at = F.instr(F.lit(_MONTHS), F.upper(name))
+    return F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int").cast("string"))
+
+
+def _rewritten(s: Column, layout: tuple[str, str, str], month: Column | None = None) -> Column:
+    """Text of one layout as ``yyyy-M-d[ H:mm[:ss[.f]]]``; other text stays as it is."""
+    date, parts, gap = layout
+    n = parts.count("$")
+    named = (lambda t: F.replace(t, F.lit("#"), month)) if month is not None else (lambda t: t)
+    plain = named(F.regexp_replace(s, f"{date}(?:{gap}{_TIME})?$", f"{parts} ${n + 1}"))
+    half = f"{date}{gap}{_HALF_DAY}$"
+    # 12 stands for 0, and the afternoon comes 12 hours later
+    hour = F.regexp_extract(s, half, n + 1).try_cast("int") % 12 + F.when(F.regexp_extract(s, half, n + 3) == "", 12).otherwise(0)
+    halved = F.concat(named(F.regexp_replace(s, half + "|^.*$", parts)), F.lit(" "), hour.cast("string"), F.regexp_extract(s, half, n + 2))
+    return F.when(F.upper(F.substring(s, -1, 1)).isin("M", "."), halved).otherwise(plain)
+
+
+def _canonical(s: Column) -> Column:
+    """A date's text as ``yyyy-M-d[ H:mm[:ss[.f]]]``, where it has a known layout.
+
+    Characters at fixed places choose the one layout that can fit, and one
+    replacement rewrites it, so a value is never tried twice. 13 and above can
+    only be a day. What fits no layout stays, or comes out without a part, and
+    is no timestamp then."""
+    first, fifth, digit = F.substring(s, 1, 1), F.substring(s, 5, 1), F.substring(s, 1, 2)
+    is_digit = lambda at: F.substring(s, at, 1).between("0", "9")
+    iso = F.when(s.rlike(f"{ISO[0]}(?:{ISO[2]}{_TIME})?$"), F.when((fifth == "-") & (F.substring(s, -3, 1) != "."), s).otherwise(F.regexp_replace(s, f"{ISO[0]}T?", ISO[1])))
+    after = F.when(is_digit(2), F.substring(s, 3, 1)).otherwise(F.substring(s, 2, 1))
+    name = F.regexp_extract(s, "([A-Za-z]{3})", 1)
+    number = F.when((digit >= "13") & is_digit(2), _rewritten(s, DAY_FIRST)).otherwise(_rewritten(s, MONTH_FIRST))
+    third = F.substring(s, 4, 1)
+    word = (after == " ") | ((after == "-") & ((third >= "A") | (F.substring(s, 3, 1) >= "A")))
+    return F.rtrim(F.when((first > "9") & (first <= "z"), _rewritten(s, MONTH_NAME_FIRST, _month_number(F.substring(s, 1, 3))))
+                   .when((first < "0") | (first > "9"), None)
+                   .when(is_digit(2) & is_digit(3) & fifth.isin("-", "/", "."), iso)
+                   .when(word, _rewritten(s, DAY_THEN_NAME, _month_number(name)))
+                   .when(after.isin("-", "/", "."), number))
 
 
 def parse_datetime(s: Column) -> Column:
     """``to_datetime`` on text that is already stripped.
 
-    A value's shape picks the few layouts that can match it, so most parse on
-    the first try. A zone (``Z`` or an offset) moves the value to UTC. Bare
-    numbers and blank tokens have no shape and stay NULL.
+    A zone (``Z`` or an offset) moves the value to UTC. Bare numbers and blank
+    tokens fit no layout and stay NULL.
     """
-    zone = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
-    iso = F.regexp_replace(F.translate(s, "/.T", "-. "), r"^([0-9]{4})[.]([0-9]{1,2})[.]", "$1-$2-")
-    zoned = F.to_utc_timestamp(F.try_to_timestamp(iso, F.lit("yyyy-M-d H:mm[:ss[.SSSSSSSSS]][XXX][XX]")), F.current_timezone())
-    # 11-02-2026 and 11.02.2026 as 11/02/2026; "11:05 am" as "11:05AM"
-    day = F.upper(F.regexp_replace(F.regexp_replace(s, r"^([0-9]{1,2})[-.]([0-9]{1,2})[-.]", "$1/$2/"), r"(?i) *([ap])[.]?m[.]?$", "$1M"))
-    # "February 11, 2026" as "Feb 11 2026"
-    word = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?i) *([ap])[.]?m[.]?$", "$1M"), r"([A-Za-z]{3})[a-z]*[.]?([ ,-]|$)", "$1$2"), r"[ ,-]+", " ")
-    parsed = (F.when(s.rlike(r"^[0-9]{4}[-/.][0-9]"), F.when(s.rlike(r":[0-9.]+ *" + zone), zoned).otherwise(_first_parse(iso, DATE_LAYOUTS["iso"])))
-              .when(s.rlike(r"^[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}"),
-                    F.when(day.endswith("M"), _first_parse(day, DATE_LAYOUTS["numeric_half_day"])).otherwise(_first_parse(day, DATE_LAYOUTS["numeric"])))
-              .when(s.rlike(r"^[A-Za-z]{3}[a-z]*[. ]"), _first_parse(word, DATE_LAYOUTS["month_first"]))
-              .when(s.rlike(r"^[0-9]{1,2}[ -][A-Za-z]{3}"), _first_parse(word, DATE_LAYOUTS["day_first"])))
-    return parsed.cast("timestamp_ntz")
+    zoned = f"{ISO[0]}{ISO[2]}{_TIME}{_ZONE}$"
+    moved = F.to_utc_timestamp(F.regexp_replace(s, zoned, f"{ISO[1]} $4$5").try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    offset = (F.substring(s, -1, 1) == "Z") | F.substring(s, -6, 1).isin("+", "-") | F.substring(s, -5, 1).isin("+", "-")
+    return F.when(offset & s.rlike(zoned), moved).otherwise(_canonical(s).try_cast("timestamp_ntz"))
 
 
 def to_datetime(c) -> Column:

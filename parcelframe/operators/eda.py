@@ -1,7 +1,7 @@
 """Exploratory statistics as aggregations.
 
-Exact quantiles (linear interpolation, as pandas) come from counts of distinct
-values, ordered by ranges (``order``), so no group's values meet in one task.
+Exact quantiles (linear interpolation, as pandas) come from brackets
+(``quantiles``), so no group's values are ordered or meet in one task.
 Scalar statistics needed as parameters (min/max for bin edges) are single
 numbers fetched with one small aggregate.
 """
@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.formatting import WEIGHT_CLASSES, weight_class
-from .order import exact_quantiles, running_counts
+from .order import running_counts
+from .quantiles import exact_quantiles
 
 
 def missing_profile(df: DataFrame, columns=None) -> DataFrame:
@@ -33,24 +34,17 @@ def missing_profile(df: DataFrame, columns=None) -> DataFrame:
 def describe(df: DataFrame, column: str, by=None, exact: bool = True) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (interpolated), max.
 
-    Exact quantiles come from counts of distinct values (``order.exact_quantiles``);
-    ``exact=False`` takes Spark's sketch instead."""
-    x = F.col(column).cast("double")
-    by = list(by or [])
+    Exact quantiles come from brackets (``quantiles.exact_quantiles``), whose first
+    pass gives the other numbers too; ``exact=False`` takes Spark's sketch instead."""
+    by, x = list(by or []), F.col("_x")
     cols = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
     ps = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    if not exact:
-        cols += [F.percentile_approx(x, p, 100000).alias(n) for n, p in ps.items()]
-    stats = df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
     if exact:
-        q = exact_quantiles(df, x, ps, by)
-        if by:
-            q = q.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *ps)
-            same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
-            stats = stats.join(q, same, "left")
-        else:
-            row = q.first()
-            stats = stats.select("*", *[F.lit(row[n]).cast("double").alias(n) for n in ps])
+        stats = exact_quantiles(df, F.col(column), ps, by, cols)
+    else:
+        rows = df.select(*by, F.col(column).cast("double").alias("_x"))
+        cols += [F.percentile_approx(x, p, 100000).alias(n) for n, p in ps.items()]
+        stats = rows.groupBy(*by).agg(*cols) if by else rows.agg(*cols)
     return stats.select(*by, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -113,18 +107,17 @@ def ols_trend(df: DataFrame, y: str, x: str) -> DataFrame:
 
 
 def box_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles and 1.5·IQR whiskers (most extreme values inside the fences) per group,
-    all from the counts of distinct values."""
-    runs = running_counts(df, F.col(value), [group])
-    q = exact_quantiles(df, F.col(value), {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group])
-    q = q.select(F.col(group).alias("_g"), "q1", "median", "q3")
+    """Quartiles and 1.5·IQR whiskers (most extreme values inside the fences) per group: the quartiles
+    by brackets, then one aggregation against each group's fences."""
+    q = exact_quantiles(df, F.col(value), {"q1": 0.25, "median": 0.5, "q3": 0.75}, [group]).select(F.col(group).alias("_g"), "q1", "median", "q3")
+    v = F.col(value).cast("double")
+    rows = df.select(group, v.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     iqr = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    inside = F.col("v").between(F.col("q1") - iqr, F.col("q3") + iqr)
-    joined = runs.join(q, F.col(group).eqNullSafe(F.col("_g")))
+    inside = F.col("_v").between(F.col("q1") - iqr, F.col("q3") + iqr)
+    joined = rows.join(q, F.col(group).eqNullSafe(F.col("_g")))
     return joined.groupBy(group, "q1", "median", "q3").agg(
-        F.sum("n").alias("n"), F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"))
+        F.count(F.lit(1)).alias("n"), F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("outliers"))
 
 
 def ecdf(df: DataFrame, column: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Positions and quantiles in a global order, without gathering the rows in one task.
+"""Positions and running counts in a global order, without gathering the rows in one task.
 
 Rows are sorted by range partitions and written; a row's position is its place
 in its partition plus the sizes of the partitions before it.
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .quantiles import exact_quantiles  # noqa: F401
 
 BUCKETS = 200
 
@@ -48,17 +49,3 @@ def running_counts(df: DataFrame, value: Column, by=()) -> DataFrame:
     for c, g in zip(by, group):
         same = same & F.col(c).eqNullSafe(F.col(g))
     return inside.join(offsets, same).select(*by, "v", "n", (F.col("_off") + F.col("_before")).alias("lo"), "total")
-
-
-def exact_quantiles(df: DataFrame, value: Column, ps: dict[str, float], by=()) -> DataFrame:
-    """(by…, one column per entry of ``ps``): linearly interpolated quantiles of each group."""
-    runs = running_counts(df, value, by)
-    hi = F.col("lo") + F.col("n")
-    out = []
-    for name, p in ps.items():
-        at = (F.col("total") - 1) * F.lit(float(p))
-        low, high = F.floor(at), F.ceil(at)
-        left = F.max(F.when((F.col("lo") <= low) & (low < hi), F.col("v")))
-        right = F.max(F.when((F.col("lo") <= high) & (high < hi), F.col("v")))
-        out.append((left + (right - left) * F.max(at - low)).alias(name))
-    return runs.groupBy(*by).agg(*out) if by else runs.agg(*out)

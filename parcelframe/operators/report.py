@@ -143,14 +143,16 @@ def depot_table(df: DataFrame, region: str | None = None, categories=None) -> Da
     fine = _scope(df, DEPOT, region, categories).groupBy("region", "office").agg(
         count_if(_is_crbt()).alias("crbt"), F.sum("revenue_ca").alias("ca"), F.sum("weight_kg").alias("poids"),
         F.count(F.lit(1)).alias("nb_ids"))
+    return depot_totals(fine)
+
+
+def depot_totals(fine: DataFrame) -> DataFrame:
+    """The depot table from sums (crbt, ca, poids, nb_ids) at (region, office) grain or finer."""
     g = _totalled(fine, [F.sum("crbt").alias("crbt"), F.coalesce(F.sum("ca"), F.lit(0)).cast(MONEY).alias("ca"),
                          F.coalesce(F.sum("poids"), F.lit(0.0)).alias("poids"), F.sum("nb_ids").alias("nb_ids")])
     return g.select("region", "office", "is_total", "crbt", "ca", "poids", "nb_ids")
 
 
-MOST_EVENTS = 200
-
-
 def event_order(df: DataFrame, event_col: str = "last_event") -> DataFrame:
     """(position, event): distinct events, 'envoi liv…' first, then alphabetical."""
     events = df.select(F.col(event_col).alias("event")).where(F.col("event") != "").distinct()
@@ -158,12 +160,9 @@ def event_order(df: DataFrame, event_col: str = "last_event") -> DataFrame:
 
 
 def event_values(df: DataFrame, event_col: str = "last_event") -> list[str]:
-    """The pivot's value list; more than ``MOST_EVENTS`` are an error (take the long form then)."""
+    """The pivot's value list, in display order: the names of a wide table's columns, however many."""
     ev = df.select(F.col(event_col).alias("e")).where(F.col("e") != "").distinct()
-    rows = ev.orderBy(~F.lower("e").startswith("envoi liv"), "e").limit(MOST_EVENTS + 1).collect()
-    if len(rows) > MOST_EVENTS:
-        raise ValueError(f"more than {MOST_EVENTS} events: use livraison_table_long, or name the events")
-    return [r["e"] for r in rows]
+    return [r["e"] for r in ev.orderBy(~F.lower("e").startswith("envoi liv"), "e").collect()]
 
 
 def livraison_table(df: DataFrame, region: str | None = None, categories=None,
@@ -172,23 +171,42 @@ def livraison_table(df: DataFrame, region: str | None = None, categories=None,
     ordinary, revenue, weight; plus a TOTAL row per region.
 
     The rows are read once: every measure is aggregated at
-    (region, office, event) grain into a small checkpointed table. The event
-    list (pivot values, unless given) and the pivot itself, with the TOTAL row
-    from GROUPING SETS, are then computed on that small table.
+    (region, office, event) grain; ``delivery_pivot`` makes the table of those.
+    ``livraison_table_long`` has the same counts without a column per event.
     """
-    fine = materialize(_scope(df, LIVRAISON, region, categories).withColumn("event", F.col("last_event"))
-                       .groupBy("region", "office", "event").agg(
+    fine = (_scope(df, LIVRAISON, region, categories).withColumn("event", F.col("last_event"))
+            .groupBy("region", "office", "event").agg(
         F.count(F.lit(1)).alias("n"), count_if(_is_crbt()).alias("n_crbt"),
         F.sum("revenue_ca").alias("ca_sum"), F.sum("weight_kg").alias("poids_sum")))
+    return delivery_pivot(fine, events)
+
+
+def delivery_pivot(fine: DataFrame, events: list[str] | None = None) -> DataFrame:
+    """The delivery table from sums (n, n_crbt, ca_sum, poids_sum) at (region, office, event) grain.
+
+    The sums are a small table that is written once. The event list (pivot
+    values, unless given) and the table itself, with the TOTAL row from
+    GROUPING SETS, are then computed on it; Spark's pivot fills the event
+    columns, so their number has no limit but the schema's.
+    """
+    fine = materialize(fine)
     values = events if events is not None else event_values(fine, "event")
     total, crbt = F.sum("n"), F.sum("n_crbt")
     g = _totalled(fine, [
-        *[F.sum(F.when(F.col("event") == F.lit(v), F.col("n")).otherwise(F.lit(0))).alias(v) for v in values],
         total.alias("total_ids"), crbt.alias("crbt"), (total - crbt).alias("ordinaire"),
         F.coalesce(F.sum("ca_sum"), F.lit(0)).cast(MONEY).alias("ca"),
         F.coalesce(F.sum("poids_sum"), F.lit(0.0)).alias("poids")])
-    return g.select("region", "office", "is_total", *[F.col(f"`{v}`") for v in values],
-                    "total_ids", "crbt", "ordinaire", "ca", "poids")
+    if not values:
+        return g.select("region", "office", "is_total", "total_ids", "crbt", "ordinaire", "ca", "poids")
+    names = {f"_e{i}": v for i, v in enumerate(values)}
+    counts = fine.groupingSets([["region", "office", "event"], ["region", "event"]], "region", "office", "event") \
+        .agg(F.sum("n").alias("n"), F.grouping("office").alias("_g_office"))
+    wide = counts.groupBy(F.col("region").alias("_r"), F.col("office").alias("_o"), (F.col("_g_office") == 1).alias("_t")) \
+        .pivot("event", values).agg(F.sum("n")).toDF("_r", "_o", "_t", *names)
+    office = F.when(F.col("is_total"), F.lit(None)).otherwise(F.col("office"))
+    both = g.join(wide, F.col("region").eqNullSafe(F.col("_r")) & office.eqNullSafe(F.col("_o")) & (F.col("is_total") == F.col("_t")), "left")
+    return both.select("region", "office", "is_total", *[F.coalesce(F.col(c), F.lit(0)).alias(v) for c, v in names.items()],
+                       "total_ids", "crbt", "ordinaire", "ca", "poids")
 
 
 def livraison_table_long(df: DataFrame, region: str | None = None, categories=None) -> DataFrame:
@@ -201,12 +219,14 @@ def livraison_table_long(df: DataFrame, region: str | None = None, categories=No
 
 
 def depot_table_window(df: DataFrame, lo=None, hi=None, region=None, categories=None) -> DataFrame:
-    """``depot_table`` over rows whose deposit date is missing or inside [lo, hi]."""
+    """``depot_table`` over rows whose deposit date is missing or inside [lo, hi], from the rows themselves;
+    ``windows.depot_window`` answers any number of ranges from sums by day."""
     return depot_table(filter_date_range(df, DEPOT["date"], lo, hi), region, categories)
 
 
 def livraison_table_window(df: DataFrame, lo=None, hi=None, region=None, categories=None,
                            events=None) -> DataFrame:
+    """``livraison_table`` over a date range, from the rows themselves (see ``windows.livraison_window``)."""
     return livraison_table(filter_date_range(df, LIVRAISON["date"], lo, hi), region, categories, events)
 
 

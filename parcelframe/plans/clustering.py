@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.order import exact_quantiles
+from ..operators.quantiles import exact_quantiles
 from ..session import materialize
+from .restarts import kmeans_restarts, nearest
 
 # Cluster names per analysis (cluster id after relabelling → name).
 NAMES = {
@@ -118,23 +119,13 @@ def standardise(df: DataFrame, feats, center: bool = True, out: str = "features"
 
 # ── clustering ───────────────────────────────────────────────────────────────
 
-def kmeans_best(df: DataFrame, k: int, restarts: int = N_RESTARTS, seed: int = SEED, parallelism: int = 8):
-    """Best of ``restarts`` k-means fits (seeds ``seed … seed+restarts-1``) by
-    training cost, ties to the lower seed. Small tables are fitted concurrently
-    from a thread pool (as ``CrossValidator(parallelism=…)`` does); pass
-    ``parallelism=1`` and a persisted frame where the rows are many, so that
-    they are held once."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-
-    def fit(i):
-        model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw").fit(df)
-        return model.summary.trainingCost, i, model
+def kmeans_best(df: DataFrame, k: int, restarts: int = N_RESTARTS, seed: int = SEED) -> DataFrame:
+    """Rows with their cluster (``raw``) by the best of ``restarts`` k-means fits (seeds
+    ``seed … seed+restarts-1``) by cost, ties to the lower seed. All restarts share each scan of the rows."""
+    from pyspark.ml.functions import vector_to_array
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, restarts))) as pool:
-        fits = list(pool.map(fit, range(restarts)))
-    return min(fits, key=lambda f: (f[0], f[1]))[2]
+    fit = kmeans_restarts(df, k, restarts, seed)
+    return df.withColumn("raw", nearest(fit.best, vector_to_array("features")))
 
 
 def bisecting(df: DataFrame, k: int, seed: int = SEED):
@@ -205,8 +196,7 @@ def _run(feat: DataFrame, feats, k: int, driver: str, ascending: bool, analysis:
     """Shared pipeline; returns (rows with cluster/label, metrics row).
 
     The feature table is written once; ``many`` says that it has a row for
-    each parcel: those are complete (no median), persisted once as vectors and
-    fitted one restart after the other."""
+    each parcel: those are complete (no median). Vectors are persisted once."""
     spark = feat.sparkSession
     feat = materialize(feat)
     n = feat.count()
@@ -217,8 +207,8 @@ def _run(feat: DataFrame, feats, k: int, driver: str, ascending: bool, analysis:
                                     "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int")
         return empty, msg.withColumn("message", F.lit(f"too few rows for {analysis} ({n})"))
     scaled = standardise(feat if many else impute_median(feat, feats), feats, center=center).persist()
-    model = bisecting(scaled, k) if algo == "bisecting" else kmeans_best(scaled, k, restarts, parallelism=1 if many else 8)
-    assigned = relabel_by_mean(model.transform(scaled), driver, ascending)
+    found = bisecting(scaled, k).transform(scaled) if algo == "bisecting" else kmeans_best(scaled, k, restarts)
+    assigned = relabel_by_mean(found, driver, ascending)
     names = NAMES[analysis]
     label = F.element_at(F.create_map(*[x for i, nm in names.items() for x in (F.lit(i), F.lit(nm))]),
                          F.col("cluster"))

@@ -20,6 +20,7 @@ from ..operators import grouped as G
 from ..operators import report as rp
 from ..operators import series as S
 from ..operators import topk
+from ..operators.cube import dashboard_bundle
 from ..operators.order import with_position
 from ..session import materialize
 from ..sources.fixtures import national, shipments
@@ -179,20 +180,6 @@ def q_self_join_corr(spark, sf):
     return r6(eda.corr_matrix(wide, top))
 
 
-def dashboard_bundle(df: DataFrame, region=None, next_regions=None, categories=None) -> dict[str, DataFrame]:
-    """Every dashboard series from one filter set; the two region group-bys
-    ignore the region filter (as on the dashboard)."""
-    scoped = FL.filter_combined(df, region, next_regions, categories)
-    unscoped = FL.filter_combined(df, None, next_regions, categories)
-    return {
-        "regions": G.distinct_regions(df), "kpis": A.kpi_summary(scoped),
-        "by_region": G.count_by_depot_region(unscoped), "by_office": G.count_by_depot_office(scoped, 15),
-        "delivery_status": A.delivery_status_totals(scoped), "failure_causes": G.failure_causes(scoped, 12),
-        "monthly": G.monthly_evolution(scoped), "weight_stats": A.weight_stats(scoped),
-        "weight_buckets": G.weight_buckets(scoped), "revenue_by_region": G.revenue_by_region(unscoped),
-    }
-
-
 DASH_KPIS = ["total_shipments", "total_revenue", "total_crbt_count", "total_crbt_amount", "delivered", "failed", "delivery_rate",
              "avg_interval_days", "late_deliveries", "late_threshold"]
 DASH_WEIGHTS = ["avg_weight", "min_weight", "max_weight", "total_weight"]
@@ -322,7 +309,7 @@ def _relabelled(spark, sf) -> DataFrame:
 def q_kmeans(spark, sf):
     """Raw k-means assignment (k=3, best of 10 seeds) of the office features."""
     scaled = _bureau_scaled(spark, sf)
-    return cl.kmeans_best(scaled, 3).transform(scaled).select("name", F.col("raw").cast("int").alias("raw"))
+    return cl.kmeans_best(scaled, 3).select("name", F.col("raw").cast("int").alias("raw"))
 
 
 @register("relabel_by_mean", f"WITH {_LABELLED} SELECT name, cluster, round_even(taux_livraison, 2) AS taux_livraison FROM labelled")
@@ -352,7 +339,7 @@ def _indices(spark, sf):
 def q_silhouette(spark, sf):
     """Silhouette of the k-means office clusters."""
     scaled = _bureau_scaled(spark, sf)
-    a = cl.relabel_by_mean(cl.kmeans_best(scaled, 3).transform(scaled), "taux_livraison", False)
+    a = cl.relabel_by_mean(cl.kmeans_best(scaled, 3), "taux_livraison", False)
     return r6(cl.quality_indices(a, len(BUREAU_FEATS)).select("silhouette"))
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions.formatting import fr_thousands
 from ..operators import report as rp
-from ..sources.fixtures import by_source, national, shipments
+from ..operators import windows as wn
+from ..sources.fixtures import by_source, derived_once, national, shipments
 
 CRBT_SQL = "coalesce(upper(trim(shipment_type)) = 'CRBT', false)"
 DELIV_SQL = "coalesce(lower(trim(last_event)) LIKE 'envoi liv%', false)"
@@ -108,7 +112,30 @@ def q_depot_table_export(spark, sf):
           _depot_table_sql("national", "AND (deposit_date IS NULL OR deposit_date BETWEEN DATE '1996-03-01' "
                            "AND DATE '1998-12-31')"))
 def q_depot_table_window(spark, sf):
-    return rp.depot_table_window(national(spark, sf), "1996-03-01", "1998-12-31")
+    """A date range of the depot table, from sums by day that serve every range."""
+    return wn.depot_window(_prefixes(spark, sf, "depot"), "1996-03-01", "1998-12-31")
+
+
+def _prefixes(spark, sf, which: str):
+    """The sums by day of the national rows, written once per session."""
+    keys = {"depot": rp.DEPOT, "livraison": rp.LIVRAISON}[which]
+    return derived_once(spark, sf, f"{which}-days", lambda path: wn.write_prefixes(national(spark, sf), keys, path))
+
+
+YEARS = range(1992, 1999)
+
+
+@register("depot_table_by_year",
+          "SELECT CAST(y AS INTEGER) AS year, region, CASE WHEN grouping(office) = 1 THEN 'TOTAL' ELSE office END AS office, grouping(office) = 1 "
+          f"AS is_total, CAST(count(*) FILTER (WHERE {CRBT_SQL}) AS BIGINT) AS crbt, CAST(coalesce(sum(revenue_ca), 0) AS DECIMAL(38,3)) AS ca, "
+          f"coalesce(sum(weight_kg), 0.0) AS poids, CAST(count(*) AS BIGINT) AS nb_ids FROM {_scoped_sql('national', 'depot_region', 'depot_office')} "
+          f"JOIN (SELECT unnest(generate_series({YEARS[0]}, {YEARS[-1]})) AS y) ON deposit_date IS NULL OR year(deposit_date) = y "
+          "GROUP BY GROUPING SETS ((y, region, office), (y, region))")
+def q_depot_table_by_year(spark, sf):
+    """The depot table of each year: as many date ranges, all from the same sums by day."""
+    days = _prefixes(spark, sf, "depot")
+    parts = [wn.depot_window(days, f"{y}-01-01", f"{y}-12-31").select(F.lit(y).alias("year"), "*") for y in YEARS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _livraison_sql(src: str, extra: str = "") -> str:
@@ -145,7 +172,7 @@ def q_livraison_table_import(spark, sf):
           _livraison_sql("national", "AND (last_event_date IS NULL OR last_event_date BETWEEN DATE '1996-03-01' "
                          "AND DATE '1998-12-31')"))
 def q_livraison_table_window(spark, sf):
-    return rp.livraison_table_window(national(spark, sf), "1996-03-01", "1998-12-31")
+    return wn.livraison_window(_prefixes(spark, sf, "livraison"), "1996-03-01", "1998-12-31")
 
 
 @register("livraison_table_long",

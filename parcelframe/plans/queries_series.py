@@ -338,16 +338,6 @@ def q_join_forecast_actual(spark, sf):
     return r6(fc.join_forecast_actual(test, fc.naive_forecast(train, H)))
 
 
-@register("forecast_metrics_by_model",
-          f"{_BASE}, j AS (SELECT 'naive' AS model, t.y, n.y_hat FROM test t JOIN naive n USING (unique_id, ds) "
-          "UNION ALL SELECT 'seasonal_naive' AS model, t.y, s.y_hat FROM test t JOIN snaive s USING (unique_id, ds)) "
-          + METRICS("j", "model"))
-def q_forecast_metrics_by_model(spark, sf):
-    train, test = split(spark, sf)
-    return r6(fc.forecast_metrics_by_model(test, {"naive": fc.naive_forecast(train, H),
-                                                  "seasonal_naive": fc.seasonal_naive_forecast(train, H)}))
-
-
 @register("metrics_by_series",
           f"{_BASE}, j AS (SELECT unique_id, t.y, n.y_hat FROM test t JOIN naive n USING (unique_id, ds)) "
           + METRICS("j", "unique_id"))
@@ -444,6 +434,17 @@ def q_theta_forecast(spark, sf):
     return r3(fc.forecast_intervals(fc.theta_forecast(train, H)))
 
 
+@register("forecast_metrics_by_model",
+          f"{_BASE}, {THETA('train', H)}, j AS (SELECT 'naive' AS model, t.y, n.y_hat FROM test t JOIN naive n USING (unique_id, ds) "
+          "UNION ALL SELECT 'seasonal_naive' AS model, t.y, s.y_hat FROM test t JOIN snaive s USING (unique_id, ds) "
+          "UNION ALL SELECT 'theta' AS model, t.y, f.y_hat FROM test t JOIN theta f USING (unique_id, ds)) "
+          + METRICS("j", "model").replace(", 6)", ", 3)"))
+def q_forecast_metrics_by_model(spark, sf):
+    """Errors of Theta and both naive models over all regions' test windows."""
+    train, test = split(spark, sf)
+    return r3(fc.forecast_metrics_by_model(test, model_forecasts(train)))
+
+
 _ABASE = f"WITH {ALL}, {ASPLIT}, {FUTURE('train', H)}, {NAIVE}, {SNAIVE}, {THETA('train', H)}"
 _SCORED = ", j AS (" + " UNION ALL ".join(
     f"SELECT split_part(unique_id, '|', 1) AS dataset, split_part(unique_id, '|', 2) AS target, '{m}' AS model, t.y, f.y_hat "

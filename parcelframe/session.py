@@ -72,3 +72,23 @@ def materialize(df):
     the fact table. Never a local checkpoint: the copy survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package (Spark's ``--py-files``, once an application), for
+    sessions started from elsewhere than the repository. Spark distributes the archive."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_parcelframe_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="parcelframe-py-"), "parcelframe.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("parcelframe", os.path.relpath(path, top)))
+    sc.addPyFile(archive)
+    sc._parcelframe_shipped = True

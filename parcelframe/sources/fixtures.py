@@ -45,7 +45,7 @@ def _dec(c: Column) -> Column:
     return c.cast("decimal(18,3)")
 
 
-_MATERIALIZED: dict[tuple[str, str], str] = {}
+_MATERIALIZED: dict[tuple[str, ...], str] = {}
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,19 @@ def shipments_path(spark: SparkSession, sf_dir: str) -> str | None:
         return None
 
 
+def derived_once(spark: SparkSession, sf_dir: str, tag: str, write) -> DataFrame:
+    """A table that ``write(path)`` derives from the shipments, written once per session and input folder."""
+    from ..session import ensure_checkpoint_dir
+    import uuid
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tag)
+    if key not in _MATERIALIZED:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:10]}"
+        write(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(_MATERIALIZED[key])
+
+
 def derive_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lazy derivation (joins) behind ``shipments``."""
     li = read_table(spark, sf_dir, "lineitem").select(

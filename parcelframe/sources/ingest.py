@@ -3,8 +3,8 @@
 Pipeline: ``scan_shipments`` (csv / json / parquet, every column a string)
 → ``map_headers`` (tolerant header match) → ``clean_shipments`` (typed
 projection, derived flags, guards, keyless rows dropped) → ``stamp_batch``
-→ ``reload_table`` (overwrite only the partitions of the sources being
-loaded) with ``import_audit`` counters gathered on the same pass through
+→ ``reload_table`` (new versions of the sources being loaded, in force with
+one commit) with ``import_audit`` counters gathered on the same pass through
 ``DataFrame.observe``.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import csv
 import datetime as dt
+import unicodedata
 import uuid
 from functools import reduce
 
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from ..functions.cleaning import (VERBATIM_BLANK_TOKENS, clean_text, is_crbt, is_delivered, parse_datetime,
                                   parse_float, strip_ws, valid_month, valid_year)
 from ..schema import COLUMN_MAP, EDI_VERBATIM_COLUMNS, KEY_COLUMNS, fold_header
+from . import commits
 
 SOURCES = ("national", "export", "import")
 # Header row of each source's sheet (0-based).
@@ -49,8 +51,8 @@ def scan_shipments(spark: SparkSession, path: str, fmt: str = "csv", header_row:
     holding the key column's name (blank lines are skipped by the reader, so
     the position alone is not trusted). Lines identical to those title lines
     or to the header — the same template heads every file of an export — are
-    dropped from all files; any other line that holds the key column's name is
-    another header, and the read fails.
+    dropped from all files; any other line that holds the key column's name, in
+    whatever spelling headers may have, is another header, and the read fails.
 
     JSON: numbers keep their spelling. ``columns`` names the fields and saves
     the pass that otherwise collects them.
@@ -91,12 +93,18 @@ def _scan_titled_csv(spark: SparkSession, path: str, header_row: int, opts: dict
         return reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(v or None)) for c, v in zip(cells, values)])
 
     title = reduce(Column.__or__, [same(r) for r in head[:idx + 1] if r], F.lit(False))
-    key_names = [v for v in head[idx] if fold_header(v) in keys]
-    other = F.array_contains(F.array(*cells), F.lit(key_names[0])) if key_names else F.lit(False)
+    other = F.exists(F.array(*cells), lambda c: _folded(c).isin(*keys))
     wrong = F.raise_error(F.lit(f"a header differs from {names}")).cast("boolean")
     return raw.filter(F.when(title, False).when(F.coalesce(other, F.lit(False)), wrong).otherwise(True)).toDF(*names)
 
 
+def _folded(c: Column) -> Column:
+    """``schema.fold_header`` of short text, for Latin letters; longer text is no header."""
+    plain = {ch: unicodedata.normalize("NFKD", ch)[0] for ch in map(chr, range(0xC0, 0x250)) if unicodedata.normalize("NFKD", ch)[0].isascii()}
+    text = F.translate(c, "".join(plain), "".join(plain.values()))
+    return F.when(F.octet_length(c) <= 100, F.regexp_replace(F.lower(text), "[^a-z0-9]", ""))
+
+
 def scan_source(spark: SparkSession, path: str, source: str, fmt: str = "csv",
                 header_row: int | None = None, options: dict | None = None) -> DataFrame:
     """``scan_shipments`` with the source's default header row (national and
@@ -143,14 +151,11 @@ def clean_shipments(df: DataFrame) -> DataFrame:
     month/year outside 1–12 / 1900–9999 become NULL; rows without a key are dropped.
 
     Each text column is stripped once; the parsers then work on that value.
-    Dates, numbers and text are converted in projections of their own: one
-    projection of all would generate methods too large to compile.
     """
     mapped = {n for _, n, _ in COLUMN_MAP}
     rest = [c for c in df.columns if c not in mapped]
     out = df.select([strip_ws(n).alias(n) for _, n, _ in COLUMN_MAP] + rest)
-    for kinds in (("datetime",), ("float", "int"), ("str",)):
-        out = out.select([(_convert(n, k) if k in kinds else F.col(n)).alias(n) for _, n, k in COLUMN_MAP] + rest)
+    out = out.select([_convert(n, k).alias(n) for _, n, k in COLUMN_MAP] + rest)
     out = (out.withColumn("deposit_month", valid_month("deposit_month"))
            .withColumn("deposit_year", valid_year("deposit_year"))
            .withColumn("is_delivered", is_delivered("last_event"))
@@ -166,28 +171,27 @@ def stamp_batch(df: DataFrame, batch_id: str | None = None, now: dt.datetime | N
             .withColumn("updated_at", ts))
 
 
-def reload_table(df: DataFrame, path: str, fmt: str = "parquet", sources=()) -> None:
-    """Replace the content of the sources present in ``df`` and of those named in ``sources``.
+def reload_table(df: DataFrame, path: str, fmt: str = "parquet", sources=(), batch_id: str | None = None, audit=None) -> list[str]:
+    """Replace the content of the sources present in ``df`` and of those named in ``sources``; returns them.
 
-    Partitions of other sources stay untouched (dynamic partition overwrite).
-    A named source without a row in ``df`` ends up empty: its rows are counted
-    by the write itself, and its old partition is dropped after it.
+    The rows go to version folders of their own and take effect, with the audit
+    records that ``audit()`` gives once they're written, in one commit
+    (``commits``): a load that stops anywhere leaves the table as it was, and a
+    repeated one doesn't double a row. Other sources stay untouched; a named
+    source without a row in ``df`` ends up empty.
     """
-    rows, counts = df, Observation(f"reload_{uuid.uuid4().hex}")
-    if sources:
-        rows = df.observe(counts, *[F.count_if(F.col("source") == s).alias(s) for s in sources])
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("source").format(fmt).save(path))
     spark = df.sparkSession
-    for s in sources:
-        if counts.get[s] == 0:
-            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source={s}")
-            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    base = commits.manifest(spark, path)
+    version = commits.stage(df, path, fmt, batch_id or uuid.uuid4().hex[:12])
+    present = commits.staged_sources(spark, path, version)
+    names = dict.fromkeys([*sources, *present])
+    commits.commit(spark, path, base, {s: version if s in present else None for s in names}, df.schema.json(), audit() if audit else [])
+    return list(names)
 
 
 def load_source(spark: SparkSession, raw: DataFrame, source: str, path: str,
                 batch_id: str | None = None) -> dict:
-    """Map, clean, stamp and write one source; return its audit record.
+    """Map, clean, stamp and write one source; return its audit record, which the table's commit carries too.
 
     ``rows_read`` and ``rows_inserted`` are observed on the write itself, so
     the data is read once. A load without the key column counts what it read.
@@ -196,17 +200,23 @@ def load_source(spark: SparkSession, raw: DataFrame, source: str, path: str,
     try:
         mapped = map_headers(raw)
     except MissingKeyColumn as e:
-        return _audit(source, bid, raw.count(), 0, "failed", str(e))
+        return _failed(spark, path, _audit(source, bid, raw.count(), 0, "failed", str(e)))
     obs_in, obs_out = Observation(f"read_{source}_{bid}"), Observation(f"kept_{source}_{bid}")
     counted = mapped.observe(obs_in, F.count(F.lit(1)).alias("n"))
     cleaned = clean_shipments(counted).observe(obs_out, F.count(F.lit(1)).alias("n"))
     out = stamp_batch(cleaned, bid).withColumn("source", F.lit(source))
+    record = lambda: _audit(source, bid, obs_in.get["n"], obs_out.get["n"], "success", None)
     try:
-        reload_table(out, path, sources=[source])
+        reload_table(out, path, sources=[source], batch_id=bid, audit=lambda: [record()])
     except Exception as e:  # noqa: BLE001 — a failed load is recorded, not raised
-        return _audit(source, bid, 0, 0, "failed", f"{type(e).__name__}: {e}"[:500])
-    read, kept = obs_in.get["n"], obs_out.get["n"]
-    return _audit(source, bid, read, kept, "success", None)
+        return _failed(spark, path, _audit(source, bid, 0, 0, "failed", f"{type(e).__name__}: {e}"[:500]))
+    return record()
+
+
+def _failed(spark: SparkSession, path: str, record: dict) -> dict:
+    """Commit the audit record of a load that changed nothing."""
+    commits.commit(spark, path, commits.manifest(spark, path), {}, None, [record])
+    return record
 
 
 def _audit(source, bid, read, kept, status, message) -> dict:
@@ -222,8 +232,9 @@ def import_audit(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 
 def append_audit(audit: DataFrame, path: str) -> None:
-    """Append audit rows to the audit table at ``path``."""
-    audit.coalesce(1).write.mode("append").parquet(path)
+    """Put audit rows into the audit table at ``path``, one for each batch and source: a repeated load replaces its own."""
+    (audit.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id", "source").parquet(path))
 
 
 def import_all(spark: SparkSession, raws: dict[str, DataFrame], path: str,
@@ -237,4 +248,10 @@ def import_all(spark: SparkSession, raws: dict[str, DataFrame], path: str,
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+    """The rows in force of a table that ``reload_table`` wrote."""
+    return commits.read(spark, path, fmt)
+
+
+def audit_log(spark: SparkSession, path: str) -> DataFrame:
+    """The audit rows that the table's own commits carry, one for each batch and source."""
+    return commits.audit_log(spark, path)

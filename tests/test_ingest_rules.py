@@ -81,3 +81,29 @@ def test_office_categories(spark):
     region = spark.createDataFrame([("A",), ("",), (None,), ("B",)], "next_region string")
     picks = lambda x: [r[0] for r in filters.filter_next_region(region, x).collect()]
     assert picks(["(VIDE)"]) == ["", None] and picks(["A", "(VIDE)"]) == ["A", "", None] and picks(["B"]) == ["B"] and len(picks([])) == 4
+
+
+@pytest.mark.parametrize("text,want", [
+    ("2/3/2026", T(2026, 2, 3)), ("13/2/2026", T(2026, 2, 13)), ("2/13/2026 5:06", T(2026, 2, 13, 5, 6)), ("31.12.2026", T(2026, 12, 31)),
+    ("12/31/2026 12:05 AM", T(2026, 12, 31, 0, 5)), ("12/31/2026 12:05:09 p.m.", T(2026, 12, 31, 12, 5, 9)), ("2/30/2026", None), ("13/13/2026", None),
+    ("2026.2.3 04:05:06.123456789", T(2026, 2, 3, 4, 5, 6, 123456)), ("2026-2-3T04:05", T(2026, 2, 3, 4, 5)), ("2026/12/03T04:05:06+0130", T(2026, 12, 3, 2, 35, 6)),
+    ("2026-02", None), ("2026", None), ("2026-02-11 25:00", None), ("2026-02-11 x", None), ("1/2/26", None), ("Sept. 5, 2026 3:04 pm", T(2026, 9, 5, 15, 4)),
+    ("3-Mar-2026", T(2026, 3, 3)), ("03 march, 2026 23:59:59", T(2026, 3, 3, 23, 59, 59)), ("Foo 3 2026", None), ("3 Anf 2026", None), ("may", None),
+    ("12:30", None), ("-5", None), ("now", None), ("2026-02-11 11:05 pm", None), ("1.5", None), ("é", None), ("1/2/2026 13:00 pm", None), ("9", None), ("M", None)])
+def test_more_date_layouts(spark, text, want):
+    df = spark.createDataFrame([(text,), (f" {text} ",)], "s string")
+    assert [r[0] for r in df.select(C.to_datetime("s")).collect()] == [want, want]
+
+
+def test_strip_is_that_of_python(spark):
+    texts = [a + b + c for a in ("", " ", "\t", " ", " 　", "\x1f") for b in ("", "x", "é", "a b", "​q​", "日本") for c in ("", "\n", "  ", "~")]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "s string")
+    got = [tuple(r) for r in df.select("s", C.strip_ws("s")).collect()]
+    assert got == [(t, t.strip()) for t in texts] + [(None, None)]
+
+
+def test_another_spelling_of_the_header_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,\nMAILITM_FID,Bureau depot\n1,x\n")
+    (tmp_path / "b.csv").write_text("title,\nBureau depot,mailïtm fid\nSFAX,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        ing.scan_shipments(spark, str(tmp_path), header_row=1).collect()
