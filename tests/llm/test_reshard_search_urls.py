@@ -160,3 +160,33 @@ def test_false_positives_never_reach_the_result(spark):
     other = spark.range(20_000).select(F.concat(F.lit("other"), "id").alias("key"))
     assert bloom.may_hold(keys, F.col("key"), wide, bloom.blocks_for(4000)).count() == 4000
     assert bloom.may_hold(other, F.col("key"), wide, bloom.blocks_for(4000)).count() < 600
+
+
+def test_top_k_of_components_of_any_size(spark, monkeypatch):
+    """From 1e-3 to 1e9 and beyond: rows with large components answer, and are answers, exactly."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), (rng.choice([-1, 1], 6) * 10 ** rng.uniform(-3, 3, 6)).tolist(), 0) for i in range(200)]
+    rows += [(200 + i, (rng.choice([-1, 1], 6) * 10 ** rng.uniform(-3, 6, 6)).tolist(), 0) for i in range(60)]
+    rows += [(300 + 10 * i, [10.0 ** (3 * i), 0.0, 0.25, 0.0, 0.0, 0.0], 0) for i in range(3)] + [(400, [0.0] * 5 + [1e-3], 0)]
+    # scores of these go far below any long, but never among the ten highest
+    rows = [(i, [v[0], abs(v[1]) + 1, *v[2:]], 0) for i, v, _ in rows]
+    rows += [(501, [0.0, -1e9, 0.0, 0.0, 0.0, 0.0], 0), (510, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0], 0)]
+    monkeypatch.setattr(S, "BLOCK", 8)
+    monkeypatch.setattr(S, "STEP", 64)
+    got = sorted(tuple(r) for r in S.top_k(_vectors(spark, rows).repartition(3), every=10, k=10).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == _brute(rows, 10, 10)
+    assert max(abs(r[3]) for r in got) > 2 ** 53
+
+
+def test_only_a_returned_score_beyond_a_long_fails(spark):
+    high = [(0, [1.048e6] * 16, 0), (1, [1.048e6] * 16, 0)] + [(i, [1.0] * 16, 0) for i in range(2, 20)]
+    with pytest.raises(Exception, match="doesn't fit a long"):
+        S.top_k(_vectors(spark, high)).collect()
+    low = [(0, [1e30] * 16, 0), (1, [-1e30] * 16, 0)] + [(i, [0.0] * 16, 0) for i in range(2, 20)]
+    got = S.top_k(_vectors(spark, low)).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(k, k + 1, 0) for k in range(1, 11)]
+
+
+@pytest.mark.parametrize("a,b", [(0, 1), (-1, 0), (255, 256), (-256, -255), (2 ** 64, 2 ** 65), (-(2 ** 65), -(2 ** 64)), (-(2 ** 63) - 1, 5)])
+def test_sort_keys(a, b):
+    assert S.sort_key(a) < S.sort_key(b)
