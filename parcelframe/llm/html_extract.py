@@ -28,8 +28,10 @@ that hold them; where those differ over all shards, the window goes back to the
 shards in which one stream alone holds it. So the size of a host decides
 nothing. Main text is never shuffled.
 
-Defined results: null or empty html gives empty text; pages with equal streams
-count as one page, so repeated rows don't erase each other; a null url is a
+Defined results: null or empty html gives empty text; a page of any length or
+brokenness is read in time proportional to its length; an empty table gives an
+empty result; ties can't arise, as a passage is repeated or isn't; pages with equal
+streams count as one page, so repeated rows don't erase each other; a null url is a
 host of its own name; repeated rows each get a row; other columns are ignored.
 """
 
@@ -54,7 +56,8 @@ _WEIGHTS = np.random.default_rng(53).integers(1, 1 << 62, LONG, dtype=np.uint64)
 
 #: NAMED: chrome by a class or id only; it leaves the parser as CHROME.
 MAIN, OPEN, CHROME, NAMED = 0, 1, 2, 3
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 RAW = frozenset("script style textarea title noscript iframe xmp template noembed noframes".split())  # no markup inside
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -115,11 +118,105 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     return [(min(z, CHROME), t) for z, t in found]
 
 
+class _Markup:
+    """The tags and comments of a page, in time proportional to its length however it's broken.
+
+    A tag ends at the first ``>`` outside quotes; without one, its ``<`` is text. What
+    a search from a place outside quotes comes to depends on that place alone, so
+    it's remembered by the quote that the search meets first."""
+
+    def __init__(self, page: str):
+        self.page, self.special, self.after, self.ends = page, -1, -1, {}
+
+    def _next_special(self, at: int) -> int:
+        """The first ``>`` or quote from ``at`` on (or the page's length); ``at`` never falls between calls."""
+        if self.special < at:
+            m = SPECIAL.search(self.page, at)
+            self.special = m.start() if m else len(self.page)
+        return self.special
+
+    def _close(self, at: int) -> int:
+        """The first ``>`` from ``at`` on, or -1; ``at`` never falls between calls."""
+        if -1 < self.after < at or self.after == -1:
+            self.after = self.page.find(">", at)
+            if self.after < 0:
+                self.after = -2
+        return self.after
+
+    def tag_end(self, at: int) -> int:
+        """The ``>`` that ends a tag whose attributes begin at ``at``; -1 if there is none."""
+        page, path = self.page, []
+        spot = self._next_special(at)
+        while spot not in self.ends:
+            if spot == len(page) or page[spot] == ">":
+                self.ends[spot] = spot if spot < len(page) else -1
+                break
+            path.append(spot)
+            quote = page.find(page[spot], spot + 1)
+            if quote < 0:
+                self.ends[spot] = -1
+                break
+            m = SPECIAL.search(page, quote + 1)
+            spot = m.start() if m else len(page)
+        end = self.ends[spot]
+        self.ends.update(dict.fromkeys(path, end))
+        return end
+
+    def pieces(self, at: int) -> tuple[int, int, re.Match | None, int]:
+        """(where the next markup begins, where it ends, its tag if it is one, where the tag's attributes end) from ``at`` on."""
+        page = self.page
+        while (spot := page.find("<", at)) >= 0:
+            if page.startswith("<!--", spot):
+                end = page.find("-->", spot + 4)
+                return spot, end + 3 if end >= 0 else len(page), None, 0
+            if page[spot + 1:spot + 2] in ("!", "?"):
+                if (end := self._close(spot + 2)) >= 0:
+                    return spot, end + 1, None, 0
+            elif m := TAG.match(page, spot):
+                if (end := self.tag_end(m.end())) >= 0:
+                    return spot, end + 1, m, end
+            at = spot + 1
+        return len(page), len(page), None, 0
+
+
+class _Open:
+    """The open elements, each with its zone; the last one of a tag is found at once."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.holds: list[int] = []
+
+    def push(self, tag: str, zone: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _HOLDS:
+            self.holds.append(len(self.stack))
+        self.stack.append((tag, zone))
+
+    def last(self, tag: str) -> int | None:
+        """The place of the last open ``tag``, unless an element that holds others stands in between (for tags that don't)."""
+        own = self.places.get(tag)
+        if not own or (tag not in _HOLDS and self.holds and self.holds[-1] > own[-1]):
+            return None
+        return own[-1]
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in _HOLDS:
+                self.holds.pop()
+
+    @property
+    def zone(self) -> int:
+        return self.stack[-1][1] if self.stack else OPEN
+
+
 def _blocks(page: str | None, rescue: bool) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     if not page:
         return out
-    stack: list[tuple[str, int]] = []
+    markup, open_ = _Markup(page), _Open()
     zone, text, at = OPEN, [], 0
 
     def close() -> None:
@@ -129,34 +226,28 @@ def _blocks(page: str | None, rescue: bool) -> list[tuple[int, str]]:
             if whole:
                 out.append((zone, whole))
 
-    while True:
-        m = TOKEN.search(page, at)
-        piece = page[at:m.start() if m else len(page)]
-        if piece:
-            text.append(entities.unescape(piece))
+    while at < len(page):
+        begin, end, m, attributes_end = markup.pieces(at)
+        if begin > at:
+            text.append(entities.unescape(page[at:begin]))
+        at = end
         if m is None:
-            break
-        at = m.end()
-        if m[2] is None:
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), page[m.end():attributes_end]
         if tag == "br":
             text.append(" ")
         elif m[1]:
             if tag in BLOCKS:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if stack[k][1] != zone or (k and stack[k - 1][1] != zone):
-                        close()
-                    del stack[k:]
-                    break
-                if stack[k][0] in _HOLDS and tag not in _HOLDS:
-                    break
-            zone = stack[-1][1] if stack else OPEN
+            k = open_.last(tag)
+            if k is not None:
+                if open_.stack[k][1] != zone or (k and open_.stack[k - 1][1] != zone):
+                    close()
+                open_.cut(k)
+            zone = open_.zone
         elif tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            at = page.find(">", end.start()) + 1 if end else len(page)
+            raw_end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = page.find(">", raw_end.start()) + 1 if raw_end else len(page)
             if not at:
                 at = len(page)
         elif tag in VOID:
@@ -166,18 +257,14 @@ def _blocks(page: str | None, rescue: bool) -> list[tuple[int, str]]:
             if tag in BLOCKS:
                 close()
             for other in _CLOSES.get(tag, ()):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == other:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in _HOLDS:
-                        break
-            around = stack[-1][1] if stack else OPEN
-            new = _zone(tag, m[3], around, rescue)
+                k = open_.last(other)
+                if k is not None:
+                    open_.cut(k)
+            new = _zone(tag, attributes, open_.zone, rescue)
             if new != zone:
                 close()
-            if not m[3].endswith("/") or tag in BLOCKS:
-                stack.append((tag, new))
+            if not attributes.endswith("/") or tag in BLOCKS:
+                open_.push(tag, new)
                 zone = new
     close()
     return out

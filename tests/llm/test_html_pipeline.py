@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -135,3 +136,30 @@ def test_pipeline_takes_odd_rows(spark, words, tmp_path):
     for table in ("labels", "benchmark", "documents"):
         spark.read.parquet(str(tmp_path / f"{table}.parquet")).limit(0).write.parquet(f"{empty}/{table}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+_OLD_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_markup_as_one_pattern_finds_it(seed):
+    """The linear reader finds what a plain (quadratic) pattern finds, in broken pages too."""
+    rng = random.Random(seed)
+    bits = ["<", ">", '"', "'", "a", " x=", "</p", "<p", "<b>", "<!--", "-->", "<!", "<?", "=", "/", "\n", "<a href='q'>", '<i "', "é"]
+    for _ in range(200):
+        page = "".join(rng.choices(bits, k=rng.randint(0, 40)))
+        markup, at, got = H._Markup(page), 0, []
+        while at < len(page):
+            begin, end, m, stop = markup.pieces(at)
+            if begin < len(page):
+                got.append((begin, end, m and (m[1], m[2], page[m.end():stop])))
+            at = end
+        assert got == [(m.start(), m.end(), m[2] and (m[1], m[2], m[3])) for m in _OLD_TOKEN.finditer(page)]
+
+
+@pytest.mark.parametrize("page", ["<a x " * 200_000, "<a x=\"" * 150_000, "<a x=\"'" * 120_000, "<!" * 500_000, "<span>" * 80_000 + "</p>" * 120_000,
+                                  "<p><div>" + "<span>" * 80_000 + "</p>" * 120_000, "<dl><dd><b>" * 90_000, "<a '" + "<b \"" * 200_000, "<li><i>" * 140_000])
+def test_broken_pages_of_a_megabyte(page):
+    began = time.process_time()
+    H.blocks_of(page)
+    assert time.process_time() - began < 8  # a quadratic reader takes an hour
