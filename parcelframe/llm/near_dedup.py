@@ -25,11 +25,10 @@ more are linked; a group is a connected component.
   first; after those links are checked, a second round takes all pairs between
   different groups. No link between two groups is lost, and a cluster of m
   copies gives about m pairs, not m squared.
-* Nodes that are still large after ``LEVELS`` levels are first dealt into
-  sub-blocks that share pivots. Those that then still hold several groups are
-  compared block by block, all of the smaller groups' members with all members,
-  where that is cheap, and branch again where it isn't. Nodes of one group are
-  closed.
+* Large nodes are first dealt into sub-blocks that share pivots, and those' links
+  checked. Nodes of one group are closed there, before they would branch. The others
+  are compared block by block, all of the smaller groups' members with all members,
+  where that is cheap, and branch where it isn't.
 
 Defined results: null and empty texts, and texts of white space, have no
 shingles and are their own group; a text of fewer than five words is one
@@ -52,7 +51,7 @@ from . import bloom, textarrays as T
 from .common import stored
 
 WORDS, TOKENS, LOW = 5, 32, 384
-TREES, BRANCH, LEAF, LEVELS, DEPTH, PIVOTS = 6, 2, 512, 2, 6, 4
+TREES, BRANCH, LEAF, LEVELS, DEPTH, PIVOTS = 6, 2, 512, 1, 6, 4
 #: Members of a leaf up to which a hash counts as rare.
 FEW = 16
 #: Common tokens of TOKENS that a pair at 0.75 has but once in a hundred thousand times.
