@@ -19,7 +19,7 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 # A time of day behind a date: minutes at least, fractions up to nanoseconds; or by the half of the day.
 _TIME = r"([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]{1,9})?)?)"
-_HALF_DAY = r"(1[0-2]|0?[1-9])(:[0-9]{2}(?::[0-9]{2})?) *(?i:(a)|p)[.]?(?i:m)[.]?"
+_HALF_DAY = r"^(.*[ ,-])(1[0-2]|0?[1-9])(:[0-9]{2}(?::[0-9]{2})?) *(?i:(a)|p)[.]?(?i:m)[.]?$"
 _ZONE = r" *(Z|[+-][0-9]{2}:?[0-9]{2})"
 _MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 # Date layouts. Each has the date's pattern, its rewriting as year-month-day (# for a
@@ -95,51 +95,50 @@ def _month_number(name: Column) -> Column:
     return F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int").cast("string"))
 
 
-def _rewritten(s: Column, layout: tuple[str, str, str], month: Column | None = None) -> Column:
+def day_hours(s: Column) -> Column:
+    """A date's text with the time by the half of the day (3:04 pm) turned into hours of the day (15:04)."""
+    # 12 stands for 0, and the afternoon comes 12 hours later
+    hour = F.regexp_extract(s, _HALF_DAY, 2).try_cast("int") % 12 + F.when(F.regexp_extract(s, _HALF_DAY, 4) == "", 12).otherwise(0)
+    year_first = F.substring(s, 2, 1).between("0", "9") & F.substring(s, 3, 1).between("0", "9")
+    named = F.substring(s, -1, 1).isin("m", "M", ".") & ~year_first & s.rlike(_HALF_DAY)
+    return F.when(named, F.concat(F.regexp_extract(s, _HALF_DAY, 1), hour.cast("string"), F.regexp_extract(s, _HALF_DAY, 3))).otherwise(s)
+
+
+def _rewritten(s: Column, layout: tuple[str, str, str]) -> Column:
     """Text of one layout as ``yyyy-M-d[ H:mm[:ss[.f]]]``; other text stays as it is."""
     date, parts, gap = layout
-    n = parts.count("$")
-    named = (lambda t: F.replace(t, F.lit("#"), month)) if month is not None else (lambda t: t)
-    plain = named(F.regexp_replace(s, f"{date}(?:{gap}{_TIME})?$", f"{parts} ${n + 1}"))
-    half = f"{date}{gap}{_HALF_DAY}$"
-    # 12 stands for 0, and the afternoon comes 12 hours later
-    hour = F.regexp_extract(s, half, n + 1).try_cast("int") % 12 + F.when(F.regexp_extract(s, half, n + 3) == "", 12).otherwise(0)
-    halved = F.concat(named(F.regexp_replace(s, half + "|^.*$", parts)), F.lit(" "), hour.cast("string"), F.regexp_extract(s, half, n + 2))
-    return F.when(F.upper(F.substring(s, -1, 1)).isin("M", "."), halved).otherwise(plain)
+    return F.regexp_replace(s, f"{date}(?:{gap}{_TIME})?$", f"{parts} ${parts.count('$') + 1}")
 
 
-def _canonical(s: Column) -> Column:
-    """A date's text as ``yyyy-M-d[ H:mm[:ss[.f]]]``, where it has a known layout.
+def canonical_date(s: Column) -> Column:
+    """A date's text (with hours of the day) as ``yyyy-M-d[ H:mm[:ss[.f]]]``, where it has a known layout.
 
     Characters at fixed places choose the one layout that can fit, and one
     replacement rewrites it, so a value is never tried twice. 13 and above can
     only be a day. What fits no layout stays, or comes out without a part, and
-    is no timestamp then."""
-    first, fifth, digit = F.substring(s, 1, 1), F.substring(s, 5, 1), F.substring(s, 1, 2)
-    is_digit = lambda at: F.substring(s, at, 1).between("0", "9")
-    iso = F.when(s.rlike(f"{ISO[0]}(?:{ISO[2]}{_TIME})?$"), F.when((fifth == "-") & (F.substring(s, -3, 1) != "."), s).otherwise(F.regexp_replace(s, f"{ISO[0]}T?", ISO[1])))
-    after = F.when(is_digit(2), F.substring(s, 3, 1)).otherwise(F.substring(s, 2, 1))
-    name = F.regexp_extract(s, "([A-Za-z]{3})", 1)
-    number = F.when((digit >= "13") & is_digit(2), _rewritten(s, DAY_FIRST)).otherwise(_rewritten(s, MONTH_FIRST))
-    third = F.substring(s, 4, 1)
-    word = (after == " ") | ((after == "-") & ((third >= "A") | (F.substring(s, 3, 1) >= "A")))
-    return F.rtrim(F.when((first > "9") & (first <= "z"), _rewritten(s, MONTH_NAME_FIRST, _month_number(F.substring(s, 1, 3))))
-                   .when((first < "0") | (first > "9"), None)
-                   .when(is_digit(2) & is_digit(3) & fifth.isin("-", "/", "."), iso)
-                   .when(word, _rewritten(s, DAY_THEN_NAME, _month_number(name)))
-                   .when(after.isin("-", "/", "."), number))
+    is no timestamp then. A zone (``Z`` or an offset) moves the value to UTC."""
+    at = lambda k, n=1: F.substring(s, k, n)
+    is_digit = lambda k: at(k).between("0", "9")
+    plain_iso = s.rlike(f"{ISO[0]}(?:{ISO[2]}{_TIME})?$")
+    zoned = f"{ISO[0]}{ISO[2]}{_TIME}{_ZONE}$"
+    moved = F.to_utc_timestamp(F.regexp_replace(s, zoned, f"{ISO[1]} $4$5").try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz").cast("string")
+    iso = F.when(plain_iso, F.when(at(5) == "-", s).otherwise(F.regexp_replace(s, f"{ISO[0]}T?", ISO[1]))).when(s.rlike(zoned), moved)
+    after = F.when(is_digit(2), at(3)).otherwise(at(2))
+    letter = F.when(is_digit(2), at(4)).otherwise(at(3)) >= "A"
+    name_first = at(1) > "9"
+    month = _month_number(F.when(name_first, at(1, 3)).otherwise(F.regexp_extract(s, "([A-Za-z]{3})", 1)))
+    named = F.when(name_first, _rewritten(s, MONTH_NAME_FIRST)).otherwise(_rewritten(s, DAY_THEN_NAME))
+    number = F.when((at(1, 2) >= "13") & is_digit(2), _rewritten(s, DAY_FIRST)).otherwise(_rewritten(s, MONTH_FIRST))
+    return F.rtrim(F.when(is_digit(1) & is_digit(2) & is_digit(3), iso)
+                   .when((name_first & (at(1) <= "z")) | (is_digit(1) & ((after == " ") | ((after == "-") & letter))), F.replace(named, F.lit("#"), month))
+                   .when(is_digit(1) & after.isin("-", "/", "."), number))
 
 
 def parse_datetime(s: Column) -> Column:
-    """``to_datetime`` on text that is already stripped.
-
-    A zone (``Z`` or an offset) moves the value to UTC. Bare numbers and blank
-    tokens fit no layout and stay NULL.
-    """
-    zoned = f"{ISO[0]}{ISO[2]}{_TIME}{_ZONE}$"
-    moved = F.to_utc_timestamp(F.regexp_replace(s, zoned, f"{ISO[1]} $4$5").try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
-    offset = (F.substring(s, -1, 1) == "Z") | F.substring(s, -6, 1).isin("+", "-") | F.substring(s, -5, 1).isin("+", "-")
-    return F.when(offset & s.rlike(zoned), moved).otherwise(_canonical(s).try_cast("timestamp_ntz"))
+    """``to_datetime`` on text that is already stripped, in one expression (``ingest`` takes its steps in
+    projections of their own). Bare numbers and blank tokens fit no layout and stay NULL."""
+    step = lambda c, fn: F.element_at(F.transform(F.array(c), fn), 1)  # noqa: E731 — each step's text is made once
+    return step(day_hours(s), canonical_date).try_cast("timestamp_ntz")
 
 
 def to_datetime(c) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.quantiles import exact_quantiles
 from ..session import materialize
 from .restarts import kmeans_restarts, nearest
+from .ward import ward
 
 # Cluster names per analysis (cluster id after relabelling → name).
 NAMES = {
@@ -128,11 +129,6 @@ def kmeans_best(df: DataFrame, k: int, restarts: int = N_RESTARTS, seed: int = S
     return df.withColumn("raw", nearest(fit.best, vector_to_array("features")))
 
 
-def bisecting(df: DataFrame, k: int, seed: int = SEED):
-    from pyspark.ml.clustering import BisectingKMeans
-    return BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="raw").fit(df)
-
-
 def relabel_by_mean(assigned: DataFrame, driver: str, ascending: bool) -> DataFrame:
     """Cluster ids ordered by the mean of ``driver`` (k rows ranked, joined back)."""
     means = assigned.groupBy("raw").agg(F.avg(driver).alias("_m"))
@@ -207,7 +203,7 @@ def _run(feat: DataFrame, feats, k: int, driver: str, ascending: bool, analysis:
                                     "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int")
         return empty, msg.withColumn("message", F.lit(f"too few rows for {analysis} ({n})"))
     scaled = standardise(feat if many else impute_median(feat, feats), feats, center=center).persist()
-    found = bisecting(scaled, k).transform(scaled) if algo == "bisecting" else kmeans_best(scaled, k, restarts)
+    found = ward(scaled, k) if algo == "ward" else kmeans_best(scaled, k, restarts)
     assigned = relabel_by_mean(found, driver, ascending)
     names = NAMES[analysis]
     label = F.element_at(F.create_map(*[x for i, nm in names.items() for x in (F.lit(i), F.lit(nm))]),
@@ -233,9 +229,9 @@ def cluster_parcel(df: DataFrame, k: int = 4, restarts: int = N_RESTARTS):
 
 
 def cluster_region(df: DataFrame, k: int = 3):
-    """Bisecting k-means on std-scaled (not centred) region features; order by volume."""
+    """Ward's clustering of std-scaled (not centred) region features; order by volume."""
     feats = ["total_colis", "taux_livraison", "avg_ca", "taux_crbt", "avg_intervalle"]
-    return _run(features_region(df), feats, k, "total_colis", False, "region", algo="bisecting", center=False)
+    return _run(features_region(df), feats, k, "total_colis", False, "region", algo="ward", center=False)
 
 
 def cluster_day(df: DataFrame, k: int = 3, restarts: int = N_RESTARTS):

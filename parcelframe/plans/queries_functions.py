@@ -409,20 +409,37 @@ def q_sort_cluster_rows(spark, sf):
 
 REPORT_PARTS = {"report_kpis": "report_kpis_by_region", "depot_kpis": "depot_kpis", "depot_table": "depot_table", "export_table": "depot_table_export",
                 "depot_drill": "depot_drill", "export_drill": "export_drill", "depot_slider": "depot_slider", "livraison_kpis": "livraison_kpis",
-                "livraison_table": "livraison_table_long", "livraison_drill": "livraison_drill", "import_drill": "import_drill",
-                "livraison_slider": "livraison_slider"}
+                "livraison_table": "livraison_table_long", "import_table": "livraison_table_long_import", "livraison_drill": "livraison_drill",
+                "import_drill": "import_drill", "livraison_slider": "livraison_slider"}
+#: What of each part is compared: # marks doubles, taken to two places.
+REPORT_COLUMNS = {"report_kpis": "livres total #taux #avg_intervalle total_ca crbt", "depot_kpis": "scope total crbt ordinaire ca ca_crbt ca_ordinaire",
+                  "depot_table": "office is_total crbt ca #poids nb_ids", "export_table": "office is_total crbt ca #poids nb_ids",
+                  "depot_drill": "office subkey id ca type", "export_drill": "office subkey id poids ca", "depot_slider": "b d t #c #p",
+                  "livraison_kpis": "scope total crbt ordinaire ca #taux #avg_intervalle", "livraison_table": "office is_total event n",
+                  "import_table": "office is_total event n", "livraison_drill": "office subkey id event type ca interval poids",
+                  "import_drill": "office subkey id event interval poids", "livraison_slider": "b d e t #c #p"}
+
+
+def _content(part: str) -> str:
+    """A row of a part as text, in SQL that both engines read."""
+    text = lambda c: f"CAST(CAST(round({c[1:]}, 2) AS DECIMAL(20,2)) AS {{text}})" if c[0] == "#" else f"CAST({c} AS {{text}})"
+    return "md5(concat_ws('|', " + ", ".join(f"coalesce({text(c)}, '~')" for c in REPORT_COLUMNS[part].split()) + "))"
 
 
 def _report_sql() -> str:
     file = "coalesce(regexp_replace(region, '[^A-Za-z0-9_-]', '_', 'g'), 'national')"
-    return " UNION ALL ".join(f"SELECT '{part}' AS part, {file} AS region_file, CAST(count(*) AS BIGINT) AS count FROM ({REGISTRY[q][1]}) GROUP BY 2"
-                              for part, q in REPORT_PARTS.items())
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, {file} AS region_file, CAST(count(*) AS BIGINT) AS count, "
+                              f"CAST(sum(CAST('0x' || {_content(part).format(text='VARCHAR')}[1:12] AS BIGINT)) AS DECIMAL(38,0)) AS content "
+                              f"FROM ({REGISTRY[q][1]}) GROUP BY 2" for part, q in REPORT_PARTS.items())
 
 
 def _written(spark, parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows, and the sum of the rows' hashes, of every part and region, as read back from the written report."""
     from ..sources.sinks import scratch_path, write_region_reports
     out = write_region_reports(parts, scratch_path(spark, "region-report"), fmt="parquet")
-    counts = [spark.read.parquet(p).groupBy("region_file").count().withColumn("part", F.lit(name)) for name, p in out.items()]
+    number = lambda part: F.conv(F.substring(F.expr(_content(part).format(text="STRING")), 1, 12), 16, 10).cast("decimal(20,0)")
+    counts = [spark.read.parquet(p).groupBy("region_file").agg(F.count(F.lit(1)).alias("count"), F.sum(number(name)).cast("decimal(38,0)").alias("content"))
+              .withColumn("part", F.lit(name)) for name, p in out.items()]
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -431,10 +448,9 @@ def register_region_report() -> None:
 
     @register("region_report", raw_sql=_report_sql())
     def q_region_report(spark, sf):
-        """Every region's report parts written in one job per part, partitioned by
-        region; rows written per part and region."""
-        parts = rp.region_report(shipments(spark, sf))
-        return _written(spark, {k: v for k, v in parts.items() if k != "import_table"}).select("part", "region_file", "count")
+        """Every region's report, all parts, written in one job per part and partitioned by
+        region; rows and a hash of the content by part and region."""
+        return _written(spark, rp.region_report(shipments(spark, sf))).select("part", "region_file", "count", "content")
 
     @register("region_report_scoped",
               "SELECT 'depot_table' AS part, 'ASIA' AS region_file, CAST(count(DISTINCT depot_office) + 1 AS BIGINT) AS count FROM national "

@@ -148,12 +148,20 @@ def _gbt_frames(long):
     return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "test").drop("split")
 
 
-def _gbt_all(spark, sf):
-    """(dataset, target, predictions, model, feature names) of every combination."""
-    long = all_long(spark, sf)
-    for dataset, target in COMBOS:
-        own = long.filter((F.col("dataset") == dataset) & (F.col("target") == target)).select("unique_id", "ds", "y")
-        yield dataset, target, *fc.gbt_forecast(*_gbt_frames(own))
+_FITTED: dict[tuple[str, str], list] = {}
+
+
+def _gbt_all(spark, sf) -> list:
+    """(dataset, target, predictions, model, feature names) of every combination; fitted once per session and input folder."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _FITTED:
+        long, found = all_long(spark, sf), []
+        for dataset, target in COMBOS:
+            own = long.filter((F.col("dataset") == dataset) & (F.col("target") == target)).select("unique_id", "ds", "y")
+            pred, model, feats = fc.gbt_forecast(*_gbt_frames(own))
+            found.append((dataset, target, materialize(pred), model, feats))
+        _FITTED[key] = found
+    return _FITTED[key]
 
 
 @register("gbt_forecast")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions.formatting import fr_thousands
+from ..operators import drills as dr
 from ..operators import report as rp
 from ..operators import windows as wn
-from ..sources.fixtures import by_source, derived_once, national, shipments
+from ..sources.fixtures import by_source, derived_once, derived_path, national, shipments
 
 CRBT_SQL = "coalesce(upper(trim(shipment_type)) = 'CRBT', false)"
 DELIV_SQL = "coalesce(lower(trim(last_event)) LIKE 'envoi liv%', false)"
@@ -175,16 +176,23 @@ def q_livraison_table_window(spark, sf):
     return wn.livraison_window(_prefixes(spark, sf, "livraison"), "1996-03-01", "1998-12-31")
 
 
-@register("livraison_table_long",
-          "SELECT region, CASE WHEN grouping(office) = 1 THEN 'TOTAL' ELSE office END AS office, "
-          "grouping(office) = 1 AS is_total, event, CAST(count(*) AS BIGINT) AS n FROM "
-          "(SELECT *, trim(last_event) AS event FROM "
-          + _scoped_sql("national", "last_event_region", "last_event_office")
-          + " WHERE coalesce(trim(last_event), '') <> '') GROUP BY GROUPING SETS ((region, office, event), (region, event))")
+def _long_sql(src: str) -> str:
+    return ("SELECT region, CASE WHEN grouping(office) = 1 THEN 'TOTAL' ELSE office END AS office, "
+            "grouping(office) = 1 AS is_total, event, CAST(count(*) AS BIGINT) AS n FROM "
+            f"(SELECT *, trim(last_event) AS event FROM {_scoped_sql(src, 'last_event_region', 'last_event_office')}"
+            " WHERE coalesce(trim(last_event), '') <> '') GROUP BY GROUPING SETS ((region, office, event), (region, event))")
+
+
+@register("livraison_table_long", _long_sql("national"))
 def q_livraison_table_long(spark, sf):
     return rp.livraison_table_long(national(spark, sf))
 
 
+@register("livraison_table_long_import", _long_sql("(SELECT * FROM shipments WHERE source = 'import')"))
+def q_livraison_table_long_import(spark, sf):
+    return rp.livraison_table_long(by_source(spark, sf, "import"))
+
+
 @register("event_order",
           "SELECT CAST(row_number() OVER (ORDER BY lower(e) NOT LIKE 'envoi liv%', e) - 1 AS BIGINT) AS position, e FROM "
           "(SELECT DISTINCT trim(last_event) AS e FROM national WHERE coalesce(trim(last_event), '') <> '')")
@@ -278,7 +286,24 @@ def q_import_drill(spark, sf):
           + f" CROSS JOIN LATERAL (SELECT 'CRBT' AS subkey) WHERE {CRBT_SQL} AND trim(depot_office) = 'Agence NATION_1' "
           "AND coalesce(trim(mailitm_fid), '') <> ''")
 def q_drill_lookup(spark, sf):
-    return rp.drill_lookup(rp.depot_drill(national(spark, sf)), "Agence NATION_1", "CRBT")
+    """One cell of the drill table, from the files of the clustered table that reach it."""
+    return dr.lookup(spark, _drill_table(spark, sf), "Agence NATION_1", "CRBT").select("region", "office", "subkey", "id", "ca", "type")
+
+
+def _drill_table(spark, sf) -> str:
+    """The clustered drill table of the national rows, written once per session."""
+    return derived_path(spark, sf, "depot-drill", lambda path: dr.write_drill(rp.depot_drill(national(spark, sf)), path, file_rows=20_000))
+
+
+@register("drill_cells",
+          "SELECT region, office, subkey, CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT id) AS BIGINT) AS ids FROM (SELECT trim(depot_region) AS region, "
+          f"trim(depot_office) AS office, {_ID} AS id, unnest(list_filter(['__all__', CASE WHEN {CRBT_SQL} THEN 'CRBT' END], lambda x: x IS NOT NULL)) AS subkey "
+          "FROM national WHERE coalesce(trim(depot_office), '') <> '' AND coalesce(trim(mailitm_fid), '') <> '') GROUP BY ALL")
+def q_drill_cells(spark, sf):
+    """Entries and different ids of every cell, over the pages of the clustered table."""
+    pages = dr.pages(spark, _drill_table(spark, sf), page_size=500)
+    entry = pages.select("region", "office", "subkey", F.explode("entries").alias("e"))
+    return entry.groupBy("region", "office", "subkey").agg(F.sum("e.times").alias("entries"), F.count_distinct("e.id").alias("ids"))
 
 
 @register("drill_json",

@@ -83,8 +83,8 @@ def shipments_path(spark: SparkSession, sf_dir: str) -> str | None:
         return None
 
 
-def derived_once(spark: SparkSession, sf_dir: str, tag: str, write) -> DataFrame:
-    """A table that ``write(path)`` derives from the shipments, written once per session and input folder."""
+def derived_path(spark: SparkSession, sf_dir: str, tag: str, write) -> str:
+    """The folder of what ``write(path)`` derives from the shipments, written once per session and input folder."""
     from ..session import ensure_checkpoint_dir
     import uuid
 
@@ -93,7 +93,12 @@ def derived_once(spark: SparkSession, sf_dir: str, tag: str, write) -> DataFrame
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:10]}"
         write(path)
         _MATERIALIZED[key] = path
-    return spark.read.parquet(_MATERIALIZED[key])
+    return _MATERIALIZED[key]
+
+
+def derived_once(spark: SparkSession, sf_dir: str, tag: str, write) -> DataFrame:
+    """The table that ``write(path)`` derives from the shipments, written once per session and input folder."""
+    return spark.read.parquet(derived_path(spark, sf_dir, tag, write))
 
 
 def derive_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cleaning import (VERBATIM_BLANK_TOKENS, clean_text, is_crbt, is_delivered, parse_datetime,
+from ..functions.cleaning import (VERBATIM_BLANK_TOKENS, canonical_date, clean_text, day_hours, is_crbt, is_delivered,
                                   parse_float, strip_ws, valid_month, valid_year)
 from ..schema import COLUMN_MAP, EDI_VERBATIM_COLUMNS, KEY_COLUMNS, fold_header
 from . import commits
@@ -141,8 +141,8 @@ def _convert(name: str, kind: str):
         return parse_float(s)
     if kind == "int":
         return F.bround(parse_float(s), 0).try_cast("int")
-    if kind == "datetime":
-        return parse_datetime(s)
+    if kind == "datetime":  # the date's canonical text
+        return F.when(s.isNotNull(), s.try_cast("timestamp_ntz"))
     return clean_text(s)
 
 
@@ -150,11 +150,16 @@ def clean_shipments(df: DataFrame) -> DataFrame:
     """Typed projection of the mapped columns + ``is_delivered`` / ``is_crbt``;
     month/year outside 1–12 / 1900–9999 become NULL; rows without a key are dropped.
 
-    Each text column is stripped once; the parsers then work on that value.
+    Each text column is stripped once; the parsers then work on that value. Dates
+    go through three projections. Each reads the one before more than once, so
+    Catalyst keeps them apart and no value is rewritten twice.
     """
     mapped = {n for _, n, _ in COLUMN_MAP}
     rest = [c for c in df.columns if c not in mapped]
     out = df.select([strip_ws(n).alias(n) for _, n, _ in COLUMN_MAP] + rest)
+    dates = [n for _, n, k in COLUMN_MAP if k == "datetime" and n not in EDI_VERBATIM_COLUMNS]
+    for step in (day_hours, canonical_date):
+        out = out.select([(step(F.col(n)) if n in dates else F.col(n)).alias(n) for _, n, _ in COLUMN_MAP] + rest)
     out = out.select([_convert(n, k).alias(n) for _, n, k in COLUMN_MAP] + rest)
     out = (out.withColumn("deposit_month", valid_month("deposit_month"))
            .withColumn("deposit_year", valid_year("deposit_year"))
