@@ -19,6 +19,7 @@ a broadcast, of more as a table that Spark joins by group.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,22 +39,37 @@ def _keys(n: int) -> list[str]:
     return [f"_k{i}" for i in range(n)]
 
 
-def _settled(heads: DataFrame) -> DataFrame:
-    """The group rows as values: local if they're few (then they're broadcast), else written."""
+@dataclass
+class _Heads:
+    """The group rows: on the driver too, if they're few (then they're broadcast)."""
+
+    df: DataFrame
+    rows: list | None
+
+    @property
+    def held(self) -> float:
+        """The most values that a bracket may hold."""
+        if self.rows is None:
+            return self.df.agg(F.max("_held")).first()[0] or 0
+        return max((r["_held"] or 0 for r in self.rows), default=0)
+
+
+def _settled(heads: DataFrame) -> _Heads:
+    """The group rows as values: local if they're few, else written."""
     rows = heads.limit(GROUPS + 1).collect()
     if len(rows) > GROUPS:
-        return materialize(heads)
-    return F.broadcast(heads.sparkSession.createDataFrame(rows, heads.schema))
+        return _Heads(materialize(heads), None)
+    return _Heads(F.broadcast(heads.sparkSession.createDataFrame(rows, heads.schema)), rows)
 
 
-def _joined(values: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+def _joined(values: DataFrame, heads: _Heads, keys: list[str]) -> DataFrame:
     """Values with their group's brackets."""
-    heads = heads.select(*[F.col(k).alias(f"{k}h") for k in keys], "_n", "_lo", "_hi")
     if not keys:  # one row
-        row = heads.first()
+        row = heads.rows[0]
         array = lambda xs: F.array(*[F.lit(x).cast("double") for x in xs])
         return values.select("*", F.lit(row["_n"]).alias("_n"), array(row["_lo"]).alias("_lo"), array(row["_hi"]).alias("_hi"))
-    return values.join(heads, [F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys])
+    own = heads.df.select(*[F.col(k).alias(f"{k}h") for k in keys], "_n", "_lo", "_hi")
+    return values.join(own, [F.col(k).eqNullSafe(F.col(f"{k}h")) for k in keys])
 
 
 def _grouped(df: DataFrame, keys: list[str]):
@@ -80,7 +96,7 @@ def _targets(p: float) -> tuple[Column, Column]:
     return F.floor(at), F.ceil(at)
 
 
-def _narrowed(values: DataFrame, heads: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
+def _narrowed(values: DataFrame, heads: _Heads, keys: list[str], ps: list[float]) -> DataFrame:
     """Group rows with brackets narrowed by a sketch of the values inside each."""
     v, grid = F.col("_v"), F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
     aggs = []
@@ -90,7 +106,7 @@ def _narrowed(values: DataFrame, heads: DataFrame, keys: list[str], ps: list[flo
         aggs += [F.count(F.when(v <= lo, 1)).alias(f"_b{i}"), F.count(inside).alias(f"_m{i}"), F.percentile_approx(inside, grid, 8 * GRID).alias(f"_g{i}")]
     found = _grouped(_joined(values, heads, keys), keys).agg(*aggs)
     renamed = found.select(*[F.col(k).alias(f"{k}f") for k in keys], *[c for c in found.columns if c not in keys])
-    both = heads.join(renamed, [F.col(k).eqNullSafe(F.col(f"{k}f")) for k in keys], "left") if keys else heads.join(renamed)  # one row each
+    both = heads.df.join(renamed, [F.col(k).eqNullSafe(F.col(f"{k}f")) for k in keys], "left") if keys else heads.df.join(renamed)  # one row each
     los, his, held = [], [], F.lit(0.0)
     for i, p in enumerate(ps):
         low, high = _targets(p)
@@ -102,11 +118,11 @@ def _narrowed(values: DataFrame, heads: DataFrame, keys: list[str], ps: list[flo
         los.append(F.when(mid == 0, lo).otherwise(new_lo))
         his.append(F.when(mid == 0, hi).otherwise(new_hi))
         held = F.greatest(held, mid * F.lit((2 * AROUND + 3) / GRID))
-    rest = [c for c in heads.columns if c not in ("_lo", "_hi", "_held")]
+    rest = [c for c in heads.df.columns if c not in ("_lo", "_hi", "_held")]
     return both.select(*rest, F.array(*los).alias("_lo"), F.array(*his).alias("_hi"), held.alias("_held"))
 
 
-def _tallied(values: DataFrame, heads: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
+def _tallied(values: DataFrame, heads: _Heads, keys: list[str], ps: list[float]) -> DataFrame:
     """(keys, _v, _c, _in): each value inside a bracket with its count; between brackets one row (_in false)."""
     joined = _joined(values, heads, keys)
     v = F.col("_v")
@@ -129,7 +145,7 @@ def exact_quantiles(df: DataFrame, value: Column, ps: dict[str, float], by=(), e
     source = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], x.alias("_x"), F.when(~F.isnan(x), x).alias("_v"))
     heads = _settled(_sketched(source, keys, points, list(extra)))
     values = source.where("_v IS NOT NULL").select(*keys, "_v")
-    while (heads.agg(F.max("_held")).first()[0] or 0) > HELD:
+    while heads.held > HELD:
         heads = _settled(_narrowed(values, heads, keys, points))
     order = W.partitionBy(*keys).orderBy("_v")
     ranked = _tallied(values, heads, keys, points).withColumn("_r", F.sum("_c").over(order) - F.col("_c"))
@@ -142,5 +158,8 @@ def exact_quantiles(df: DataFrame, value: Column, ps: dict[str, float], by=(), e
         out.append((left + (right - left) * F.max((F.col("_n") - 1) * F.lit(p) - low)).alias(name))
     found = _grouped(ranked, keys).agg(*out)
     found = found.select(*[F.col(k).alias(f"{k}q") for k in keys], *names)
-    both = heads.join(found, [F.col(k).eqNullSafe(F.col(f"{k}q")) for k in keys], "left" if extra else "inner") if keys else heads.join(found)  # one row each
-    return both.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], *[c for c in heads.columns if c not in (*keys, "_n", "_lo", "_hi", "_held")], *names)
+    others = [f for f in heads.df.schema.fields if f.name not in (*keys, "_n", "_lo", "_hi", "_held")]
+    if not keys:
+        return found.select(*[F.lit(heads.rows[0][f.name]).cast(f.dataType).alias(f.name) for f in others], *names)
+    both = heads.df.join(found, [F.col(k).eqNullSafe(F.col(f"{k}q")) for k in keys], "left" if extra else "inner")
+    return both.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], *[f.name for f in others], *names)

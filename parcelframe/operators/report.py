@@ -184,29 +184,21 @@ def livraison_table(df: DataFrame, region: str | None = None, categories=None,
 def delivery_pivot(fine: DataFrame, events: list[str] | None = None) -> DataFrame:
     """The delivery table from sums (n, n_crbt, ca_sum, poids_sum) at (region, office, event) grain.
 
-    The sums are a small table that is written once. The event list (pivot
-    values, unless given) and the table itself, with the TOTAL row from
-    GROUPING SETS, are then computed on it; Spark's pivot fills the event
-    columns, so their number has no limit but the schema's.
+    The sums are a small table that is written once. The event list (the names
+    of the count columns, unless given) and the table itself, with the TOTAL row
+    from GROUPING SETS, are then computed on it. The number of events has no
+    limit but the schema's; ``livraison_table_long`` needs no column per event.
     """
     fine = materialize(fine)
     values = events if events is not None else event_values(fine, "event")
     total, crbt = F.sum("n"), F.sum("n_crbt")
     g = _totalled(fine, [
+        *[F.sum(F.when(F.col("event") == F.lit(v), F.col("n")).otherwise(F.lit(0))).alias(v) for v in values],
         total.alias("total_ids"), crbt.alias("crbt"), (total - crbt).alias("ordinaire"),
         F.coalesce(F.sum("ca_sum"), F.lit(0)).cast(MONEY).alias("ca"),
         F.coalesce(F.sum("poids_sum"), F.lit(0.0)).alias("poids")])
-    if not values:
-        return g.select("region", "office", "is_total", "total_ids", "crbt", "ordinaire", "ca", "poids")
-    names = {f"_e{i}": v for i, v in enumerate(values)}
-    counts = fine.groupingSets([["region", "office", "event"], ["region", "event"]], "region", "office", "event") \
-        .agg(F.sum("n").alias("n"), F.grouping("office").alias("_g_office"))
-    wide = counts.groupBy(F.col("region").alias("_r"), F.col("office").alias("_o"), (F.col("_g_office") == 1).alias("_t")) \
-        .pivot("event", values).agg(F.sum("n")).toDF("_r", "_o", "_t", *names)
-    office = F.when(F.col("is_total"), F.lit(None)).otherwise(F.col("office"))
-    both = g.join(wide, F.col("region").eqNullSafe(F.col("_r")) & office.eqNullSafe(F.col("_o")) & (F.col("is_total") == F.col("_t")), "left")
-    return both.select("region", "office", "is_total", *[F.coalesce(F.col(c), F.lit(0)).alias(v) for c, v in names.items()],
-                       "total_ids", "crbt", "ordinaire", "ca", "poids")
+    return g.select("region", "office", "is_total", *[F.col(f"`{v}`") for v in values],
+                    "total_ids", "crbt", "ordinaire", "ca", "poids")
 
 
 def livraison_table_long(df: DataFrame, region: str | None = None, categories=None) -> DataFrame:

@@ -48,9 +48,9 @@ def test_only_values_in_brackets_are_shuffled(spark, monkeypatch):
     heads = Q._settled(Q._sketched(df.select(F.col("x").alias("_x"), F.col("x").alias("_v")), [], [0.25, 0.5, 0.75], []))
     tally = Q._tallied(values, heads, [], [0.25, 0.5, 0.75])
     assert tally.where("_in").count() < 3 * 1_000_000 * 3 * (Q.MARGIN + 1) / Q.ACCURACY
-    assert tally.agg(F.sum("_c")).first()[0] == 1_000_000 and heads.first()["_held"] < Q.HELD
+    assert tally.agg(F.sum("_c")).first()[0] == 1_000_000 and heads.held < Q.HELD
     plan = Q.exact_quantiles(df, F.col("x"), {"m": 0.5})._jdf.queryExecution().toString()
-    assert "ExistingRDD" not in plan.replace("Scan ExistingRDD[_", "") or "checkpoint" not in plan.lower()
+    assert "ExistingRDD" not in plan  # nothing was checkpointed
 
 
 def test_box_of_large_groups(spark, monkeypatch):
