@@ -120,19 +120,21 @@ def first_centroids(vectors: DataFrame, k: int, salt: str) -> np.ndarray:
 
 
 def fixed_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """Pivots by farthest-first choice in a sample of at most ``SAMPLE`` vectors, the first by a hash of the id."""
+    """Pivots amid the vectors: means of ``count`` groups of a sample of at most ``SAMPLE`` vectors (the first by a
+    hash of the id). A centroid near a pivot p has nearly the bound d(x, p), which nearly is its distance; a pivot far
+    from all centroids would bound none of them well."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "embedding").limit(SAMPLE).collect()
-    x = np.array([r.embedding for r in rows], np.float64)
+    x = integers(np.array([r.embedding for r in rows], np.float64)).astype(np.float64)
     if not len(x):
         return x
-    n = integers(x)
-    near, chosen = roots(n, n.astype(np.float64).mean(0)[None])[:, 0], []
-    for _ in range(min(count, len(x))):
-        at = int(np.nan_to_num(near).argmax())
-        chosen.append(at)
-        far = roots(n, n[at][None])[:, 0]
-        near = far if len(chosen) == 1 else np.minimum(near, far)
-    return n[chosen]
+    pivots = np.unique(x, axis=0)
+    pivots = pivots[np.random.default_rng(7).permutation(len(pivots))[:count]]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for _ in range(10):
+            near = np.nan_to_num(roots(x, pivots), nan=np.inf).argmin(1)
+            for p in np.unique(near):
+                pivots[p] = x[near == p].mean(0)
+    return pivots[np.isfinite(pivots).all(1)]
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
