@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.quantiles import exact_quantiles
 from ..session import materialize
 from .restarts import kmeans_restarts, nearest
+from .silhouette import silhouette
 from .ward import ward
 
 # Cluster names per analysis (cluster id after relabelling → name).
@@ -137,15 +138,15 @@ def relabel_by_mean(assigned: DataFrame, driver: str, ascending: bool) -> DataFr
     return assigned.join(F.broadcast(ranks), "raw").drop("raw")
 
 
-def quality_indices(assigned: DataFrame, dim: int) -> DataFrame:
-    """Silhouette (Spark's evaluator: squared Euclidean), Davies–Bouldin and
-    Calinski–Harabasz (standard Euclidean formulas); NULL below two clusters.
+def quality_indices(assigned: DataFrame, dim: int, many: bool = False) -> DataFrame:
+    """Silhouette, Davies–Bouldin and Calinski–Harabasz (Euclidean formulas); NULL below two clusters.
 
+    The silhouette is the exact mean over all pairs of rows (``silhouette``). ``many`` says that
+    there is a row for each parcel: then Spark's evaluator gives its squared form, whose work is linear.
     One aggregate gives each cluster's size, sums and sums of squares; a second
     the mean distance to its centre. Only those k rows reach the driver."""
     spark = assigned.sparkSession
     schema = "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int"
-    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import vector_to_array
     arr = assigned.select("cluster", vector_to_array("features").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
@@ -153,7 +154,11 @@ def quality_indices(assigned: DataFrame, dim: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(square).alias("q"), *[F.avg(F.col("v")[i]).alias(f"c{i}") for i in range(dim)]).collect()}
     if len(cents) < 2:
         return spark.createDataFrame([(None, None, None, len(cents))], schema)
-    sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
+    if many:
+        from pyspark.ml.evaluation import ClusteringEvaluator
+        sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(assigned)
+    else:
+        sil = silhouette(assigned)
     cdf = spark.createDataFrame([(c, v[1]) for c, v in cents.items()], "cluster int, c array<double>")
     dist = arr.join(F.broadcast(cdf), "cluster").select(  # k rows
         "cluster", F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
@@ -171,7 +176,7 @@ def quality_indices(assigned: DataFrame, dim: int) -> DataFrame:
     between = sum(cents[c][0] * d2(cents[c][1], overall) for c in ids)
     within = sum(cents[c][2] - cents[c][0] * sum(x * x for x in cents[c][1]) for c in ids)
     ch = (between / (len(ids) - 1)) / (within / (n_total - len(ids))) if within > 0 and n_total > len(ids) else None
-    return spark.createDataFrame([(float(sil), float(db), float(ch) if ch is not None else None, len(ids))], schema)
+    return spark.createDataFrame([(float(sil) if sil is not None else None, float(db), float(ch) if ch is not None else None, len(ids))], schema)
 
 
 def grade_metrics(metrics: DataFrame) -> DataFrame:
@@ -208,7 +213,7 @@ def _run(feat: DataFrame, feats, k: int, driver: str, ascending: bool, analysis:
     names = NAMES[analysis]
     label = F.element_at(F.create_map(*[x for i, nm in names.items() for x in (F.lit(i), F.lit(nm))]),
                          F.col("cluster"))
-    metrics = quality_indices(assigned, len(feats)).withColumn("message", F.lit(None).cast("string"))
+    metrics = quality_indices(assigned, len(feats), many).withColumn("message", F.lit(None).cast("string"))
     rows = assigned.select("name", F.col("cluster").cast("int").alias("cluster"),
                            F.coalesce(label, F.concat(F.lit("C"), F.col("cluster").cast("string"))).alias("cluster_label"),
                            *[F.bround(F.col(c), 2).alias(c) for c in feats])

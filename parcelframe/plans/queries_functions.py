@@ -335,12 +335,15 @@ def _indices(spark, sf):
     return cl.quality_indices(_relabelled(spark, sf), len(BUREAU_FEATS))
 
 
-@register("silhouette")
+@register("silhouette",
+          f"WITH {_LABELLED}, far AS (SELECT l.name, l.cluster, r.cluster AS other, sum(sqrt(" + " + ".join(f"(l.{z} - r.{z}) ** 2" for z in _ZS)
+          + ")) AS d, count(*) AS n FROM labelled l, labelled r GROUP BY 1, 2, 3), "
+          "ab AS (SELECT name, max(CASE WHEN other = cluster THEN d / greatest(n - 1, 1) END) AS a, max(CASE WHEN other = cluster THEN n END) AS n, "
+          "min(CASE WHEN other <> cluster THEN d / n END) AS b FROM far GROUP BY name) "
+          "SELECT round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab")
 def q_silhouette(spark, sf):
-    """Silhouette of the k-means office clusters."""
-    scaled = _bureau_scaled(spark, sf)
-    a = cl.relabel_by_mean(cl.kmeans_best(scaled, 3), "taux_livraison", False)
-    return r6(cl.quality_indices(a, len(BUREAU_FEATS)).select("silhouette"))
+    """Exact mean Euclidean silhouette of the labelled offices."""
+    return r6(_indices(spark, sf).select("silhouette"))
 
 
 @register("davies_bouldin", _INDICES + "SELECT round(davies_bouldin, 6) AS davies_bouldin FROM indices")
