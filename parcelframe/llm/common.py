@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -39,9 +40,10 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int,
-                    per_class: int) -> DataFrame:
+                    per_class: int, row_bytes: int) -> DataFrame:
     """(doc_id, text, y) of at most ``per_class`` labelled documents of each
-    class, the first by a hash of doc_id, none of the held-out fold.
+    class, the first by a hash of doc_id, none of the held-out fold; whole
+    texts, without those of more than ``row_bytes`` bytes.
 
     The label rows are picked first (ids only); that bounded list is broadcast
     to the scan of the texts, which are never shuffled for it. A doc_id that
@@ -54,7 +56,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: in
     picks = [known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     chosen = picks[0].unionByName(picks[1]).select("doc_id", "y")
     # at most 2 * per_class rows: a proven bound for the broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= row_bytes)
+
+
+def within(rows: DataFrame, class_bytes: int) -> DataFrame:
+    """Of encoded training rows (doc_id, y, size, ...), those that come first by a hash of doc_id while the sizes
+    of their class add up to at most ``class_bytes``. The rows are written once; sizes alone are sorted."""
+    rows = stored(rows, "training")
+    order = W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = rows.select("doc_id", F.sum("size").over(order).alias("run"))  # at most per_class rows a class
+    return rows.join(F.broadcast(run.where(F.col("run") <= class_bytes).select("doc_id")), "doc_id")
 
 
 def ship(spark: SparkSession) -> None:

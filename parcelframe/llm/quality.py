@@ -9,8 +9,10 @@ numpy on a bounded sample; scoring runs in Arrow batches over whole texts.
 
 Defined results: a null or empty text is a bag of one passage without words;
 without a labelled row of both classes every score is 1.0 (nothing tells a
-document from a good one). Repeated rows are scored each, extra columns are
-ignored; the n-gram repetition of a text beyond one slice is counted by slice.
+document from a good one). A text beyond a megabyte is read in pieces that end
+between passages and depend on that text alone; its repetition is counted by piece.
+Repeated rows are scored each, ties need no order; an empty table gives no row;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as T
-from .common import fold, labelled_sample
+from .common import fold, labelled_sample, within
 
 MODULUS, HELD = 3, 1
 PASSAGE = 80  # words
@@ -46,12 +49,8 @@ FEATURES = KINDS + 7
 
 def passages(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each slice: (passages x FEATURES, text of each passage). Every text gives a passage at least."""
-    raw, off = T.buffers(texts)
-    at = int(off[0])
-    for data, cuts, doc in T.slices(texts, T.NONSPACE):
+    for original, data, cuts, doc in T.text_slices(texts, T.NONSPACE, PASSAGE):
         starts, ends, count = T.words(data, cuts, T.NONSPACE)
-        original = raw[at:at + len(data)]
-        at += len(data)
         n = np.maximum(1, -(-count // PASSAGE))
         piece_of = np.repeat(np.arange(len(doc)), n)
         first_passage = np.concatenate([[0], np.cumsum(n)])
@@ -111,7 +110,8 @@ class Shape:
     hidden: int = 16
     gate: int = 8
     per_class: int = 2000      # labelled rows of each class, at most
-    most_passages: int = 64    # of one training row: longer texts give this many, evenly spread
+    row_bytes: int = 1 << 22    # of one training text: longer ones aren't trained on
+    class_bytes: int = 1 << 24  # of all training texts of a class: rows beyond aren't trained on
     epochs: int = 25
     batch: int = 64
     rate: float = 0.01
@@ -192,8 +192,9 @@ def train(rows: list[tuple[np.ndarray, int]], shape: Shape) -> Attention | None:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Attention | None:
     """Train on at most ``2 * shape.per_class`` labelled rows outside the held-out
-    fold, at most ``shape.most_passages`` passages each: what reaches the driver is bounded."""
-    sample = labelled_sample(docs, labels, "quality", MODULUS, HELD, shape.per_class)
+    fold, all passages of each. Rows, never passages, are left out beyond ``shape.class_bytes``
+    of text a class: what reaches the driver is bounded."""
+    sample = labelled_sample(docs, labels, "quality", MODULUS, HELD, shape.per_class, shape.row_bytes)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,17 +202,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> A
             for x, doc in passages(b.column("text")):
                 for d in np.unique(doc):
                     parts[d].append(x[doc == d])
-            blobs = []
-            for q in parts:
-                x = np.concatenate(q)
-                if len(x) > shape.most_passages:
-                    x = x[np.linspace(0, len(x) - 1, shape.most_passages).astype(int)]
-                blobs.append(x.astype("<f4").tobytes())
-            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(blobs, pa.binary())], ["doc_id", "y", "x"])
-
-    got = sample.mapInArrow(bags, "doc_id long, y int, x binary")
-    once = got.groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("doc_id", "r.*").orderBy("doc_id")
-    return train([(np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(np.float64), r.y) for r in once.collect()], shape)
+            blobs = [np.concatenate(q).astype("<f4").tobytes() for q in parts]
+            yield pa.record_batch([b.column("doc_id"), b.column("y"), pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64()),
+                                   pa.array(blobs, pa.binary())], ["doc_id", "y", "size", "x"])
+
+    got = sample.mapInArrow(bags, "doc_id long, y int, size long, x binary")
+    once = got.groupBy("doc_id").agg(F.min(F.struct("y", "size", "x")).alias("r")).select("doc_id", "r.*")
+    rows = within(once, shape.class_bytes).select("doc_id", "y", "x").orderBy("doc_id").collect()
+    return train([(np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(np.float64), r.y) for r in rows], shape)
 
 
 def score_quality(docs: DataFrame, net: Attention | None) -> DataFrame:

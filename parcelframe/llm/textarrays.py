@@ -100,6 +100,45 @@ def slices(texts: pa.Array, keep: np.ndarray, size: int = SLICE) -> Iterator[tup
         yield LOWER[raw[begin:int(off[-1])]], np.array(cuts), np.array(doc)
 
 
+def _end(raw: np.ndarray, lo: int, hi: int, keep: np.ndarray, every: int, size: int) -> int:
+    """Where a piece that begins at ``lo`` ends: at the start of a word before which a multiple of ``every`` words stand."""
+    while lo + size < hi:
+        inside = keep[LOWER[raw[lo:lo + size]]]
+        starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        whole = (len(starts) - 1) // every * every  # words that end in the piece for certain
+        if whole > 0:
+            return lo + int(starts[whole])
+        size *= 2
+    return hi
+
+
+def text_slices(texts: pa.Array, keep: np.ndarray, every: int = 1, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, the same with A-Z lower-cased, piece offsets, text index of each piece).
+
+    A text of at most ``size`` bytes is one piece. A longer one has slices of its own, which end after a
+    multiple of ``every`` words, so its pieces depend on that text alone, whatever stands before it."""
+    raw, off = buffers(texts)
+    begin, cuts, doc = int(off[0]), [0], []
+    for i in range(len(off) - 1):
+        lo, hi = int(off[i]), int(off[i + 1])
+        if doc and (hi - begin > size):
+            yield raw[begin:lo], LOWER[raw[begin:lo]], np.array(cuts), np.array(doc)
+            begin, cuts, doc = lo, [0], []
+        while hi - lo > size:
+            cut = _end(raw, lo, hi, keep, every, size)
+            yield raw[lo:cut], LOWER[raw[lo:cut]], np.array([0, cut - lo]), np.array([i])
+            begin = lo = cut
+        if lo < hi or int(off[i]) == hi:  # what is left of the text, or an empty text
+            cuts.append(hi - begin)
+            doc.append(i)
+        if lo != int(off[i]) and doc:  # the last piece of a long text
+            yield raw[begin:hi], LOWER[raw[begin:hi]], np.array(cuts), np.array(doc)
+            begin, cuts, doc = hi, [0], []
+    if doc:
+        end = int(off[-1])
+        yield raw[begin:end], LOWER[raw[begin:end]], np.array(cuts), np.array(doc)
+
+
 def words(data: np.ndarray, cuts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words per piece) of the maximal runs of ``keep`` bytes; none spans two pieces."""
     if not len(data):

@@ -5,7 +5,8 @@ A word is the sum of hashed embeddings: the whole word and its first 4, 5 and
 the words, each keeps its maximum over the whole text, and a logistic layer
 reads the maxima. The network is trained with numpy on a bounded sample of
 labelled rows; scoring runs in Arrow batches on the executors, over whole
-texts in slices, so memory does not follow the longest text.
+texts in slices, so memory does not follow the longest text. A slice of a long
+text carries the last words of the one before, so no filter misses a phrase.
 
 Thresholds are calibrated for each language, guessed from function words of
 the text itself (the ``lang`` column is never read): a score is shifted on the
@@ -13,7 +14,9 @@ logit scale so that 0.5 is the best cut for texts of that language.
 
 Defined results: a null or empty text is a text without words and gets the
 network's bias as score; without a labelled row of both classes every score is
-0.0. Repeated rows are scored each; extra columns are ignored.
+0.0. A text's score depends on that text alone, however long it is. Repeated
+rows are scored each, ties of words or scores need no order; an empty table gives
+no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as T
-from .common import fold, labelled_sample
+from .common import fold, labelled_sample, within
 
 MODULUS, HELD = 5, 0
 PREFIXES = (4, 5, 6)
@@ -51,7 +55,9 @@ class Shape:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 6
     per_class: int = 2000       # labelled rows of each class, at most
-    train_words: int = 8_000    # words of one training row: longer rows give this many from evenly spread spans
+    row_bytes: int = 1 << 22    # of one training text: longer ones aren't trained on
+    class_bytes: int = 1 << 24  # of all training texts of a class: rows beyond aren't trained on
+    chunk: int = 1 << 18        # words whose activations training holds at a time, or one text's
     epochs: int = 3
     batch: int = 32
     rate: float = 0.01
@@ -67,11 +73,13 @@ def _language_table() -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([pairs[int(x)] for x in keys])
 
 
-def encode(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def encode(texts: pa.Array, buckets: int, carried: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """For each slice of texts: bucket ids (words x 4), words per piece, text of each piece,
-    and function words of each language per piece."""
+    function words of each language per piece, and how many of the first words are the last
+    ones (``carried`` at most) of the same text's slice before."""
     keys, lang = _language_table()
-    for data, cuts, doc in T.slices(texts, T.LETTERS):
+    last, tail = -1, np.zeros((0, 1 + len(PREFIXES)), np.int32)
+    for _, data, cuts, doc in T.text_slices(texts, T.LETTERS):
         starts, ends, count = T.words(data, cuts, T.LETTERS)
         found = T.hashes(data, starts, ends, PREFIXES)
         ids = np.stack([(h % np.uint64(buckets)).astype(np.int32) for h in found], 1)
@@ -80,7 +88,13 @@ def encode(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarr
         piece = np.repeat(np.arange(len(doc)), count)
         votes = np.bincount(piece[hit] * len(FUNCTION_WORDS) + lang[at[hit]],
                             minlength=len(doc) * len(FUNCTION_WORDS)).reshape(len(doc), -1)
-        yield ids, count, doc, votes
+        again = 0
+        if int(doc[0]) == last and len(tail):
+            again = len(tail)
+            ids = np.concatenate([tail, ids])
+            count[0] += again
+        last, tail = int(doc[-1]), ids[len(ids) - min(carried, int(count[-1])):]
+        yield ids, count, doc, votes, again
 
 
 @dataclass
@@ -130,7 +144,7 @@ class Network:
         """(logit, language index) of each whole text."""
         pooled = np.zeros((len(texts), self.features), np.float32)
         votes = np.zeros((len(texts), len(FUNCTION_WORDS)), np.int64)
-        for ids, count, doc, v in encode(texts, self.shape.buckets):
+        for ids, count, doc, v, _ in encode(texts, self.shape.buckets, max(self.shape.widths) - 1):
             np.maximum.at(pooled, doc, self.pooled(ids, count))
             np.add.at(votes, doc, v)
         lang = np.where(votes.max(1) > 0, votes.argmax(1), len(FUNCTION_WORDS)) if len(texts) else np.zeros(0, int)
@@ -142,13 +156,16 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(raw - shift[lang], -30, 30))), lang
 
 
-def _spans(ids: np.ndarray, most: int) -> np.ndarray:
-    """All words, or ``most`` of them in 16 evenly spread spans."""
-    if len(ids) <= most:
-        return ids
-    step = most // 16
-    at = np.linspace(0, len(ids) - step, 16).astype(int)
-    return np.concatenate([ids[a:a + step] for a in at])
+def _chunks(count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of ``most`` words together, or one longer text."""
+    at, n = 0, 0
+    for i, c in enumerate(count):
+        if i > at and n + c > most:
+            yield at, i
+            at, n = i, 0
+        n += int(c)
+    if at < len(count):
+        yield at, len(count)
 
 
 def train(rows: list[tuple[np.ndarray, int, int]], shape: Shape) -> Network | None:
@@ -201,10 +218,10 @@ def train(rows: list[tuple[np.ndarray, int, int]], shape: Shape) -> Network | No
             ids = np.concatenate([rows[i][0] for i in part]) if len(full) else np.zeros((0, 1 + len(PREFIXES)), np.int32)
             pooled, first = np.zeros((len(part), net.features), np.float32), np.concatenate([[0], np.cumsum(count)])
             where = np.zeros((len(part), net.features), int)
-            if len(full):
-                a = net.activations(ids, count)
-                for d in full:
-                    own = a[first[d]:first[d + 1]]
+            for lo, hi in _chunks(count, s.chunk):
+                a = net.activations(ids[first[lo]:first[hi]], count[lo:hi])
+                for d in full[(full >= lo) & (full < hi)]:
+                    own = a[first[d] - first[lo]:first[d + 1] - first[lo]]
                     k = own.argmax(0)
                     where[d], pooled[d] = first[d] + k, np.maximum(own[k, np.arange(net.features)], 0)
             p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.out_bias, -30, 30)))
@@ -247,8 +264,8 @@ def calibrate(net: Network, rows: list[tuple[np.ndarray, int, int]]) -> dict[int
     """The logit cut of each language: midway in the gap of fewest weighted errors, drawn to the
     overall cut in proportion to how few rows of either class the language has."""
     count = np.array([len(r[0]) for r in rows])
-    ids = np.concatenate([r[0] for r in rows]) if count.sum() else np.zeros((0, 1 + len(PREFIXES)), np.int32)
-    raw = net.pooled(ids, count) @ net.out + net.out_bias
+    raw = np.concatenate([net.pooled(np.concatenate([r[0] for r in rows[lo:hi]]), count[lo:hi])
+                          for lo, hi in _chunks(count, net.shape.chunk)]) @ net.out + net.out_bias
     y, lang = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
 
     def best(mask: np.ndarray) -> float | None:
@@ -279,31 +296,32 @@ def calibrate(net: Network, rows: list[tuple[np.ndarray, int, int]]) -> dict[int
 def fit_toxicity(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Network | None:
     """Train on at most ``2 * shape.per_class`` labelled rows outside the held-out fold.
 
-    Executors turn the sampled texts into bucket ids (at most
-    ``shape.train_words`` words a row), so what reaches the driver is bounded
-    by ``2 * per_class * train_words`` ids whatever the corpus holds.
+    Executors turn whole sampled texts into bucket ids. Rows, never parts of them, are
+    left out beyond ``shape.class_bytes`` of text a class, so what reaches the driver is
+    bounded (8 bytes a word of that text) and thresholds are set on whole texts.
     """
-    sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD, shape.per_class)
+    sample = labelled_sample(docs, labels, "toxic", MODULUS, HELD, shape.per_class, shape.row_bytes)
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts: list[list[np.ndarray]] = [[] for _ in range(b.num_rows)]
             votes = np.zeros((b.num_rows, len(FUNCTION_WORDS)), np.int64)
-            for ids, count, doc, v in encode(b.column("text"), shape.buckets):
+            for ids, count, doc, v, _ in encode(b.column("text"), shape.buckets, 0):
                 np.add.at(votes, doc, v)
                 first = np.concatenate([[0], np.cumsum(count)])
                 for k, d in enumerate(doc):
                     parts[d].append(ids[first[k]:first[k + 1]])
             lang = np.where(votes.max(1) > 0, votes.argmax(1), len(FUNCTION_WORDS))
-            blobs = [_spans(np.concatenate(p), shape.train_words).astype("<u2").tobytes() if p else b"" for p in parts]
-            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(lang, pa.int32()), pa.array(blobs, pa.binary())],
-                                  ["doc_id", "y", "lang", "ids"])
+            blobs = [np.concatenate(p).astype("<u2").tobytes() if p else b"" for p in parts]
+            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(lang, pa.int32()), pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64()),
+                                   pa.array(blobs, pa.binary())], ["doc_id", "y", "lang", "size", "ids"])
 
     assert shape.buckets <= 1 << 16
-    got = sample.mapInArrow(ids_of, "doc_id long, y int, lang int, ids binary")
+    got = sample.mapInArrow(ids_of, "doc_id long, y int, lang int, size long, ids binary")
     # a repeated doc_id counts once
-    once = got.groupBy("doc_id").agg(F.min(F.struct("y", "lang", "ids")).alias("r")).select("doc_id", "r.*").orderBy("doc_id")
-    rows = [(np.frombuffer(r.ids, "<u2").reshape(-1, 1 + len(PREFIXES)).astype(np.int32), r.y, r.lang) for r in once.collect()]
+    once = got.groupBy("doc_id").agg(F.min(F.struct("y", "lang", "size", "ids")).alias("r")).select("doc_id", "r.*")
+    rows = [(np.frombuffer(r.ids, "<u2").reshape(-1, 1 + len(PREFIXES)).astype(np.int32), r.y, r.lang)
+            for r in within(once, shape.class_bytes).select("doc_id", "y", "lang", "ids").orderBy("doc_id").collect()]
     return train(rows, shape)
 
 

@@ -1,9 +1,16 @@
 """Held-out accuracy and defined results of the two classifiers."""
 
+import math
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parcelframe.llm import quality, toxicity
+from parcelframe.llm import quality, textarrays as T, toxicity
+from parcelframe.llm.common import labelled_sample, within
 from parcelframe.llm.queries import QUERIES
 
 from .conftest import clash, docs_of
@@ -59,7 +66,6 @@ def test_scores_dont_read_other_columns(spark, words):
 
 def test_attention_weighs_passages(words):
     """One poor passage of many is enough where the labels say so."""
-    import numpy as np
     rng = np.random.default_rng(1)
     rows = []
     for k in range(300):
@@ -70,3 +76,95 @@ def test_attention_weighs_passages(words):
     net = quality.train(rows[:200], quality.Shape(epochs=60))
     right = [(net.forward(x, np.zeros(len(x), int), 1)[0][0] > 0) == y for x, y in rows[200:]]
     assert np.mean(right) > 0.9
+
+
+def _long(words, n, seed, planted):
+    """A text of about ``n`` bytes with some phrases in it."""
+    rng = random.Random(seed)
+    out, size = [], 0
+    while size < n:
+        line = " ".join(rng.choice(words) for _ in range(40)) + (". " + rng.choice(planted) if rng.random() < 0.001 else ".")
+        out.append(line)
+        size += len(line) + 1
+    return "\n".join(out)
+
+
+def test_scores_depend_on_the_text_alone(spark, words):
+    good, bad = " ".join(words[:60]), "scum idiot!! %%% " * 40
+    docs = docs_of(spark, [good, bad] * 40)
+    labels = _labels(spark, [(i, 1 - i % 2, i % 2) for i in range(80)])
+    text, other = _long(words, 4_000_000, 1, ["idiot scum idiot"]), _long(words, 340_000, 2, [bad])
+    nets = [toxicity.fit_toxicity(docs, labels), quality.fit_quality(docs, labels)]
+    for net, score in zip(nets, (lambda n, t: n.scores(t)[0], lambda n, t: n.scores(t))):
+        alone = score(net, pa.array([text]))[0]
+        for before in ([other], ["", None, other, other], [text]):
+            assert score(net, pa.array([*before, text, "x"]))[len(before)] == pytest.approx(alone, abs=1e-6)
+    two = docs_of(spark, [other, text, None, good])
+    for net, score in zip(nets, (toxicity.score_toxicity, quality.score_quality)):
+        one, eight = ([r.score for r in score(two.repartition(n), net).orderBy("doc_id").collect()] for n in (1, 8))
+        assert one == pytest.approx(eight, abs=1e-6)
+
+
+def test_convolution_as_by_plain_loops(spark, words, monkeypatch):
+    """Each filter at each word of the whole text, also where the text is read in many slices."""
+    docs = docs_of(spark, [" ".join(words[:60]), "scum idiot " * 20] * 40)
+    net = toxicity.fit_toxicity(docs, _labels(spark, [(i, 1 - i % 2, i % 2) for i in range(80)]))
+    s = net.shape
+    texts = [" ".join(random.Random(k).choices([*words, "scum", "Idiot", "the", "und"], k=n)) for k, n in enumerate((1, 2, 3, 50, 700))] + ["", None, "12 ;"]
+    want = []
+    for t in texts:
+        found = re.findall(r"[a-z\x80-\U0010ffff]+", (t or "").lower())
+        x = [sum(net.table[T.word_hash(w) % s.buckets if k is None else int(T.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), (k,))[1][0]) % s.buckets]
+                 for k in (None, *toxicity.PREFIXES)) for w in found]
+        pooled, col = [], 0
+        for k, width in enumerate(s.widths):
+            for f in range(s.filters):
+                values = [0.0]
+                for at in range(len(x) - width + 1):
+                    values.append(float(net.bias[k * s.filters + f]) + sum(float(x[at + o] @ net.kernel[:, col + o * s.filters + f]) for o in range(width)))
+                pooled.append(max(values))
+            col += width * s.filters
+        want.append(float(np.array(pooled) @ net.out) + net.out_bias)
+    whole = T.text_slices
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(T, "text_slices", lambda *a, size=size: whole(*a[:2], *a[2:3], size=size))
+        assert net.logits(pa.array(texts))[0] == pytest.approx(want, abs=1e-3)
+
+
+def test_attention_as_by_plain_loops(spark, words):
+    docs = docs_of(spark, [" ".join(words[:60]), "scum idiot!! %%% " * 40] * 40)
+    net = quality.fit_quality(docs, _labels(spark, [(i, 1 - i % 2, i % 2) for i in range(80)]))
+    texts = [_long(words, n, n, ["!! %%% $$"]) for n in (100, 900, 30_000)] + ["", None]
+    p = net.p
+    for text, got in zip(texts, net.scores(pa.array(texts))):
+        top, total = np.zeros(len(p["c"])), 0.0
+        for row in np.concatenate([x for x, _ in quality.passages(pa.array([text], pa.string()))]):
+            h = np.tanh(((row - net.centre) / net.scale) @ p["W"] + p["b"])
+            e = math.exp(sum(math.tanh(h @ p["V"][:, g]) / (1 + math.exp(-(h @ p["U"][:, g]))) * p["w"][g] for g in range(len(p["w"]))))
+            top, total = top + e * h, total + e
+        assert got == pytest.approx(1 / (1 + math.exp(-float(top / total @ p["c"] + p["d"][0]))), abs=1e-6)
+
+
+def test_passages_of_a_long_text_run_on(words):
+    """Passages don't restart where a text is read in pieces: all but repetition is as in one piece."""
+    text = _long(words, 60_000, 4, ["!! %%%"])
+    one = np.concatenate([x for x, _ in quality.passages(pa.array([text]))])
+    old = T.text_slices
+    try:
+        T.text_slices = lambda t, keep, every: old(t, keep, every, size=5_000)
+        cut = np.concatenate([x for x, _ in quality.passages(pa.array(["a b", text, ""]))])
+    finally:
+        T.text_slices = old
+    free = [k for k in range(quality.FEATURES) if k not in (quality.KINDS + 2, quality.KINDS + 4)]
+    assert len(cut) == len(one) + 2 and np.array_equal(cut[1:-1][:, free], one[:, free])
+
+
+def test_training_rows_are_whole_or_left_out(spark, words):
+    docs = docs_of(spark, [" ".join(words[:300])] * 30 + ["scum idiot " * 20] * 30)
+    labels = _labels(spark, [(i, int(i < 30), int(i >= 30)) for i in range(60)])
+    size = len(" ".join(words[:300]))
+    few = labelled_sample(docs, labels, "toxic", 5, 0, 2000, 1000)
+    assert size > 1000 and {r.y for r in few.collect()} == {1}
+    rows = labelled_sample(docs, labels, "toxic", 5, 0, 2000, 1 << 20).select("doc_id", "y", F.octet_length("text").cast("long").alias("size"))
+    got = within(rows, 5 * size).groupBy("y").agg(F.count("*").alias("n")).collect()
+    assert {r.y: r.n for r in got} == {0: 5, 1: rows.where("y = 1").count()}
