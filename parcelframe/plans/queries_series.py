@@ -11,6 +11,7 @@ from ..catalog import register
 from ..operators import eda, series, topk
 from ..session import materialize
 from ..sources.fixtures import national, shipments
+from . import autotheta as at
 from . import forecast as fc
 from .queries_eda import r6
 
@@ -422,6 +423,35 @@ def THETA(src: str, h: int) -> str:  # noqa: N802
         "LEFT JOIN th_factor c ON c.unique_id = u.unique_id AND c.dow = isodow(u.ds))")
 
 
+def AUTO_THETA(src: str) -> str:  # noqa: N802
+    """The chosen theta model's forecast of every series of ``src`` over the dates in ``fut``: table auto_theta."""
+    alphas, lags = ", ".join(str(a) for a in fc.SES_ALPHAS), range(1, at.SEASON + 1)
+    shares = list(enumerate(at.SHARES))
+    r2 = " + ".join(f"r{k} * r{k}" for k in lags if k < at.SEASON)
+    drift = "x.b * (1.0 + (1.0 - alpha) / alpha * (1.0 - s.q))"
+    return (
+        "au_base AS (SELECT unique_id, ds, y, isodow(ds) AS dow, row_number() OVER w AS t, count(*) OVER a AS n, avg(y) OVER a AS m, "
+        f"avg(y) OVER (PARTITION BY unique_id, isodow(ds)) AS md FROM {src} WINDOW w AS (PARTITION BY unique_id ORDER BY ds), a AS (PARTITION BY unique_id)), "
+        "au_lag AS (SELECT *, " + ", ".join(f"(y - m) * lag(y - m, {k}) OVER (PARTITION BY unique_id ORDER BY t) AS p{k}" for k in lags) + " FROM au_base), "
+        "au_acf AS (SELECT unique_id, count(*) AS n, " + ", ".join(f"coalesce(sum(p{k}) / nullif(sum((y - m) * (y - m)), 0), 0) AS r{k}" for k in lags)
+        + " FROM au_lag GROUP BY unique_id), "
+        f"au_test AS (SELECT unique_id, n >= {at.LEAST_DAYS} AND abs(r{at.SEASON}) > {at.Z} * sqrt((1.0 + 2.0 * ({r2})) / n) AS seasonal FROM au_acf), "
+        "au_f AS (SELECT unique_id, t, dow, y, seasonal, CASE WHEN seasonal AND m > 0 AND md > 0 THEN md / m ELSE 1.0 END AS factor FROM au_base JOIN au_test USING (unique_id)), "
+        "au_flat AS (SELECT unique_id, t, y / factor AS ya, CASE WHEN t > 2 THEN regr_slope(y / factor, t) OVER (PARTITION BY unique_id ORDER BY t "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS b FROM au_f), "
+        "au_pts AS (SELECT unique_id, count(*) AS n, coalesce(regr_slope(ya, t), 0) AS slope, list({'ya': ya, 'b': b} ORDER BY t) AS pts FROM au_flat GROUP BY 1), "
+        "au_fold AS (SELECT unique_id, n, slope, alpha, list_reduce(list_transform(pts, lambda p: {'level': p.ya, 'q': 1.0::DOUBLE, 'b': p.b, 'ya': p.ya, "
+        + ", ".join(f"'e{k}': 0.0::DOUBLE" for k, _ in shares) + "}), lambda s, x: {'level': alpha * x.ya + (1.0 - alpha) * s.level, 'q': s.q * (1.0 - alpha), 'b': x.b, 'ya': x.ya, "
+        + ", ".join(f"'e{k}': s.e{k} + coalesce(power(x.ya - s.level - {w} * {drift}, 2), 0.0)" for k, w in shares)
+        + f"}}) AS f FROM au_pts, (SELECT CAST(unnest([{alphas}]) AS DOUBLE) AS alpha)), "
+        "au_each AS (" + " UNION ALL ".join(f"SELECT unique_id, n, slope, alpha, CAST({w} AS DOUBLE) AS share, f.level AS level, f.q AS q, f.e{k} AS sse FROM au_fold" for k, w in shares) + "), "
+        "au_best AS (SELECT *, sqrt(sse / greatest(n - 2, 1)) AS error FROM au_each QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY sse, alpha, share) = 1), "
+        "au_factor AS (SELECT DISTINCT unique_id, dow, factor FROM au_f), "
+        "auto_theta AS (SELECT u.unique_id, u.ds, u.step, greatest((level + share * slope * (step + (1.0 - alpha) / alpha * (1.0 - q))) * coalesce(factor, 1.0), 0) AS y_hat, "
+        "error * sqrt(1.0 + (step - 1) * alpha * alpha) * coalesce(factor, 1.0) AS sigma, 1.0 / (1.0 - share) AS theta, alpha, seasonal "
+        "FROM fut u JOIN au_best USING (unique_id) JOIN au_test USING (unique_id) LEFT JOIN au_factor c ON c.unique_id = u.unique_id AND c.dow = isodow(u.ds))")
+
+
 BANDS = ", ".join(f"round(greatest(y_hat {s} {z} * sigma, 0), 3) AS {n}_{lv}" for lv, z in fc.Z_SCORES.items() for n, s in (("lo", "-"), ("hi", "+")))
 _NAME = "split_part(unique_id, '|', 1) AS dataset, split_part(unique_id, '|', 2) AS target, split_part(unique_id, '|', 3) AS region"
 
@@ -434,27 +464,36 @@ def q_theta_forecast(spark, sf):
     return r3(fc.forecast_intervals(fc.theta_forecast(train, H)))
 
 
+@register("auto_theta_forecast", f"WITH {PANEL}, {LONG()}, {SPLIT}, {FUTURE('train', H)}, {AUTO_THETA('train')} SELECT unique_id, ds, "
+          f"CAST(step AS INTEGER) AS step, round(y_hat, 3) AS y_hat, round(sigma, 3) AS sigma, round(theta, 3) AS theta, round(alpha, 3) AS alpha, seasonal, {BANDS} FROM auto_theta")
+def q_auto_theta_forecast(spark, sf):
+    """Each region's theta model, chosen by its one-step errors at rolling origins, with 80/95 % bands."""
+    train, _ = split(spark, sf)
+    return r3(fc.forecast_intervals(at.auto_theta_forecast(train, H)))
+
+
 @register("forecast_metrics_by_model",
-          f"{_BASE}, {THETA('train', H)}, j AS (SELECT 'naive' AS model, t.y, n.y_hat FROM test t JOIN naive n USING (unique_id, ds) "
+          f"{_BASE}, {THETA('train', H)}, {AUTO_THETA('train')}, j AS (SELECT 'naive' AS model, t.y, n.y_hat FROM test t JOIN naive n USING (unique_id, ds) "
           "UNION ALL SELECT 'seasonal_naive' AS model, t.y, s.y_hat FROM test t JOIN snaive s USING (unique_id, ds) "
-          "UNION ALL SELECT 'theta' AS model, t.y, f.y_hat FROM test t JOIN theta f USING (unique_id, ds)) "
+          "UNION ALL SELECT 'theta' AS model, t.y, f.y_hat FROM test t JOIN theta f USING (unique_id, ds) "
+          "UNION ALL SELECT 'auto_theta' AS model, t.y, f.y_hat FROM test t JOIN auto_theta f USING (unique_id, ds)) "
           + METRICS("j", "model").replace(", 6)", ", 3)"))
 def q_forecast_metrics_by_model(spark, sf):
-    """Errors of Theta and both naive models over all regions' test windows."""
+    """Errors of Theta, the chosen theta models and both naive models over all regions' test windows."""
     train, test = split(spark, sf)
     return r3(fc.forecast_metrics_by_model(test, model_forecasts(train)))
 
 
-_ABASE = f"WITH {ALL}, {ASPLIT}, {FUTURE('train', H)}, {NAIVE}, {SNAIVE}, {THETA('train', H)}"
+_ABASE = f"WITH {ALL}, {ASPLIT}, {FUTURE('train', H)}, {NAIVE}, {SNAIVE}, {THETA('train', H)}, {AUTO_THETA('train')}"
 _SCORED = ", j AS (" + " UNION ALL ".join(
     f"SELECT split_part(unique_id, '|', 1) AS dataset, split_part(unique_id, '|', 2) AS target, '{m}' AS model, t.y, f.y_hat "
-    f"FROM test t JOIN {src} f USING (unique_id, ds)" for m, src in (("theta", "theta"), ("naive", "naive"), ("seasonal_naive", "snaive"))) + ")"
+    f"FROM test t JOIN {src} f USING (unique_id, ds)" for m, src in (("theta", "theta"), ("auto_theta", "auto_theta"), ("naive", "naive"), ("seasonal_naive", "snaive"))) + ")"
 _CMP = _ABASE + _SCORED + ", cmp AS (" + METRICS("j", "dataset, target, model").replace(", 6)", ", 3)") + ") "
 
 
 def model_forecasts(train: DataFrame) -> dict[str, DataFrame]:
     """The statistical models' forecasts of the test window."""
-    return {"theta": fc.theta_forecast(train, H), "naive": fc.naive_forecast(train, H), "seasonal_naive": fc.seasonal_naive_forecast(train, H)}
+    return {"theta": fc.theta_forecast(train, H), "auto_theta": at.auto_theta_forecast(train, H), "naive": fc.naive_forecast(train, H), "seasonal_naive": fc.seasonal_naive_forecast(train, H)}
 
 
 def _scored(test: DataFrame, forecasts: dict[str, DataFrame]) -> DataFrame:
