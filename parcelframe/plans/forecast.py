@@ -10,7 +10,7 @@
   smoothing constant chosen per series from a fixed grid by in-sample SSE.
 * ``gbt_forecast`` / ``tune_gbt`` / ``feature_importance`` — one global
   ``pyspark.ml`` GBTRegressor on lag/rolling features (stands in for the
-  three boosting libraries), grid search on a chronological validation split.
+  three boosting libraries), successive halving on a chronological validation split.
 """
 
 from __future__ import annotations
@@ -220,22 +220,60 @@ def gbt_forecast(train: DataFrame, test: DataFrame, max_depth: int = 6, step_siz
 GRID = [{"max_depth": d, "step_size": s} for d in (3, 4, 5, 6, 7) for s in (0.03, 0.05, 0.1)]
 
 
-def tune_gbt(train: DataFrame, grid: list[dict] | None = None, val_days: int = 20, max_iter: int = MAX_ROUNDS):
-    """Grid search on a chronological split (the last ``val_days`` distinct
-    dates of ``train`` validate and stop the boosting); returns (best params, per-config MAE rows)."""
-    feats = feature_columns(train)
-    marked = _assemble(with_validation(train, val_days), feats).cache()
-    val = marked.filter("is_validation")
-    rows = []
-    for i, params in enumerate(grid or GRID):
-        from pyspark.ml.regression import GBTRegressor
-        model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=params.get("max_depth", 6), stepSize=params.get("step_size", 0.05),
-                             maxIter=max_iter, seed=42, validationIndicatorCol="is_validation").fit(marked)
-        mae = model.transform(val).agg(F.avg(F.abs(F.col("y") - F.greatest(F.col("prediction"), F.lit(0.0))))).first()[0]
-        rows.append((i, params.get("max_depth", 6), float(params.get("step_size", 0.05)), float(mae)))
-    marked.unpersist()
-    best = min(rows, key=lambda r: (r[3], r[0]))
-    return (grid or GRID)[best[0]], rows
+#: Boosting rounds of each rung of the search, and what share of the settings goes on to the next (one in two).
+RUNGS, KEEP = (9, 18, 36, 72), 2
+
+
+def survivors(scored: list[tuple[float, int]], last: bool, keep: int = KEEP) -> list[int]:
+    """The settings that go on from a rung: one in ``keep`` (rounded up) by error, ties to the first; the best one of the last rung."""
+    return [i for _, i in sorted(scored)][:1 if last else -(-len(scored) // keep)]
+
+
+def tune_gbt(frames: dict[tuple[str, str], DataFrame], grid: list[dict] | None = None, rungs: tuple[int, ...] = RUNGS, val_days: int = 20,
+             threads: int = 8) -> list[tuple]:
+    """Successive halving over ``grid`` for each dataset and target of ``frames`` (feature rows of the training part).
+
+    Every setting gets the first rung's rounds; one in ``KEEP`` goes on, with as many times the rounds. A
+    setting's error is the least mean absolute error, over its rounds so far, on the last ``val_days``
+    dates, which no fit reads. Fits of a rung run side by side as Spark jobs, ``threads`` at a time.
+    Rows: (dataset, target, config, max_depth, step_size, rung, rounds, best_round, val_mae, kept).
+    A pair without rows on both sides of the split has no row."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.ml.regression import GBTRegressor
+
+    grid, parts, held = grid or GRID, {}, []
+    for pair, train in frames.items():
+        if train.isEmpty():
+            continue
+        marked = _assemble(with_validation(train, val_days), feature_columns(train)).select("features", "y", "is_validation").cache()
+        held.append(marked)
+        fit, val = marked.where("NOT is_validation"), marked.where("is_validation")
+        if not fit.isEmpty() and not val.isEmpty():
+            parts[pair] = fit, val
+
+    def error(pair: tuple[str, str], i: int, rounds: int) -> tuple[float, int]:
+        fit, val = parts[pair]
+        model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=grid[i]["max_depth"], stepSize=grid[i]["step_size"],
+                             maxIter=rounds, seed=42).fit(fit)
+        return min((float(e), k + 1) for k, e in enumerate(model.evaluateEachIteration(val, "absolute")))
+
+    rows, alive = [], {pair: list(range(len(grid))) for pair in parts}
+    with ThreadPoolExecutor(threads) as pool:
+        for rung, rounds in enumerate(rungs):
+            todo = [(pair, i) for pair, open_ in alive.items() for i in open_]
+            # the deepest trees take longest and go first
+            todo.sort(key=lambda t: -grid[t[1]]["max_depth"])
+            run = [pool.submit(inheritable_thread_target(error), pair, i, rounds) for pair, i in todo]
+            found = {t: r.result() for t, r in zip(todo, run)}
+            for pair, open_ in alive.items():
+                alive[pair] = survivors([(found[pair, i][0], i) for i in open_], rung == len(rungs) - 1)
+                rows += [(*pair, i, grid[i]["max_depth"], float(grid[i]["step_size"]), rung, rounds, found[pair, i][1], found[pair, i][0], i in alive[pair])
+                         for i in open_]
+    for marked in held:
+        marked.unpersist()
+    return rows
 
 
 def feature_importance(model, feats: list[str], spark) -> DataFrame:

@@ -186,10 +186,11 @@ def q_model_comparison_gbt(spark, sf):
 
 @register("tune_gbt")
 def q_tune_gbt(spark, sf):
-    """Grid search (15 settings) on the national weights; one validation MAE row per configuration."""
-    long = all_long(spark, sf).filter("dataset = 'national' AND target = 'poids'").select("unique_id", "ds", "y")
-    _, rows = fc.tune_gbt(_gbt_frames(long)[0])
-    return spark.createDataFrame(rows, "config int, max_depth int, step_size double, val_mae double")
+    """Successive halving over 15 settings for every dataset and target; a row a setting and rung."""
+    long = all_long(spark, sf)
+    frames = {(d, t): _gbt_frames(long.where((F.col("dataset") == d) & (F.col("target") == t)).select("unique_id", "ds", "y"))[0] for d, t in COMBOS}
+    return spark.createDataFrame(fc.tune_gbt(frames), "dataset string, target string, config int, max_depth int, step_size double, rung int, rounds int, "
+                                                      "best_round int, val_mae double, kept boolean")
 
 
 @register("feature_importance")
