@@ -56,7 +56,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifiers' decisions can't be stated in SQL; tests hold run() against the stages' brute-force versions.
+#: The classifiers' decisions can't be stated in SQL; their networks, and the other operators, are tested against plain versions.
 ORACLE_SQL = None
 
 
