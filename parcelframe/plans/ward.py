@@ -2,9 +2,9 @@
 
 Each group of equal vectors is a clustering feature (count and mean). Up to
 ``BOUND`` of them, Ward merges run on exactly these, so the result is that of
-plain Ward. Beyond, ``BOUND`` vectors are sampled, one scan adds all rows to the
+plain Ward. Beyond, ``BOUND`` vectors are sampled (two scans), a third adds all rows to the
 nearest of them, and those counts and means are merged: features add up, so
-the summary costs one scan at any size and the driver holds ``BOUND`` rows.
+the summary costs three scans at any size and the driver holds ``BOUND`` rows.
 """
 
 from __future__ import annotations
@@ -49,7 +49,10 @@ def features(vectors: DataFrame, seed: int = 42) -> tuple[np.ndarray, np.ndarray
         rows = sorted((tuple(r.v), r.n) for r in distinct)
         points = np.array([v for v, _ in rows])
         return points, np.array([n for _, n in rows]), points
-    points = np.unique(np.array(_sampled(vectors, None, 1, BOUND, seed, 0)[0]), axis=0)
+    # half alike, half by squared distance to those, so that a small group far from the rest is represented
+    some = _sampled(vectors, None, 1, BOUND // 2, seed, 0)[0]
+    far = _sampled(vectors, {0: np.array(some)}, 1, BOUND - len(some), seed, 1)[0]
+    points = np.unique(np.array(some + far), axis=0)
     count, sums, _ = _scanned(vectors, {0: points}, points.shape[1])[0]
     held = count > 0
     return points[held], count[held], sums[held] / count[held, None]
