@@ -25,7 +25,11 @@ def _pick(n: int):
 
 
 def _varied(date, styles):
-    return F.element_at(F.array(*[F.date_format(date, f) for f in styles]), _pick(len(styles)) + 1)
+    """The date in the style of its row (column ``_style``); the others aren't made."""
+    out = F.when(F.col("_style") == 0, F.date_format(date, styles[0]))
+    for k, style in enumerate(styles[1:], 1):
+        out = out.when(F.col("_style") == k, F.date_format(date, style))
+    return out
 
 
 def _blank(text):
@@ -40,6 +44,7 @@ def raw_extract(spark: SparkSession, sf_dir: str, source: str | None = None,
     s = shipments(spark, sf_dir)
     if source:
         s = s.filter(F.col("source") == source)
+    s = s.withColumn("_style", _pick(len(DATE_STYLES)))
 
     def comma(c):
         return F.translate(F.col(c).cast("string"), ".", ",")

@@ -130,19 +130,28 @@ def map_headers(df: DataFrame) -> DataFrame:
     return df.select([text(name).cast("string").alias(name) for _, name, _ in COLUMN_MAP])
 
 
-def _convert(name: str, kind: str):
+def _by_steps(c: Column, *steps) -> Column:
+    """The column after all steps, each a function of what the one before leaves. A step is a lambda over an
+    array of the one value: what it reads is made once, however often it names it."""
+    value = F.array(c)
+    for step in steps:
+        value = F.transform(value, step)
+    return F.get(value, F.lit(0))
+
+
+def _convert(name: str, kind: str) -> Column:
     """Conversion of one already-stripped text column."""
     s = F.col(name)
     if name in EDI_VERBATIM_COLUMNS:
         return clean_text(s, VERBATIM_BLANK_TOKENS)
     if name in ("crbt_amount", "revenue_ca"):
-        return parse_float(s).try_cast("decimal(18,3)")
+        return F.when(s.isNotNull(), _by_steps(s, parse_float)).try_cast("decimal(18,3)")
     if kind == "float":
-        return parse_float(s)
+        return F.when(s.isNotNull(), _by_steps(s, parse_float))
     if kind == "int":
-        return F.bround(parse_float(s), 0).try_cast("int")
-    if kind == "datetime":  # the date's canonical text
-        return F.when(s.isNotNull(), s.try_cast("timestamp_ntz"))
+        return F.bround(F.when(s.isNotNull(), _by_steps(s, parse_float)), 0).try_cast("int")
+    if kind == "datetime":  # read together with its stripping
+        return s
     return clean_text(s)
 
 
@@ -150,16 +159,18 @@ def clean_shipments(df: DataFrame) -> DataFrame:
     """Typed projection of the mapped columns + ``is_delivered`` / ``is_crbt``;
     month/year outside 1–12 / 1900–9999 become NULL; rows without a key are dropped.
 
-    Each text column is stripped once; the parsers then work on that value. Dates
-    go through three projections. Each reads the one before more than once, so
-    Catalyst keeps them apart and no value is rewritten twice.
+    One projection strips each text column once and reads the dates, a second converts the
+    stripped text; Catalyst keeps them apart, as the second reads the first more than once.
+    Dates and numbers go through lambdas, for which Spark generates no code, so neither
+    projection becomes part of one generated method: with 33 columns it would be larger than
+    what the JVM compiles and run several times slower. Spark generates the other columns'
+    code in small methods then, whatever ``spark.sql.codegen.hugeMethodLimit`` is.
     """
     mapped = {n for _, n, _ in COLUMN_MAP}
     rest = [c for c in df.columns if c not in mapped]
-    out = df.select([strip_ws(n).alias(n) for _, n, _ in COLUMN_MAP] + rest)
-    dates = [n for _, n, k in COLUMN_MAP if k == "datetime" and n not in EDI_VERBATIM_COLUMNS]
-    for step in (day_hours, canonical_date):
-        out = out.select([(step(F.col(n)) if n in dates else F.col(n)).alias(n) for _, n, _ in COLUMN_MAP] + rest)
+    date = lambda c: F.when(c.isNotNull(), _by_steps(c, strip_ws, day_hours, canonical_date).try_cast("timestamp_ntz"))
+    is_date = lambda n, k: k == "datetime" and n not in EDI_VERBATIM_COLUMNS
+    out = df.select([(date(F.col(n).cast("string")) if is_date(n, k) else strip_ws(n)).alias(n) for _, n, k in COLUMN_MAP] + rest)
     out = out.select([_convert(n, k).alias(n) for _, n, k in COLUMN_MAP] + rest)
     out = (out.withColumn("deposit_month", valid_month("deposit_month"))
            .withColumn("deposit_year", valid_year("deposit_year"))
