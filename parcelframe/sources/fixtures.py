@@ -8,12 +8,13 @@ runs in the operators on whatever rows arrive here.
 The same mapping exists twice: as DataFrame code (``shipments``) and as SQL
 text (``SHIPMENTS_SQL``) for the DuckDB oracle. Both must stay in step.
 
-Plan notes (scale): the fact side is ``lineitem ⋈ orders`` on the order key
-(sort-merge, both sides shuffled once on the key). ``customer`` and
-``supplier`` are joined to their nation/region first; nation (25 rows) and
-region (5 rows) are fixed-size dimensions, so those joins are broadcast by
-the planner's own size check (``autoBroadcastJoinThreshold``) without a
-hint. Catalyst prunes every column an operator does not read, so a query
+Plan notes (scale): ``customer`` and ``supplier`` are joined to their
+nation/region first; nation (25 rows) and region (5 rows) are fixed-size
+dimensions, so those joins are broadcast by the planner's own size check
+(``autoBroadcastJoinThreshold``) without a hint. Customers join the orders, a
+quarter of the lines, and the result joins ``lineitem`` on the order key, both
+sides dealt by it into a number of partitions that follows the rows: a task
+holds about ``ROWS_A_TASK`` lines however large the tables are. Catalyst prunes every column an operator does not read, so a query
 that only needs ``depot_region`` never reads prices or dates.
 """
 
@@ -45,6 +46,15 @@ def _dec(c: Column) -> Column:
     return c.cast("decimal(18,3)")
 
 
+#: Lines that one task of the join on the order key holds, about.
+ROWS_A_TASK = 250_000
+
+
+def _partitions(spark: SparkSession, lines: DataFrame) -> int:
+    """Partitions of the join on the order key, from the number of lines (Parquet's footers hold it); small tables get a few."""
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 16), -(-lines.count() // ROWS_A_TASK))
+
+
 _MATERIALIZED: dict[tuple[str, ...], str] = {}
 
 
@@ -114,8 +124,9 @@ def derive_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = c.join(_geo(spark, sf_dir, "cg"), F.col("c_nationkey") == F.col("cg_nationkey"))
     supp = s.join(_geo(spark, sf_dir, "sg"), F.col("s_nationkey") == F.col("sg_nationkey"))
 
-    j = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    n = _partitions(spark, li)
+    placed = o.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    j = (li.repartition(n, "l_orderkey").join(placed.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
          .join(supp, F.col("l_suppkey") == F.col("s_suppkey")))
 
     returned = F.col("l_returnflag") == "R"
