@@ -296,7 +296,8 @@ def drill_pages(drill: DataFrame, page_size: int = 1000) -> DataFrame:
     keys = ["region", "office", "subkey"]
     fields = [c for c in drill.columns if c not in keys]
     entries = drill.groupBy(*keys, *fields).agg(F.count(F.lit(1)).alias("times"))
-    sizes = entries.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    # reads ``times``, so that both sides of the join need the same shuffled entries and Spark makes them once
+    sizes = entries.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count_if(F.col("times") > 0).alias("_n"))
     pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(page_size)).cast("int"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     paged = entries.join(sizes, same).withColumn("page", F.pmod(F.xxhash64(*fields), pages.cast("long")).cast("int"))
