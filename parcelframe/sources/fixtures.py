@@ -8,14 +8,14 @@ runs in the operators on whatever rows arrive here.
 The same mapping exists twice: as DataFrame code (``shipments``) and as SQL
 text (``SHIPMENTS_SQL``) for the DuckDB oracle. Both must stay in step.
 
-Plan notes (scale): ``customer`` and ``supplier`` are joined to their
-nation/region first; nation (25 rows) and region (5 rows) are fixed-size
-dimensions, so those joins are broadcast by the planner's own size check
-(``autoBroadcastJoinThreshold``) without a hint. Customers join the orders, a
-quarter of the lines, and the result joins ``lineitem`` on the order key, both
-sides dealt by it into a number of partitions that follows the rows: a task
-holds about ``ROWS_A_TASK`` lines however large the tables are. Catalyst prunes every column an operator does not read, so a query
-that only needs ``depot_region`` never reads prices or dates.
+Plan notes (scale): lines meet their supplier and orders their customer while
+they are narrow, and take from them the nation's key alone; then both are dealt
+by the order key into a number of partitions that follows the rows: a task
+holds about ``ROWS_A_TASK`` lines however large the tables are, and no row is
+shuffled after that. Names of nations (25 rows) and regions (5 rows), fixed-size
+dimensions, are broadcast onto the joined rows. Catalyst prunes every column an
+operator does not read, so a query that only needs ``depot_region`` never reads
+prices or dates.
 """
 
 from __future__ import annotations
@@ -115,19 +115,18 @@ def derive_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lazy derivation (joins) behind ``shipments``."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("l_shipdate"))
     o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+        "o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
 
-    cust = c.join(_geo(spark, sf_dir, "cg"), F.col("c_nationkey") == F.col("cg_nationkey"))
-    supp = s.join(_geo(spark, sf_dir, "sg"), F.col("s_nationkey") == F.col("sg_nationkey"))
-
     n = _partitions(spark, li)
-    placed = o.join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    j = (li.repartition(n, "l_orderkey").join(placed.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(supp, F.col("l_suppkey") == F.col("s_suppkey")))
+    sent = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey", "s_suppkey")
+    placed = o.join(c, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    j = (sent.repartition(n, "l_orderkey").join(placed.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+         .join(F.broadcast(_geo(spark, sf_dir, "cg")), F.col("c_nationkey") == F.col("cg_nationkey"))
+         .join(F.broadcast(_geo(spark, sf_dir, "sg")), F.col("s_nationkey") == F.col("sg_nationkey")))
 
     returned = F.col("l_returnflag") == "R"
     seg = F.col("c_mktsegment")
@@ -139,7 +138,7 @@ def derive_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(returned, F.lit("CRBT")).otherwise(F.lit("Ordinaire")).alias("shipment_type"),
         returned.alias("is_crbt"),
         _dec(F.col("l_extendedprice")).alias("revenue_ca"),
-        F.to_date("o_orderdate").alias("deposit_date"),
+        F.col("o_orderdate").alias("deposit_date"),
         F.year("o_orderdate").cast("int").alias("deposit_year"),
         F.month("o_orderdate").cast("int").alias("deposit_month"),
         F.when(seg.isin("AUTOMOBILE", "BUILDING"), F.concat(F.lit("Agence "), F.col("cg_nation")))
@@ -151,7 +150,7 @@ def derive_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("l_returnflag") == "A", F.lit("Tenir"))
          .when(F.col("l_returnflag") == "N", F.lit("Recevoir envoi")).alias("last_event"),
         (F.col("l_linestatus") == "F").alias("is_delivered"),
-        F.to_date("l_shipdate").alias("last_event_date"),
+        F.col("l_shipdate").alias("last_event_date"),
         F.concat(F.lit("Bureau "), F.col("sg_nation")).alias("last_event_office"),
         F.col("sg_region").alias("last_event_region"),
         F.when(F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW"), F.lit(None).cast("string"))
