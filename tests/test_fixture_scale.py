@@ -35,3 +35,15 @@ def test_lines_are_shuffled_narrow_only(spark):
     lines = [b for b in blocks if "l_quantity" in b]
     assert lines and all("o_totalprice" not in b and "n_name" not in b and "_nation#" not in b for b in lines)
     assert len(lines) == 2  # by supplier and by order
+
+
+def test_the_written_fact_comes_from_bounded_tasks_whatever_is_broadcast(spark, monkeypatch):
+    """The tasks that write the fact are as many as its lines ask for, also where suppliers are shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(fixtures, "ROWS_A_TASK", 400)
+    try:
+        lines = fixtures.read_table(spark, SF001, "lineitem").count()
+        assert fixtures.derive_shipments(spark, SF001).rdd.getNumPartitions() == -(-lines // 400)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
