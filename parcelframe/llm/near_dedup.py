@@ -25,8 +25,10 @@ more are linked; a group is a connected component.
   first; after those links are checked, a second round takes all pairs between
   different groups. No link between two groups is lost, and a cluster of m
   copies gives about m pairs, not m squared.
-* Nodes that are still large after ``LEVELS`` levels are first dealt into
-  sub-blocks that share pivots. Those that then still hold several groups are
+* Only classes with ``ENOUGH`` tokens that other classes have too enter the trees;
+  the others have no partner.
+* Nodes that are large after ``LEVELS`` levels are dealt into sub-blocks that share
+  pivots before they branch. Those that then still hold several groups are
   compared block by block, all of the smaller groups' members with all members,
   where that is cheap, and branch again where it isn't. Nodes of one group are
   closed.
@@ -52,7 +54,7 @@ from . import bloom, textarrays as T
 from .common import stored
 
 WORDS, TOKENS, LOW = 5, 32, 384
-TREES, BRANCH, LEAF, LEVELS, DEPTH, PIVOTS = 6, 2, 512, 2, 6, 4
+TREES, BRANCH, LEAF, LEVELS, DEPTH, PIVOTS = 6, 2, 512, 1, 6, 4
 #: Members of a leaf up to which a hash counts as rare.
 FEW = 16
 #: Common tokens of TOKENS that a pair at 0.75 has but once in a hundred thousand times.
@@ -121,6 +123,15 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set binary, tokens array<int>")
 
 
+def sharing(classes: DataFrame) -> DataFrame:
+    """The classes with ENOUGH tokens that other classes have too, wherever; the others have no partner."""
+    spot = F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda c: F.xxhash64(c, F.element_at("tokens", c + 1)))
+    own = classes.select(F.xxhash64("set").alias("who"), F.explode(spot).alias("spot"))
+    common = own.groupBy("spot").agg(F.count("*").alias("k")).where("k > 1").select("spot")
+    enough = own.join(common, "spot", "left_semi").groupBy("who").agg(F.count("*").alias("k")).where(F.col("k") >= ENOUGH)
+    return classes.join(enough, F.xxhash64("set") == F.col("who"), "left_semi")
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two members or more, with the node's size; one of several leaves of the same members.
 
@@ -358,7 +369,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, classes with their group: set, least, root)."""
     rows = stored(sketch(docs), "sketches")
     classes = stored(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("tokens").alias("tokens")), "classes")
-    leaves, large = trees(classes)
+    leaves, large = trees(stored(sharing(classes.select("set", "tokens")), "sharing"))
     leaves = stored(partnered(leaves.withColumn("label", F.col("set"))).drop("label"), "leaves")
     ids = leaves.select("set").union(large.select("set")).distinct()
     members = stored(ids.join(classes.select("set", F.col("least").alias("doc_id")), "set"), "members")

@@ -162,3 +162,23 @@ def test_estimates_hold_the_similarity(words, monkeypatch):
             assert i == j or abs(got[i, j] - true) < 0.11 and (true < 0.75 or got[i, j] >= least[i, j])
     assert got[4, 5] == len(sets[4] & sets[5]) / len(sets[4] | sets[5])  # small sets: exact
     assert got[0, 3] < least[0, 3]
+
+
+def test_only_classes_that_share_enough_tokens_enter_trees(spark):
+    x = list(range(N.TOKENS))
+    y = x[:N.ENOUGH] + [100 + t for t in x[N.ENOUGH:]]
+    z = [200 + t for t in x[:-N.ENOUGH + 1]] + x[-N.ENOUGH + 1:]
+    classes = spark.createDataFrame([(bytearray(k), t) for k, t in ((b"x", x), (b"y", y), (b"z", z))], "set binary, tokens array<int>")
+    assert sorted(bytes(r.set) for r in N.sharing(classes).collect()) == [b"x", b"y"]
+
+
+def test_nodes_of_one_group_dont_branch(spark, words, monkeypatch):
+    rng = random.Random(9)
+    base = " ".join(rng.choices(words, k=120))
+    texts = [_edited(rng, words, base, 0.01) for _ in range(60)] + [" ".join(rng.choices(words, k=60)) for _ in range(20)]
+    branched, branches = [], N.branches
+    monkeypatch.setattr(N, "LEAF", 16)
+    monkeypatch.setattr(N, "branches", lambda large: branched.append(large.count()) or branches(large))
+    got = N.near_duplicates(docs_of(spark, texts)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == _brute(texts, list(range(len(texts))))
+    assert not branched
