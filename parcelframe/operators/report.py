@@ -16,7 +16,11 @@ are shown.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import bureau_category, parse_amount_or_zero, strip_ws
@@ -240,12 +244,12 @@ def _txt(c) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def _drill(base: DataFrame, subkeys: Column, fields: dict[str, Column]) -> DataFrame:
-    """Entries are built once per row, then repeated under each of the row's sub-keys."""
+def _drill(base: DataFrame, subkeys: Column, fields: dict[str, Column], long: bool = True) -> DataFrame:
+    """Entries are built once per row, then (if ``long``) repeated under each of the row's sub-keys."""
     entries = base.filter(F.col("mailitm_fid") != "").select(
         "region", "office", F.array_compact(subkeys).alias("_keys"), F.col("mailitm_fid").alias("id"),
         *[c.alias(n) for n, c in fields.items()])
-    return entries.select("region", "office", F.explode("_keys").alias("subkey"), "id", *fields)
+    return entries.select("region", "office", F.explode("_keys").alias("subkey"), "id", *fields) if long else entries.drop("_keys")
 
 
 def depot_drill(df: DataFrame, region=None, categories=None) -> DataFrame:
@@ -255,14 +259,21 @@ def depot_drill(df: DataFrame, region=None, categories=None) -> DataFrame:
                   {"ca": _txt("revenue_ca"), "type": _entry_type("shipment_type")})
 
 
-def livraison_drill(df: DataFrame, region=None, categories=None) -> DataFrame:
-    """Per last-event office: ``__all__``, one key per event, CRBT or Ordinaire."""
+def livraison_subkeys() -> list[Column]:
+    """The sub-keys of a delivery entry (NULL: none), from its own fields: they tell the row's event and type."""
+    return [F.lit("__all__"), F.when(F.col("event") != "", F.col("event")),
+            F.when(F.col("type") == "Crbt", F.lit("CRBT")).otherwise(F.lit("Ordinaire"))]
+
+
+def livraison_drill(df: DataFrame, region=None, categories=None, long: bool = True) -> DataFrame:
+    """Per last-event office: ``__all__``, one key per event, CRBT or Ordinaire. Not ``long``: an entry
+    stands once, without its sub-keys (``livraison_subkeys``)."""
     base = _scope(df, LIVRAISON, region, categories)
     keys = F.array(F.lit("__all__"), F.when(F.col("last_event") != "", F.col("last_event")),
                    F.when(_is_crbt(), F.lit("CRBT")).otherwise(F.lit("Ordinaire")))
     return _drill(base, keys, {"event": _txt("last_event"), "type": _entry_type("shipment_type"),
                                "ca": _txt("revenue_ca"), "interval": _txt("interval_days"),
-                               "poids": _txt("weight_kg")})
+                               "poids": _txt("weight_kg")}, long)
 
 
 def export_drill(df: DataFrame, region=None, categories=None) -> DataFrame:
@@ -285,24 +296,77 @@ def drill_lookup(drill: DataFrame, office: str, subkey: str = "__all__") -> Data
     return drill.filter((F.col("office") == F.lit(office)) & (F.col("subkey") == F.lit(subkey)))
 
 
-def drill_pages(drill: DataFrame, page_size: int = 1000) -> DataFrame:
+#: Up to so many cells, their sizes are broadcast (some 10 MB).
+CELLS_SENT = 50_000
+#: Pages of an office that are dealt together, about; entries under their sub-keys that one task makes pages of, about.
+SLICE_PAGES, PAGED_A_TASK = 100, 500_000
+
+
+def drill_pages(drill: DataFrame, page_size: int = 1000, subkeys: Sequence[Column] | None = None) -> DataFrame:
     """Nested drill payload in bounded pages.
 
     Equal entries are first counted (each keeps its number as ``times``), so a
     page holds different entries only. A cell's number of pages follows from
-    its number of entries, and entries are spread over pages by a hash: about
-    ``page_size`` each, whatever the office's share of all rows.
+    its number of entries, and entries are spread over pages by ranges of a hash:
+    about ``page_size`` each, whatever the office's share of all rows.
+
+    With ``subkeys``, an entry's sub-keys as columns over its own fields (NULL: none),
+    ``drill`` holds each entry once; the pages are those of its long form. Entries are
+    dealt by slices of their office's hash range. A page lies in one slice, so an entry
+    goes once to each slice that has a page of it, nearly always one, and is repeated
+    under its sub-keys only where the pages are made.
     """
-    keys = ["region", "office", "subkey"]
+    spark, place, keys = drill.sparkSession, ["region", "office"], ["region", "office", "subkey"]
     fields = [c for c in drill.columns if c not in keys]
-    entries = drill.groupBy(*keys, *fields).agg(F.count(F.lit(1)).alias("times"))
-    # reads ``times``, so that both sides of the join need the same shuffled entries and Spark makes them once
-    sizes = entries.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count_if(F.col("times") > 0).alias("_n"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(page_size)).cast("int"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    paged = entries.join(sizes, same).withColumn("page", F.pmod(F.xxhash64(*fields), pages.cast("long")).cast("int"))
-    return paged.groupBy(*keys, "page").agg(
-        F.sort_array(F.collect_list(F.struct(*fields, "times"))).alias("entries"))
+    if subkeys is None:
+        at = named = [F.col("subkey")]
+        own, often = keys, [F.lit(1)]
+    else:
+        # an event may be called as another sub-key is: then the entry stands that often in the cell, which it enters once
+        named, own = list(subkeys), place
+        at = [reduce(lambda k, other: F.when(~other.eqNullSafe(named[i]), k), named[:i], named[i]) for i in range(len(named))]
+        often = [reduce(lambda n, other: n + other.eqNullSafe(named[i]).cast("int"), named[i + 1:], F.lit(1)) for i in range(len(named))]
+    counted = drill.groupBy(*own, *fields).agg(F.count(F.lit(1)).alias("times"))
+
+    def under(rows: DataFrame, cells: Sequence[Column], *more: str) -> DataFrame:
+        """The rows under each of their sub-keys, without the fields."""
+        each = rows.select(*place, *more, F.explode(F.array(*cells)).alias("subkey"))
+        return each if subkeys is None else each.filter("subkey IS NOT NULL")
+
+    kinds = drill.select(*place, *[k.alias(f"_k{i}") for i, k in enumerate(at)])
+    kinds = kinds.groupBy(*kinds.columns).agg(F.count(F.lit(1)).alias("_n"))
+    cells, rows = under(kinds, [F.col(f"_k{i}") for i in range(len(at))], "_n").groupBy(*keys).agg(F.sum("_n").alias("_n")) \
+        .agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+
+    # reads ``times``, so that both sides of the joins need the same shuffled entries and Spark makes them once
+    held = under(counted, at, "times").groupBy(*keys).agg(F.count_if(F.col("times") > 0).alias("_n"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(page_size))).cast("long")
+    slices = F.ceil(F.sum(pages).over(W.partitionBy(*place)) / F.lit(SLICE_PAGES)).cast("long")  # a row a cell
+    sizes = held.select(*[F.col(k).alias(f"_{k}") for k in keys], pages.alias("_pages"), slices.alias("_slices"))
+    if cells <= CELLS_SENT:  # otherwise all entries are shuffled by cell to meet their sizes
+        sizes = F.broadcast(sizes)
+
+    def page(n: Column) -> Column:
+        """The one of n equal ranges that the upper half of the entry's hash lies in."""
+        return F.shiftright(F.shiftrightunsigned(F.xxhash64(*fields), 32) * n, 32).cast("int")
+
+    placed = counted
+    for i, k in enumerate(at):
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place] + [k.eqNullSafe(F.col("_subkey"))]
+        n, m = F.col("_pages"), F.col("_slices")
+        where = F.when(n >= m, F.floor(page(n) * m / n)).otherwise(F.pmod(F.xxhash64(k, page(n)), m))
+        placed = placed.join(sizes, same, "left").select(*placed.columns, n.alias(f"_n{i}"), where.cast("long").alias(f"_s{i}"))
+    sent = placed.withColumn("_slice", F.explode(F.array_distinct(F.array(*[f"_s{i}" for i in range(len(at))])))).filter("_slice IS NOT NULL")
+    sent = sent.select(*own, "_slice", *fields, "times", *[F.when(F.col(f"_s{i}") == F.col("_slice"), F.col(f"_n{i}")).alias(f"_n{i}") for i in range(len(at))])
+    tasks = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 16), -(-rows // PAGED_A_TASK))
+    dealt = sent.sortWithinPartitions("_slice", *place).repartition(tasks, *place, "_slice")  # alike rows side by side take less when compressed
+
+    each = F.array(*[F.struct(k.alias("subkey"), F.col(f"_n{i}").alias("n"), o.alias("often")) for i, (k, o) in enumerate(zip(at, often))])
+    paged = dealt.select(*place, "_slice", *fields, "times", F.explode(each).alias("_c")).filter("_c.n IS NOT NULL") \
+        .select(*place, "_slice", "_c.subkey", page(F.col("_c.n")).alias("page"), *fields, (F.col("times") * F.col("_c.often")).alias("times"))
+    # by the page first: numbers sort faster than names
+    return paged.groupBy("page", "_slice", *keys).agg(
+        F.sort_array(F.collect_list(F.struct(*fields, "times"))).alias("entries")).select(*keys, "page", "entries")
 
 
 def drill_json(drill: DataFrame) -> DataFrame:

@@ -319,7 +319,7 @@ def q_drill_json(spark, sf):
 @register("drill_pages")
 def q_drill_pages(spark, sf):
     """Nested drill payload in bounded pages (hash-spread; rows-only check)."""
-    return rp.drill_pages(rp.livraison_drill(national(spark, sf)), page_size=500)
+    return rp.drill_pages(rp.livraison_drill(national(spark, sf), long=False), page_size=500, subkeys=rp.livraison_subkeys())
 
 
 @register("drill_page_entries",
@@ -329,7 +329,7 @@ def q_drill_pages(spark, sf):
           "WHERE coalesce(trim(last_event_office), '') <> '' AND coalesce(trim(mailitm_fid), '') <> '') GROUP BY ALL")
 def q_drill_page_entries(spark, sf):
     """Rows behind each cell, counted over its pages."""
-    pages = rp.drill_pages(rp.livraison_drill(national(spark, sf)), page_size=500)
+    pages = rp.drill_pages(rp.livraison_drill(national(spark, sf), long=False), page_size=500, subkeys=rp.livraison_subkeys())
     times = F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["times"])
     return pages.groupBy("region", "office", "subkey").agg(F.sum(times).alias("entries"))
 
